@@ -25,8 +25,9 @@ def rendezvous(key: Column, weights: Sequence[float], first: int = 0) -> Column:
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
     text = F.coalesce(key.cast("string"), F.lit(""))
-    scores = [F.struct((F.lit(-float(w)) / F.ln(unit_hash(text, F.lit(str(first + i))))).alias("score"), F.lit(-(first + i)).alias("minus")) for i, w in enumerate(weights)]
-    return F.array_max(F.array(*scores))
+    shards = F.array(*[F.struct(F.lit(first + i).alias("i"), F.lit(float(w)).alias("w")) for i, w in enumerate(weights)])
+    score = lambda s: -s["w"] / F.ln(unit_hash(text, s["i"].cast("string")))
+    return F.array_max(F.transform(shards, lambda s: F.struct(score(s).alias("score"), (-s["i"]).alias("minus"))))
 
 
 def shard(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard", grown: str | None = None, grown_weight: float = 1.0) -> DataFrame:
@@ -76,21 +77,42 @@ def op1_rendezvous_shards(spark, sf_dir: str) -> DataFrame:
 
 _SCORE = f"-1.0 / ln({unit_hash_sql("coalesce(d.doc_id::VARCHAR, '') || '#' || s.i::VARCHAR")})"
 
-#: CRC-32 is not in DuckDB: the table is built by its rule and folded over the bytes.
+
+
+def _crc_tables(n: int) -> list[list[int]]:
+    """CRC-32 tables for n bytes at a time, by the rule of its polynomial."""
+    first = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        first.append(c)
+    tables = [first]
+    for _ in range(n - 1):
+        tables.append([c >> 8 ^ first[c & 255] for c in tables[-1]])
+    return tables
+
+
+def _crc_sql(hexes: str) -> str:
+    """DuckDB has no CRC-32: fold it over eight bytes a step, then over the rest byte by byte."""
+    tables = _crc_tables(8)
+    byte = lambda at: f"('0x' || substr({hexes}, 2 * ({at}) + 1, 2))::BIGINT"
+    look = lambda k, x: f"{tables[k]}[(({x}) & 255) + 1]"
+    low = " + ".join(f"({byte(f'8 * j + {i}')} << {8 * i})" for i in range(4))
+    high = " + ".join(f"({byte(f'8 * j + {4 + i}')} << {8 * i})" for i in range(4))
+    step = "xor(" * 7 + look(7, "xor(c, w.lo)")
+    for i in range(1, 8):
+        step += ", " + look(7 - i, f"xor(c, w.lo) >> {8 * i}" if i < 4 else f"w.hi >> {8 * (i - 4)}") + ")"
+    fold = f"list_reduce(list_transform(range(0, length({hexes}) // 16), lambda j: {{'lo': {low}, 'hi': {high}}}), lambda c, w: {step}, 4294967295::BIGINT)"
+    rest = f"list_transform(range(length({hexes}) // 16 * 8, length({hexes}) // 2), lambda j: {byte('j')})"
+    return f"xor(4294967295, list_reduce({rest}, lambda c, b: xor(c >> 8, {look(0, 'xor(c, b)')}), {fold}))"
+
+
 OP1_SQL = f"""
-WITH RECURSIVE crc_steps(i, c, k) AS (
-  SELECT i, i, 0 FROM range(256) AS r(i)
-  UNION ALL
-  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8
-), crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8),
-sized AS (
+WITH sized AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(octet_length(encode(text)), 0) + 8 AS size,
     hex(encode(coalesce(text, ''))) AS h FROM documents
 ), crcs AS (
-  SELECT rid, doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)),
-    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
-  FROM sized, crc_table
+  SELECT rid, doc_id, size::BIGINT AS size, {_crc_sql("h")} AS text_crc32 FROM sized
 ), scores AS (
   SELECT d.rid, s.i, {_SCORE} AS score FROM crcs d CROSS JOIN range({SHARDS + 1}) AS s(i)
 ), best AS (
