@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,14 +76,14 @@ def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, limit
     return salted.join(copies, on, "left").drop("__small_key", "__small_salt", "__salt")
 
 
-def let(value: str, name: str, body: str) -> str:
-    """SQL that computes ``value`` once and uses it as ``name`` in ``body``, lambdas included."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once although lambdas in ``body`` use it for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
-def words_sql(text: str) -> str:
-    """SQL for the words ``[^\\x20\\x09-\\x0D]+`` of a text; an empty array for null."""
-    return f"coalesce(filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), array())"
+def words(text: Column) -> Column:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text; an empty array for null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graincast.llm.fingerprints import op7_oph_fingerprints
 from graincast.llm.mixing import OP5_SQL, op5_mix_sources
 from graincast.llm.sharding import OP1_SQL, op1_rendezvous_shards
 from graincast.llm.site_lines import OP10_SQL, op10_site_lines
@@ -9,6 +10,7 @@ from graincast.llm.site_lines import OP10_SQL, op10_site_lines
 QUERIES = {
     "op1_rendezvous_shards": op1_rendezvous_shards,
     "op5_mix_sources": op5_mix_sources,
+    "op7_oph_fingerprints": op7_oph_fingerprints,
     "op10_site_lines": op10_site_lines,
 }
 
