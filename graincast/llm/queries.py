@@ -6,6 +6,7 @@ from graincast.llm.bpe import op9_bpe_tree
 from graincast.llm.fingerprints import op7_oph_fingerprints
 from graincast.llm.langid import op8_hd_langid
 from graincast.llm.mixing import OP5_SQL, op5_mix_sources
+from graincast.llm.neardup import op4_minhash_inverted_join
 from graincast.llm.quality import op3_divergence_quality
 from graincast.llm.sharding import OP1_SQL, op1_rendezvous_shards
 from graincast.llm.site_lines import OP10_SQL, op10_site_lines
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op7_oph_fingerprints": op7_oph_fingerprints,
     "op3_divergence_quality": op3_divergence_quality,
+    "op4_minhash_inverted_join": op4_minhash_inverted_join,
     "op8_hd_langid": op8_hd_langid,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_site_lines": op10_site_lines,
