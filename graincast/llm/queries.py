@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from graincast.llm.bpe import op9_bpe_tree
+from graincast.llm.extraction import op2_wrapper_extract
 from graincast.llm.fingerprints import op7_oph_fingerprints
 from graincast.llm.langid import op8_hd_langid
 from graincast.llm.mixing import OP5_SQL, op5_mix_sources
 from graincast.llm.neardup import op4_minhash_inverted_join
+from graincast.llm.pii import op6_surrogates
 from graincast.llm.quality import op3_divergence_quality
 from graincast.llm.sharding import OP1_SQL, op1_rendezvous_shards
 from graincast.llm.site_lines import OP10_SQL, op10_site_lines
@@ -14,7 +16,9 @@ from graincast.llm.site_lines import OP10_SQL, op10_site_lines
 QUERIES = {
     "op1_rendezvous_shards": op1_rendezvous_shards,
     "op5_mix_sources": op5_mix_sources,
+    "op6_surrogates": op6_surrogates,
     "op7_oph_fingerprints": op7_oph_fingerprints,
+    "op2_wrapper_extract": op2_wrapper_extract,
     "op3_divergence_quality": op3_divergence_quality,
     "op4_minhash_inverted_join": op4_minhash_inverted_join,
     "op8_hd_langid": op8_hd_langid,
