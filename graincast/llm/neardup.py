@@ -4,9 +4,9 @@ Each class of equal shingle sets posts its smallest document under its 64 (coord
 by one class alone are dropped. Two sets that agree in T coordinates share one of the rarest live - T + 1 of
 either (prefix), and a class with fewer than T live coordinates has no partner; long lists are so skipped in
 merging, and collisions are counted on the signatures. Pairs with T collisions or more are confirmed on full
-sets. In a short list every pair is tried. In a long one each member is tried against a chosen centre, again with
-other centres, and at last every pair of members that aren't yet in one component; so no list is multiplied out
-where its members are copies of each other.
+sets. In a short list every pair is tried. In a long one each member is tried against a centre; then the long
+lists whose members aren't one component yet are gone through pair by pair, in blocks, inside tasks that return
+forests of links. No list is multiplied out into rows.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ COORDINATES = 64
 MATCHES = 32
 #: In lists of at most this length every pair is tried at once.
 SHORT = 16
-#: Centres tried in a long list before its remaining pairs.
-CENTRES = 3
+#: Members of a block: a task compares the pairs of two.
+BLOCK = 512
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAW = np.random.default_rng(97)
@@ -164,29 +164,70 @@ def links(docs: DataFrame, signs: DataFrame) -> DataFrame:
     first = short.withColumnRenamed("rep", "a").join(other, "post").filter("a < b").select("a", "b").union(star(long, 0).select("a", "b").filter("a < b")).distinct()
     found = materialize(_verify(first, signs, docs), "links")
     comp = components(found)
-    for nth in range(1, CENTRES + 2):
-        known = comp.withColumnRenamed("node", "rep")
-        placed = long.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = placed.groupBy("post").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("post")
-        open_ = materialize(placed.join(mixed, "post", "left_semi"), "open")
-        if not open_.limit(1).count():
-            break
-        if nth <= CENTRES:
-            pairs = star(open_.select("rep", "post"), nth).select("a", "b")
-        else:
-            # what is left: members outside their list's largest component against all members of others
-            sizes = open_.groupBy("post", "comp").agg(F.count(F.lit(1)).alias("n"))
-            main = sizes.groupBy("post").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-            outside = open_.join(main, "post").filter("comp <> main").select(F.col("rep").alias("p"), "post", F.col("comp").alias("pc"))
-            cross = outside.join(open_, "post").filter(F.col("pc") != F.col("comp"))
-            pairs = cross.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
-        apart = pairs.filter("a < b").distinct()
-        ca, cb = known.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), known.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        apart = apart.join(ca, "a", "left").join(cb, "b", "left").filter(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
-        more = _verify(apart, signs, docs)
-        found = materialize(found.union(more), "links")
-        comp = components(found)
-    return comp
+    known = comp.withColumnRenamed("node", "rep")
+    placed = long.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = placed.groupBy("post").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("post")
+    open_ = materialize(placed.join(mixed, "post", "left_semi"), "open")
+    if not open_.limit(1).count():
+        return comp
+    more = materialize(_blocks(open_, star(open_.select("rep", "post"), 1).filter("a < b").select("a", "b").distinct(), signs, docs), "links")
+    return components(found.union(more))
+
+
+def _blocks(open_: DataFrame, touching: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the members of long lists that aren't one component yet.
+
+    Lists that share members form a cluster. A cluster of n members is cut into n / BLOCK blocks by hash and
+    each pair of blocks is one task: collisions are counted on the signatures' matrix, and pairs of different
+    components with T or more are confirmed, most collisions first, unless links found meanwhile join them.
+    So every pair is looked at once and a task returns a forest, never all pairs.
+    """
+    cluster = components(touching)
+    members = open_.select("rep", "comp").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("comp").alias("cluster")), "rep")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    blocked = members.join(sizes, "cluster").withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    ids = materialize(blocked, "members")
+    sets = materialize(docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+    full = ids.join(signs, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sign", "set")
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links, "a bigint, b bigint")
+
+
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("rep", ignore_index=True)
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    own, reps = pdf["own"].to_numpy(), pdf["rep"].to_numpy()
+    signs = np.stack([np.frombuffer(s, dtype=np.uint32) for s in pdf["sign"]])
+    sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["set"]]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    comp = pdf["comp"].to_numpy()
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    near: list[tuple[int, int, int]] = []
+    for p in left.tolist():
+        rest = right[right > p] if i == j else right
+        hits = (signs[rest] == signs[p]).sum(axis=1)
+        good = (hits >= MATCHES) & (comp[rest] != comp[p])
+        near += [(-int(h), p, int(q)) for h, q in zip(hits[good], rest[good], strict=True)]
+    links: list[tuple[int, int]] = []
+    for _, p, q in sorted(near):
+        x, y = root(int(comp[p])), root(int(comp[q]))
+        if x == y:
+            continue
+        u, v = sets[p], sets[q]
+        if 100 * min(len(u), len(v)) < PERCENT * max(len(u), len(v)):
+            continue
+        both = len(np.intersect1d(u, v, assume_unique=True))
+        if 100 * both >= PERCENT * (len(u) + len(v) - both):
+            parent[max(x, y)] = min(x, y)
+            links.append((min(reps[p], reps[q]), max(reps[p], reps[q])))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
