@@ -27,14 +27,14 @@ def boilerplate(docs: DataFrame, site: str, text: str, max_ratio: float = MAX_RA
     with map-side sums, so neither a hot site nor a hot line meets in one task. A site has at most
     lines per page / max_ratio such lines, which bounds the gathered array.
     """
-    pages = docs.select(F.col(f"`{site}`").alias("__site"), F.col(f"`{text}`").alias("__text"))
-    totals = pages.groupBy("__site").agg(F.count(F.lit(1)).alias("__pages"))
+    pages = docs.select(F.col(f"`{site}`").alias("__graincast_site"), F.col(f"`{text}`").alias("__text"))
+    totals = pages.groupBy("__graincast_site").agg(F.count(F.lit(1)).alias("__pages"))
     hashes = F.expr(f"array_distinct(transform(filter(split(__text, '\\n'), l -> {_trim('l')} <> ''), l -> xxhash64({_trim('l')})))")
-    counts = pages.select("__site", F.explode(hashes).alias("__line")).groupBy("__site", "__line").agg(F.count(F.lit(1)).alias("__on"))
+    counts = pages.select("__graincast_site", F.explode(hashes).alias("__line")).groupBy("__graincast_site", "__line").agg(F.count(F.lit(1)).alias("__on"))
     often = counts.filter(F.col("__on") >= min_pages)
-    both = often.join(totals.withColumnRenamed("__site", "__t_site"), F.col("__site").eqNullSafe(F.col("__t_site")))
+    both = often.join(totals.withColumnRenamed("__graincast_site", "__t_site"), F.col("__graincast_site").eqNullSafe(F.col("__t_site")))
     bad = both.filter(F.col("__on") > F.lit(max_ratio) * F.col("__pages"))
-    return bad.groupBy("__site").agg(F.collect_list("__line").alias("__lines"))
+    return bad.groupBy("__graincast_site").agg(F.collect_list("__line").alias("__graincast_lines"))
 
 
 def _trim(x: str) -> str:
@@ -48,15 +48,15 @@ def drop_site_lines(docs: DataFrame, site: str, text: str = "text", key: str = "
     becomes empty. ``n_lines`` counts lines that are not blank. ``key`` only spreads rows over tasks.
     """
     bad = materialize(boilerplate(docs, site, text, max_ratio, min_pages), "site-lines")
-    wide = docs.withColumn("__site", F.col(f"`{site}`"))
-    joined = join_small(wide, bad, "__site", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
+    wide = docs.withColumn("__graincast_site", F.col(f"`{site}`"))
+    joined = join_small(wide, bad, "__graincast_site", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
     t = f"`{text}`"
     lines = f"filter(split({t}, '\\n'), l -> {_trim('l')} <> '')"
-    keep = f"filter(split({t}, '\\n'), l -> {_trim('l')} = '' or not array_contains(__lines, xxhash64({_trim('l')})))"
-    dropped = f"size(filter({lines}, l -> array_contains(__lines, xxhash64({_trim('l')}))))"
+    keep = f"filter(split({t}, '\\n'), l -> {_trim('l')} = '' or not array_contains(__graincast_lines, xxhash64({_trim('l')})))"
+    dropped = f"size(filter({lines}, l -> array_contains(__graincast_lines, xxhash64({_trim('l')}))))"
     out = joined.withColumn("n_lines", F.expr(f"case when {t} is null then 0 else size({lines}) end"))
-    out = out.withColumn("n_dropped", F.expr(f"case when {t} is null or __lines is null then 0 else {dropped} end"))
-    return out.withColumn(text, F.expr(f"case when n_dropped = 0 then {t} else array_join({keep}, '\\n') end")).drop("__site", "__lines")
+    out = out.withColumn("n_dropped", F.expr(f"case when {t} is null or __graincast_lines is null then 0 else {dropped} end"))
+    return out.withColumn(text, F.expr(f"case when n_dropped = 0 then {t} else array_join({keep}, '\\n') end")).drop("__graincast_site", "__graincast_lines")
 
 
 def op10_site_lines(spark, sf_dir: str) -> DataFrame:
