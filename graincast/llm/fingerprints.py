@@ -92,8 +92,8 @@ def with_next(docs: DataFrame, order: str, text: str, out: str, add: Callable[[C
 
     Rows follow each other by ``order`` (null first), then ``text``; after the last comes the first. No task sees
     more than about ROWS_PER_BUCKET neighbours: ids are cut at quantiles and again in equal steps, the next row
-    is found within a bucket, and a bucket's last row takes the head of the next bucket. Heads are one row a
-    bucket, ranked within a quantile, then one row a quantile. Each text is shuffled once.
+    is found within a bucket, and the head of the next bucket follows a bucket's last row. Heads are one row a
+    bucket, ranked within a quantile, then one row a quantile. Each text is shuffled and given to ``add`` once.
     """
     o = F.coalesce(F.col(order), F.lit(-(1 << 63)))
     stats = docs.select(o.alias("o")).agg(F.count("o").alias("n"), F.percentile_approx("o", [i / CUTS for i in range(CUTS + 1)], 10_000).alias("q")).first()
@@ -116,11 +116,6 @@ def with_next(docs: DataFrame, order: str, text: str, out: str, add: Callable[[C
     at_head = placed(docs.select(order, text)).join(found, F.col("__o") == F.col("__head"), "left_semi")
     heads = materialize(at_head.groupBy(*bucket).agg(F.min(text).alias(f"next_{text}")).withColumn(f"next_{out}", add(F.col(f"next_{text}"))), "heads")
 
-    carry = [text, out]
-    within = Window.partitionBy(*bucket).orderBy("__o", text)
-    leads = [F.lead(c).over(within).alias(f"next_{c}") for c in carry]
-    ranked = placed(docs.withColumn(out, add(F.col(text)))).select("*", *leads, F.lead(F.lit(True), 1, False).over(within).alias("__inside"))
-    inside = ranked.filter("__inside").drop("__o", "__inside", *bucket)
     in_cut = Window.partitionBy("__cut").orderBy("__step")
     keyed = first.select(*bucket, F.lead("__step").over(in_cut).alias("__to_step"), F.row_number().over(in_cut).alias("__nth"))
     starts = keyed.filter("__nth = 1").select(*bucket)  # a row a quantile
@@ -129,9 +124,14 @@ def with_next(docs: DataFrame, order: str, text: str, out: str, add: Callable[[C
     hop = keyed.join(next_cut, "__cut").join(starts.select(F.col("__cut").alias("__next_cut"), F.col("__step").alias("__next_step")), "__next_cut")
     within_cut = F.col("__to_step").isNotNull()
     hop = hop.select(*bucket, F.when(within_cut, F.col("__cut")).otherwise(F.col("__next_cut")).alias("__to_cut"), F.coalesce("__to_step", "__next_step").alias("__to_step"))
-    last = ranked.filter("not __inside").drop(*[f"next_{c}" for c in carry])
-    crossing = last.join(hop, bucket).join(heads.withColumnsRenamed({"__cut": "__to_cut", "__step": "__to_step"}), ["__to_cut", "__to_step"])
-    return inside.unionByName(crossing.select(*inside.columns))
+    follow = heads.select(F.col("__cut").alias("__to_cut"), F.col("__step").alias("__to_step"), F.col(f"next_{text}").alias(text), F.col(f"next_{out}").alias(out))
+    ghosts = hop.join(follow, ["__to_cut", "__to_step"]).select(*bucket, text, out, F.lit(True).alias("__ghost"))
+
+    # the head of the next bucket stands behind a bucket's rows, so one shuffle and one window serve all rows
+    rows = placed(docs.withColumn(out, add(F.col(text)))).withColumn("__ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
+    within = Window.partitionBy(*bucket).orderBy("__ghost", "__o", text)
+    leads = [F.lead(c).over(within).alias(f"next_{c}") for c in (text, out)]
+    return rows.select("*", *leads).filter("not __ghost").drop("__o", "__ghost", *bucket)
 
 
 def op7_oph_fingerprints(spark, sf_dir: str) -> DataFrame:
