@@ -1,27 +1,33 @@
 """PII: detected entities get keyed surrogates of their own type and format.
 
 Numbers go through a keyed Feistel permutation of their digits, addresses through one of their 32 bits: a
-permutation can't give two entities one surrogate. Mail addresses, secrets and names take letters from a keyed
-hash; a check over all distinct entities draws again under another salt until no two share a surrogate and
-none is another entity of the corpus. An entity has the same surrogate wherever it stands, also in other case.
+permutation can't give two entities one surrogate. Mail addresses, secrets and the words of names take letters
+from a keyed hash. Entities that share a surrogate, or whose surrogate stands in the corpus, are drawn again, they
+alone and in rounds, until none is left. An entity has the same surrogate wherever it stands, also in other case.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import let, materialize, table
+from graincast.llm.common import join_small, let, materialize, table
 
 KEY_CONF = "graincast.pii.key"
 DEFAULT_KEY = "set graincast.pii.key in production"
-MOST_SALTS = 16
+#: From this round on numbers and addresses get more digits: their format has no room for all entities.
+FULL = 16
 
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 PHONE = r"(?<![\p{N}+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 SECRET = r"(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])"
 CARD = r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,16})(?!\d)"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
+#: What a phone number starts with that stays, and addresses whose parts are below 256.
+COUNTRY = r"^(\+?\d{1,3}[ .-]?)\("
+FITS = r"^(?:0*(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}$"
 #: Titles that tell a name and its gender. Fixed values.
 MALE = ("Mr.", "Mr", "Herr", "Monsieur", "Señor", "Господин")
 FEMALE = ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа")
@@ -58,56 +64,87 @@ def _digits(value: Column, keyed: str) -> Column:
 
 def _address(value: Column, keyed: str) -> Column:
     part = lambda i: F.split(value, r"\.")[i].cast("long")
-    fits = F.greatest(*[part(i) for i in range(4)]) <= 255
     size = F.lit(1 << 16)
     dotted = lambda h, w: F.concat_ws(".", *[F.shiftright(x, s).bitwiseAND(F.lit(255)).cast("string") for x in (h, w) for s in (8, 0)])
-    return F.when(fits, _feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), size, size, keyed, dotted)).otherwise(_digits(value, keyed))
+    return _feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), size, size, keyed, dotted)
+
+
+def _letters(value: Column, keyed: str, n: int) -> Column:
+    """``n`` syllables (64 at most) in the script of ``value``."""
+    made = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("".join(SYLLABLES["cyrillic"]))).otherwise(F.lit("".join(SYLLABLES["latin"])))
+    digest = F.sha2(F.concat(F.lit(keyed + "/"), value).cast("binary"), 256)
+    at = lambda d, i: F.conv(F.substring(d, i, F.lit(1)), 16, 10).cast("int") * 2 + 1
+    return let(F.struct(digest.alias("d"), made.alias("s")), lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(min(n, 64))), lambda i: F.substring(x["s"], at(x["d"], i), F.lit(2))), ""))
+
+
+def units(entity: Column) -> Column:
+    """What is drawn for an entity, as ``kind:value``: the entity, or the last and the first word of a name without its title."""
+    parts = F.split(entity, " ")
+    given = F.concat(F.when(parts[0].isin(*FEMALE), F.lit("given_f:")).otherwise(F.lit("given_m:")), parts[1])
+    name = F.concat(F.array(F.concat(F.lit("last:"), F.element_at(parts, -1))), F.when(F.size(parts) > 2, F.array(given)).otherwise(F.array().cast("array<string>")))
+    return let(type_of(entity), lambda kind: F.when(kind == "name", name).otherwise(F.array(F.concat(kind, F.lit(":"), entity))))
 
 
-def _letters(value: Column, keyed: str, script: str, n: int) -> Column:
-    h = F.sha2(F.concat(F.lit(keyed + "/"), value).cast("binary"), 256)
-    table_ = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-    return F.concat(*[table_[F.conv(F.substring(h, i + 1, 1), 16, 10).cast("int")] for i in range(n)])
+def _drawn(kind: Column, value: Column, key: str, salt: int) -> Column:
+    """The surrogate of a unit in round ``salt``; each round of letters has more room than the last."""
+    keyed, low = f"{key}/{salt}", F.lower(value)
+    number = lambda n: F.lpad(F.pmod(F.xxhash64(low, F.lit(keyed)), F.lit(10**n)).cast("string"), n, "0")
+    # letters of a mail are Latin: its hash stands for it
+    mail = F.concat(_letters(F.md5(low.cast("binary")), keyed, 12 + salt), F.lit("."), number(2), F.lit("@example.org"))
+    secret = F.substring(F.sha2(F.concat(F.lit(keyed + "/"), low).cast("binary"), 512), F.lit(1), F.length(value))
+    country = F.when(kind == "phone", F.regexp_extract(value, COUNTRY, 1)).otherwise(F.lit(""))
+    digits = let(country, lambda c: F.concat(c, _digits(F.substring(value, F.length(c) + 1, F.length(value)), keyed)))
+    more = F.concat(F.lit("-"), number(min(4 + salt - FULL, 18))) if salt >= FULL else F.lit("")
+    script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    lists = F.create_map(*[x for (sc, g), names in GIVEN.items() for x in (F.lit(f"{sc} given_{g}"), F.array(*map(F.lit, names)))])
+    pick = let(lists[F.concat_ws(" ", script, kind)], lambda names: F.element_at(names, F.pmod(F.xxhash64(low, F.lit(keyed)), F.size(names)).cast("int") + 1))
+    out = F.when(kind == "mail", mail).when(kind == "secret", secret).when(kind.isin("phone", "card"), F.concat(digits, more))
+    out = out.when(kind == "address", F.concat(F.when(value.rlike(FITS), _address(value, keyed)).otherwise(digits), more))
+    return out.when(kind.startswith("given_"), F.concat(pick, _letters(low, keyed, 4 + salt))).otherwise(F.initcap(_letters(low, keyed, 8 + salt)))
 
 
-def _name(value: Column, keyed: str) -> Column:
-    title = F.substring_index(value, " ", 1)
-    female = title.isin(*FEMALE)
-    cyrillic = value.rlike(r" \p{IsCyrillic}")
-    two = F.size(F.split(value, " ")) > 2
+def surrogate(entity: Column, key: str, salt: int = 0, redrawn: Column | None = None) -> Column:
+    """The replacement of an entity: same type and format, under ``key``; ``redrawn`` is a map of units to use instead."""
 
-    def made(script: str) -> Column:
-        pick = lambda g: F.array(*[F.lit(x) for x in GIVEN[script, g]])[F.pmod(F.xxhash64(F.lower(value), F.lit(keyed)), F.lit(len(GIVEN[script, g]))).cast("int")]
-        last = F.initcap(_letters(F.lower(value), keyed, script, 6))
-        return F.concat_ws(" ", title, F.when(two, F.when(female, pick("f")).otherwise(pick("m"))), last)
+    def of(unit: Column) -> Column:
+        value = F.substring(unit, F.locate(":", unit) + 1, F.length(unit))
+        made = let(F.substring_index(unit, ":", 1), lambda kind: let(value, lambda v: _drawn(kind, v, key, salt)))
+        return made if redrawn is None else F.coalesce(F.try_element_at(redrawn, unit), made)
 
-    return F.when(cyrillic, made("cyrillic")).otherwise(made("latin"))
+    name = lambda made: F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(F.reverse(made), " "))
+    return let(units(entity), lambda us: let(F.transform(us, of), lambda made: F.when(F.startswith(us[0], F.lit("last:")), name(made)).otherwise(made[0])))
 
 
-def surrogate(entity: Column, key: str, salt: int = 0) -> Column:
-    """The replacement of an entity: same type and format, under ``key``."""
-    keyed = f"{key}/{salt}"
-    kind, low = type_of(entity), F.lower(entity)
-    mail = F.concat(_letters(low, keyed, "latin", 6), F.lit("."), F.lpad(F.pmod(F.xxhash64(low, F.lit(keyed)), F.lit(100)).cast("string"), 2, "0"), F.lit("@example.org"))
-    secret = F.substring(F.sha2(F.concat(F.lit(keyed + "/"), low).cast("binary"), 512), F.lit(1), F.length(entity))
-    country = F.regexp_extract(entity, r"^(\+?\d{1,3}[ .-]?)\(", 1)
-    phone = F.concat(country, _digits(F.substring(entity, F.length(country) + 1, F.length(entity)), keyed))
-    return F.when(kind == "mail", mail).when(kind == "phone", phone).when(kind == "card", _digits(entity, keyed)).when(kind == "secret", secret).when(kind == "address", _address(entity, keyed)).otherwise(_name(entity, keyed))
+def _same(kind: Column, value: Column) -> Column:
+    """Equal for spellings of one entity: case doesn't count, nor do the signs between the digits of a number."""
+    return F.when(kind.isin("phone", "card"), F.regexp_replace(value, r"[^0-9]", "")).otherwise(F.lower(value))
 
 
-def clear_salt(entities: DataFrame, key: str) -> int:
-    """The first salt under which the distinct ``value`` rows have distinct surrogates, none of them another value.
+def redraw(entities: DataFrame, key: str) -> DataFrame | None:
+    """``unit, made`` for the ``unit`` rows that can't have their first surrogate; None if all can.
 
-    Values that differ in case alone are one entity. Two aggregations over entities; one number returns.
+    Surrogates of different entities are different and none is an entity. In each round all that clash, but one
+    of those that share a surrogate, are drawn again. ``unit`` rows are distinct, in a scratch table; a round is one
+    aggregation and two joins on surrogates, and rounds after the first are over what clashed.
     """
-    known = entities.select(F.lower("value").alias("low"), F.lit(0).alias("own"))
-    for salt in range(MOST_SALTS):
-        made = entities.select(F.lower(surrogate(F.col("value"), key, salt)).alias("low"), F.lower("value").alias("of"))
-        shared = made.groupBy("low").agg(F.countDistinct("of").alias("n")).filter("n > 1").limit(1).count()
-        taken = made.join(known, "low").filter(F.col("low") != F.col("of")).limit(1).count() if not shared else 1
-        if not shared and not taken:
-            return salt
-    raise RuntimeError(f"no salt of {MOST_SALTS} keeps all entities apart")
+    kind, value = F.substring_index("unit", ":", 1), F.expr("substring(unit, locate(':', unit) + 1)")
+    known = entities.select(_same(kind, value).alias("low")).distinct()
+    taken, pending, rounds = known, entities.select("unit"), []
+    for salt in itertools.count():
+        made = pending.select("unit", F.concat(kind, F.lit(":"), _same(kind, value)).alias("of"), let(kind, lambda k: let(value, lambda v: _drawn(k, v, key, salt))).alias("made"))
+        made = made.withColumn("low", _same(kind, F.col("made")))
+        first = made.groupBy("low").agg(F.min("of").alias("first"))
+        judged = made.join(first, "low").join(taken.withColumn("taken", F.lit(True)), "low", "left")
+        judged = materialize(judged.select("unit", "made", "low", ((F.col("of") != F.col("first")) | F.col("taken").isNotNull()).alias("lost")), "surrogates")
+        pending = judged.filter("lost").select("unit")
+        rounds.append(judged.filter("not lost"))
+        if not pending.limit(1).count():
+            break
+        taken = taken.union(rounds[-1].select("low")).distinct()
+    out = None
+    for more in rounds[1:]:
+        out = more.select("unit", "made") if out is None else out.union(more.select("unit", "made"))
+    return out
 
 
 def _is(kind: str):
@@ -123,17 +160,26 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     for title in FEMALE + MALE:
         maybe = maybe | t.contains(title + " ")
     has = F.coalesce(F.when(maybe, t.rlike(ENTITY)), F.lit(False))
-    seen = docs.filter(has).select(F.explode(F.array_distinct(F.regexp_extract_all(t, pattern, F.lit(0)))).alias("value")).distinct()
-    salt = clear_salt(materialize(seen, "entities"), key)
     found = F.when(has, F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("__found", found)
+    held = lambda c: F.array_distinct(F.flatten(F.transform(c, units)))
+    seen = docs.filter(has).select(F.explode(held(F.regexp_extract_all(t, pattern, F.lit(0)))).alias("unit")).distinct()
+    again = redraw(materialize(seen, "entities"), key)
+    out, redrawn = docs.withColumn("__found", found), None
+    if again is not None:  # each text with such an entity gets the map of its own
+        hashed = F.sha2(t.cast("binary"), 256)
+        pairs = docs.filter(has).select(hashed.alias("__text_key"), F.explode(held(F.regexp_extract_all(t, pattern, F.lit(0)))).alias("unit"))
+        # one row a text and unit, so that many copies of a text don't meet in one task
+        own = pairs.join(again, "unit").distinct().groupBy("__text_key").agg(F.map_from_entries(F.collect_list(F.struct("unit", "made"))).alias("__redrawn"))
+        spread = F.col("doc_id") if "doc_id" in docs.columns else F.lit(0)
+        out = join_small(out.withColumn("__text_key", F.when(has, hashed)), materialize(own, "redrawn"), "__text_key", spread)
+        redrawn = F.col("__redrawn")
     kinds = F.transform(F.col("__found"), type_of)
     out = out.withColumn("__kinds", kinds)
     for kind in TYPES:
         out = out.withColumn(f"n_{kind}", F.size(F.filter("__kinds", _is(kind))))
-    made = F.concat(F.transform(F.col("__found"), lambda e: surrogate(e, key, salt)), F.array(F.lit("")))
+    made = F.concat(F.transform(F.col("__found"), lambda e: surrogate(e, key, 0, redrawn)), F.array(F.lit("")))
     pieces = F.zip_with(F.split(t, ENTITY, -1), made, lambda p, s: F.concat(F.coalesce(p, F.lit("")), F.coalesce(s, F.lit(""))))
-    return out.withColumn(text, F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(t)).drop("__found", "__kinds")
+    return out.withColumn(text, F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(t)).drop("__found", "__kinds", "__text_key", "__redrawn")
 
 
 def op6_surrogates(spark, sf_dir: str) -> DataFrame:
