@@ -21,12 +21,23 @@ DEFAULT_KEY = "set graincast.pii.key in production"
 FULL = 16
 
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
-PHONE = r"(?<![\p{N}+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
-SECRET = r"(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])"
+#: With an area code in brackets; 3-3-4 digits with - or . between; with + and country code, in groups or at a stretch.
+PHONE = (
+    r"(?<![\p{L}\p{N}+])(?:(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)"
+    r"|(?<![\d][.-])(?:\+?\d{1,3}[ .-])?\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![.-]?\d)"
+    r"|\+(?=(?:[ .-]?\d){8})\d{1,3}(?:[ .-]\d{2,5}){0,3}[ .-]\d{3,8}(?!\d)|\+\d{8,15}(?!\d))"
+)
+#: Hexadecimal digits in any case, known prefixes, and mixed letters and digits after a key word.
+_KEYED = r"[A-Za-z0-9_+/-]"
+SECRET = (
+    r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}])"
+    r"|(?<=[:=][\"' ]{0,2})(?=" + _KEYED + r"*[A-Za-z])(?=" + _KEYED + r"*\d)(?<=(?i:key|secret|token|password|passwd|pwd)[\"' ]{0,2}[:=][\"' ]{0,2})" + _KEYED + r"{12,128}(?!" + _KEYED + r")"
+)
+HEX = r"^[0-9a-fA-F]+$"
 CARD = r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,16})(?!\d)"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 #: What a phone number starts with that stays, and addresses whose parts are below 256.
-COUNTRY = r"^(\+?\d{1,3}[ .-]?)\("
+COUNTRY = r"^(\+?\d{1,3}[ .-]?(?=\()|\+\d{1,3}[ .-]|\d{1,3}[ .-](?=\d{3}[.-]\d{3}[.-]))"
 FITS = r"^(?:0*(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}$"
 #: Titles that tell a name and its gender. Fixed values.
 MALE = ("Mr.", "Mr", "Herr", "Monsieur", "Señor", "Господин")
@@ -39,8 +50,10 @@ SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ru
 
 
 def type_of(entity: Column) -> Column:
+    """What a found entity is; a secret may be one only by what stands before it."""
     whole = lambda p: entity.rlike(f"^(?:{p})$")
-    return F.when(entity.contains("@"), F.lit("mail")).when(whole(PHONE), F.lit("phone")).when(whole(CARD), F.lit("card")).when(whole(SECRET), F.lit("secret")).when(whole(ADDRESS), F.lit("address")).otherwise(F.lit("name"))
+    named = whole(NAME)
+    return F.when(entity.contains("@"), F.lit("mail")).when(whole(PHONE), F.lit("phone")).when(whole(CARD), F.lit("card")).when(whole(ADDRESS), F.lit("address")).when(named, F.lit("name")).otherwise(F.lit("secret"))
 
 
 def _feistel(high: Column, low: Column, size_high: Column, size_low: Column, keyed: str, then) -> Column:
@@ -91,7 +104,11 @@ def _drawn(kind: Column, value: Column, key: str, salt: int) -> Column:
     number = lambda n: F.lpad(F.pmod(F.xxhash64(low, F.lit(keyed)), F.lit(10**n)).cast("string"), n, "0")
     # letters of a mail are Latin: its hash stands for it
     mail = F.concat(_letters(F.md5(low.cast("binary")), keyed, 12 + salt), F.lit("."), number(2), F.lit("@example.org"))
-    secret = F.substring(F.sha2(F.concat(F.lit(keyed + "/"), low).cast("binary"), 512), F.lit(1), F.length(value))
+    digest = lambda v, n: F.sha2(F.concat(F.lit(f"{keyed}/{n}"), v).cast("binary"), 512)
+    cut = lambda made: F.substring(made, F.lit(1), F.length(value))
+    hexed = F.when(value.rlike("[A-F]"), F.upper(cut(digest(low, "")))).otherwise(cut(digest(low, "")))
+    mixed = F.translate(F.concat(*[F.base64(F.unhex(digest(value, n))) for n in (1, 2)]), "+/=\r\n", "xY")
+    secret = F.when(value.rlike(HEX), hexed).otherwise(cut(mixed))
     country = F.when(kind == "phone", F.regexp_extract(value, COUNTRY, 1)).otherwise(F.lit(""))
     digits = let(country, lambda c: F.concat(c, _digits(F.substring(value, F.length(c) + 1, F.length(value)), keyed)))
     more = F.concat(F.lit("-"), number(min(4 + salt - FULL, 18))) if salt >= FULL else F.lit("")
@@ -117,7 +134,7 @@ def surrogate(entity: Column, key: str, salt: int = 0, redrawn: Column | None =
 
 def _same(kind: Column, value: Column) -> Column:
     """Equal for spellings of one entity: case doesn't count, nor do the signs between the digits of a number."""
-    return F.when(kind.isin("phone", "card"), F.regexp_replace(value, r"[^0-9]", "")).otherwise(F.lower(value))
+    return F.when(kind.isin("phone", "card"), F.regexp_replace(value, r"[^0-9]", "")).when((kind == "secret") & ~value.rlike(HEX), value).otherwise(F.lower(value))
 
 
 def redraw(entities: DataFrame, key: str) -> DataFrame | None:

@@ -183,6 +183,20 @@ def test_surrogates_of_many_entities(spark):
     assert len(made) == len(given) == len(set(made.values())) and not set(made.values()) & set(given.values())
 
 
+def test_surrogate_layouts(spark):
+    secrets = ["9233A8EC" * 4 + "9329B", "9233a8ec" * 4 + "9329b", "AKIA" + "Q7" * 8]
+    phones = ["(555) 123-4567", "555-123-4567", "+1-555-123-4567", "+49 30 1234567", "+4930123456789", "1 (555) 123-4567"]
+    names = ["Ms. Anna Bell", "Frau Anna Bell", "Ms. Bell", "Herr Otto Bell"]
+    plain = ["on 2024-05-06 at 12:30", "pages 100-200 of 3000", "version 1.2.3", "the token is here", "key: value"]
+    texts = [*secrets, *phones, *names, "api_key=q1W2e3R4t5Y6u7", *plain]
+    got = [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert all(a != b and len(a) == len(b) for a, b in zip(texts[:9], got[:9], strict=True))
+    assert got[0].isupper() and got[0].lower() == got[1] and got[13].startswith("api_key=") and got[13] != texts[13] and got[14:] == plain
+    assert all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(phones, got[3:9], strict=True)) and got[3][1:4] == got[4][:3] == got[5][3:6]
+    anna, frau, bell, otto = (x.split()[1:] for x in got[9:13])
+    assert anna == frau and anna[-1:] == bell == otto[-1:] and anna[0] != otto[0] and "Bell" not in " ".join(got)
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as cp
 
