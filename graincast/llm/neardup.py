@@ -1,36 +1,41 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Each class of equal shingle sets posts its smallest document under its 64 (coordinate, value) pairs. Values held
-by one class alone are dropped. Two sets that agree in T coordinates share one of the rarest live - T + 1 of
-either (prefix), and a class with fewer than T live coordinates has no partner; long lists are so skipped in
-merging, and collisions are counted on the signatures. Pairs with T collisions or more are confirmed on full
-sets. In a short list every pair is tried. In a long one each member is tried against a centre; then the long
-lists whose members aren't one component yet are gone through pair by pair, in blocks, inside tasks that return
-forests of links. No list is multiplied out into rows.
+Equal shingle sets are one class. A class posts itself under its 64 (coordinate, value) pairs; values held by one
+class alone are dropped, so what is left of a signature are its live posts, and two classes collide exactly in the
+live posts they share. Two that collide T times share one of the rarest live - T + 1 of either (prefix), and a class
+with fewer than T live posts has no partner, so long lists are skipped in merging. In a short list every pair is
+tried, in a long one each member with a few centres; collisions are counted on the whole live posts and pairs with
+T or more of fitting sizes are confirmed on full sets. Then the long lists that aren't one component yet are gone
+through in tasks of two blocks, cut by set size so that only sizes that can reach the likeness meet. Confirming
+tasks get each text once and return forests of links; no list is multiplied out into rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import materialize, table
+from graincast.llm.common import BROADCAST_BYTES, materialize, table, value_bytes
 
 SHINGLE = 5
 PERCENT = 75
 COORDINATES = 64
-#: A pair of likeness 0.75 agrees in 48 of 64 coordinates on average (deviation 3.5); it misses 32 twice in a million.
+#: A pair of likeness 0.75 agrees in 48 of 64 coordinates on average (deviation 3.5); it misses 32 in 4.6 of a million cases.
 MATCHES = 32
 #: In lists of at most this length every pair is tried at once.
 SHORT = 16
-#: Members of a block: a task compares the pairs of two.
+#: Members of a longer list that the others are tried with first.
+CENTRES = 3
+#: A task's block has about so many members and shingles at most (one longer text is a block's all the same).
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAW = np.random.default_rng(97)
@@ -66,60 +71,51 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def _key(hashes: np.ndarray) -> bytes:
+    return hashlib.md5(hashes.tobytes()).digest()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, keys, signs = [], [], []
         for text in batch["text"].to_pylist():
             s = shingles(text)
             sizes.append(len(s))
-            keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-            signs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "key", "sign"])
-
-
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place = np.arange(COORDINATES, dtype=np.int64) << 32
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            if not part.num_rows:
-                continue
-            signs = np.stack([np.frombuffer(s, dtype=np.uint32) for s in part["sign"].to_pylist()]).astype(np.int64)
-            reps = np.repeat(np.asarray(part["rep"]), COORDINATES)
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array((signs + place).ravel())], ["rep", "post"])
+            keys.append(_key(s) if len(s) else None)
+            signs.append(signature(s).view(np.int32) if len(s) else None)
+        made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *made], ["doc_id", "text_hash", "n_shingles", "key", "sign"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch["sign_a"].to_pylist(), batch["sign_b"].to_pylist()
-        hits = [bool((np.frombuffer(x, dtype=np.uint32) == np.frombuffer(y, dtype=np.uint32)).sum() >= MATCHES) for x, y in zip(a, b, strict=True)]
-        keep = pa.array(hits, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+def classes_of(signed: DataFrame) -> DataFrame:
+    """A row for each different set: ``node`` (its number), ``key``, its smallest ``doc_id``, ``text_hash``, ``n``, ``sign``.
 
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([shingles(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["id", "set"])
+    A class is numbered by its smallest id; where ids are null or repeated, so that two classes have the same, by a hash of its key.
+    """
+    has = signed.filter(F.col("key").isNotNull())
+    one = has.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("text_hash"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
+    one = materialize(one, "classes")
+    shared = one.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("shared")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("shared")
+    shared = materialize(shared, "shared")
+    if not shared.limit(1).count():
+        return one.withColumn("node", F.coalesce("doc_id", F.xxhash64("key")))
+    numbered = one.join(shared, one.doc_id == shared.shared, "left")
+    plain = F.col("doc_id").isNotNull() & F.col("shared").isNull()
+    return materialize(numbered.withColumn("node", F.when(plain, F.col("doc_id")).otherwise(F.xxhash64("key"))).drop("shared"), "numbered")
+
+
+def live_posts(classes: DataFrame) -> DataFrame:
+    """``node, n, posts``: the live posts, rarest first, of each class that has T or more."""
+    place = F.shiftleft(F.col("pos").cast("long"), 32)
+    posts = classes.select("node", F.posexplode("sign").alias("pos", "value")).select("node", place.bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("post"))
+    often = posts.groupBy("post").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    live = posts.join(often, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "post"))).alias("by"))  # 64 a class at most
+    live = live.filter(F.size("by") >= MATCHES).select("node", F.col("by.post").alias("posts"))
+    return live.join(classes.select("node", "n"), "node").select("node", "n", "posts")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
-
-
-def prefix_posts(reps: DataFrame) -> DataFrame:
-    """``rep, post``: the rarest live - T + 1 coordinates of each class that has T live ones."""
-    posts = reps.mapInArrow(_post, "rep bigint, post bigint")
-    often = posts.groupBy("post").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    live = posts.join(often, "post").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "post"))).alias("by"))  # 64 a class at most
-    live = live.filter(F.size("by") >= MATCHES)
-    return live.select("rep", F.explode(F.expr(f"slice(by, 1, size(by) - {MATCHES - 1})")["post"]).alias("post"))
+def prefix(posts: Column) -> Column:
+    return F.slice(posts, F.lit(1), F.size(posts) - (MATCHES - 1))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -138,114 +134,202 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
-def _verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that have T collisions and, on full sets, the likeness."""
-    signed = pairs.join(signs.select(F.col("rep").alias("a"), F.col("sign").alias("sign_a")), "a").join(signs.select(F.col("rep").alias("b"), F.col("sign").alias("sign_b")), "b")
-    close = materialize(signed.select("a", "b", "sign_a", "sign_b").mapInArrow(_count, "a bigint, b bigint"), "close")
-    wanted = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(docs.join(wanted, docs.doc_id == wanted.id, "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
-    full = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a bigint, b bigint")
+def _fits(a: Column, b: Column) -> Column:
+    """Sizes that a likeness of PERCENT allows."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+
+
+def close_pairs(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """``a, b, hits`` of the pairs with fitting sizes and T collisions or more."""
+    one, other = (live.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("posts").alias(f"posts_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(other, "b").filter(_fits(F.col("n_a"), F.col("n_b")))
+    return both.select("a", "b", F.size(F.array_intersect("posts_a", "posts_b")).alias("hits")).filter(F.col("hits") >= MATCHES)
+
+
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (node, ...) with ``key`` and ``text``; a wanted row may come with equal texts of other keys, which tasks leave out."""
+    places = wanted.join(classes.select("node", "key", "doc_id", "text_hash"), "node")
+    ids = materialize(places.select("text_hash").distinct(), "wanted")
+    some = docs.join(F.broadcast(ids) if value_bytes(ids) <= BROADCAST_BYTES else ids, "text_hash", "left_semi")
+    return some.join(places, (some.text_hash == places.text_hash) & some.doc_id.eqNullSafe(places.doc_id)).select(*wanted.columns, "key", "text")
+
+
+def _blocks(n: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _part(node: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(node), parts).cast("int")
+
+
+class Forest:
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    def joined(self, x: int, y: int) -> bool:
+        return self.root(x) == self.root(y)
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+
+
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    if 100 * min(len(p), len(q)) < PERCENT * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
+
+
+def _sets(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
+    out: dict[int, np.ndarray] = {}
+    for node, key, text in zip(pdf["node"].tolist(), pdf["key"], pdf["text"], strict=True):
+        if node not in out:
+            s = shingles(text)
+            if _key(s) == key:
+                out[node] = s
+    return out
 
 
-def links(docs: DataFrame, signs: DataFrame) -> DataFrame:
-    """``node, comp`` for the class representatives ``signs`` (rep, sign) that have a partner; texts come from ``docs``."""
-    posts = materialize(prefix_posts(signs), "posts")
+def _confirm(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    sets, forest, links = _sets(members), Forest(), []
+    for a, b in pairs.sort_values(["hits", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
+        if not forest.joined(a, b) and alike(sets[a], sets[b]):
+            forest.join(a, b)
+            links.append((a, b))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def confirmed(close: DataFrame, live: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that join what the ``close`` pairs (a, b, hits) of the likeness join.
+
+    Tasks hold connected groups of pairs, so a text travels once: small groups are dealt to bins of a block's size,
+    a large group is cut by the blocks of its pairs' ends.
+    """
+    group = components(close)
+    sizes = group.join(live.select("node", "n"), "node").groupBy("comp").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles"))
+    sizes = materialize(sizes.withColumn("parts", _blocks(F.col("held"), F.col("shingles"))), "groups")
+    bins = sizes.filter("parts = 1").agg(_blocks(F.sum("held"), F.sum("shingles"))).first()[0] or 1
+    dealt = close.join(group.select(F.col("node").alias("a"), "comp"), "a").join(sizes, "comp")
+    i, j = _part(F.col("a"), F.col("parts")), _part(F.col("b"), F.col("parts"))
+    large = F.when(F.col("parts") > 1, F.col("comp")).alias("large")
+    turn = F.when(F.col("parts") > 1, F.lit(0)).otherwise(_part(F.col("comp"), F.lit(bins))).alias("bin")
+    dealt = materialize(dealt.select(large, turn, F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b", "hits"), "close-dealt")
+    task = ("large", "bin", "i", "j")
+    ends = dealt.select(*[F.col(c).alias(c) for c in task], F.explode(F.array("a", "b")).alias("node")).distinct()
+    return _texts(ends, classes, docs).groupBy(*task).cogroup(dealt.groupBy(*task)).applyInPandas(_confirm, "a bigint, b bigint")
+
+
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: links between class numbers that make the components of near-duplicates."""
+    live = materialize(live_posts(classes), "live")
+    posts = materialize(live.select("node", F.explode(prefix(F.col("posts"))).alias("post")), "posts")
     lists = materialize(posts.groupBy("post").agg(F.count(F.lit(1)).alias("len")).filter("len > 1"), "lists")
-    short = posts.join(lists.filter(F.col("len") <= SHORT), "post").select("rep", "post")
-    long = materialize(posts.join(lists.filter(F.col("len") > SHORT), "post").select("rep", "post"), "long")
-
-    def star(members: DataFrame, nth: int) -> DataFrame:
-        turn = F.xxhash64("rep", F.lit(nth))
-        centre = members.groupBy("post").agg(F.min(F.struct(turn.alias("turn"), "rep"))["rep"].alias("centre"))
-        return members.join(centre, "post").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), *(["comp"] if "comp" in members.columns else []))
-
-    other = short.withColumnRenamed("rep", "b")
-    first = short.withColumnRenamed("rep", "a").join(other, "post").filter("a < b").select("a", "b").union(star(long, 0).select("a", "b").filter("a < b")).distinct()
-    found = materialize(_verify(first, signs, docs), "links")
-    comp = components(found)
-    known = comp.withColumnRenamed("node", "rep")
-    placed = long.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    short = posts.join(lists.filter(F.col("len") <= SHORT), "post").select("node", "post")
+    long = materialize(posts.join(lists.filter(F.col("len") > SHORT), "post").select("node", "post"), "long")
+    other = short.withColumnRenamed("node", "b")
+    tried = short.withColumnRenamed("node", "a").join(other, "post").filter("a < b").select("a", "b").union(stars(long, CENTRES)).distinct()
+    close = materialize(close_pairs(tried, live), "close")
+    found = materialize(confirmed(close, live, classes, docs), "links")
+    placed = long.join(components(found), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("post").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("post")
     open_ = materialize(placed.join(mixed, "post", "left_semi"), "open")
     if not open_.limit(1).count():
-        return comp
-    more = materialize(_blocks(open_, star(open_.select("rep", "post"), 1).filter("a < b").select("a", "b").distinct(), signs, docs), "links")
-    return components(found.union(more))
+        return found
+    return found.union(materialize(_open_links(open_, live, classes, docs), "links"))
+
 
+def stars(members: DataFrame, centres: int) -> DataFrame:
+    """``a, b``: each member of a list with the list's members of least hash, one for each of ``centres`` seeds."""
+    picked = [F.min(F.struct(F.xxhash64("node", F.lit(nth)).alias("turn"), "node"))["node"].alias(f"c{nth}") for nth in range(centres)]
+    found = members.groupBy("post").agg(*picked).select("post", F.explode(F.array_distinct(F.array(*[f"c{nth}" for nth in range(centres)]))).alias("centre"))
+    return members.join(found, "post").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
-def _blocks(open_: DataFrame, touching: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+
+def _open_links(open_: DataFrame, live: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between the members of long lists that aren't one component yet.
 
-    Lists that share members form a cluster. A cluster of n members is cut into n / BLOCK blocks by hash and
-    each pair of blocks is one task: collisions are counted on the signatures' matrix, and pairs of different
-    components with T or more are confirmed, most collisions first, unless links found meanwhile join them.
-    So every pair is looked at once and a task returns a forest, never all pairs.
+    Lists that share members form a cluster. Its members are cut into size classes, each 4/3 times the last, and
+    those by hash into blocks. Two members of the likeness are in one size class or in neighbours, so
+    only such blocks meet, two in a task: collisions are counted for all, and pairs of different components with T
+    or more are confirmed, most collisions first, unless links found meanwhile join them.
     """
-    cluster = components(touching)
-    members = open_.select("rep", "comp").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("comp").alias("cluster")), "rep")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    blocked = members.join(sizes, "cluster").withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")))
-    ids = materialize(blocked, "members")
-    sets = materialize(docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"]), "sets")
-    full = ids.join(signs, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sign", "set")
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links, "a bigint, b bigint")
+    cluster = components(stars(open_.select("node", "post"), 1))
+    members = open_.select("node", "comp").distinct().join(cluster.select("node", F.col("comp").alias("cluster")), "node").join(live, "node")
+    members = materialize(members.withColumn("size", F.floor(F.ln("n") / math.log(100 / PERCENT) + 1e-9).cast("int")), "members")
+    sizes = materialize(members.groupBy("cluster", "size").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("parts")), "sizes")
+    near = lambda by, name: sizes.select("cluster", (F.col("size") + by).alias("size"), F.col("parts").alias(name))
+    known = sizes.join(near(-1, "above"), ["cluster", "size"], "left").join(near(1, "below"), ["cluster", "size"], "left")
+    placed = members.join(known, ["cluster", "size"]).withColumn("own", _part(F.col("node"), F.col("parts")))
+    of = lambda parts: F.when(parts.isNotNull(), F.sequence(F.lit(0), parts - 1)).otherwise(F.array().cast("array<int>"))
+    task = lambda size, i, size2, j: F.struct(size.alias("size"), i.alias("i"), size2.alias("size2"), j.alias("j"))
+    s, own = F.col("size"), F.col("own")
+    within = F.transform(of(F.col("parts")), lambda q: task(s, F.least(own, q), s, F.greatest(own, q)))
+    above = F.transform(of(F.col("above")), lambda q: task(s, own, s + 1, q))
+    below = F.transform(of(F.col("below")), lambda q: task(s - 1, q, s, own))
+    dealt = placed.select("cluster", "node", "comp", "posts", F.struct("size", "own").alias("at"), F.explode(F.concat(within, above, below)).alias("task"))
+    dealt = dealt.select("cluster", "task.*", F.col("at.size").alias("at_size"), F.col("at.own").alias("at"), "node", "comp", "posts")
+    return _texts(dealt, classes, docs).groupBy("cluster", "size", "i", "size2", "j").applyInPandas(_block_links, "a bigint, b bigint")
+
+
+def _dense(posts: pd.Series) -> np.ndarray:
+    """Live posts by coordinate; where a class has none, a number that no other class has there."""
+    out = -1 - np.arange(len(posts), dtype=np.int64)[:, None].repeat(COORDINATES, axis=1)
+    for row, p in enumerate(posts):
+        p = np.asarray(p, dtype=np.int64)
+        out[row, p >> 32] = p & 0xFFFFFFFF
+    return out
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep", ignore_index=True)
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    own, reps = pdf["own"].to_numpy(), pdf["rep"].to_numpy()
-    signs = np.stack([np.frombuffer(s, dtype=np.uint32) for s in pdf["sign"]])
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["set"]]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    comp = pdf["comp"].to_numpy()
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    near: list[tuple[int, int, int]] = []
-    for p in left.tolist():
-        rest = right[right > p] if i == j else right
-        hits = (signs[rest] == signs[p]).sum(axis=1)
-        good = (hits >= MATCHES) & (comp[rest] != comp[p])
-        near += [(-int(h), p, int(q)) for h, q in zip(hits[good], rest[good], strict=True)]
-    links: list[tuple[int, int]] = []
-    for _, p, q in sorted(near):
-        x, y = root(int(comp[p])), root(int(comp[q]))
-        if x == y:
-            continue
-        u, v = sets[p], sets[q]
-        if 100 * min(len(u), len(v)) < PERCENT * max(len(u), len(v)):
-            continue
-        both = len(np.intersect1d(u, v, assume_unique=True))
-        if 100 * both >= PERCENT * (len(u) + len(v) - both):
-            parent[max(x, y)] = min(x, y)
-            links.append((min(reps[p], reps[q]), max(reps[p], reps[q])))
+    if pdf["comp"].nunique() < 2:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    first = pdf.iloc[0]
+    sets = _sets(pdf)
+    pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+    left = np.flatnonzero((pdf["at_size"] == first["size"]) & (pdf["at"] == first["i"]))
+    right = np.flatnonzero((pdf["at_size"] == first["size2"]) & (pdf["at"] == first["j"]))
+    dense, nodes, comp = _dense(pdf["posts"]), pdf["node"].tolist(), pdf["comp"].to_numpy()
+    hits = np.zeros((len(left), len(right)), dtype=np.uint8)
+    for c in range(COORDINATES):
+        hits += dense[left, c][:, None] == dense[right, c][None, :]
+    hits[(comp[left][:, None] == comp[right][None, :])] = 0
+    p, q = np.nonzero(hits >= MATCHES)
+    order = np.argsort(-hits[p, q].astype(np.int16), kind="stable")
+    forest, links = Forest(), []
+    for x, y in zip(left[p[order]].tolist(), right[q[order]].tolist(), strict=True):
+        at, to = int(comp[x]), int(comp[y])
+        if not forest.joined(at, to) and alike(sets[nodes[x]], sets[nodes[y]]):
+            forest.join(at, to)
+            links.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of ``doc_id, text``.
+    """``doc_id, n_shingles, component_id, kept`` of ``doc_id, text``, a row for each row.
 
-    Null texts and texts without words have 0 shingles and are alone; equal sets are one class, whose smallest
-    doc_id stands for all. Ids should be unique: rows of one id get one row each by their own texts. A null id
-    is alone under a null component.
+    Null texts and texts without words have 0 shingles and are alone. Rows are documents, also where ids are
+    repeated or null: each is linked by its own text, and a component's id is its smallest id that isn't null. A row
+    of null id is kept only if its whole component has none; all rows of the component's id are kept.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(given.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, key binary, sign binary"), "signed")
-    classes = materialize(signed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    signs = signed.join(classes, (signed.doc_id == classes.rep) & (signed.key == classes.key)).select("rep", "sign").dropDuplicates(["rep"])
-    comp = links(given, materialize(signs, "signs"))
-    by_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    signed = materialize(given.mapInArrow(_sign, "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, sign array<int>"), "signed")
+    classes = classes_of(signed)
+    comp = components(links(given, classes))
+    linked = classes.select("node", "key", "doc_id").join(comp, "node")
+    low = linked.groupBy("comp").agg(F.min("doc_id").alias("low"))
+    by_class = classes.select("key", "doc_id").join(linked.join(low, "comp").select("key", "low"), "key", "left")
+    by_class = by_class.select("key", F.coalesce("low", "doc_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "key").join(by_class, "key", "left")
-    out = out.withColumn("component_id", F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    out = out.withColumn("component_id", component)
+    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
 
 
 def op4_minhash_inverted_join(spark, sf_dir: str) -> DataFrame:
