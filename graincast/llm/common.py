@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW = ("__graincast_file", "__graincast_row")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with ROW, two numbers that tell its rows apart and are the same in every run over its files.
+
+    They are the file's hash and the row's place in it; what isn't a plain scan of Parquet files is written first.
+    """
+    names = df.columns
+    place = (F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+    try:
+        return df.select(*[F.col(f"`{n}`") for n in names], *place)
+    except AnalysisException:
+        return numbered(materialize(df, "numbered"))
+
+
 def value_bytes(df: DataFrame) -> int:
     """Bytes of all values in ``df``, from one aggregation."""
 
@@ -60,7 +77,7 @@ def value_bytes(df: DataFrame) -> int:
 
 
 def join_small(big: DataFrame, small: DataFrame, key: str, spread: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``big`` left join ``small`` (one row a key, nulls equal) on the column ``key`` that both have.
+    """``big`` left join ``small`` (nulls equal) on the column ``key`` that both have.
 
     ``small`` should be a scratch table. It is broadcast if its values fit in ``limit`` bytes. If they
     don't, both sides are shuffled with a salt: ``spread`` deals the rows of one key of ``big`` over SALTS

@@ -9,7 +9,7 @@ doesn't decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,10 @@ DIM = 512
 TRAIN_ROWS = 3000
 SEED = 20_011
 UNKNOWN = "und"
+#: Unrelated vectors have cosines of deviation 1 / sqrt(DIM); a learnt language lies this many deviations off ...
+NOISE = 3.4
+#: ... in texts of this many trigrams.
+SURE_GRAMS = 40
 
 _LETTERS = None
 
@@ -71,15 +75,15 @@ class Vectors:
             self.rows[i] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
         return i
 
-    def bundle(self, text: str) -> np.ndarray:
-        """The text's vector, length 1 (or 0 without trigrams)."""
+    def bundle(self, text: str) -> tuple[np.ndarray, int]:
+        """The text's vector, length 1 (or 0 without trigrams), and the number of its trigrams."""
         codes = _codes(text).astype(np.uint64)
         grams, counts = np.unique(codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:], return_counts=True)
         if len(self.at) + len(grams) > self.most:  # bounds memory whatever the scripts
             self.clear()
         rows = [self.row(g) for g in grams.tolist()]
         v = counts.astype(np.float32) @ self.rows[rows] if rows else np.zeros(self.dim, dtype=np.float32)
-        return v / max(float(np.linalg.norm(v)), 1e-12)
+        return v / max(float(np.linalg.norm(v)), 1e-12), int(counts.sum())
 
 
 def _sums(dim: int, seed: int):
@@ -87,7 +91,7 @@ def _sums(dim: int, seed: int):
         vectors, sums = Vectors(dim, seed), {}
         for batch in batches:
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                sums[lang] = sums.get(lang, 0) + vectors.bundle(text).astype(np.float64)
+                sums[lang] = sums.get(lang, 0) + vectors.bundle(text)[0].astype(np.float64)
         rows = [(lang, i, float(x)) for lang, v in sums.items() for i, x in enumerate(v)]
         if rows:
             lang, at, x = zip(*rows, strict=True)
@@ -117,7 +121,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", rows: int = TRAIN_ROWS, dim:
     return dict(sorted(found.items()))
 
 
-def _predict(prototypes: dict[str, list[float]], dim: int, seed: int):
+def _predict(prototypes: dict[str, list[float]], dim: int, seed: int, text_column: str, made: Sequence[str]):
     langs = list(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,34 +132,37 @@ def _predict(prototypes: dict[str, list[float]], dim: int, seed: int):
         q = p - mean
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            best, scores = [], []
-            for text in texts:
+            best, scores, known = [], [], []
+            for text in batch[text_column].to_pylist():
                 if not langs or not has_letter(text):
                     best.append(UNKNOWN)
                     scores.append(0.0)
+                    known.append(False)
                     continue
-                v = vectors.bundle(text).astype(np.float64) - mean
+                whole, grams = vectors.bundle(text)
+                v = whole.astype(np.float64) - mean
                 near = q @ (v / max(float(np.linalg.norm(v)), 1e-12))
                 i = int(np.argmax(near))  # ties: the first by name
                 best.append(langs[i])
                 scores.append(float(min(1.0, max(0.0, near[i]))))
-            rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-            names = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(best, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                known.append(bool((p @ whole).max() >= NOISE / np.sqrt(dim) * min(1.0, grams / SURE_GRAMS)))
+            names = [name for name in batch.schema.names if name != text_column]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], [*names, *made])
 
     return run
 
 
-def predict(docs: DataFrame, prototypes: dict[str, list[float]], dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``text`` exchanged for ``lang_pred`` and ``score``; the whole text is read, nothing else is.
+def predict(docs: DataFrame, prototypes: dict[str, list[float]], dim: int = DIM, seed: int = SEED, text: str = "text", made: Sequence[str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """``docs`` with ``text`` exchanged for the columns ``made``: language, score, and whether it is like a learnt language at all.
 
-    Null texts, texts without a letter and all texts if nothing was learnt get ``und`` and 0. Texts too
-    short for a trigram of letters are compared by the trigrams they have with the blanks around them.
+    The whole text is read, nothing else is. Null texts, texts without a letter and all texts if nothing was
+    learnt get ``und``, 0 and false. Texts too short for a trigram of letters are compared by the trigrams they
+    have with the blanks around them. A text is like no learnt language if its best cosine, before the mean is taken out, is below
+    NOISE deviations of what unrelated vectors have by chance; below SURE_GRAMS trigrams that bound falls in proportion.
     """
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return docs.mapInArrow(_predict(prototypes, dim, seed), schema)
+    kept = [f for f in docs.schema.fields if f.name != text]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{n}` {t}" for n, t in zip(made, ("string", "double", "boolean"), strict=True))])
+    return docs.mapInArrow(_predict(prototypes, dim, seed, text, list(made)), schema)
 
 
 def held_out(key: Column) -> Column:

@@ -12,8 +12,7 @@ from graincast.llm.common import join_small, materialize, n_words, table, unit_h
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Seeds tried for each source; the one whose expected copies land nearest the target is used.
-SEEDS = 8
+SEED = "mix"
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -44,33 +43,27 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return leveled.select("source", F.col("size").alias("source_size"), "weight", target.alias("target"))
 
 
-def mix(sized: DataFrame, key: str, source: str = "source", size: str = "size", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seeds: int = SEEDS) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``copies`` to rows that have ``key``, ``source`` and ``size``.
+def mix(docs: DataFrame, sized: DataFrame, key: str, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """Add ``__graincast_copies``, ``__graincast_source_size`` and ``__graincast_target`` to ``docs``, which have ``source`` and ``key``.
 
     copies = floor(rate) + 1 if u < rate - floor(rate), where rate = target / source_size and u is a hash of
-    (seed, key). Of ``seeds`` seeds each source uses the one whose words come nearest its target, found in one
-    aggregation of a row a source. ``sized`` is read three times, so give a scratch table without texts.
-    Sources without words get rate 0.
+    (seed, key). Sizes come from ``sized`` (source, size), rows without texts, in one aggregation; the rates, a row a
+    source, are joined to ``docs`` without a shuffle unless there are too many sources. Sources without words get rate 0.
     """
-    names = {"source": source, "size": size}
-    sums = sized.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("size"))
-    goal = materialize(targets(sums, weights, share, most), "mix-targets")
+    sums = sized.groupBy("source").agg(F.sum("size").alias("size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = goal.withColumn("__rate", rate).withColumnRenamed("source", "__source")
-    keyed = sized.withColumn("__source", F.col(names["source"]))
-    rated = join_small(keyed, rates, "__source", F.col(key))
-    draw = lambda seed: (F.floor("__rate") + (unit_hash(seed, F.coalesce(F.col(key).cast("string"), F.lit(""))) < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
-    tried = [F.sum(draw(F.lit(str(s))) * F.col(names["size"])).alias(f"__t{s}") for s in range(seeds)]
-    sums_by_seed = rated.groupBy("__source").agg(F.first("target").alias("__goal"), *tried)
-    off = [F.struct(F.abs(F.col(f"__t{s}") - F.col("__goal")).alias("off"), F.lit(s).alias("seed")) for s in range(seeds)]
-    chosen = materialize(sums_by_seed.select("__source", F.array_min(F.array(*off))["seed"].cast("string").alias("__seed")), "mix-seeds")
-    seeded = join_small(rated, chosen, "__source", F.col(key))
-    return seeded.withColumn("copies", F.coalesce(draw(F.col("__seed")), F.lit(0))).drop("__source", "__rate", "__seed", "weight")
+    rates = targets(sums, weights, share, most).select(F.col("source").alias("__graincast_source"), F.col("source_size").alias("__graincast_source_size"), F.col("target").alias("__graincast_target"), rate.alias("__graincast_rate"))
+    text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+    rated = join_small(docs.withColumn("__graincast_source", F.col("source")), materialize(rates, "mix-rates"), "__graincast_source", text)
+    whole = F.floor("__graincast_rate")
+    copies = (whole + (unit_hash(F.lit(seed), text) < F.col("__graincast_rate") - whole).cast("int")).cast("int")
+    return rated.withColumn("__graincast_copies", F.coalesce(copies, F.lit(0))).drop("__graincast_source", "__graincast_rate")
 
 
-def emit(docs: DataFrame) -> DataFrame:
-    """Each row ``copies`` times."""
-    return docs.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__copy", "copies")
+def emit(mixed: DataFrame) -> DataFrame:
+    """Each row as often as its copies say, without the columns of ``mix``."""
+    turns = F.explode(F.sequence(F.lit(1), F.col("__graincast_copies")))
+    return mixed.filter("__graincast_copies > 0").withColumn("__graincast_copy", turns).drop("__graincast_copy", "__graincast_copies", "__graincast_source_size", "__graincast_target")
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -81,12 +74,11 @@ def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    mixed = mix(sized, "doc_id")
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "source")
+    copies = F.col("__graincast_copies")
+    return mix(sized, sized, "doc_id").select("doc_id", "size", F.col("__graincast_source_size").alias("source_size"), F.col("__graincast_target").alias("target"), (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "source")
 
 
-def _u(seed: str) -> str:
-    return unit_hash_sql(f"{seed} || '#' || coalesce(doc_id::VARCHAR, '')")
+_U = unit_hash_sql(f"'{SEED}#' || coalesce(doc_id::VARCHAR, '')")
 
 
 OP5_SQL = f"""
@@ -102,14 +94,9 @@ ranked AS (
 goals AS (
   SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM watered
 ), rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM goals),
-rated AS (SELECT d.*, r.source_size, r.target, r.rate FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
-tried AS (
-  SELECT source, s.seed, abs(sum((floor(rate) + ({_u("s.seed::VARCHAR")} < rate - floor(rate))::INT) * size) - any_value(target)) AS away
-  FROM rated CROSS JOIN range({SEEDS}) AS s(seed) GROUP BY source, s.seed
-), chosen AS (SELECT source, arg_min(seed, (away, seed)) AS seed FROM tried GROUP BY source),
 drawn AS (
-  SELECT doc_id, size, source_size, target, (floor(rate) + ({_u("c.seed::VARCHAR")} < rate - floor(rate))::INT)::INTEGER AS copies, r.source
-  FROM rated r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source
+  SELECT doc_id, size, source_size, target, (floor(rate) + ({_U} < rate - floor(rate))::INT)::INTEGER AS copies, d.source
+  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
 )
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, source FROM drawn
 """

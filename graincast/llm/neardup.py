@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import BROADCAST_BYTES, materialize, table, value_bytes
+from graincast.llm.common import BROADCAST_BYTES, join_small, materialize, table, value_bytes
 
 SHINGLE = 5
 PERCENT = 75
@@ -83,25 +83,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(s))
             keys.append(_key(s) if len(s) else None)
             signs.append(signature(s).view(np.int32) if len(s) else None)
+        rest = [n for n in batch.schema.names if n != "text"]
         made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *made], ["doc_id", "text_hash", "n_shingles", "key", "sign"])
+        yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), *made], [*rest, "n_shingles", "key", "sign"])
 
 
-def classes_of(signed: DataFrame) -> DataFrame:
-    """A row for each different set: ``node`` (its number), ``key``, its smallest ``doc_id``, ``text_hash``, ``n``, ``sign``.
+def classes_of(signed: DataFrame, row: Sequence[str] = ()) -> DataFrame:
+    """A row for each different set: ``node`` (its number), ``key``, ``n``, ``sign``, and ``least``, its first row: null ids last, then by ``doc_id``, ``row`` and ``text_hash``.
 
     A class is numbered by its smallest id; where ids are null or repeated, so that two classes have the same, by a hash of its key.
     """
-    has = signed.filter(F.col("key").isNotNull())
-    one = has.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("text_hash"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
-    one = materialize(one, "classes")
-    shared = one.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("shared")).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("shared")
-    shared = materialize(shared, "shared")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *row, "text_hash")).alias("least")
+    found = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(least, F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
+    found = materialize(found, "classes")
+    named = found.filter(~F.col("least.unnamed")).select(F.col("least.doc_id").alias("shared"))
+    shared = materialize(named.groupBy("shared").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("shared"), "shared")
     if not shared.limit(1).count():
-        return one.withColumn("node", F.coalesce("doc_id", F.xxhash64("key")))
-    numbered = one.join(shared, one.doc_id == shared.shared, "left")
-    plain = F.col("doc_id").isNotNull() & F.col("shared").isNull()
-    return materialize(numbered.withColumn("node", F.when(plain, F.col("doc_id")).otherwise(F.xxhash64("key"))).drop("shared"), "numbered")
+        return found.withColumn("node", F.coalesce("least.doc_id", F.xxhash64("key")))
+    both = found.join(shared, F.col("least.doc_id") == F.col("shared"), "left")
+    plain = ~F.col("least.unnamed") & F.col("shared").isNull()
+    return materialize(both.withColumn("node", F.when(plain, F.col("least.doc_id")).otherwise(F.xxhash64("key"))).drop("shared"), "numbered-classes")
 
 
 def live_posts(classes: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def close_pairs(pairs: DataFrame, live: DataFrame) -> DataFrame:
 
 def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``wanted`` (node, ...) with ``key`` and ``text``; a wanted row may come with equal texts of other keys, which tasks leave out."""
-    places = wanted.join(classes.select("node", "key", "doc_id", "text_hash"), "node")
+    places = wanted.join(classes.select("node", "key", F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash")), "node")
     ids = materialize(places.select("text_hash").distinct(), "wanted")
     some = docs.join(F.broadcast(ids) if value_bytes(ids) <= BROADCAST_BYTES else ids, "text_hash", "left_semi")
     return some.join(places, (some.text_hash == places.text_hash) & some.doc_id.eqNullSafe(places.doc_id)).select(*wanted.columns, "key", "text")
@@ -230,16 +231,19 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b``: links between class numbers that make the components of near-duplicates."""
     live = materialize(live_posts(classes), "live")
     posts = materialize(live.select("node", F.explode(prefix(F.col("posts"))).alias("post")), "posts")
-    lists = materialize(posts.groupBy("post").agg(F.count(F.lit(1)).alias("len")).filter("len > 1"), "lists")
-    short = posts.join(lists.filter(F.col("len") <= SHORT), "post").select("node", "post")
-    long = materialize(posts.join(lists.filter(F.col("len") > SHORT), "post").select("node", "post"), "long")
+    # only long lists are looked up, so no hot list is dealt to one task by its post
+    lists = materialize(posts.groupBy("post").agg(F.count(F.lit(1)).alias("len")).filter(F.col("len") > SHORT), "lists")
+    marked = join_small(posts, lists, "post", F.col("node"))
+    short = marked.filter("len is null").select("node", "post")
+    long = materialize(marked.filter("len is not null").select("node", "post"), "long")
     other = short.withColumnRenamed("node", "b")
     tried = short.withColumnRenamed("node", "a").join(other, "post").filter("a < b").select("a", "b").union(stars(long, CENTRES)).distinct()
     close = materialize(close_pairs(tried, live), "close")
     found = materialize(confirmed(close, live, classes, docs), "links")
     placed = long.join(components(found), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("post").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("post")
-    open_ = materialize(placed.join(mixed, "post", "left_semi"), "open")
+    placed = materialize(placed, "placed")
+    mixed = materialize(placed.groupBy("post").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y"), "mixed")
+    open_ = materialize(join_small(placed, mixed, "post", F.col("node")).filter("x is not null").select("post", "node", "comp"), "open")
     if not open_.limit(1).count():
         return found
     return found.union(materialize(_open_links(open_, live, classes, docs), "links"))
@@ -248,8 +252,9 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def stars(members: DataFrame, centres: int) -> DataFrame:
     """``a, b``: each member of a list with the list's members of least hash, one for each of ``centres`` seeds."""
     picked = [F.min(F.struct(F.xxhash64("node", F.lit(nth)).alias("turn"), "node"))["node"].alias(f"c{nth}") for nth in range(centres)]
-    found = members.groupBy("post").agg(*picked).select("post", F.explode(F.array_distinct(F.array(*[f"c{nth}" for nth in range(centres)]))).alias("centre"))
-    return members.join(found, "post").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    found = members.groupBy("post").agg(*picked).select("post", F.array_distinct(F.array(*[f"c{nth}" for nth in range(centres)])).alias("centres"))
+    tried = join_small(members, materialize(found, "centres"), "post", F.col("node")).select("node", F.explode("centres").alias("centre"))
+    return tried.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _open_links(open_: DataFrame, live: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -311,25 +316,28 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, row: Sequence[str] = ()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of ``doc_id, text``, a row for each row.
 
     Null texts and texts without words have 0 shingles and are alone. Rows are documents, also where ids are
     repeated or null: each is linked by its own text, and a component's id is its smallest id that isn't null. A row
-    of null id is kept only if its whole component has none; all rows of the component's id are kept.
+    of null id is kept only if its whole component has none; all rows of the component's id are kept. Columns ``row``
+    that tell rows apart are carried along, and then ``first`` is true for one row of each component.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
-    signed = materialize(given.mapInArrow(_sign, "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, sign array<int>"), "signed")
-    classes = classes_of(signed)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row, "text").withColumn("text_hash", F.xxhash64("text"))
+    carried = "".join(f"{c} bigint, " for c in row)
+    signed = materialize(given.mapInArrow(_sign, f"doc_id bigint, {carried}text_hash bigint, n_shingles bigint, key binary, sign array<int>"), "signed")
+    classes = classes_of(signed, row)
     comp = components(links(given, classes))
-    linked = classes.select("node", "key", "doc_id").join(comp, "node")
-    low = linked.groupBy("comp").agg(F.min("doc_id").alias("low"))
-    by_class = classes.select("key", "doc_id").join(linked.join(low, "comp").select("key", "low"), "key", "left")
-    by_class = by_class.select("key", F.coalesce("low", "doc_id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "key").join(by_class, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.withColumn("component_id", component)
-    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
+    linked = classes.select("node", "key", "least").join(comp, "node")
+    low = linked.groupBy("comp").agg(F.min("least").alias("low"))
+    by_class = classes.select("key", "least").join(linked.join(low, "comp").select("key", "low"), "key", "left")
+    by_class = by_class.select("key", F.coalesce("low", "least").alias("low"))
+    out = signed.select("doc_id", *row, "text_hash", "n_shingles", "key").join(by_class, "key", "left")
+    out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")))
+    kept = F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    one = [F.coalesce(F.col("low") == F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *row, "text_hash"), F.lit(True)).alias("first")] if row else []
+    return out.select("doc_id", *row, "n_shingles", "component_id", kept.alias("kept"), *one)
 
 
 def op4_minhash_inverted_join(spark, sf_dir: str) -> DataFrame:

@@ -41,11 +41,11 @@ def _trim(x: str) -> str:
     return f"trim(BOTH '{_BLANKS}' FROM {x})"
 
 
-def drop_site_lines(docs: DataFrame, site: str, text: str = "text", key: str = "doc_id", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with ``text`` rid of its site's boilerplate lines; ``n_lines`` and ``n_dropped`` are added.
+def drop_site_lines(docs: DataFrame, site: str, text: str = "text", key: str = "doc_id", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with ``text`` rid of its site's boilerplate lines; the columns ``counts`` are added.
 
     Other lines keep their bytes and order. Null texts stay null with 0 lines; a text of only boilerplate
-    becomes empty. ``n_lines`` counts lines that are not blank. ``key`` only spreads rows over tasks.
+    becomes empty. The first count is of lines that are not blank, the second of dropped ones. ``key`` only spreads rows over tasks.
     """
     bad = materialize(boilerplate(docs, site, text, max_ratio, min_pages), "site-lines")
     wide = docs.withColumn("__graincast_site", F.col(f"`{site}`"))
@@ -54,9 +54,9 @@ def drop_site_lines(docs: DataFrame, site: str, text: str = "text", key: str = "
     lines = f"filter(split({t}, '\\n'), l -> {_trim('l')} <> '')"
     keep = f"filter(split({t}, '\\n'), l -> {_trim('l')} = '' or not array_contains(__graincast_lines, xxhash64({_trim('l')})))"
     dropped = f"size(filter({lines}, l -> array_contains(__graincast_lines, xxhash64({_trim('l')}))))"
-    out = joined.withColumn("n_lines", F.expr(f"case when {t} is null then 0 else size({lines}) end"))
-    out = out.withColumn("n_dropped", F.expr(f"case when {t} is null or __graincast_lines is null then 0 else {dropped} end"))
-    return out.withColumn(text, F.expr(f"case when n_dropped = 0 then {t} else array_join({keep}, '\\n') end")).drop("__graincast_site", "__graincast_lines")
+    out = joined.withColumn(counts[0], F.expr(f"case when {t} is null then 0 else size({lines}) end"))
+    out = out.withColumn(counts[1], F.expr(f"case when {t} is null or __graincast_lines is null then 0 else {dropped} end"))
+    return out.withColumn(text, F.expr(f"case when `{counts[1]}` = 0 then {t} else array_join({keep}, '\\n') end")).drop("__graincast_site", "__graincast_lines")
 
 
 def op10_site_lines(spark, sf_dir: str) -> DataFrame:
