@@ -6,43 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graincast.llm import bpe, langid, mixing, neardup, site_lines
-from graincast.llm.common import materialize, n_words, table
-
-#: Texts whose language is told with less than this cosine are rejected; a few letters seldom reach it.
-MIN_SCORE = 0.02
+from graincast.llm.common import ROW, materialize, n_words, numbered, table
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter, without text or unlike every language go.
+    """Documents in a learnt language; those without a letter, without text or unlike every language go.
 
-    Verdicts are one row a document id, joined back to whole rows.
+    Rows are judged one by one, so null and repeated ids stay as they are, and own columns may have any name.
     """
     prototypes = langid.learn(docs)
-    names = docs.columns
-    kept = langid.predict(docs.withColumn("__text", F.col("text")), prototypes)
-    kept = kept.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return kept.withColumnRenamed("__text", "text").select(*names)
+    made = ("__graincast_lang", "__graincast_score", "__graincast_known")
+    told = langid.predict(docs.withColumn("__graincast_text", F.col("text")), prototypes, text="__graincast_text", made=made)
+    return told.filter(made[2]).select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; ``n_chars`` follows the text."""
-    names = docs.columns
-    out = site_lines.drop_site_lines(docs, "source").withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    """Documents without their source's boilerplate lines; ``n_chars`` follows the text. No row goes."""
+    counts = ("__graincast_n_lines", "__graincast_n_dropped")
+    out = site_lines.drop_site_lines(docs, "source", counts=counts)
+    out = out.withColumn("n_chars", F.when(F.col(counts[1]) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest id."""
-    drop = neardup.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    gone = materialize(drop, "gone")
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    """One document of each near-duplicate group: the first row of its smallest id.
+
+    Rows are told apart by their place in the files, so rows of null or repeated ids stay or go by their own texts.
+    """
+    rows = numbered(docs)
+    gone = neardup.near_duplicates(rows, ROW).filter("not first").select(*[F.col(c).alias(f"{c}_gone") for c in ROW])
+    gone = materialize(gone, "gone")
+    same = [F.col(c) == F.col(f"{c}_gone") for c in ROW]
+    return rows.join(gone, same, "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as many times as its source's rate and its draw say, copies as rows."""
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    copies = mixing.mix(sized, "doc_id").filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies").dropDuplicates(["__id"])
-    return mixing.emit(docs.join(copies, docs.doc_id == F.col("__id")).drop("__id"))
+    """The mix: each document as many times as its source's rate and its draw say, copies as rows.
+
+    Rows of one id draw alike, also those of null ids.
+    """
+    return mixing.emit(mixing.mix(docs, docs.select("source", n_words(F.col("text")).alias("size")), "doc_id")).select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
