@@ -1,32 +1,45 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is cut into leaves, leaves are encoded apart, and neighbours are joined pairwise up a tree. At a
-join only a window around the cut is encoded again. It begins at a piece (the unit that merges never cross)
-of the left side that lies a margin before the cut, and grows to the right until one of its own piece starts
-is also a piece start of the right side, a margin after the cut and a margin before the window's end. From a
-shared start on, both scans go on alike, so the rest of the right side's tokens stand. If the right side has
-no such start, the window takes all of it.
+A long text is cut where a blank after what isn't one begins a word: a piece (the unit that merges never leave) surely
+begins there, so tokens of the parts stand side by side. A long piece that nothing splits is cut into leaves of bytes,
+leaves are encoded in parallel, and neighbours are joined pairwise up a tree: at a join a window of tokens around
+the cut is encoded again and grows until its first token is the left side's and its last one the right side's own.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graincast.llm.common import table
 
-#: Texts of more code points than this are cut.
+#: Texts of more code points, and pieces of more bytes, than this are cut.
 LEAF = 8192
-#: Bytes and pieces on each side of a cut that its neighbourhood can change: longer than any added token.
-MARGIN_BYTES = 32
-MARGIN_PIECES = 8
-#: First width of the window on the right, in code points; it doubles.
-WINDOW = 256
+#: First width of a join's window, in tokens on each side; it doubles.
+WINDOW = 8
+#: Threads of a task for the leaves of one text.
+THREADS = 4
+
+
+@functools.lru_cache(maxsize=1)
+def _threads() -> ThreadPoolExecutor:
+    return ThreadPoolExecutor(THREADS)
+
+
+def _word_blank(text: str, at: int) -> int:
+    """The first place from ``at`` on where a blank follows what isn't white space; the end if there is none."""
+    while (at := text.find(" ", at)) >= 0:
+        if at and not text[at - 1].isspace():
+            return at
+        at += 1
+    return len(text)
 
 
 @functools.lru_cache(maxsize=4)
@@ -56,7 +69,9 @@ class Codec:
         self.bytes_of = [b""] * (max([*ranks.values(), *added.values()]) + 1)
         for token, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
             self.bytes_of[i] = token
-        self.special = set(added)
+        self.special = added
+        #: Bytes that went through ``single`` so far.
+        self.encoded = 0
         self.has_special = lambda text: any(t in text for t in added)
         self.names = [str(i) for i in range(len(self.bytes_of))]
         import regex
@@ -80,56 +95,60 @@ class Codec:
             at = end + len(token)
         return found
 
-    def split_at(self, ids: list[int], n_bytes: int) -> int:
-        """Index of the token that begins at a byte of the text."""
-        at = i = 0
-        while at < n_bytes:
-            at += len(self.bytes_of[ids[i]])
-            i += 1
-        return i
-
-    def join(self, a: str, left: list[int], b: str, right: list[int]) -> list[int]:
-        """The tokens of a + b from the tokens of each."""
-        # left: a piece start a margin before the cut. Scanning a short tail finds it if a start there is sure:
-        # a blank after what isn't one always begins a piece. Otherwise the tail grows to all of a.
-        back, begin = WINDOW, 0
-        while back < len(a):
-            tail = a[-back:]
-            sure = next((i for i in range(MARGIN_BYTES, len(tail)) if tail[i] == " " and not tail[i - 1].isspace()), None)
-            starts = [sure + s for s in self.starts(tail[sure:])] if sure is not None else []
-            good = [s for s in starts[: -MARGIN_PIECES or None] if len(tail) - s >= MARGIN_BYTES]
-            if good:
-                begin = len(a) - back + good[-1]
-                break
-            back *= 2
-        kept = a[begin:]
-        ahead = WINDOW
+    def single(self, piece: bytes) -> list[int]:
+        """Tokens of one piece, which merges don't leave."""
+        self.encoded += len(piece)
+        return self.base._core_bpe.encode_single_piece(piece)
+
+    def join(self, left: list[int], right: list[int]) -> list[int]:
+        """The tokens of a piece from those of its halves.
+
+        The last tokens of the left and the first of the right are encoded again together. If the window's first token is
+        the left's own and its last one the right's own, each pair of neighbours in the whole is a pair that some encoding
+        has, and then the whole is the encoding. If a side disagrees, the window doubles.
+        """
+        k = WINDOW
         while True:
-            window = b[:ahead]
-            whole = ahead >= len(b)
-            ours = [s - len(kept) for s in self.starts(kept + window)]
-            edge = len(window) - MARGIN_BYTES
-            shared = set(self.starts(window)[MARGIN_PIECES:-MARGIN_PIECES])
-            meet = next((s for s in ours[:-MARGIN_PIECES] if MARGIN_BYTES <= s <= edge and s in shared), None)
-            if meet is not None or whole:
-                break
-            ahead *= 2
-        head = left[: self.split_at(left, len(a[:begin].encode()))]
-        if meet is None:
-            return head + self.leaf(kept + b)
-        # the window is encoded to its end, which is a margin away: what precedes the meeting looks ahead
-        middle = self.leaf(kept + window)
-        middle = middle[: self.split_at(middle, len((kept + b[:meet]).encode()))]
-        return head + middle + right[self.split_at(right, len(b[:meet].encode())) :]
+            i, j = max(0, len(left) - k), min(k, len(right))
+            window = self.single(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
+            if (i == 0 or window[0] == left[i]) and (j == len(right) or window[-1] == right[j - 1]):
+                return left[:i] + window + right[j:]
+            k *= 2
+
+    def tree(self, piece: bytes, leaf: int) -> list[int]:
+        """Tokens of one long piece: its leaves in parallel (the encoder holds no lock), then joined pairwise."""
+        level = list(_threads().map(self.single, [piece[i : i + leaf] for i in range(0, len(piece), leaf)]))
+        while len(level) > 1:
+            paired = list(_threads().map(self.join, level[::2], level[1::2]))
+            level = paired + level[len(paired) * 2 :]
+        return level[0]
+
+    def unsplit(self, text: str, leaf: int) -> list[int]:
+        """Tokens of a text in which no blank begins a word: piece by piece, long pieces by their trees."""
+        starts, ids = self.starts(text), []
+        for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
+            piece = text[a:b]
+            if piece in self.special:
+                ids.append(self.special[piece])
+            elif len(data := piece.encode()) > leaf:
+                ids += self.tree(data, leaf)
+            else:
+                ids += self.single(data)
+        return ids
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
-        """Token ids of a text, by its tree."""
-        parts = [text[i : i + leaf] for i in range(0, len(text), leaf)] or [""]
-        tree = [(p, self.leaf(p)) for p in parts]
-        while len(tree) > 1:
-            paired = [(a + b, self.join(a, x, b, y)) for (a, x), (b, y) in zip(tree[::2], tree[1::2], strict=False)]
-            tree = paired + tree[len(paired) * 2 :]
-        return tree[0][1]
+        """Token ids of a text. One of over ``leaf`` code points is cut at blanks that begin a word; what is longer without any goes by trees."""
+        if len(text) <= leaf:
+            return self.leaf(text)
+        cuts = [0]
+        while len(text) - cuts[-1] > leaf:
+            cuts.append(_word_blank(text, cuts[-1] + leaf))
+            if cuts[-1] == len(text):
+                break
+        parts = [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True) if a < b]
+        # unsplit parts wait for threads themselves, so they don't take one
+        found = [_threads().submit(self.leaf, part) if len(part) <= 2 * leaf else None for part in parts]
+        return list(itertools.chain.from_iterable(self.unsplit(part, leaf) if f is None else f.result() for part, f in zip(parts, found, strict=True)))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
