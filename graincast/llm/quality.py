@@ -6,12 +6,13 @@ with the language's own by Jensen-Shannon distance. Texts too short for a histog
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincast.llm.common import materialize, table
@@ -19,9 +20,10 @@ from graincast.llm.common import materialize, table
 SHINGLE = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Common words of a language, chosen on a bounded sample of its rows; their counts come from all rows.
+#: Common words of a language: those on the most of its texts.
 COMMON_WORDS = 40
-SAMPLE_ROWS = 1000
+#: Words that a task counts before it tells what it has.
+HELD_WORDS = 200_000
 #: Texts with fewer words than these aren't judged by that histogram.
 MIN_WORDS_CLASSES = 12
 MIN_WORDS_COMMON = 40
@@ -36,26 +38,36 @@ MAX_WORD_DISTANCE = 0.45
 
 SYMBOLS = "#*$%&|<>"
 #: Digits are left out: numbers belong to no language.
-CLASSES = ("lower", "upper", "space", "punctuation", "symbol", "control", "latin", "other")
-
-
+CLASSES = ("lower", "upper", "space", "punctuation", "symbol", "control", "latin", "greek", "cyrillic", "east asian", "other")
+#: Blocks of code points beyond ASCII, by class; what is in none is "other".
+BLOCKS = {
+    "control": [(0x80, 0xA0), (0x200B, 0x2010), (0xFEFF, 0xFF00)],
+    "punctuation": [(0xA0, 0xC0), (0x2010, 0x2070), (0x3000, 0x3040)],
+    "latin": [(0xC0, 0x250), (0x1E00, 0x1F00)],
+    "greek": [(0x370, 0x400), (0x1F00, 0x2000)],
+    "cyrillic": [(0x400, 0x530)],
+    "east asian": [(0x1100, 0x1200), (0x2E80, 0x3000), (0x3040, 0xA4D0), (0xAC00, 0xD7B0), (0xF900, 0xFB00), (0x20000, 0x33480)],
+}
+
+
+@functools.lru_cache(maxsize=1)
 def _class_table() -> np.ndarray:
-    """Class of each byte of UTF-8; bytes that continue a code point have none."""
-    t = np.full(256, -1)
+    """Class of each code point; len(CLASSES) for digits, which have none."""
+    t = np.full(0x110000, CLASSES.index("other"), dtype=np.uint8)
+    for name, blocks in BLOCKS.items():
+        for low, end in blocks:
+            t[low:end] = CLASSES.index(name)
     for b in range(128):
         c = chr(b)
-        t[b] = 0 if c.islower() else 1 if c.isupper() else -1 if c.isdigit() else 2 if c in " \t\n\r\x0b\x0c" else 4 if c in SYMBOLS else 5 if b < 32 or b == 127 else 3
-    t[0xC0:0xD0] = 6  # two-byte letters: Latin with marks, Greek, Cyrillic
-    t[0xD0:] = 7
+        name = "lower" if c.islower() else "upper" if c.isupper() else "space" if c in " \t\n\r\x0b\x0c" else "symbol" if c in SYMBOLS else "control" if b < 32 or b == 127 else "punctuation"
+        t[b] = len(CLASSES) if c.isdigit() else CLASSES.index(name)
     return t
 
 
-_CLASS = _class_table()
-
-
-def histogram(data: bytes) -> np.ndarray:
-    by_byte = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
-    return np.bincount(_CLASS[_CLASS >= 0], weights=by_byte[_CLASS >= 0], minlength=len(CLASSES))
+def histogram(text: str) -> np.ndarray:
+    """Code points of each class."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.bincount(_class_table()[points], minlength=len(CLASSES) + 1)[: len(CLASSES)]
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -97,27 +109,30 @@ def _bare(word: bytes) -> bytes:
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
+
+    def told() -> pa.RecordBatch:
+        rows = [(lang, w.decode("utf-8", "replace"), n) for lang, c in counts.items() for w, n in c.items() if w]
+        counts.clear()
+        lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+
     for batch in batches:
         for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(set(map(_bare, text.encode("utf-8", "surrogatepass").split())))
-    rows = [(lang, w.decode("utf-8", "replace"), n) for lang, c in counts.items() for w, n in c.items() if w]
-    if rows:
-        lang, word, n = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
-
-
-def common_words(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = COMMON_WORDS) -> dict[str, list[str]]:
-    """The words on the most texts of each language, in a hash sample of about ``rows`` texts a language."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = known.filter(u < F.try_element_at(share, F.col("lang"))).select("text", "lang")
-    by_word = sample.mapInArrow(_common, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = by_word.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), 1, words)["word"].alias("words"))
-    return {r["lang"]: list(r["words"]) for r in top.collect()}
+            counts.setdefault(lang, Counter()).update(set(map(_bare, set(text.encode("utf-8", "surrogatepass").split()))))
+            if sum(map(len, counts.values())) > HELD_WORDS:  # bounds memory; what is told twice is summed after
+                yield told()
+    yield told()
+
+
+def common_words(docs: DataFrame, words: int = COMMON_WORDS) -> dict[str, list[str]]:
+    """The words on the most texts of each language, over all its texts: ``words`` a language reach the driver."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    by_word = known.mapInArrow(_common, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    found: dict[str, list[str]] = {}
+    for r in by_word.withColumn("turn", turn).filter(F.col("turn") <= words).orderBy("lang", "turn").collect():
+        found.setdefault(r["lang"], []).append(r["word"])
+    return found
 
 
 FEATURES = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, classes array<int>, common array<int>"
@@ -133,7 +148,7 @@ def _features(common: dict[str, list[str]]):
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 *base, words = base_counts(text)
                 counts.append(base)
-                classes.append(histogram((text or "").encode("utf-8", "surrogatepass")).astype(int).tolist())
+                classes.append(histogram(text or "").tolist())
                 known = index.get(lang, {})
                 found = [0] * (len(known) + 1)
                 if known:
@@ -147,13 +162,14 @@ def _features(common: dict[str, list[str]]):
     return run
 
 
-def references(features: DataFrame, column: str) -> dict[str, np.ndarray]:
-    """Histogram of each language, summed over all its texts; a row for each (language, cell) reaches the driver."""
-    cells = features.filter(F.col("lang").isNotNull()).select("lang", F.posexplode(column).alias("at", "n"))
-    found: dict[str, dict[int, int]] = {}
-    for lang, at, n in cells.groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():
-        found.setdefault(lang, {})[at] = n
-    return {lang: np.array([c.get(i, 0) for i in range(max(c) + 1)], dtype=float) for lang, c in found.items()}
+def references(features: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Histograms of each language's classes and common words, summed over all its texts at once; a row for each (language, cell) reaches the driver."""
+    both = F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).alias("cells")) for i, c in enumerate(("classes", "common"))])
+    cells = features.filter(F.col("lang").isNotNull()).select("lang", F.explode(both).alias("h")).select("lang", "h.of", F.posexplode("h.cells").alias("at", "n"))
+    found: tuple[dict[str, dict[int, int]], ...] = ({}, {})
+    for lang, of, at, n in cells.groupBy("lang", "of", "at").agg(F.sum("n").alias("n")).collect():
+        found[of].setdefault(lang, {})[at] = n
+    return tuple({lang: np.array([c.get(i, 0) for i in range(max(c) + 1)], dtype=float) for lang, c in x.items()} for x in found)
 
 
 def _judge(by_class: dict, by_word: dict, whole: bool = False):
@@ -185,14 +201,15 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     given = docs.select(F.col("doc_id").cast("long"), "text", "lang")
     features = materialize(given.mapInArrow(_features(common_words(given)), FEATURES), "quality")
-    by_class, by_word = references(features, "classes"), references(features, "common")
+    by_class, by_word = references(features)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     out = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double"
     for _ in range(TRIMS):
         # junk shifts the first references: sum again over the texts that are near them
         near = features.mapInArrow(_judge(by_class, by_word, True), TRIMMED).filter(~failed)
         near = near.filter((F.col("class_distance") <= TRIM_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE))
-        by_class, by_word = by_class | references(near, "classes"), by_word | references(near, "common")
+        classes, common = references(near)
+        by_class, by_word = by_class | classes, by_word | common
     judged = features.mapInArrow(_judge(by_class, by_word), out)
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE + CLASS_SLACK / F.sqrt(F.greatest("n_words", F.lit(1)))) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
