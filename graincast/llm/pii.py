@@ -2,13 +2,14 @@
 
 Numbers go through a keyed Feistel permutation of their digits, addresses through one of their 32 bits: a
 permutation can't give two entities one surrogate. Mail addresses, secrets and the words of names take letters
-from a keyed hash. Entities that share a surrogate, or whose surrogate stands in the corpus, are drawn again, they
+from a keyed hash (SHA-256). Entities that share a surrogate, or whose surrogate stands in the corpus, are drawn again, they
 alone and in rounds, until none is left. An entity has the same surrogate wherever it stands, also in other case.
 """
 
 from __future__ import annotations
 
 import itertools
+import secrets
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from graincast.llm.common import join_small, let, materialize, table
 
 KEY_CONF = "graincast.pii.key"
-DEFAULT_KEY = "set graincast.pii.key in production"
 #: From this round on numbers and addresses get more digits: their format has no room for all entities.
 FULL = 16
 
@@ -56,9 +56,14 @@ def type_of(entity: Column) -> Column:
     return F.when(entity.contains("@"), F.lit("mail")).when(whole(PHONE), F.lit("phone")).when(whole(CARD), F.lit("card")).when(whole(ADDRESS), F.lit("address")).when(named, F.lit("name")).otherwise(F.lit("secret"))
 
 
+def _keyed(text: Column, keyed: str) -> Column:
+    """60 bits of a keyed SHA-256 of a text, as a long."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(keyed + "/"), text).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+
+
 def _feistel(high: Column, low: Column, size_high: Column, size_low: Column, keyed: str, then) -> Column:
     """``then(high, low)`` after four keyed rounds; each adds a hash of one half to the other, so it can be undone."""
-    f = lambda x, size, r: F.pmod(F.xxhash64(x, F.lit(f"{keyed}/{r}")), size)
+    f = lambda x, size, r: F.pmod(_keyed(x.cast("string"), f"{keyed}/{r}"), size)
     return let(F.pmod(high + f(low, size_high, 1), size_high), lambda a: let(F.pmod(low + f(a, size_low, 2), size_low), lambda b: let(F.pmod(a + f(b, size_high, 3), size_high), lambda c: then(c, F.pmod(b + f(c, size_low, 4), size_low)))))
 
 
@@ -101,7 +106,7 @@ def units(entity: Column) -> Column:
 def _drawn(kind: Column, value: Column, key: str, salt: int) -> Column:
     """The surrogate of a unit in round ``salt``; each round of letters has more room than the last."""
     keyed, low = f"{key}/{salt}", F.lower(value)
-    number = lambda n: F.lpad(F.pmod(F.xxhash64(low, F.lit(keyed)), F.lit(10**n)).cast("string"), n, "0")
+    number = lambda n: F.lpad(F.pmod(_keyed(low, f"{keyed}/number"), F.lit(10**n)).cast("string"), n, "0")
     # letters of a mail are Latin: its hash stands for it
     mail = F.concat(_letters(F.md5(low.cast("binary")), keyed, 12 + salt), F.lit("."), number(2), F.lit("@example.org"))
     digest = lambda v, n: F.sha2(F.concat(F.lit(f"{keyed}/{n}"), v).cast("binary"), 512)
@@ -114,7 +119,7 @@ def _drawn(kind: Column, value: Column, key: str, salt: int) -> Column:
     more = F.concat(F.lit("-"), number(min(4 + salt - FULL, 18))) if salt >= FULL else F.lit("")
     script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     lists = F.create_map(*[x for (sc, g), names in GIVEN.items() for x in (F.lit(f"{sc} given_{g}"), F.array(*map(F.lit, names)))])
-    pick = let(lists[F.concat_ws(" ", script, kind)], lambda names: F.element_at(names, F.pmod(F.xxhash64(low, F.lit(keyed)), F.size(names)).cast("int") + 1))
+    pick = let(lists[F.concat_ws(" ", script, kind)], lambda names: F.element_at(names, F.pmod(_keyed(low, f"{keyed}/name"), F.size(names)).cast("int") + 1))
     out = F.when(kind == "mail", mail).when(kind == "secret", secret).when(kind.isin("phone", "card"), F.concat(digits, more))
     out = out.when(kind == "address", F.concat(F.when(value.rlike(FITS), _address(value, keyed)).otherwise(digits), more))
     return out.when(kind.startswith("given_"), F.concat(pick, _letters(low, keyed, 4 + salt))).otherwise(F.initcap(_letters(low, keyed, 8 + salt)))
@@ -169,7 +174,12 @@ def _is(kind: str):
 
 
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text`` and counts ``n_<type>``. Null texts stay null with zero counts."""
+    """``docs`` with surrogates in ``text`` and counts ``n_<type>`` of what the patterns found. Null texts stay null with zero counts.
+
+    A name of two words that has a title somewhere in a text gets its surrogate also where it stands without one in that text.
+    """
+    if not key:
+        raise ValueError("surrogates need a key")
     t = F.col(f"`{text}`")
     pattern = F.lit(f"({ENTITY})")
     # most texts have no digit, @ or title: they don't meet the long pattern
@@ -196,10 +206,21 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         out = out.withColumn(f"n_{kind}", F.size(F.filter("__kinds", _is(kind))))
     made = F.concat(F.transform(F.col("__found"), lambda e: surrogate(e, key, 0, redrawn)), F.array(F.lit("")))
     pieces = F.zip_with(F.split(t, ENTITY, -1), made, lambda p, s: F.concat(F.coalesce(p, F.lit("")), F.coalesce(s, F.lit(""))))
-    return out.withColumn(text, F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(t)).drop("__found", "__kinds", "__text_key", "__redrawn")
+    out = out.withColumn(text, F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(t))
+    # the same name without its title
+    full = F.array_distinct(F.filter("__found", lambda e: (type_of(e) == "name") & (F.size(F.split(e, " ")) > 2)))
+    bare = lambda e: F.substring(e, F.locate(" ", e) + 1, F.length(e))
+    alone = lambda name: F.concat(F.lit(r"(?<!\p{L})\Q"), name, F.lit(r"\E(?!\p{L})"))
+    again = F.aggregate(full, t, lambda done, e: F.regexp_replace(done, alone(bare(e)), bare(surrogate(e, key, 0, redrawn))))
+    out = out.withColumn(text, F.when((F.col("n_name") > 0) & (F.size(full) > 0), again).otherwise(t))
+    return out.drop("__found", "__kinds", "__text_key", "__redrawn")
 
 
 def op6_surrogates(spark, sf_dir: str) -> DataFrame:
-    """All documents with surrogates for their entities, and counts by type."""
-    key = spark.conf.get(KEY_CONF, DEFAULT_KEY)
+    """All documents with surrogates for their entities, and counts by type.
+
+    The key is the setting ``graincast.pii.key``. Without it each run draws one that is told to nobody, so surrogates of
+    two runs can't be matched.
+    """
+    key = spark.conf.get(KEY_CONF, None) or secrets.token_hex(32)
     return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
