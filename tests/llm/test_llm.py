@@ -158,8 +158,8 @@ def test_bpe_equals_library():
 def test_extraction(spark, sf):
     got = {r["page_id"]: r["text"] for r in extraction.op2_wrapper_extract(spark, sf).collect()}
     assert got[3] == "T3\na & b3\nc3 d" and got[12] == got[13] == "" and got[14] == "plain < text" and got[15] == "deep"
-    wrapper = extraction.induce([f"<div><p>Shared notice</p></div><div class=x><p>own {i}</p></div>" for i in range(6)])
-    assert "Shared notice" in wrapper and "own" not in wrapper
+    pages = [f"<div><p>Shared notice</p></div><div class=x><p>own {i}</p></div>" for i in range(6)]
+    assert extraction.extract(pages[2], extraction.wrapper_of(extraction.induce(pages))) == "own 2"
 
 
 def test_surrogates(spark):
