@@ -15,17 +15,18 @@ import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graincast.llm.common import table
+from graincast.llm.common import slices, table
 
 #: Texts of more code points, and pieces of more bytes, than this are cut.
 LEAF = 8192
 #: First width of a join's window, in tokens on each side; it doubles.
 WINDOW = 8
 #: Threads of a task for the leaves of one text.
-THREADS = 4
+THREADS = 2
 
 
 @functools.lru_cache(maxsize=1)
@@ -168,7 +169,7 @@ def vocabulary_path() -> str:
 def _digest(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or vocabulary_path())
-        for batch in batches:
+        for batch in slices(batches):
             counts, ids_sha, text_sha = [], [], []
             for text in batch["text"].to_pylist():
                 ids = c.encode(text or "")
@@ -183,8 +184,8 @@ def _digest(path: str | None):
 def _encode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or vocabulary_path())
-        for batch in batches:
-            ids = pa.array([c.encode(t or "") for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
+        for batch in slices(batches):
+            ids = pa.array([np.array(c.encode(t or ""), dtype=np.int32) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
             rest = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), ids], [*rest, "ids"])
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import table
+from graincast.llm.common import slices, table
 
 DIM = 512
 #: About so many labelled texts of each language are learnt from: a share of them by hash of the id.
@@ -89,7 +89,7 @@ class Vectors:
 def _sums(dim: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, sums = Vectors(dim, seed), {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 sums[lang] = sums.get(lang, 0) + vectors.bundle(text)[0].astype(np.float64)
         rows = [(lang, i, float(x)) for lang, v in sums.items() for i, x in enumerate(v)]
@@ -131,7 +131,7 @@ def _predict(prototypes: dict[str, list[float]], dim: int, seed: int, text_colum
         mean = p.mean(axis=0) if len(langs) > 1 else np.zeros(dim)
         q = p - mean
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        for batch in batches:
+        for batch in slices(batches):
             best, scores, known = [], [], []
             for text in batch[text_column].to_pylist():
                 if not langs or not has_letter(text):

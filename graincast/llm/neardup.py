@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import BROADCAST_BYTES, join_small, materialize, table, value_bytes
+from graincast.llm.common import BROADCAST_BYTES, join_small, materialize, slices, table, value_bytes
 
 SHINGLE = 5
 PERCENT = 75
@@ -76,7 +76,7 @@ def _key(hashes: np.ndarray) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, keys, signs = [], [], []
         for text in batch["text"].to_pylist():
             s = shingles(text)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincast.llm.common import materialize, table
+from graincast.llm.common import materialize, slices, table
 
 SHINGLE = 5
 MIN_WORDS = 10
@@ -116,7 +116,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
             counts.setdefault(lang, Counter()).update(set(map(_bare, set(text.encode("utf-8", "surrogatepass").split()))))
             if sum(map(len, counts.values())) > HELD_WORDS:  # bounds memory; what is told twice is summed after
@@ -143,7 +143,7 @@ def _features(common: dict[str, list[str]]):
     index = {lang: {w.encode(): i for i, w in enumerate(ws)} for lang, ws in common.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, classes, hits = [], [], []
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 *base, words = base_counts(text)
@@ -174,7 +174,7 @@ def references(features: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, np
 
 def _judge(by_class: dict, by_word: dict, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(batch["lang"].to_pylist(), batch["n_words"].to_pylist(), batch["classes"].to_pylist(), batch["common"].to_pylist(), strict=True)
             near, word = [], []
             for lang, n, classes, common in rows:
