@@ -33,6 +33,8 @@ MATCHES = 32
 SHORT = 16
 #: Members of a longer list that the others are tried with first.
 CENTRES = 3
+#: The rows of a larger class of equal sets aren't shuffled to it.
+HOT_ROWS = 1000
 #: A task's block has about so many members and shingles at most (one longer text is a block's all the same).
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
@@ -89,12 +91,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes_of(signed: DataFrame, row: Sequence[str] = ()) -> DataFrame:
-    """A row for each different set: ``node`` (its number), ``key``, ``n``, ``sign``, and ``least``, its first row: null ids last, then by ``doc_id``, ``row`` and ``text_hash``.
+    """A row for each different set: ``node`` (its number), ``key``, ``held`` (rows), ``n``, ``sign``, and ``least``, its first row: null ids last, then by ``doc_id``, ``row`` and ``text_hash``.
 
     A class is numbered by its smallest id; where ids are null or repeated, so that two classes have the same, by a hash of its key.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *row, "text_hash")).alias("least")
-    found = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(least, F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
+    found = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(least, F.count(F.lit(1)).alias("held"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
     found = materialize(found, "classes")
     named = found.filter(~F.col("least.unnamed")).select(F.col("least.doc_id").alias("shared"))
     shared = materialize(named.groupBy("shared").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("shared"), "shared")
@@ -331,9 +333,13 @@ def near_duplicates(docs: DataFrame, row: Sequence[str] = ()) -> DataFrame:
     comp = components(links(given, classes))
     linked = classes.select("node", "key", "least").join(comp, "node")
     low = linked.groupBy("comp").agg(F.min("least").alias("low"))
-    by_class = classes.select("key", "least").join(linked.join(low, "comp").select("key", "low"), "key", "left")
-    by_class = by_class.select("key", F.coalesce("low", "least").alias("low"))
-    out = signed.select("doc_id", *row, "text_hash", "n_shingles", "key").join(by_class, "key", "left")
+    by_class = classes.select("key", "least", "held").join(linked.join(low, "comp").select("key", "low"), "key", "left")
+    by_class = by_class.select("key", F.coalesce("low", "least").alias("low"), "held")
+    # the rows of a hot class stay where they are; the others go to their class
+    hot = materialize(by_class.filter(F.col("held") > HOT_ROWS).drop("held"), "hot")
+    marked = join_small(signed.select("doc_id", *row, "text_hash", "n_shingles", "key"), hot, "key", F.xxhash64("doc_id", *row))
+    rest = marked.filter("low is null").drop("low").join(by_class.filter(F.col("held") <= HOT_ROWS).drop("held"), "key", "left")
+    out = marked.filter("low is not null").unionByName(rest)
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id")))
     kept = F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     one = [F.coalesce(F.col("low") == F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *row, "text_hash"), F.lit(True)).alias("first")] if row else []
