@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Legal-form words of company names. Fixed values.
-LEGAL_KOREAN = ("주식회사", "유한회사", "유한책임회사")
-LEGAL_LATIN = ("co", "ltd", "inc", "corp", "corporation", "company", "limited", "llc", "gmbh")
-#: Bracketed legal marks. Fixed values.
-LEGAL_MARKS = ("(주)", "(유)", "(株)")
+LEGAL_KOREAN = ("유한책임회사", "주식회사", "유한회사", "합자회사", "합명회사")
+LEGAL_LATIN = ("corporation", "incorporated", "limited", "company", "corp", "inc", "ltd", "llc", "plc", "gmbh", "pte", "co")
+#: Bracketed legal marks, blanks allowed within. Fixed values.
+LEGAL_MARKS = ("주", "유", "株", "有")
 
 
 @F.pandas_udf(T.StringType())
@@ -31,19 +31,27 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
 
 
+def trim(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_company(raw: Column, unicode: bool = True) -> Column:
     """Key of a company name: folded, lower, without legal forms; the squeezed name itself if nothing else is left."""
-    name = F.lower(F.trim(fold(raw) if unicode else raw))
-    bare = name
-    for mark in LEGAL_MARKS:
-        bare = F.replace(bare, F.lit(mark), F.lit(" "))
-    for word in LEGAL_KOREAN:
-        bare = F.replace(bare, F.lit(word), F.lit(" "))
-    bare = F.regexp_replace(bare, r"(?<![\p{L}\p{N}])(?:" + "|".join(LEGAL_LATIN) + r")(?![\p{L}\p{N}])\.?", " ")
+    name = F.lower(trim(fold(raw) if unicode else raw))
+    name = F.regexp_replace(name, r"(?U)\(\s*(?:" + "|".join(LEGAL_MARKS) + r")\s*\)", " ")
+    bare = F.regexp_replace(name, "|".join(LEGAL_KOREAN), " ")
+    bare = F.regexp_replace(bare, "(?<![0-9a-z가-힣])(?:" + "|".join(LEGAL_LATIN) + ")(?![0-9a-z가-힣])", " ")
     key = squeeze(bare)
     return F.coalesce(F.when(key != "", key).otherwise(squeeze(name)), F.lit(""))
 
 
+def role_text(c: Column, unicode: bool = True) -> Column:
+    """Role names for comparison: folded, lower, without blanks, hyphens and the like, so "Back-end" is "backend"."""
+    c = F.coalesce(c, F.lit(""))
+    return F.regexp_replace(F.lower(fold(c) if unicode else c), r"(?U)[\s\-_/.,()·|]+", "")
+
+
 def plain_company(c: Column) -> Column:
     return F.lower(squeeze(F.coalesce(c, F.lit(""))))
 

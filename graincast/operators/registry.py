@@ -2,38 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.functions.text import contains_any
+from graincast.functions.text import contains_any, role_text
+from graincast.session import small_side
 
-BROADCAST_ROWS = 200_000
 TIERS = ("S", "A", "B", "C")
-COLLECTIBLE = ("supported", "partial")
+#: What is known about collecting from a company. Fixed values.
+STATUSES = ("generic_adapter_priority", "adapter_candidate", "dynamic_research_needed", "restricted_research_needed", "group_portal_research_needed", "job_endpoint_research_needed")
+COLLECTIBLE = STATUSES[:2]
+
+
+class RegistryError(ValueError):
+    """The watch-list is wrong; the message says where."""
 
 
 def keys(companies: DataFrame) -> DataFrame:
-    """``key, company_id, enabled`` of names and aliases; raises if two companies share a key."""
+    """``key, company_id, enabled`` of names and aliases."""
     spread = companies.select(F.col("id").alias("company_id"), "enabled", F.explode(F.array_distinct(F.concat(F.array("name_key"), "alias_keys"))).alias("key"))
     return spread.filter("key <> ''")
 
 
 def collisions(companies: DataFrame) -> DataFrame:
+    """Keys that several companies claim, disabled ones too."""
     return keys(companies).groupBy("key").agg(F.countDistinct("company_id").alias("n")).filter("n > 1")
 
 
-def resolve(postings: DataFrame, companies: DataFrame, key: str, enabled_only: bool = True) -> DataFrame:
-    """``postings`` with ``target_id``, null if unknown. The list is broadcast only if its counted rows are few."""
-    known = keys(companies.filter("enabled") if enabled_only else companies).select(F.col("key").alias("__key"), F.col("company_id").alias("target_id"))
-    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    return postings.join(side, postings[key] == F.col("__key"), "left").drop("__key")
+def checked(companies: DataFrame) -> DataFrame:
+    """``companies``; raises if two share an id or a key."""
+    twice = companies.groupBy("id").count().filter("count > 1").limit(3).collect()
+    if twice:
+        raise RegistryError("repeated ids: " + ", ".join(r["id"] for r in twice))
+    shared = collisions(companies).orderBy("key").limit(3).collect()
+    if shared:
+        raise RegistryError("keys of several companies: " + ", ".join(r["key"] for r in shared))
+    return companies
+
+
+def resolve(postings: DataFrame, companies: DataFrame, key: str, enabled_only: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``postings`` with ``target_id`` and the company's columns ``carry``, null if unknown; a posting stays one row also if keys collide.
+
+    The list is broadcast only if its values are few bytes.
+    """
+    known = keys(companies.filter("enabled") if enabled_only else companies).groupBy(F.col("key").alias("__key")).agg(F.min("company_id").alias("target_id"))
+    if carry:
+        known = known.join(companies.select(F.col("id").alias("target_id"), *carry), "target_id")
+    return postings.join(small_side(known), postings[key] == F.col("__key"), "left").drop("__key")
+
+
+def role_allowed(include: str, exclude: str, synthetic: Column | None = None, unicode: bool = True) -> Column:
+    """By title and depths (the title alone if a source made the depths up): an excluded part forbids, no included parts allow all."""
+    depths = F.array_join(F.concat(F.array(F.lit("")), "depth_twos", "depth_ones"), " ")
+    if synthetic is not None:
+        depths = F.when(synthetic, F.lit("")).otherwise(depths)
+    hay = role_text(F.concat(F.coalesce("title", F.lit("")), depths), unicode)
+    has = lambda c: F.exists(c, lambda x: hay.contains(x))
+    return ~has(exclude) & ((F.size(include) == 0) | has(include))
+
+
+def qualify(resolved: DataFrame, title_exclude: list[str], unicode: bool = True) -> DataFrame:
+    """Adds ``reason``: not_target, role or null, from ``target_id`` and the company's ``roles_include`` and ``roles_exclude``.
+
+    A company's roles decide, its own or the list's; without any, the excluded title words do. No score counts.
+    """
+    synthetic = F.col("synthetic") if "synthetic" in resolved.columns else None
+    roles = (F.size(F.coalesce("roles_include", F.array())) > 0) | (F.size(F.coalesce("roles_exclude", F.array())) > 0)
+    plain = ~contains_any(F.lower("title"), [t.lower() for t in title_exclude])
+    allowed = F.when(roles, role_allowed("roles_include", "roles_exclude", synthetic, unicode)).otherwise(plain)
+    return resolved.withColumn("reason", F.when(F.col("target_id").isNull(), "not_target").when(~F.coalesce(allowed, F.lit(False)), "role"))
+
+
+def key_typos(companies: DataFrame) -> DataFrame:
+    """Companies with fields nobody knows."""
+    return companies.filter(F.size("unknown_keys") > 0).select("id", F.array_join("unknown_keys", ",").alias("unknown"))
+
+
+def unclassified(companies: DataFrame) -> DataFrame:
+    return companies.filter(F.col("enabled") & F.col("status").isNull()).select("id")
+
+
+def official_urls(companies: DataFrame) -> DataFrame:
+    """``id, urls``: the careers page and the official sources' pages, each once, in order; ``types`` of all sources."""
+    own = F.filter(F.col("sources"), lambda s: (s["type"] == "official") & (F.coalesce(s["url"], F.lit("")) != ""))
+    page = F.filter(F.array("careers_url"), lambda u: F.coalesce(u, F.lit("")) != "")
+    return companies.select("id", F.array_distinct(F.concat(page, F.transform(own, lambda s: s["url"]))).alias("urls"), F.transform("sources", lambda s: s["type"]).alias("types"))
 
 
-def qualify(resolved: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
-    """Adds ``reason``: not_target, role or null."""
-    hay = F.lower(F.concat_ws(" ", "title", F.array_join("depth_ones", " "), F.array_join("depth_twos", " ")))
-    allowed = ~contains_any(hay, [x.lower() for x in exclude]) & (contains_any(hay, [x.lower() for x in include]) if include else F.lit(True))
-    return resolved.withColumn("reason", F.when(F.col("target_id").isNull(), "not_target").when(~allowed, "role"))
+def adapted(companies: DataFrame, adapters: list[str]) -> DataFrame:
+    """Enabled collectible companies whose family has an adapter."""
+    return companies.filter(F.col("enabled") & F.col("status").isin(*COLLECTIBLE) & F.coalesce("family", "id").isin(*adapters))
 
 
 def near_misses(names: DataFrame, known: DataFrame) -> DataFrame:
@@ -61,7 +119,8 @@ def families(companies: DataFrame) -> DataFrame:
 
 
 def collectible(companies: DataFrame) -> DataFrame:
-    return families(companies.filter(F.col("status").isin(*COLLECTIBLE)))
+    """Families to write adapters for, those of most companies first."""
+    return families(companies.filter(F.col("status").isin(*COLLECTIBLE))).orderBy(F.desc("n"), "family")
 
 
 def portal_conflicts(companies: DataFrame) -> DataFrame:

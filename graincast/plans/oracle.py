@@ -9,7 +9,7 @@ _P = """p AS (
     CASE WHEN o_orderkey % 11 <> 0 THEN floor(o_totalprice / 50000)::INT END AS lo,
     CASE WHEN o_orderkey % 11 <> 0 THEN floor(o_totalprice / 50000)::INT + (o_orderkey % 3)::INT END AS hi,
     strftime(o_orderdate, '%Y-%m-%d') AS created,
-    CASE o_orderkey % 7 WHEN 0 THEN 'rolling' WHEN 1 THEN NULL ELSE strftime(o_orderdate::DATE + 30, '%Y-%m-%d') END AS deadline
+    CASE o_orderkey % 7 WHEN 0 THEN '상시' WHEN 1 THEN NULL ELSE strftime(o_orderdate::DATE + 30, '%Y-%m-%d') END AS deadline
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _S = _P + """, parts AS (
   SELECT *, CASE WHEN seg IN ('BUILDING', 'MACHINERY') THEN 1.0 WHEN seg = 'AUTOMOBILE' THEN 0.6 WHEN r_name = 'ASIA' THEN 0.35 ELSE 0.0 END::DOUBLE AS p_role,
@@ -25,14 +25,16 @@ _C = """c AS (
   SELECT 'c' || c_custkey AS id, lower(regexp_replace(c_name, '[^\\p{L}\\p{N}]+', '', 'g')) AS name_key, 'alias' || (c_custkey % 400) AS alias_key, c_custkey % 3 <> 0 AS enabled,
     ['S', 'A', 'B', 'C'][length(c_mktsegment) % 4 + 1] AS tier, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 END::INT AS priority,
     CASE WHEN c_custkey % 4 <> 0 THEN 'fam' || (c_custkey % 6) END AS family,
-    CASE c_custkey % 7 WHEN 0 THEN 'supported' WHEN 1 THEN 'partial' WHEN 2 THEN 'research' WHEN 3 THEN 'blocked' END AS status,
-    CASE WHEN c_custkey % 2 = 0 THEN 'https://jobs.example.com/' || (c_custkey % 20) END AS url, c_custkey % 8 = 0 AS has_filter
+    CASE c_custkey % 7 WHEN 0 THEN 'generic_adapter_priority' WHEN 1 THEN 'adapter_candidate' WHEN 2 THEN 'restricted_research_needed' WHEN 3 THEN 'job_endpoint_research_needed' END AS status,
+    CASE WHEN c_custkey % 2 = 0 THEN 'https://jobs.example.com/' || (c_custkey % 20) END AS url, c_custkey % 8 = 0 AS has_filter, c_custkey AS ck
   FROM customer WHERE c_custkey % 5 = 0)"""
-_K = _C + ", k AS (SELECT DISTINCT name_key AS key, id, enabled FROM c UNION SELECT alias_key, id, enabled FROM c)"
-_Q = _S + ", " + _K + """, q AS (
-  SELECT sc.*, k.id AS target_id, CASE WHEN k.id IS NULL THEN 'not_target'
-    WHEN contains(lower(seg), 'household') OR NOT (contains(lower(title), 'urgent') OR contains(lower(title), 'high') OR contains(lower(title), 'medium')) THEN 'role' END AS reason
-  FROM sc LEFT JOIN k ON k.enabled AND sc.ckey = k.key)"""
+_K = _C + ", k AS (SELECT DISTINCT name_key AS key, id, enabled, ck FROM c UNION SELECT alias_key, id, enabled, ck FROM c)"
+_Q = _S + ", " + _K + """, hay AS (SELECT *, regexp_replace(lower(title || ' ' || seg || ' ' || r_name), '[\\s_/.,()·|-]+', '', 'g') AS hay FROM sc),
+q AS (
+  SELECT hay.*, k.id AS target_id, CASE WHEN k.id IS NULL THEN 'not_target' WHEN NOT (CASE
+      WHEN ck % 3 = 1 OR ck % 4 = 0 THEN NOT (ck % 4 = 0 AND contains(hay, 'household')) AND (ck % 3 <> 1 OR contains(hay, 'urgent') OR contains(hay, 'high'))
+      ELSE NOT contains(lower(title), 'medium') END) THEN 'role' END AS reason
+  FROM hay LEFT JOIN k ON k.enabled AND hay.ckey = k.key)"""
 _SEEN = _P + ", seen AS (SELECT id, CASE WHEN id % 13 <> 0 THEN created END AS first_seen, id % 3 = 0 AS notified, created FROM p WHERE created < '2001-07-02')"
 _E = """req AS (
   SELECT l_orderkey AS id, CASE WHEN l_linenumber <= 3 THEN 'REQUIRED' WHEN l_linenumber <= 5 THEN 'PREFERRED' ELSE 'CONTEXT' END AS importance,
@@ -55,9 +57,11 @@ _F = _S + ", " + _E + """, w AS (
 ), r AS (SELECT *, ['SKIP', 'ARCHIVE', 'REVIEW', 'APPLY', 'STRONG_APPLY'][lvl + 1] AS recommendation FROM g),
 ma AS (
   SELECT *, custkey % 5 = 0 AS target, coalesce(fit, rule) AS score, id % 19 = 0 AS deferred,
-    CASE WHEN deadline <> 'rolling' THEN date_diff('day', DATE '2001-08-01', deadline::DATE) END AS days FROM (SELECT * REPLACE (CASE WHEN deadline = 'rolling' THEN NULL ELSE deadline END AS deadline) FROM r)
+    date_diff('day', DATE '2001-08-01', try_cast(deadline AS DATE)) AS days FROM r
 ), mm AS (SELECT *, NOT deferred AND recommendation IN ('STRONG_APPLY', 'APPLY') AS eligible FROM ma)"""
-_D = _F + """, dash AS (SELECT id, score, score >= 60 AND recommendation <> 'SKIP' AS hot, coalesce(days BETWEEN 0 AND 3, false) AS urgent, coalesce(days < 0, false) AS expired FROM mm WHERE created >= '2001-05-01')"""
+_D = _F + """, dash AS (
+  SELECT id, company, score, score >= 60 AND recommendation <> 'SKIP' AS hot, coalesce(days BETWEEN 0 AND 3, false) AS urgent, coalesce(days < 0, false) AS expired,
+    CASE WHEN deadline IS NULL THEN 100001 WHEN deadline = '상시' THEN 100000 ELSE days END::INT AS dsort, '-' AS verdict FROM mm WHERE created >= '2001-05-03')"""
 _H = """fe AS (SELECT user_id AS source_id, ts, event_id, event_type <> 'error' AS ok, CASE WHEN event_type <> 'error' THEN floor(value / 50)::BIGINT END AS jobs FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ts DESC, event_id DESC) AS back FROM fe),
 h AS (
@@ -84,9 +88,9 @@ SQL = {
     "qualify_reason": f"WITH {_Q} SELECT id, target_id, reason FROM q",
     "mode_union": f"WITH {_Q} SELECT count(*) FILTER (qualified) AS discovery, count(*) FILTER (reason IS NULL) AS target, count(*) AS both FROM q WHERE qualified OR reason IS NULL",
     "families": f"WITH {_C} SELECT coalesce(family, id) AS family, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM c WHERE enabled GROUP BY 1",
-    "collectible_families": f"WITH {_C} SELECT coalesce(family, id) AS family, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM c WHERE enabled AND status IN ('supported', 'partial') GROUP BY 1",
+    "collectible_families": f"WITH {_C} SELECT coalesce(family, id) AS family, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM c WHERE enabled AND status IN ('generic_adapter_priority', 'adapter_candidate') GROUP BY 1",
     "portal_conflicts": f"WITH {_C} SELECT url AS careers_url, count(*) AS n, string_agg(id, ',' ORDER BY id) FILTER (NOT has_filter) AS lacking FROM c WHERE enabled AND url IS NOT NULL GROUP BY url HAVING n >= 2 AND lacking IS NOT NULL",
-    "research_needed": f"WITH {_C} SELECT status, count(*) AS n FROM c WHERE enabled AND status IN ('research', 'blocked') GROUP BY status",
+    "research_needed": f"WITH {_C} SELECT status, count(*) AS n FROM c WHERE enabled AND status IN ('restricted_research_needed', 'job_endpoint_research_needed') GROUP BY status",
     "tier_listing": f"WITH {_C} SELECT list_position(['S', 'A', 'B', 'C'], tier)::INT AS tier_rank, tier, coalesce(priority, 0)::INT AS priority, id FROM c WHERE enabled",
     "seen_upsert": f"WITH {_SEEN} SELECT id, coalesce(s.first_seen, '2001-08-01') AS first_seen, coalesce(s.notified, false) AS notified FROM p FULL JOIN seen s USING (id)",
     "seen_retention": f"WITH {_SEEN} SELECT id, first_seen FROM seen WHERE first_seen IS NULL OR first_seen >= '2000-08-01'",
@@ -96,23 +100,47 @@ SQL = {
     "assess_budget": f"WITH {_S} SELECT id, rule, row_number() OVER (ORDER BY rule DESC, id) <= 200 AS in_budget, row_number() OVER (ORDER BY rule DESC, id) > 200 AS deferred FROM sc WHERE qualified",
     "detail_budget": f"WITH {_S} SELECT id, rule FROM sc WHERE id % 5 <> 0 ORDER BY rule DESC, id LIMIT 100",
     "thin_bodies": "SELECT doc_id, length(text)::INT AS n FROM documents WHERE length(text) < 400 ORDER BY doc_id LIMIT 15",
-    "deadline_states": f"WITH {_P}, x AS (SELECT id, deadline, CASE WHEN deadline <> 'rolling' THEN date_diff('day', DATE '2001-08-01', CASE WHEN deadline = 'rolling' THEN NULL ELSE deadline END::DATE) END::INT AS days FROM p), y AS (SELECT id, days, CASE WHEN deadline IS NULL THEN 'unknown' WHEN deadline = 'rolling' THEN 'rolling' WHEN days < 0 THEN 'past' WHEN days = 0 THEN 'today' ELSE 'open' END AS state FROM x) SELECT id, CASE WHEN state = 'open' THEN 'D-' || days ELSE state END AS label, days, state FROM y",
+    "deadline_states": f"WITH {_P}, x AS (SELECT id, deadline, try_cast(deadline AS DATE) AS due, date_diff('day', DATE '2001-08-01', try_cast(deadline AS DATE))::INT AS days FROM p) SELECT id, CASE WHEN deadline IS NULL THEN '미상' WHEN deadline = '상시' THEN '상시' WHEN days < 0 THEN '마감(' || strftime(due, '%m/%d') || ')' WHEN days = 0 THEN '오늘마감(' || strftime(due, '%m/%d') || ')' ELSE 'D-' || days || ' (' || strftime(due, '%m/%d') || ')' END AS label, days, CASE WHEN deadline IS NULL THEN 'unknown' WHEN deadline = '상시' THEN 'rolling' ELSE 'date' END AS state FROM x",
     "requirement_normalize": f"WITH {_E} SELECT importance, m AS match, CASE WHEN demoted THEN 'LOW' ELSE 'HIGH' END AS confidence, demoted, count(*) AS n FROM ev GROUP BY ALL",
     "match_axis": f"WITH {_E} SELECT * FROM ax",
     "fit_score": f"WITH {_F} SELECT id, fit, gap FROM f",
     "recommend": f"WITH {_F} SELECT id, recommendation FROM r",
-    "note_rank": f"WITH {_F} SELECT id, target, (5 - lvl)::INT AS rank, score FROM mm WHERE NOT deferred AND (score >= 50 OR target) ORDER BY target DESC, rank, score DESC, id LIMIT 100",
-    "push_top8": f"WITH {_F} SELECT id, target, score FROM mm WHERE NOT deferred AND (eligible OR (target AND recommendation <> 'SKIP')) ORDER BY target DESC, score DESC, id LIMIT 8",
-    "dashboard_rank": f"WITH {_D} SELECT * FROM dash",
+    "note_rank": f"WITH {_F} SELECT id, target, (5 - lvl)::INT AS rank, score, row_number() OVER (ORDER BY target DESC, 5 - lvl, score DESC, id)::INT AS place FROM mm WHERE NOT deferred AND (score >= 50 OR target) QUALIFY place <= 100",
+    "push_top8": f"WITH {_F} SELECT id, target, score, row_number() OVER (ORDER BY target DESC, score DESC, id)::INT AS place FROM mm WHERE NOT deferred AND (eligible OR (target AND recommendation <> 'SKIP')) QUALIFY place <= 8",
+    "push_overflow": f"WITH {_F} SELECT count(*) AS told, count(*) FILTER (target) AS targets, greatest(0, count(*) - 8) AS more FROM mm WHERE NOT deferred AND (eligible OR (target AND recommendation <> 'SKIP'))",
+    "final_order": f"WITH {_F} SELECT id, score, row_number() OVER (ORDER BY score DESC, rule DESC, id)::INT AS place FROM mm QUALIFY place <= 60",
+    "recommend_why": f"WITH {_F} SELECT id, concat_ws('; ', CASE WHEN id % 17 = 0 THEN '결격: no licence' END, CASE WHEN total = 0 THEN '필수 요구사항을 뽑지 못해 근거가 얇음' WHEN total < 5 THEN '필수 요구사항이 ' || total || '건뿐이라 근거가 얇음(공고 본문이 비면 목록 정보만으로 판정된다)' WHEN known = 0 THEN '필수 요구사항 ' || total || '건이 모두 미판정' WHEN known <= 0.5 * total THEN '필수 요구사항 ' || total || '건 중 ' || known || '건만 판정됨(나머지는 이력에 언급 없음)' END, CASE WHEN gap >= 3 AND contains(title, 'URGENT') THEN '요구 경력이 ' || gap || '년 많고 시니어 명시 공고' WHEN gap >= 2 THEN '요구 경력이 ' || gap || '년 많음' END) AS why FROM g",
+    "told_marking": f"WITH {_F}, seen AS (SELECT id, CASE WHEN id % 13 <> 0 THEN created END AS first_seen, id % 3 = 0 AS notified, created FROM p WHERE created < '2001-07-02') SELECT p.id, coalesce(s.first_seen, '2001-08-01') AS first_seen, CASE WHEN mm.id IS NOT NULL AND p.id % 4 = 0 THEN p.created WHEN s.id IS NOT NULL AND p.id % 2 = 0 THEN p.created END AS created_at, coalesce(s.notified, false) OR coalesce(NOT mm.deferred AND (mm.score >= 50 OR mm.target), false) AS notified FROM p LEFT JOIN seen s ON p.id = s.id LEFT JOIN mm ON p.id = mm.id",
+    "seed_marking": f"WITH {_F} SELECT count(*) AS n, count(*) FILTER ((p.created < '2001-07-02' AND p.id % 3 = 0) OR (mm.id IS NOT NULL AND p.id % 4 = 0)) AS told FROM p LEFT JOIN mm ON p.id = mm.id",
+    "dashboard_rank": f"WITH {_D} SELECT id, score, hot, urgent, expired, dsort, verdict FROM dash",
+    "dashboard_order": f"WITH {_D}, x AS (SELECT 'score' AS by, id, row_number() OVER (ORDER BY score DESC, dsort, id)::INT AS place FROM dash UNION ALL SELECT 'due', id, row_number() OVER (ORDER BY dsort, score DESC, id)::INT FROM dash) SELECT * FROM x WHERE place <= 40",
+    "dashboard_search": f"WITH {_D} SELECT id, company FROM dash WHERE contains(lower(company), '0000012')",
     "dashboard_kpis": f"WITH {_D} SELECT count(*) AS total, count(*) FILTER (hot) AS hot, count(*) FILTER (urgent) AS urgent FROM dash",
     "run_stats": f"WITH {_F} SELECT count(*) AS matches, count(*) FILTER (deferred) AS deferred, count(*) FILTER (eligible) AS eligible, count(*) FILTER (target) AS targets, count(*) FILTER (recommendation IS NULL) AS unjudged FROM mm",
     "health_rollup": f"WITH {_H} SELECT source_id, n_fetches, jobs_seen, consecutive_failures, last_nonzero FROM hs",
     "health_warnings": f"WITH {_H} SELECT source_id, CASE WHEN consecutive_failures >= 2 THEN 'failed' ELSE 'emptied' END AS warning FROM hs WHERE consecutive_failures >= 2 OR (jobs_seen = 0 AND last_nonzero IS NOT NULL)",
-    "health_summary": f"WITH {_H} SELECT count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, count(*) FILTER (ok AND jobs = 0) AS n_empty, sum(jobs)::BIGINT AS n_jobs FROM fe",
+    "health_summary": f"WITH {_H} SELECT count(*) AS checked, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, count(*) FILTER (ok AND jobs = 0) AS n_empty, sum(jobs)::BIGINT AS n_jobs, coalesce(string_agg(DISTINCT source_id::VARCHAR, ',' ORDER BY source_id::VARCHAR) FILTER (NOT ok), '') AS failed_ids, coalesce(string_agg(DISTINCT source_id::VARCHAR, ',' ORDER BY source_id::VARCHAR) FILTER (ok AND jobs = 0), '') AS empty_ids FROM fe",
+    "health_order": f"WITH {_H} SELECT row_number() OVER (ORDER BY source_id)::INT AS place, source_id, CASE WHEN consecutive_failures >= 2 THEN 'failed' ELSE 'emptied' END AS warning FROM hs WHERE consecutive_failures >= 2 OR (jobs_seen = 0 AND last_nonzero IS NOT NULL) QUALIFY place <= 50",
     "health_stale": f"WITH {_H} SELECT source_id, date_diff('day', last_ok::DATE, DATE '2024-02-01')::INT AS days FROM hs",
     "page_extract": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, regexp_matches(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '^/en/') AS english_path FROM pages",
     "event_json": "SELECT event_type, sum((props::JSON->>'$.k')::BIGINT)::BIGINT AS k_sum, count(*) AS n FROM events GROUP BY event_type",
     "positions_fold": "SELECT l_orderkey, min(l_quantity) AS career_from, max(l_quantity) AS career_to, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS fields FROM lineitem GROUP BY l_orderkey",
     "last_value_upsert": "SELECT user_id, min(event_id) AS place, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
-    "robots_guard": "SELECT page_id, regexp_matches(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '^(/[a-z]{2})?/(m|a)/|/o/[^/]+/apply$|/9[0-9]*/?$') AS blocked FROM pages",
+    "robots_guard": "WITH u AS (SELECT page_id, 'https://jobs.example.com' || ['/o/12/apply', '/ko/o/1/apply?x=1', '/m/x', '/ko/apply', '/en/a/1', '/x/o/1/apply', '', '/about'][(page_id % 8 + 1)::INT] AS url FROM pages) SELECT page_id, url, page_id % 8 IN (0, 1, 2, 4) AS blocked FROM u",
+    "role_names": "SELECT DISTINCT 'Back-end / ' || p_name AS raw, 'backend' || regexp_replace(lower(p_name), '[\\s_/.,()·|-]+', '', 'g') AS key FROM part",
+    "company_legal": "SELECT ['주식회사', '( 주 )', '(有) ', '유한책임회사 '][c_custkey % 4 + 1] || c_name || CASE WHEN c_custkey % 3 = 0 THEN ' Pte. Ltd.' ELSE '' END AS raw, lower(replace(c_name, '#', '')) AS key FROM customer",
+    "key_typos": f"WITH {_C} SELECT id, 'colour,teir' AS unknown FROM c WHERE ck % 9 = 0",
+    "unclassified": f"WITH {_C} SELECT id FROM c WHERE enabled AND status IS NULL",
+    "official_urls": f"WITH {_C} SELECT id, concat_ws(' ', url, CASE WHEN ck % 10 = 0 AND url IS DISTINCT FROM 'https://jobs.example.com/0' THEN 'https://jobs.example.com/0' END) AS urls, CASE WHEN ck % 10 = 0 THEN 'official platform' ELSE '' END AS types FROM c",
+    "adapted_companies": f"WITH {_C} SELECT id, family FROM c WHERE enabled AND status IN ('generic_adapter_priority', 'adapter_candidate') AND family IN ('fam1', 'fam2')",
+    "blocker_adoption": "SELECT CASE WHEN l_linenumber % 5 = 4 THEN 'career' ELSE 'other' END AS kind, ['경력 5년 이상', '신입 전용, 경력 3년 불가', 'driving licence', '7 years of experience', 'lives abroad'][l_linenumber % 5 + 1] AS detail, CASE WHEN l_linenumber % 5 IN (0, 3, 4) THEN '경력 연수 차이는 자동 결격이 아님' WHEN l_suppkey % 3 = 0 THEN '공고 원문 근거 없음' ELSE 'adopted' END AS reject, count(*) AS n FROM lineitem GROUP BY ALL",
+    "evidence_narrow": "WITH e AS (SELECT user_id AS id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS held, event_type IN ('purchase', 'click') AND event_id % 2 = 1 AS demoted FROM events) SELECT id, count(*)::INT AS n_rows, any_value(held) > 12 AS truncated, count(*) FILTER (demoted)::INT AS demoted, 'req ' || min(event_id) AS first, count(*) FILTER (event_type = 'purchase' AND NOT demoted)::INT AS n_full, count(*) FILTER (event_id % 3 = 0)::INT AS n_required, 'a,b' AS blockers FROM e WHERE nth <= 12 GROUP BY id",
+    "evidence_deferral": f"WITH {_S}, b AS (SELECT id, row_number() OVER (ORDER BY rule DESC, id) <= 200 AS in_budget FROM sc WHERE qualified) SELECT id, in_budget, in_budget AND id % 3 = 0 AS failed, NOT in_budget OR id % 3 = 0 AS deferred FROM b",
+    "body_sources": f"WITH {_S}, b AS (SELECT *, id % 2 = 1 AS thin FROM sc WHERE qualified), t AS (SELECT id FROM b WHERE thin AND id % 5 <> 0 ORDER BY rule DESC, id LIMIT 30) SELECT b.id, CASE WHEN t.id IS NOT NULL AND b.id % 7 <> 0 THEN 'crawled' WHEN thin THEN 'thin' ELSE 'platform' END AS jd_source, CASE WHEN t.id IS NOT NULL AND b.id % 7 <> 0 THEN 6000 WHEN thin THEN 5 ELSE 300 END::INT AS n FROM b LEFT JOIN t ON b.id = t.id",
+    "source_badges": f"WITH {_P} SELECT id, CASE source WHEN 'platform_a' THEN 'A' WHEN 'platform_b' THEN 'B A' ELSE 'official A' END AS badge FROM p",
+    "platform_b_postings": "WITH o AS (SELECT (o_orderkey % 1000)::VARCHAR AS id, min(o_orderkey) AS seq, arg_max(o_orderpriority, o_orderkey) AS title, max(o_orderkey) AS last, arg_max(o_orderdate, o_orderkey) AS d FROM orders GROUP BY 1) SELECT id, seq, title, last % 9 = 0 AS unnamed, 'backend' AS depths, true AS synthetic, CASE WHEN last % 5 = 0 THEN '상시' ELSE strftime(d, '%Y-%m-%d') END AS deadline, 'https://b.example.com/position/' || id AS detail_url FROM o",
+    "platform_b_details": "SELECT c_custkey::VARCHAR AS id, '[responsibility]' || chr(10) || c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || '[qualifications]' || chr(10) || c_mktsegment ELSE '' END || chr(10) || chr(10) || '[welfares]' || chr(10) || 'tea' || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || '[기술스택] Spark, SQL' ELSE '' END AS body FROM customer",
+    "career_postings": "WITH o AS (SELECT o_orderkey AS k, ['서울특별시 강남구', '경기도 성남시', 'HQ', 'HQ'] AS r FROM orders), x AS (SELECT *, r[(k % 4 + 1)::INT] AS r0, r[((k + 1) % 4 + 1)::INT] AS r1, CASE WHEN k % 6 = 0 THEN '재택' END AS home FROM o) SELECT 'greetinghr:acme:' || k AS id, '?' AS title, concat_ws(',', r0, home, CASE WHEN r1 <> r0 THEN r1 END) AS regions, '정규직,인턴' AS kinds, (k % 5)::INT AS career_min, (k % 5 + 2)::INT AS career_max, CASE WHEN k % 3 = 0 THEN '2001-09-01' ELSE '상시' END AS deadline, 'https://acme.example.com/ko/o/' || k AS detail_url FROM x WHERE k % 8 <> 0",
+    "rich_text_flatten": "SELECT conv_id, turn, regexp_replace(regexp_replace(role || ' ' || text || CASE WHEN turn % 2 = 0 THEN chr(10) || '[태그] a, b' ELSE '' END, '^\\s+', ''), '\\s+$', '') AS body FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL",
+    "embedded_json_pick": "SELECT conv_id, turn, turn::BIGINT AS n FROM conversations",
 }

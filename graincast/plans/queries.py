@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincast import outputs
 from graincast.functions import text as T
-from graincast.operators import dedup, fit, health, novelty, registry, scoring
+from graincast.operators import dedup, evidence, fit, health, matches, novelty, registry, scoring
 from graincast.session import table
+from graincast.sources import adapters, landed
 from graincast.sources import bridge as B
 
 R = scoring.Rules()
-INCLUDE, EXCLUDE = ["urgent", "high", "medium"], ["household"]
+RUN = matches.Run(as_of=B.AS_OF, judge_budget=200, crawl=True, crawl_budget=30)
+TITLE_OUT = ["medium"]
 
 
 def _scored(s, d) -> DataFrame:
@@ -19,7 +22,7 @@ def _scored(s, d) -> DataFrame:
 
 
 def _resolved(s, d) -> DataFrame:
-    return registry.resolve(B.postings(s, d).withColumn("k", T.plain_company(F.col("company"))), B.companies(s, d), "k")
+    return registry.resolve(B.postings(s, d).withColumn("k", T.plain_company(F.col("company"))), B.companies(s, d), "k", carry=("roles_include", "roles_exclude"))
 
 
 def postings_union(s, d):
@@ -83,12 +86,12 @@ def near_misses(s, d):
 
 
 def qualify_reason(s, d):
-    return registry.qualify(_resolved(s, d), INCLUDE, EXCLUDE).select("id", "target_id", "reason")
+    return registry.qualify(_resolved(s, d), TITLE_OUT, unicode=False).select("id", "target_id", "reason")
 
 
 def mode_union(s, d):
     """Discovery and target in one pass; a posting that is both counts once."""
-    q = registry.qualify(_resolved(s, d), INCLUDE, EXCLUDE)
+    q = registry.qualify(_resolved(s, d), TITLE_OUT, unicode=False)
     q = scoring.with_rule_score(q, R).withColumn("target", F.col("target_id").isNotNull() & F.col("reason").isNull())
     return q.filter("qualified or target").agg(F.count_if("qualified").alias("discovery"), F.count_if("target").alias("target"), F.count(F.lit(1)).alias("both"))
 
@@ -172,7 +175,9 @@ def _fit(s, d) -> DataFrame:
     axes = {"required": F.col("required"), "preferred": F.col("preferred"), "tech": F.col("p_tech"), "career": F.col("p_career"), "preference": (F.col("p_region") + F.col("p_employment")) / 2}
     j = j.withColumn("fit", fit.fit_score(axes)).withColumn("gap", fit.career_gap("career_min", R.career_years))
     known, total = F.col("required_known"), F.col("required_total")
-    return j.withColumn("recommendation", fit.recommendation(F.col("fit"), known, total, F.col("gap"), F.col("title").contains("URGENT"), F.col("id") % 17 == 0))
+    barred = F.when(F.col("id") % 17 == 0, F.array(F.struct(F.lit("no licence").alias("detail")))).otherwise(F.array().cast("array<struct<detail:string>>"))
+    args = (F.col("fit"), known, total, F.col("gap"), F.col("title").contains("URGENT"))
+    return j.withColumns({"recommendation": fit.recommendation(*args, F.col("id") % 17 == 0), "why": fit.reasons(*args, barred)})
 
 
 def fit_score(s, d):
@@ -191,24 +196,54 @@ def _matches(s, d) -> DataFrame:
     return m.withColumn("eligible", ~F.col("deferred") & F.when(F.col("recommendation").isNotNull(), top).otherwise(F.col("score") >= 60))
 
 
-def _rank():
-    return F.array_position(F.array(*[F.lit(x) for x in reversed(fit.RANKS)]), F.coalesce("recommendation", F.lit("REVIEW"))).cast("int")
+def _placed(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first ``n`` rows with their ``place``: numbered after the limit, so over ``n`` rows only."""
+    return df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def note_rank(s, d):
-    m = _matches(s, d).filter("not deferred and (score >= 50 or target)")
-    return m.select("id", "target", _rank().alias("rank"), "score", "seq").orderBy(F.desc("target"), "rank", F.desc("score"), "seq").limit(100).drop("seq")
+    m = _matches(s, d).filter(matches.in_note(RUN)).withColumn("rank", outputs.rank())
+    return _placed(m, 100, F.desc("target"), "rank", F.desc("score"), "seq").select("id", "target", "rank", "score", "place")
 
 
 def push_top8(s, d):
-    m = _matches(s, d).filter(~F.col("deferred") & (F.col("eligible") | (F.col("target") & (F.coalesce("recommendation", F.lit("")) != "SKIP"))))
-    return m.orderBy(F.desc("target"), F.desc("score"), "seq").limit(8).select("id", "target", "score")
+    return _placed(outputs.pushed(_matches(s, d), 60.0), outputs.PUSHED, F.desc("target"), F.desc("score"), "seq").select("id", "target", "score", "place")
+
+
+def push_overflow(s, d):
+    told = outputs.pushed(_matches(s, d), 60.0)
+    return told.agg(F.count(F.lit(1)).alias("told"), F.count_if("target").alias("targets"), F.greatest(F.lit(0), F.count(F.lit(1)) - outputs.PUSHED).alias("more"))
+
+
+def final_order(s, d):
+    """Matches best first; equal scores keep the order of rule scores, then of arrival."""
+    return _placed(_matches(s, d), 60, F.desc("score"), F.desc("rule"), "seq").select("id", "score", "place")
+
+
+def recommend_why(s, d):
+    return _fit(s, d).select("id", F.array_join("why", "; ").alias("why"))
+
+
+def _dashboard(s, d) -> DataFrame:
+    m = _matches(s, d)
+    card = F.struct("score", "company", "title", F.lit("#").alias("url"), F.lit(None).cast("string").alias("verdict"), "deadline", F.lit("").alias("one_liner"), F.lit("-").alias("career"), F.lit("-").alias("region"), F.col("fit").isNotNull().alias("scored"), F.lit(B.AS_OF).alias("date"), "recommendation", "target", F.lit("A").alias("tier"))
+    return outputs.dashboard_rows(m.select("id", F.col("created").alias("first_seen"), card.alias("card")), RUN)
 
 
 def dashboard_rank(s, d):
-    m = _matches(s, d).filter(F.col("created") >= "2001-05-01")
-    hot = (F.col("score") >= 60) & (F.coalesce("recommendation", F.lit("")) != "SKIP")
-    return m.select("id", "score", hot.alias("hot"), F.coalesce(F.col("days").between(0, 3), F.lit(False)).alias("urgent"), F.coalesce(F.col("days") < 0, F.lit(False)).alias("expired"))
+    return _dashboard(s, d).select("id", "score", "hot", "urgent", "expired", "dsort", "verdict")
+
+
+def dashboard_order(s, d):
+    """The page's two orders: by score, and by deadline."""
+    rows = _dashboard(s, d)
+    best = _placed(rows, 40, F.desc("score"), "dsort", "id").withColumn("by", F.lit("score"))
+    due = _placed(rows, 40, "dsort", F.desc("score"), "id").withColumn("by", F.lit("due"))
+    return best.unionByName(due).select("by", "id", "place")
+
+
+def dashboard_search(s, d):
+    return outputs.searched(_dashboard(s, d), " 0000012 ").select("id", "company")
 
 
 def dashboard_kpis(s, d):
@@ -258,8 +293,137 @@ def last_value_upsert(s, d):
 
 
 def robots_guard(s, d):
-    path = F.parse_url("url", F.lit("PATH"))
-    return table(s, d, "pages").select("page_id", path.rlike("^(/[a-z]{2})?/(m|a)/|/o/[^/]+/apply$|/9[0-9]*/?$").alias("blocked"))
+    """Paths of career pages that must not be fetched; a list that ends in apply may be."""
+    tails = ("/o/12/apply", "/ko/o/1/apply?x=1", "/m/x", "/ko/apply", "/en/a/1", "/x/o/1/apply", "", "/about")
+    url = F.concat(F.lit("https://jobs.example.com"), F.element_at(F.array(*map(F.lit, tails)), (F.col("page_id") % len(tails) + 1).cast("int")))
+    return table(s, d, "pages").select("page_id", url.alias("url"), adapters.forbidden(url).alias("blocked"))
+
+
+def role_names(s, d):
+    return table(s, d, "part").select(F.concat(F.lit("Back-end / "), F.col("p_name")).alias("raw")).distinct().select("raw", T.role_text(F.col("raw"), unicode=False).alias("key"))
+
+
+def company_legal(s, d):
+    """Korean and bracketed legal forms, glued or apart."""
+    marks = F.array(*map(F.lit, ("주식회사", "( 주 )", "(有) ", "유한책임회사 ")))
+    raw = F.concat(F.element_at(marks, (F.col("c_custkey") % 4 + 1).cast("int")), F.col("c_name"), F.when(F.col("c_custkey") % 3 == 0, " Pte. Ltd.").otherwise(""))
+    return table(s, d, "customer").select(raw.alias("raw"), T.normalize_company(raw).alias("key"))
+
+
+def key_typos(s, d):
+    return registry.key_typos(B.companies(s, d))
+
+
+def unclassified(s, d):
+    return registry.unclassified(B.companies(s, d))
+
+
+def official_urls(s, d):
+    return registry.official_urls(B.companies(s, d)).select("id", F.array_join("urls", " ").alias("urls"), F.array_join("types", " ").alias("types"))
+
+
+def adapted_companies(s, d):
+    return registry.adapted(B.companies(s, d), ["fam1", "fam2"]).select("id", "family")
+
+
+def blocker_adoption(s, d):
+    """Which candidate blockers count, and why the others don't."""
+    details = ("경력 5년 이상", "신입 전용, 경력 3년 불가", "driving licence", "7 years of experience", "lives abroad")
+    nth = (F.col("l_linenumber") % 5).cast("int")
+    one = F.struct(F.when(nth == 4, "career").otherwise("other").alias("kind"), F.element_at(F.array(*map(F.lit, details)), nth + 1).alias("detail"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise("text").alias("evidence"))
+    counts, rejected = evidence.adopted(F.array(one))
+    rows = table(s, d, "lineitem").select(counts.alias("yes"), rejected.alias("no")).select(F.explode(F.concat("yes", "no")).alias("b"))
+    return rows.groupBy("b.kind", "b.detail", F.coalesce("b.reject", F.lit("adopted")).alias("reject")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def evidence_narrow(s, d):
+    """Responses narrowed: capped rows, demoted claims, blockers told once."""
+    e = evidence.typed(B.responses(s, d))
+    rows = F.col("evidence.requirements")
+    full = F.size(F.filter(rows, lambda r: r["match"] == "FULL"))
+    must = F.size(F.filter(rows, lambda r: r["importance"] == "REQUIRED"))
+    return e.select("id", F.size(rows).alias("n_rows"), F.col("evidence.truncated").alias("truncated"), F.col("evidence.demoted").alias("demoted"), rows[0]["requirement"].alias("first"), full.alias("n_full"), must.alias("n_required"), F.array_join(F.transform("evidence.hard_blockers", lambda b: b["detail"]), ",").alias("blockers"))
+
+
+def evidence_deferral(s, d):
+    """What is over the budget, or asked without an answer, is put off."""
+    best = _scored(s, d).filter("qualified")
+    answers = best.filter("id % 3 <> 0").select("id", F.lit('{"requirements": []}').alias("response"))
+    return matches.assessed(best, answers, RUN).select("id", "in_budget", "failed", "deferred")
+
+
+def body_sources(s, d):
+    """Thin bodies are crawled within a budget; what came back too short doesn't count."""
+    best = _scored(s, d).filter("qualified")
+    details = best.select("id", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), 300)).otherwise("short").alias("body"), F.when(F.col("id") % 5 != 0, "https://x.example.com").alias("url"), "created")
+    crawled = best.select("id", F.repeat(F.lit("y"), F.when(F.col("id") % 7 == 0, F.lit(100)).otherwise(7000).cast("int")).alias("text"))
+    return matches.bodies(best, details, crawled, RUN).select("id", "jd_source", F.char_length("body").alias("n"))
+
+
+def _told(s, d, seed: bool) -> DataFrame:
+    m = _matches(s, d)
+    listed, seen = B.postings(s, d), B.seen(s, d).withColumn("created_at", F.when(F.col("id") % 2 == 0, F.col("created")))
+    fresh = m.filter("id % 4 = 0").select("id", F.col("created").alias("created_at"))
+    return matches.next_state(seen, listed, fresh, m.filter(matches.in_note(RUN)), matches.Run(as_of=B.AS_OF, seed=seed))
+
+
+def told_marking(s, d):
+    return _told(s, d, False)
+
+
+def seed_marking(s, d):
+    """A seeding run marks what is fresh and shows nothing."""
+    return _told(s, d, True).agg(F.count(F.lit(1)).alias("n"), F.count_if("notified").alias("told"))
+
+
+def platform_b_postings(s, d):
+    """Pages list an id again; the roles asked for stand in for depths and are marked as made up."""
+    o = table(s, d, "orders")
+    raw = o.select((F.col("o_orderkey") % 1000).alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 9 != 0, "c").alias("companyName"), F.lit(1).alias("minCareer"), F.lit(5).alias("maxCareer"), F.array(F.lit("서울")).alias("locations"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00").alias("closedAt"), (F.col("o_orderkey") % 5 == 0).alias("alwaysOpen"))
+    out = adapters.PlatformB(roles=("backend",), site="https://b.example.com").postings(raw)
+    return out.select("id", "seq", "title", (F.col("company") == "?").alias("unnamed"), F.array_join("depth_twos", ",").alias("depths"), "synthetic", "deadline", "detail_url")
+
+
+def platform_b_details(s, d):
+    c = table(s, d, "customer")
+    raw = c.select(F.col("c_custkey").alias("id"), F.lit("2001-01-02").alias("publishedAt"), F.col("c_name").alias("responsibility"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("qualifications"), F.lit(None).cast("string").alias("preferredRequirements"), F.lit("tea").alias("welfares"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("Spark"), F.lit(""), F.lit("SQL"))).alias("techStacks"))
+    return adapters.PlatformB().details(raw).select("id", "body")
+
+
+def career_postings(s, d):
+    """Openings of career pages: regions from addresses, home work, widest range, kinds of employment, ids with family and company."""
+    place = lambda i: F.element_at(F.array(*map(F.lit, ("서울특별시 강남구 역삼동", "경기도 성남시", "Base Camp", ""))), ((F.col("o_orderkey") + i) % 4 + 1).cast("int"))
+    position = lambda i: F.struct(
+        F.struct(F.lit("IT").alias("field")).alias("workspaceField"), F.struct(F.col("o_orderpriority").alias("occupation")).alias("workspaceOccupation"), F.struct(F.lit("HQ").alias("location"), place(i).alias("place"), (F.col("o_orderkey") % 6 == 0).alias("workFromHome")).alias("workspacePlace"),
+        F.struct((F.col("o_orderkey") % 5 + i).cast("int").alias("careerFrom"), (F.col("o_orderkey") % 5 + 2 * i).cast("int").alias("careerTo")).alias("jobPositionCareer"), F.struct(F.lit("INTERN" if i else "FULL_TIME_WORKER").alias("employmentType")).alias("jobPositionEmployment"))
+    item = F.struct(F.when(F.col("o_orderkey") % 8 != 0, F.col("o_orderkey")).cast("long").alias("openingId"), F.lit("").alias("title"), F.lit("2001-01-01").alias("openDate"), F.when(F.col("o_orderkey") % 3 == 0, "2001-09-01T10").alias("dueDate"), F.struct(F.array(position(0), position(1)).alias("openingJobPositions")).alias("openingJobPosition"))
+    raw = table(s, d, "orders").select(F.lit("acme").alias("company_id"), F.lit("Acme").alias("company"), F.lit("https://acme.example.com/ko/jobs").alias("careers_url"), F.lit("greetinghr").alias("family"), F.col("o_orderkey").alias("seq"), item.alias("item"))
+    out = adapters.CareerPages().postings(raw)
+    return out.select("id", "title", F.array_join("regions", ",").alias("regions"), F.array_join("employee_types", ",").alias("kinds"), "career_min", "career_max", "deadline", "detail_url")
+
+
+def rich_text_flatten(s, d):
+    """Text leaves of nested bodies, with a line of tags."""
+    leaf = lambda c: F.struct(F.lit("text").alias("type"), F.col(c).alias("text"))
+    tree = F.to_json(F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.array(leaf("role")).alias("content")), F.struct(F.array(leaf("text")).alias("content"))).alias("content")))
+    tags = F.when(F.col("turn") % 2 == 0, F.array(F.lit("a"), F.lit("b")))
+    c = table(s, d, "conversations").filter("text is not null and role is not null")
+    return c.select("conv_id", "turn", landed.detail_text(F.lit(""), landed.rich_text(tree), tags).alias("body"))
+
+
+def embedded_json_pick(s, d):
+    c = table(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit('so {"x": 1, "y": {"z": 2}, "w": 3} then {"requirements": [], "n": '), F.col("turn").cast("string"), F.lit("} and { left")).alias("answer"))
+    picked = landed.embedded_json("answer")
+    return c.select("conv_id", "turn", F.get_json_object(picked, "$.n").cast("long").alias("n"))
+
+
+def health_order(s, d):
+    return _placed(health.warnings(health.rollup(B.fetches(s, d))), 50, "source_id").select("place", "source_id", "warning")
+
+
+def source_badges(s, d):
+    p = B.postings(s, d)
+    return p.select("id", outputs.badge(F.array("source", F.lit("platform_a")), {"platform_a": "A", "platform_b": "B"}).alias("badge"))
 
 
-QUERIES = {f.__name__: f for f in (postings_union, company_normalize, title_keys, dedup_survivors, ambiguous_keys, text_dedup, exclusions, score_parts, rule_score, rule_topk, resolve_target, alias_collisions, near_misses, qualify_reason, mode_union, families, collectible_families, portal_conflicts, research_needed, tier_listing, seen_upsert, seen_retention, not_notified, created_cache, fresh_window, assess_budget, detail_budget, thin_bodies, deadline_states, requirement_normalize, match_axis, fit_score, recommend, note_rank, push_top8, dashboard_rank, dashboard_kpis, run_stats, health_rollup, health_warnings, health_summary, health_stale, page_extract, event_json, positions_fold, last_value_upsert, robots_guard)}
+QUERIES = {f.__name__: f for f in (postings_union, company_normalize, company_legal, role_names, title_keys, dedup_survivors, ambiguous_keys, text_dedup, exclusions, score_parts, rule_score, rule_topk, resolve_target, alias_collisions, near_misses, qualify_reason, mode_union, families, collectible_families, adapted_companies, portal_conflicts, research_needed, tier_listing, key_typos, unclassified, official_urls, seen_upsert, seen_retention, not_notified, created_cache, fresh_window, assess_budget, detail_budget, evidence_deferral, body_sources, thin_bodies, deadline_states, requirement_normalize, evidence_narrow, blocker_adoption, match_axis, fit_score, recommend, recommend_why, final_order, note_rank, push_top8, push_overflow, told_marking, seed_marking, dashboard_rank, dashboard_order, dashboard_search, dashboard_kpis, run_stats, source_badges, health_rollup, health_warnings, health_order, health_summary, health_stale, page_extract, event_json, positions_fold, last_value_upsert, platform_b_postings, platform_b_details, career_postings, rich_text_flatten, embedded_json_pick, robots_guard)}

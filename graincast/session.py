@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -28,3 +29,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``; the path may be on any store Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A side is broadcast up to this many bytes of values.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its values, summed in one pass, fit in BROADCAST_BYTES; else left to a shuffle join."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) + F.lit(16) for f in df.schema.fields), F.lit(0))
+    held = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df

@@ -15,7 +15,7 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     o, c, n, r = (table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     low = F.floor(F.col("o_totalprice") / 50000).cast("int")
-    due = F.when(F.col("o_orderkey") % 7 == 0, F.lit("rolling")).when(F.col("o_orderkey") % 7 == 1, F.lit(None)).otherwise(F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 30), "yyyy-MM-dd"))
+    due = F.when(F.col("o_orderkey") % 7 == 0, F.lit("상시")).when(F.col("o_orderkey") % 7 == 1, F.lit(None)).otherwise(F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 30), "yyyy-MM-dd"))
     return joined.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("title"), F.col("c_name").alias("company"), F.lit("").alias("canonical"),
         F.when(F.col("o_orderstatus") == "F", "platform_a").when(F.col("o_orderstatus") == "O", "platform_b").otherwise("official").alias("source"),
@@ -28,13 +28,16 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 def companies(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth customer, with an alias; tier by segment."""
-    k = F.col("c_custkey")
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
     tier = F.element_at(F.array(*[F.lit(x) for x in "SABC"]), (F.length("c_mktsegment") % 4 + 1).cast("int"))
     return table(spark, sf, "customer").filter(k % 5 == 0).select(
         F.concat(F.lit("c"), k.cast("string")).alias("id"), plain_company(F.col("c_name")).alias("name_key"), F.array(F.concat(F.lit("alias"), (k % 400).cast("string"))).alias("alias_keys"),
         (k % 3 != 0).alias("enabled"), tier.alias("tier"), F.when(k % 2 == 0, (k % 10).cast("int")).alias("priority"),
-        F.when(k % 4 != 0, F.concat(F.lit("fam"), (k % 6).cast("string"))).alias("family"), F.when(k % 7 == 0, "supported").when(k % 7 == 1, "partial").when(k % 7 == 2, "research").when(k % 7 == 3, "blocked").alias("status"),
+        F.when(k % 4 != 0, F.concat(F.lit("fam"), (k % 6).cast("string"))).alias("family"), F.when(k % 7 == 0, "generic_adapter_priority").when(k % 7 == 1, "adapter_candidate").when(k % 7 == 2, "restricted_research_needed").when(k % 7 == 3, "job_endpoint_research_needed").alias("status"),
         F.when(k % 2 == 0, F.concat(F.lit("https://jobs.example.com/"), (k % 20).cast("string"))).alias("careers_url"), (k % 8 == 0).alias("has_filter"),
+        F.when(k % 3 == 1, F.array(F.lit("urgent"), F.lit("high"))).otherwise(none).alias("roles_include"), F.when(k % 4 == 0, F.array(F.lit("household"))).otherwise(none).alias("roles_exclude"),
+        F.when(k % 9 == 0, F.array(F.lit("colour"), F.lit("teir"))).otherwise(none).alias("unknown_keys"),
+        F.when(k % 10 == 0, F.array(F.struct(F.lit("official").alias("type"), F.lit("https://jobs.example.com/0").alias("url")), F.struct(F.lit("platform").alias("type"), F.lit("x").alias("url")))).otherwise(F.array().cast("array<struct<type:string,url:string>>")).alias("sources"),
     )
 
 
@@ -56,3 +59,14 @@ def seen(spark: SparkSession, sf: str) -> DataFrame:
     """State of earlier runs: postings made before the last thirty days; every third was notified."""
     p = postings(spark, sf).filter(F.col("created") < F.lit("2001-07-02"))
     return p.select("id", F.when(F.col("id") % 13 != 0, F.col("created")).alias("first_seen"), (F.col("id") % 3 == 0).alias("notified"), "created")
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, response``: a JSON text a user, its events as requirements."""
+    e = table(spark, sf, "events")
+    row = F.struct(
+        "event_id", F.concat(F.lit(" req "), F.col("event_id").cast("string")).alias("requirement"), F.when(F.col("event_type") == "purchase", "full").when(F.col("event_type") == "click", "Partial").when(F.col("event_type") == "error", "none").otherwise("?").alias("match"),
+        F.when(F.col("event_id") % 2 == 0, "seen").otherwise(" N/A ").alias("evidence"), F.when(F.col("event_id") % 3 == 0, "must").when(F.col("event_id") % 3 == 1, "nice to have").otherwise("x").alias("importance"),
+    )
+    rows = F.array_sort(F.collect_list(row))
+    return e.groupBy(F.col("user_id").alias("id")).agg(F.to_json(F.struct(rows.alias("requirements"), F.array(F.lit("a"), F.lit("A"), F.lit("b")).alias("hard_blockers"))).alias("response"))

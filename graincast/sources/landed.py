@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,7 @@ def flatten_text(node: object) -> str:
             if x.get("type") == "text" and isinstance(x.get("text"), str):
                 out.append(x["text"])
             todo.append(x.get("content") or [])
-    return "\n".join(out)
+    return " ".join(out)
 
 
 @F.pandas_udf(T.StringType())
@@ -86,16 +88,40 @@ def embedded_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A snapshot, or an empty table if it isn't there or can't be read."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001  a lost state starts afresh
-        return spark.createDataFrame([], schema)
+def detail_text(own: Column, tree_text: Column, keywords: Column) -> Column:
+    """A source's own text, else the rich text and a line of tags."""
+    tags = F.when(F.size(F.coalesce(keywords, F.array().cast("array<string>"))) > 0, F.concat(F.lit("\n[태그] "), F.array_join(keywords, ", ")))
+    made = F.regexp_replace(F.concat(F.coalesce(tree_text, F.lit("")), F.coalesce(tags, F.lit(""))), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(F.nullif(own, F.lit("")), made)
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Snapshots below ``root``, the newest first, on any store Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{root.rstrip('/')}/v=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted((str(f.getPath().getParent().toString()) for f in found), reverse=True)
+
+
+def load_state(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The newest snapshot that can be read whole; empty if there is none. Broken ones are told of and passed over."""
+    for path in versions(spark, root):
+        try:
+            found = spark.read.schema(schema).parquet(path)
+            found.foreach(lambda _: None)
+            return found
+        except PySparkException as e:
+            warnings.warn(f"state {path} can't be read, the one before is used: {str(e)[:200]}", stacklevel=2)
+    return spark.createDataFrame([], schema)
 
 
 def save_state(df: DataFrame, root: str, version: str) -> str:
-    """A new version beside the old ones: the snapshot being read is never overwritten."""
+    """A new version beside the old ones: the snapshot being read is never overwritten. Versions sort as text."""
     path = f"{root.rstrip('/')}/v={version}"
     df.write.mode("error").parquet(path)
     return path
+
+
+def beside(state_path: str) -> str:
+    """Where the health of sources is kept: next to the state."""
+    return f"{state_path.rstrip('/')}-health"

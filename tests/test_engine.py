@@ -91,4 +91,4 @@ def test_openings(spark):
 def test_embedded_json_and_rich_text():
     assert landed.pick_json('x {"a":1,"b":2} {"requirements":[]} {') == {"requirements": []}
     assert landed.pick_json("none") is None
-    assert landed.flatten_text({"type": "doc", "content": [{"type": "text", "text": "a"}, {"content": [{"type": "text", "text": "b"}]}]}) == "a\nb"
+    assert landed.flatten_text({"type": "doc", "content": [{"type": "text", "text": "a"}, {"content": [{"type": "text", "text": "b"}]}]}) == "a b"
