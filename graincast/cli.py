@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, as_of
     if not (args.official and watched is not None and args.mode != "discovery"):
         postings = postings.filter("source <> 'official'")
     found = matches.run_all(postings, watched, seen, *(spark.read.parquet(at(n)) for n in ("details", "crawled", "responses")), run)
-    shown = found["matches"]
+    shown = found["matches"].persist()  # read by each output; lost parts are made again
     if args.test_telegram:
         print(outputs.caption(shown, run, run.notify_score, settings.get("name", "")) or "nothing to tell")
         return 0

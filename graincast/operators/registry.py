@@ -51,12 +51,16 @@ def resolve(postings: DataFrame, companies: DataFrame, key: str, enabled_only: b
     return postings.join(small_side(known), postings[key] == F.col("__key"), "left").drop("__key")
 
 
-def role_allowed(include: str, exclude: str, synthetic: Column | None = None, unicode: bool = True) -> Column:
-    """By title and depths (the title alone if a source made the depths up): an excluded part forbids, no included parts allow all."""
+def role_hay(synthetic: Column | None = None, unicode: bool = True) -> Column:
+    """What roles are looked for in: title and depths; the title alone if a source made the depths up."""
     depths = F.array_join(F.concat(F.array(F.lit("")), "depth_twos", "depth_ones"), " ")
     if synthetic is not None:
         depths = F.when(synthetic, F.lit("")).otherwise(depths)
-    hay = role_text(F.concat(F.coalesce("title", F.lit("")), depths), unicode)
+    return role_text(F.concat(F.coalesce("title", F.lit("")), depths), unicode)
+
+
+def role_allowed(hay: Column, include: str, exclude: str) -> Column:
+    """An excluded part forbids; no included parts allow all."""
     has = lambda c: F.exists(c, lambda x: hay.contains(x))
     return ~has(exclude) & ((F.size(include) == 0) | has(include))
 
@@ -69,8 +73,10 @@ def qualify(resolved: DataFrame, title_exclude: list[str], unicode: bool = True)
     synthetic = F.col("synthetic") if "synthetic" in resolved.columns else None
     roles = (F.size(F.coalesce("roles_include", F.array())) > 0) | (F.size(F.coalesce("roles_exclude", F.array())) > 0)
     plain = ~contains_any(F.lower("title"), [t.lower() for t in title_exclude])
-    allowed = F.when(roles, role_allowed("roles_include", "roles_exclude", synthetic, unicode)).otherwise(plain)
-    return resolved.withColumn("reason", F.when(F.col("target_id").isNull(), "not_target").when(~F.coalesce(allowed, F.lit(False)), "role"))
+    # only rows of the list need the hay; Python, which folds it, can't stand within a lambda
+    seen = resolved.withColumn("__hay", F.when(F.col("target_id").isNotNull(), role_hay(synthetic, unicode)))
+    allowed = F.when(roles, role_allowed(F.col("__hay"), "roles_include", "roles_exclude")).otherwise(plain)
+    return seen.withColumn("reason", F.when(F.col("target_id").isNull(), "not_target").when(~F.coalesce(allowed, F.lit(False)), "role")).drop("__hay")
 
 
 def key_typos(companies: DataFrame) -> DataFrame:

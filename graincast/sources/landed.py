@@ -6,7 +6,7 @@ import json
 import warnings
 
 import pandas as pd
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,10 +108,10 @@ def load_state(spark: SparkSession, root: str, schema: str) -> DataFrame:
     for path in versions(spark, root):
         try:
             found = spark.read.schema(schema).parquet(path)
-            found.foreach(lambda _: None)
+            found.write.format("noop").mode("overwrite").save()
             return found
-        except PySparkException as e:
-            warnings.warn(f"state {path} can't be read, the one before is used: {str(e)[:200]}", stacklevel=2)
+        except Py4JJavaError as e:  # a failed job; errors of planning are raised
+            warnings.warn(f"state {path} can't be read, the one before is used: {str(e.java_exception)[:200]}", stacklevel=2)
     return spark.createDataFrame([], schema)
 
 

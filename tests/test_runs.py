@@ -1,0 +1,204 @@
+"""Watch-list files, settings, adapters, state, outputs, and whole runs from the command line."""
+
+import datetime as dt
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from graincast import cli, outputs
+from graincast.functions.text import normalize_company, role_text
+from graincast.operators import evidence, fit, matches, registry
+from graincast.sources import adapters, landed, registry_file
+from graincast.streaming import health as stream
+
+
+def one(**kw):
+    return {"id": "acme", "name": "Acme", **kw}
+
+
+@pytest.mark.parametrize("raw,key", [("주식회사예시알파", "예시알파"), ("㈜ 예시", "예시"), ("예시(有)", "예시"), ("( 주 )예시", "예시"), ("ＡＣＭＥ Co., Ltd.", "acme"), ("Cobalt", "cobalt"), ("Incheon Plc", "incheon"), ("Company", "company"), ("주식회사", "주식회사"), ("　Acme ", "acme"), ("합자회사 가", "가"), (None, "")])
+def test_company_keys(spark, raw, key):
+    assert spark.createDataFrame([(raw,)], "n string").select(normalize_company(F.col("n"))).first()[0] == key
+
+
+def test_role_text(spark):
+    rows = spark.createDataFrame([("Back-end Engineer",), ("서버_백엔드 / 개발",), (None,)], "n string")
+    assert [r[0] for r in rows.select(role_text(F.col("n"))).collect()] == ["backendengineer", "서버백엔드개발", ""]
+
+
+BAD = [
+    ([], "must be an object"), ({"companies": {}}, "must be a list"), ({}, "must be a list"), ({"version": 2, "companies": []}, "version"), ({"companies": [], "defaults": {"roles": [1]}}, "defaults.roles"), ({"companies": ["x"]}, "a company must be an object"),
+    *[({"companies": [c]}, says) for c, says in (
+        ({"name": "x"}, "no id"), (one(id="A b"), "small letters"), (one(name=" "), "no name"), (one(aliases="x"), "aliases"), (one(tier="D"), "tier"), (one(enabled=1), "enabled"), (one(sources={"a": 1}), "sources must be a list"), (one(sources=["x"]), "needs a type"),
+        (one(sources=[{"type": "zzz"}]), "source types"), (one(roles=["x"]), "roles"), (one(priority="1"), "priority"), (one(careers_url="ftp://x"), "careers_url"), (one(collection_status="x"), "collection_status"), (one(source_filter=["x"]), "source_filter"))],
+]
+
+
+@pytest.mark.parametrize("document,says", BAD)
+def test_broken_lists(document, says):
+    with pytest.raises(registry.RegistryError, match=says):
+        registry_file.parse(document)
+
+
+def test_list_to_table(spark, tmp_path):
+    document = {"version": 1, "defaults": {"roles": {"include": ["Back-end"]}}, "companies": [one(aliases=["(주)에이스"], tier="s", colour=1, careers_url="https://a.example.com", sources=[{"type": "official", "url": "https://b.example.com"}]), one(id="beta", name="Beta", enabled=False, roles={"exclude": ["QA "]})]}
+    (tmp_path / "c.json").write_text(json.dumps(document))
+    companies = registry_file.load(spark, {"targets": {"file": "c.json"}}, str(tmp_path))
+    got = {r["id"]: r for r in companies.collect()}
+    assert (got["acme"]["name_key"], got["acme"]["alias_keys"], got["acme"]["tier"], got["acme"]["roles_include"], got["acme"]["roles_source"]) == ("acme", ["에이스"], "S", ["backend"], "defaults")
+    assert (got["beta"]["roles_exclude"], got["beta"]["roles_source"]) == (["qa"], "own")
+    assert [tuple(r) for r in registry.key_typos(companies).collect()] == [("acme", "colour")]
+    assert registry.official_urls(companies).filter("id = 'acme'").first()["urls"] == ["https://a.example.com", "https://b.example.com"]
+    names = spark.createDataFrame([("Acme Inc.",), ("㈜에이스",), ("Beta",), ("x",)], "company string").withColumn("k", normalize_company(F.col("company")))
+    found = lambda **kw: {r["company"]: r["target_id"] for r in registry.resolve(names, companies, "k", **kw).collect()}
+    assert found() == {"Acme Inc.": "acme", "㈜에이스": "acme", "Beta": None, "x": None} and found(enabled_only=False)["Beta"] == "beta"
+
+
+def test_lists_that_stop_or_are_empty(spark, tmp_path):
+    table = lambda *cs: registry_file.table(spark, registry_file.parse({"companies": list(cs)}))
+    for broken, says in ((("acme", "Acme", "acme", "Beta"), "repeated ids"), (("acme", "Acme", "beta", "ACME Ltd"), "keys of several"), (("acme", "...", "beta", "Beta"), "no letter")):
+        with pytest.raises(registry.RegistryError, match=says):
+            table(one(id=broken[0], name=broken[1]), one(id=broken[2], name=broken[3], enabled=False))
+    assert table().count() == 0 and registry_file.load(spark, {}).count() == 0 and registry_file.load(spark, {"targets": {"enabled": False, "file": "x"}}).count() == 0
+    with pytest.warns(UserWarning, match="no watch-list"):
+        assert registry_file.load(spark, {"targets": {"file": "x.json"}}, str(tmp_path)).count() == 0
+    (tmp_path / "b.json").write_text("{")
+    with pytest.raises(registry.RegistryError, match="b.json"):
+        registry_file.read(str(tmp_path / "b.json"))
+
+
+def test_narrowing_never_raises():
+    for odd in (None, 3, "x", [], {"requirements": "x"}, {"requirements": [None, 1, {}, {"requirement": ["x"]}]}, {"hard_blockers": {"a": 1}}, {"strengths": {"text": "x"}}):
+        assert evidence.narrow(odd)["requirements"] == [] and not evidence.narrow(odd)["structured"]
+    got = evidence.narrow({"requirements": [{"text": f"r{i}", "match": "Full", "evidence": "x" if i else "없음", "confidence": "high", "importance": "nice to have"} for i in range(14)], "hard_blockers": ["A", {"reason": "a"}, {"detail": "b", "evidence": "N/A", "kind": "career"}], "reasons": ["p", "p", {"detail": "q"}, "r", "s"], "one_liner": 5, "strategy": list("abcdefgh")})
+    first = got["requirements"][0]
+    assert (first["match"], first["confidence"], first["demoted"], first["importance"], first["category"]) == ("UNKNOWN", "LOW", True, "PREFERRED", "기타")
+    assert len(got["requirements"]) == 12 and got["truncated"] and got["demoted"] == 1 and got["strengths"] == ["p", "q", "r"] and got["summary"] == "5" and len(got["strategy"]) == 6
+    assert [(b["detail"], b["evidence"]) for b in got["hard_blockers"]] == [("A", ""), ("b", "")]
+
+
+@pytest.mark.parametrize("kind,detail,shown,says", [("career", "5년 이상 경력", "x", evidence.REJECT_YEARS), ("career", "신입 전용", "x", None), ("other", "경력 3년, 경력자 지원 불가", "x", None), ("other", "visa", "", evidence.REJECT_NO_EVIDENCE), ("other", "visa", "x", None), ("Career", "abroad", "x", evidence.REJECT_YEARS), ("other", "10 years old firm", "x", None)])
+def test_blockers(spark, kind, detail, shown, says):
+    assert spark.range(1).select(evidence.reject_reason(F.lit(kind), F.lit(detail), F.lit(shown))).first()[0] == says
+
+
+def test_fit_settings():
+    conf = fit.FitConfig.of({"scoring": {"fit_weights": {"tech": 0, "zzz": 1, "career": 0.3}, "fit": {"weights": {"career": 0.2}, "thresholds": {"apply": 95}, "min_required_rows": 2}}})
+    assert conf.weights["career"] == 0.2 and conf.weights["tech"] == 0 and conf.cuts == (90, 95, 70, 60) and conf.min_rows == 2 and len(conf.notes) == 3
+    assert fit.FitConfig.of(None) == fit.FitConfig()
+
+
+def test_query_string():
+    assert adapters.query_string({"k": ["a b", "c"], "n": 1, "e": [], "z": None}) == "k=a%20b&k=c&n=1"
+    assert [s["type"] for s in adapters.enabled({"sources": [{"type": "x"}, {"type": "y", "enabled": False}]})] == ["x"] and adapters.enabled({"search": {"q": 1}})[0]["type"] == "platform_a"
+
+
+def test_collecting_outlives_a_source(spark):
+    raw = spark.createDataFrame([(1, 0, "t", "c", 1, 2, ["r"], "2026-01-01", False), (1, 5, "u", "c", 1, 2, ["r"], None, True)], "id long, seq long, title string, companyName string, minCareer int, maxCareer int, locations array<string>, closedAt string, alwaysOpen boolean")
+    union, results = adapters.collect([("platform_b", raw), ("nowhere", raw), ("official", None)])
+    row = union.collect()
+    assert len(row) == 1 and (row[0]["title"], row[0]["seq"], row[0]["deadline"], row[0]["synthetic"]) == ("u", 0, "상시", True)
+    assert [(n, ok) for n, ok, _ in results] == [("platform_b", True), ("nowhere", False), ("official", False)]
+
+
+def test_state_versions(spark, tmp_path):
+    root, schema = str(tmp_path / "s"), "id string, n int"
+    assert landed.load_state(spark, root, schema).count() == 0
+    for version, n in (("1", 1), ("2", 2)):
+        landed.save_state(spark.createDataFrame([("a", n)], schema), root, version)
+    assert [r["n"] for r in landed.load_state(spark, root, schema).collect()] == [2]
+    for name in os.listdir(f"{root}/v=2"):
+        if name.endswith(".parquet"):
+            (tmp_path / "s" / "v=2" / name).write_bytes(b"broken")
+            crc = tmp_path / "s" / "v=2" / f".{name}.crc"
+            crc.unlink(missing_ok=True)
+    with pytest.warns(UserWarning, match="can't be read"):
+        assert [r["n"] for r in landed.load_state(spark, root, schema).collect()] == [1]
+
+
+def test_mode_is_checked():
+    with pytest.raises(ValueError, match="mode"):
+        matches.Run(as_of="2026-01-01", mode="x")
+
+
+def test_streams(spark, tmp_path):
+    rows = [(1, "2026-01-01 00:00:00", True, 0), (1, "2026-01-01 00:10:00", False, None), (2, "2026-01-01 01:00:00", True, 3), (1, "2026-01-01 00:05:00", True, 0)]
+    spark.createDataFrame(rows, "source_id int, at string, ok boolean, jobs int").withColumn("at", F.to_timestamp("at")).write.parquet(str(tmp_path / "in"))
+    schema = "source_id int, at timestamp, ok boolean, jobs int"
+    for name, make, mode in (("first", lambda s: stream.first_arrivals(s, "source_id"), "append"), ("hourly", stream.hourly_health, "complete")):
+        q = make(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert {r["source_id"] for r in spark.table("first").collect()} == {1, 2}
+    assert {(r["source_id"], r["n"], r["failed"], r["empty"]) for r in spark.table("hourly").collect()} == {(1, 3, 1, 2), (2, 1, 0, 0)}
+
+
+POSTING = "id string, seq long, source string, title string, company string, canonical string, depth_ones array<string>, depth_twos array<string>, synthetic boolean, regions array<string>, employee_types array<string>, career_min int, career_max int, created string, deadline string, detail_url string"
+DAY = "2026-03-10"
+
+
+@pytest.fixture
+def profile(spark, tmp_path):
+    def post(i, title="urgent high Engineer", company="Other", source="platform_a", twos=("BUILDING",), deadline=None):
+        return (f"p{i}", i, source, title, company, "", ["ASIA"], list(twos), False, ["NATION_1"], ["REGULAR"], 3, 7, None, deadline, f"https://x.example.com/{i}")
+
+    rows = [post(1), post(2), post(3, company="Acme Inc.", twos=("OTHER",)), post(4, company="Acme", title="Chef", twos=("OTHER",)), post(5, company="Customer#00000001"), post(6, twos=("OTHER",)), post(7), post(8, source="official", company="Acme", title="Backend"), post(9)]
+    full = {"requirements": [{"requirement": f"r{i}", "importance": "REQUIRED", "match": "FULL", "candidate_evidence": "done"} for i in range(6)], "summary": "fine </script>", "deadline": "2026-03-12"}
+    answers = {"p1": full, "p2": {**full, "hard_blockers": [{"detail": "visa", "evidence": "said"}]}, "p3": {}}
+    data = {
+        "postings": (rows, POSTING),
+        "details": ([(f"p{i}", "2026-03-09" if i != 7 else "2026-01-01", "body " * (40 if i != 9 else 1), "https://y.example.com") for i in range(1, 10)], "id string, created string, body string, url string"),
+        "crawled": ([("p9", "text " * 100)], "id string, text string"),
+        "responses": ([(k, json.dumps(v)) for k, v in answers.items()], "id string, response string"),
+        "fetches": ([(1, 1, 1, True, 2), (1, 2, 2, False, None), (1, 3, 3, False, None)], "source_id int, at int, seq int, ok boolean, jobs int"),
+    }
+    for name, (values, schema) in data.items():
+        spark.createDataFrame(values, schema).write.parquet(str(tmp_path / name))
+    (tmp_path / "companies.json").write_text(json.dumps({"companies": [one(roles={"include": ["engineer", "back-end"]})]}))
+    settings = {"name": "N", "landed": {n: n for n in data}, "targets": {"file": "companies.json"}, "search": {"new_within_days": 3}, "enrich": {"enabled": True}, "llm": {"max_calls_per_run": 40}}
+    (tmp_path / "config.json").write_text(json.dumps(settings))
+    return tmp_path
+
+
+def test_runs_tell_once(spark, profile, capsys):
+    config = ["--config", str(profile / "config.json")]
+    assert cli.main(config, spark, DAY) == 0
+    state = {r["id"]: r for r in landed.load_state(spark, str(profile / "state"), cli.STATE).collect()}
+    assert "p5" not in state and state["p1"]["card"]["recommendation"] == "STRONG_APPLY" and state["p2"]["card"]["recommendation"] == "SKIP"
+    # p3 answered without requirements: its rule score stands and the watch-list shows it; p9 has no answer and is put off
+    assert {i for i, r in state.items() if r["notified"]} == {"p1", "p2", "p3"} and state["p9"]["notified"] is False
+    note = (profile / "matches" / f"{DAY}.md").read_text()
+    assert "person: N" in note and "결격: visa" in note and "not judged yet" in note and note.index("Acme Inc.") < note.index("Other")
+    page = (profile / "matches" / "index.html").read_text()
+    assert "<\\/script>" in page and page.count("</script>") == 1
+    assert "STRONG" not in capsys.readouterr().out
+    assert cli.main(config, spark, "2026-03-11") == 0
+    again = (profile / "matches" / "2026-03-11.md").read_text()
+    assert "matched: 0" in again and "Nothing new" in again
+    assert {r["id"]: r["first_seen"] for r in landed.load_state(spark, str(profile / "state"), cli.STATE).collect()}["p1"] == DAY
+
+
+def test_flags(spark, profile, capsys):
+    config = ["--config", str(profile / "config.json")]
+    assert cli.main([*config, "--dry-run", "--official", "--mode", "target", "--no-llm"], spark, DAY) == 0
+    told = capsys.readouterr().out
+    assert "Acme | Backend" in told and "Acme Inc." in told and "Chef" not in told and "Other" not in told and not (profile / "state").exists()
+    assert cli.main([*config, "--test-telegram"], spark, DAY) == 0
+    assert capsys.readouterr().out.startswith("🎯 N · ")
+    assert cli.main([*config, "--list-targets"], spark) == 0 and "acme" in capsys.readouterr().out
+    assert cli.main([*config, "--source-health"], spark) == 0 and "failed" in capsys.readouterr().out
+    assert cli.main([*config, "--seed", "--days", "100"], spark, DAY) == 0
+    state = landed.load_state(spark, str(profile / "state"), cli.STATE)
+    # all fresh candidates, also those that the roles of the watch-list leave to discovery; not the career page's
+    assert {r["id"] for r in state.filter("notified").collect()} == {"p1", "p2", "p3", "p4", "p6", "p7", "p9"} and state.filter("card is not null").count() == 0 and not (profile / "matches").exists()
+    (profile / "companies.json").write_text("{")
+    assert cli.main([*config, "--mode", "target"], spark, DAY) == 2 and cli.main([*config, "--dry-run"], spark, DAY) == 0
+
+
+def test_caption_counts_the_rest(spark):
+    rows = [(f"p{i}", i, float(i), i == 1, "S", "C", "t" * 200, None, False) for i in range(1, 12)]
+    found = spark.createDataFrame(rows, "id string, seq int, score double, target boolean, tier string, company string, title string, recommendation string, deferred boolean")
+    text = outputs.caption(found, matches.Run(as_of=DAY), 0.0)
+    assert text.splitlines()[1].startswith("🎯S 1.0점") and len(text) == outputs.CAPTION
+    assert outputs.caption(found.filter("false"), matches.Run(as_of=DAY), 0.0) is None and dt.date.fromisoformat(DAY)
