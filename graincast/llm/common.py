@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -48,7 +48,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 SLICE_ROWS = 256
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of SLICE_ROWS rows: bounds what a worker holds, however many rows a batch has."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):

@@ -78,13 +78,14 @@ def _key(hashes: np.ndarray) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in batches:
         sizes, keys, signs = [], [], []
-        for text in batch["text"].to_pylist():
-            s = shingles(text)
-            sizes.append(len(s))
-            keys.append(_key(s) if len(s) else None)
-            signs.append(signature(s).view(np.int32) if len(s) else None)
+        for part in slices([batch.select(["text"])]):
+            for text in part["text"].to_pylist():
+                s = shingles(text)
+                sizes.append(len(s))
+                keys.append(_key(s) if len(s) else None)
+                signs.append(signature(s).view(np.int32) if len(s) else None)
         rest = [n for n in batch.schema.names if n != "text"]
         made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), *made], [*rest, "n_shingles", "key", "sign"])
