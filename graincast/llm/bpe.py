@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graincast.llm.common import slices, table
+from graincast.llm.common import merged, slices, table
 
 #: Texts of more code points, and pieces of more bytes, than this are cut.
 LEAF = 8192
@@ -195,10 +195,10 @@ def _encode(path: str | None):
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with ``text`` exchanged for ``ids``; null texts give no tokens. ``path`` is the vocabulary on each executor."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(_encode(path), ", ".join([*kept, "ids array<int>"]))
+    return docs.mapInArrow(merged(_encode(path)), ", ".join([*kept, "ids array<int>"]))
 
 
 def op9_bpe_tree(spark, sf_dir: str) -> DataFrame:
     """Digests of the tokens of every document and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(_digest(None), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(merged(_digest(None)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

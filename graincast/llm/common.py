@@ -55,6 +55,29 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
+def merged(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, which gives a row for each row but in slices, with one batch for each batch it reads: the JVM side holds far less then."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: list[int] = []
+
+        def fed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    sizes.append(batch.num_rows)
+                    yield batch
+
+        held: list[pa.RecordBatch] = []
+        for part in run(fed()):
+            held.append(part)
+            if sum(p.num_rows for p in held) == sizes[0]:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held.clear()
+                sizes.pop(0)
+
+    return whole
+
+
 ROW = ("__graincast_file", "__graincast_row")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import slices, table
+from graincast.llm.common import merged, slices, table
 
 DIM = 512
 #: About so many labelled texts of each language are learnt from: a share of them by hash of the id.
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], dim: int = DIM,
     """
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{n}` {t}" for n, t in zip(made, ("string", "double", "boolean"), strict=True))])
-    return docs.mapInArrow(_predict(prototypes, dim, seed, text, list(made)), schema)
+    return docs.mapInArrow(merged(_predict(prototypes, dim, seed, text, list(made))), schema)
 
 
 def held_out(key: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincast.llm.common import materialize, slices, table
+from graincast.llm.common import materialize, merged, slices, table
 
 SHINGLE = 5
 MIN_WORDS = 10
@@ -200,17 +200,17 @@ def judge(docs: DataFrame) -> DataFrame:
     text is too short for it. Texts are read once; references are sums over all texts.
     """
     given = docs.select(F.col("doc_id").cast("long"), "text", "lang")
-    features = materialize(given.mapInArrow(_features(common_words(given)), FEATURES), "quality")
+    features = materialize(given.mapInArrow(merged(_features(common_words(given))), FEATURES), "quality")
     by_class, by_word = references(features)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     out = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, class_distance double, word_distance double"
     for _ in range(TRIMS):
         # junk shifts the first references: sum again over the texts that are near them
-        near = features.mapInArrow(_judge(by_class, by_word, True), TRIMMED).filter(~failed)
+        near = features.mapInArrow(merged(_judge(by_class, by_word, True)), TRIMMED).filter(~failed)
         near = near.filter((F.col("class_distance") <= TRIM_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE))
         classes, common = references(near)
         by_class, by_word = by_class | classes, by_word | common
-    judged = features.mapInArrow(_judge(by_class, by_word), out)
+    judged = features.mapInArrow(merged(_judge(by_class, by_word)), out)
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE + CLASS_SLACK / F.sqrt(F.greatest("n_words", F.lit(1)))) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
 
