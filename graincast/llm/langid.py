@@ -49,7 +49,7 @@ def has_letter(text: str | None) -> bool:
 
 
 class Vectors:
-    """Trigram vectors, made once each."""
+    """Trigram vectors, made once each; a byte an entry, as workers keep them."""
 
     def __init__(self, dim: int = DIM, seed: int = SEED, most: int = 60_000):
         self.dim, self.seed, self.most = dim, seed, most
@@ -58,11 +58,11 @@ class Vectors:
 
     def clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.rows = np.empty((4096, self.dim), dtype=np.float32)
+        self.rows = np.empty((4096, self.dim), dtype=np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
-            self.letters[code] = np.random.default_rng([self.seed, code]).choice(np.array([-1, 1], dtype=np.float32), self.dim)
+            self.letters[code] = np.random.default_rng([self.seed, code]).choice(np.array([-1, 1], dtype=np.float32), self.dim).astype(np.int8)
         return self.letters[code]
 
     def row(self, gram: int) -> int:
@@ -82,7 +82,7 @@ class Vectors:
         if len(self.at) + len(grams) > self.most:  # bounds memory whatever the scripts
             self.clear()
         rows = [self.row(g) for g in grams.tolist()]
-        v = counts.astype(np.float32) @ self.rows[rows] if rows else np.zeros(self.dim, dtype=np.float32)
+        v = counts.astype(np.float32) @ self.rows[rows].astype(np.float32) if rows else np.zeros(self.dim, dtype=np.float32)
         return v / max(float(np.linalg.norm(v)), 1e-12), int(counts.sum())
 
 
