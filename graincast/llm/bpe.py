@@ -12,14 +12,13 @@ import functools
 import hashlib
 import itertools
 import json
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graincast.llm.common import merged, slices, table
+from graincast.llm.common import map_arrow, table, with_columns
 
 #: Texts of more code points, and pieces of more bytes, than this are cut.
 LEAF = 8192
@@ -167,38 +166,34 @@ def vocabulary_path() -> str:
 
 
 def _digest(path: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(part: pa.RecordBatch) -> list[pa.Array]:
         c = codec(path or vocabulary_path())
-        for batch in slices(batches):
-            counts, ids_sha, text_sha = [], [], []
-            for text in batch["text"].to_pylist():
-                ids = c.encode(text or "")
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        counts, ids_sha, text_sha = [], [], []
+        for text in part["text"].to_pylist():
+            ids = c.encode(text or "")
+            counts.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+        return [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
 
-    return run
+    return with_columns(("n_tokens", "ids_sha256", "decoded_sha256"), lambda: make, drop=("text",))
 
 
 def _encode(path: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(part: pa.RecordBatch) -> list[pa.Array]:
         c = codec(path or vocabulary_path())
-        for batch in slices(batches):
-            ids = pa.array([np.array(c.encode(t or ""), dtype=np.int32) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
-            rest = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), ids], [*rest, "ids"])
+        return [pa.array([np.array(c.encode(t or ""), dtype=np.int32) for t in part["text"].to_pylist()], pa.list_(pa.int32()))]
 
-    return run
+    return with_columns(("ids",), lambda: make, drop=("text",))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with ``text`` exchanged for ``ids``; null texts give no tokens. ``path`` is the vocabulary on each executor."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(merged(_encode(path)), ", ".join([*kept, "ids array<int>"]))
+    return map_arrow(docs, _encode(path), ", ".join([*kept, "ids array<int>"]))
 
 
 def op9_bpe_tree(spark, sf_dir: str) -> DataFrame:
     """Digests of the tokens of every document and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(merged(_digest(None)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs, _digest(None), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -78,6 +78,39 @@ def merged(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+#: Rows go to Python workers in Arrow batches of about so many bytes (a longer row is a batch alone) ...
+BATCH_BYTES = 4 << 20
+#: ... unless the session has this option at another value than Spark's own.
+_BATCH_OPTION, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_BYTES, which workers and the JVM hold several of. The option is read when the plan runs, so it stays set."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_OPTION) == _BATCH_DEFAULT:
+        conf.set(_BATCH_OPTION, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def with_columns(names: Sequence[str], begin: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], drop: Sequence[str] = ()) -> Callable:
+    """For ``mapInArrow``: each batch with the columns ``names``, rid of ``drop``; what a task's ``begin`` returns gives them for each slice.
+
+    Other columns aren't copied, and a batch is let go of before the next one is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = begin()
+        for batch in batches:
+            if batch.num_rows:
+                made = [pa.concat_arrays(arrays) for arrays in zip(*map(make, slices([batch])), strict=True)]
+                rest = [n for n in batch.schema.names if n not in drop]
+                yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), *made], [*rest, *names])
+                del made
+            del batch
+
+    return run
+
+
 ROW = ("__graincast_file", "__graincast_row")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import merged, slices, table
+from graincast.llm.common import map_arrow, slices, table, with_columns
 
 DIM = 512
 #: About so many labelled texts of each language are learnt from: a share of them by hash of the id.
@@ -82,7 +82,9 @@ class Vectors:
         if len(self.at) + len(grams) > self.most:  # bounds memory whatever the scripts
             self.clear()
         rows = [self.row(g) for g in grams.tolist()]
-        v = counts.astype(np.float32) @ self.rows[rows].astype(np.float32) if rows else np.zeros(self.dim, dtype=np.float32)
+        v = np.zeros(self.dim, dtype=np.float32)
+        for i in range(0, len(rows), 2048):  # bounds memory for long texts
+            v += counts[i : i + 2048].astype(np.float32) @ self.rows[rows[i : i + 2048]].astype(np.float32)
         return v / max(float(np.linalg.norm(v)), 1e-12), int(counts.sum())
 
 
@@ -114,26 +116,27 @@ def learn(labelled: DataFrame, key: str = "doc_id", rows: int = TRAIN_ROWS, dim:
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])
     u = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = usable.filter(u < F.try_element_at(share, F.col("lang"))).select("text", "lang")
-    sums = sample.mapInArrow(_sums(dim, seed), "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    sums = map_arrow(sample, _sums(dim, seed), "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x"))
     found: dict[str, list[float]] = {}
     for lang, at, x in sums.collect():
         found.setdefault(lang, [0.0] * dim)[at] = x
     return dict(sorted(found.items()))
 
 
-def _predict(prototypes: dict[str, list[float]], dim: int, seed: int, text_column: str, made: Sequence[str]):
+def _predict(prototypes: dict[str, list[float]], dim: int, seed: int, text_column: str, made: Sequence[str], keep_text: bool):
     langs = list(prototypes)
+    p = np.array([prototypes[x] for x in langs], dtype=np.float64).reshape(len(langs), dim)
+    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+    mean = p.mean(axis=0) if len(langs) > 1 else np.zeros(dim)
+    q = p - mean
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         vectors = Vectors(dim, seed)
-        p = np.array([prototypes[x] for x in langs], dtype=np.float64).reshape(len(langs), dim)
-        p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-        mean = p.mean(axis=0) if len(langs) > 1 else np.zeros(dim)
-        q = p - mean
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        for batch in slices(batches):
+
+        def make(part: pa.RecordBatch) -> list[pa.Array]:
             best, scores, known = [], [], []
-            for text in batch[text_column].to_pylist():
+            for text in part[text_column].to_pylist():
                 if not langs or not has_letter(text):
                     best.append(UNKNOWN)
                     scores.append(0.0)
@@ -146,23 +149,24 @@ def _predict(prototypes: dict[str, list[float]], dim: int, seed: int, text_colum
                 best.append(langs[i])
                 scores.append(float(min(1.0, max(0.0, near[i]))))
                 known.append(bool((p @ whole).max() >= NOISE / np.sqrt(dim) * min(1.0, grams / SURE_GRAMS)))
-            names = [name for name in batch.schema.names if name != text_column]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], [*names, *made])
+            return [pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())]
 
-    return run
+        return make
+
+    return with_columns(made, begin, drop=() if keep_text else (text_column,))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, list[float]], dim: int = DIM, seed: int = SEED, text: str = "text", made: Sequence[str] = ("lang_pred", "score", "known")) -> DataFrame:
-    """``docs`` with ``text`` exchanged for the columns ``made``: language, score, and whether it is like a learnt language at all.
+def predict(docs: DataFrame, prototypes: dict[str, list[float]], dim: int = DIM, seed: int = SEED, text: str = "text", made: Sequence[str] = ("lang_pred", "score", "known"), keep_text: bool = False) -> DataFrame:
+    """``docs`` with ``text`` exchanged for (or, if ``keep_text``, beside) the columns ``made``: language, score, and whether it is like a learnt language at all.
 
     The whole text is read, nothing else is. Null texts, texts without a letter and all texts if nothing was
     learnt get ``und``, 0 and false. Texts too short for a trigram of letters are compared by the trigrams they
     have with the blanks around them. A text is like no learnt language if its best cosine, before the mean is taken out, is below
     NOISE deviations of what unrelated vectors have by chance; below SURE_GRAMS trigrams that bound falls in proportion.
     """
-    kept = [f for f in docs.schema.fields if f.name != text]
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{n}` {t}" for n, t in zip(made, ("string", "double", "boolean"), strict=True))])
-    return docs.mapInArrow(merged(_predict(prototypes, dim, seed, text, list(made))), schema)
+    return map_arrow(docs, _predict(prototypes, dim, seed, text, list(made), keep_text), schema)
 
 
 def held_out(key: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import BROADCAST_BYTES, join_small, materialize, slices, table, value_bytes
+from graincast.llm.common import BROADCAST_BYTES, join_small, map_arrow, materialize, slices, table, value_bytes
 
 SHINGLE = 5
 PERCENT = 75
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, row: Sequence[str] = ()) -> DataFrame:
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row, "text").withColumn("text_hash", F.xxhash64("text"))
     carried = "".join(f"{c} bigint, " for c in row)
-    signed = materialize(given.mapInArrow(_sign, f"doc_id bigint, {carried}text_hash bigint, n_shingles bigint, key binary, sign array<int>"), "signed")
+    signed = materialize(map_arrow(given, _sign, f"doc_id bigint, {carried}text_hash bigint, n_shingles bigint, key binary, sign array<int>"), "signed")
     classes = classes_of(signed, row)
     comp = components(links(given, classes))
     linked = classes.select("node", "key", "least").join(comp, "node")
