@@ -16,7 +16,7 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prototypes = langid.learn(docs)
     made = ("__graincast_lang", "__graincast_score", "__graincast_known")
-    told = langid.predict(docs.withColumn("__graincast_text", F.col("text")), prototypes, text="__graincast_text", made=made)
+    told = langid.predict(docs, prototypes, made=made, keep_text=True)
     return told.filter(made[2]).select(*[F.col(f"`{n}`") for n in docs.columns])
 
 
