@@ -10,6 +10,7 @@ from graincast.llm.mixing import OP5_SQL, op5_mix_sources
 from graincast.llm.neardup import op4_minhash_inverted_join
 from graincast.llm.pii import op6_surrogates
 from graincast.llm.quality import op3_divergence_quality
+from graincast.llm.runs import op11_word_runs
 from graincast.llm.sharding import OP1_SQL, op1_rendezvous_shards
 from graincast.llm.site_lines import OP10_SQL, op10_site_lines
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_hd_langid": op8_hd_langid,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_site_lines": op10_site_lines,
+    "op11_word_runs": op11_word_runs,
 }
 
 SQL = {
