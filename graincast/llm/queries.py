@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graincast.llm.alignment import op12_bitset_alignment
 from graincast.llm.bpe import op9_bpe_tree
 from graincast.llm.extraction import op2_wrapper_extract
 from graincast.llm.fingerprints import op7_oph_fingerprints
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bpe_tree": op9_bpe_tree,
     "op10_site_lines": op10_site_lines,
     "op11_word_runs": op11_word_runs,
+    "op12_bitset_alignment": op12_bitset_alignment,
 }
 
 SQL = {
