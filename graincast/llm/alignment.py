@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from graincast.llm.common import ROW, map_arrow, materialize, numbered, slices,
 #: Pairs whose counts a task holds at a time (17 bytes each); more of them take further passes.
 PART_PAIRS = 2_000_000
 #: A task forgets its units when it has so many, or so many characters and tokens of them.
-MOST_UNITS, MOST_HELD = 200_000, 16 << 20
+MOST_UNITS, MOST_HELD = 400_000, 16 << 20
 #: A pair as one number: first id times this plus second id.
 SECOND = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?!\Z)")
@@ -95,40 +95,62 @@ class Ends:
         return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))
 
 
+@functools.lru_cache(maxsize=2)
+def tables(first: str, second: str) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """Bytes of each token of both vocabularies, and all ids as text with what may follow: , or | in the first, then comma, ; or line end in the second; and how many the first has."""
+    codec, pieces = encoders(first, second)
+    names = [[str(i) + mark for i in range(len(side.bytes_of))] for side, marks in ((codec, ",|"), (pieces, ",;\n")) for mark in marks]
+    return [np.array([len(t) for t in side.bytes_of], dtype=np.int64) for side in (codec, pieces)], np.array([n for part in names for n in part], dtype=object), len(codec.bytes_of)
+
+
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+
+
 class Aligned:
     """Units side by side: their tokens, cuts and links."""
 
-    def __init__(self, texts: list[str], codec: Codec, pieces: Pieces):
+    def __init__(self, texts: list[str], first: str, second: str):
         """``texts`` are units without the blank before them."""
-        first = [plain_ids(codec, " " + t) for t in texts]
-        second = pieces.base.encode(texts, num_threads=1)
-        joined = [" ".encode() + t.encode() for t in texts]
-        for i, t in enumerate(joined):
-            if b"".join(map(codec.bytes_of.__getitem__, first[i])) != t or b"".join(map(pieces.bytes_of.__getitem__, second[i])) != t:
-                first[i], second[i], joined[i] = [], [], b""
-        self.good = np.array([bool(t) for t in joined], dtype=bool)
-        self.n_first, self.n_second = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (first, second))
-        self.first, self.second = (np.array([i for ids in side for i in ids], dtype=np.int64) for side in (first, second))
+        (codec, pieces), (widths, self.names, self.most_first) = encoders(first, second), tables(first, second)
+        joined = [b" " + t.encode() for t in texts]
+        whole = b"".join(joined)
+        plain = not any(t[-1:].isspace() or len(t) > LEAF for t in texts)
+        a = [codec.base.encode_ordinary(whole.decode())] if plain else [plain_ids(codec, " " + t) for t in texts]
+        b = pieces.base.encode(texts, num_threads=1)
+        spelt = lambda side, ids: b"".join(map(side.bytes_of.__getitem__, itertools.chain.from_iterable(ids)))
+        self.good = np.ones(len(texts), dtype=bool)
+        if spelt(codec, a) != whole or spelt(pieces, b) != whole:  # then which?
+            a = [plain_ids(codec, " " + t) for t in texts]
+            for i, t in enumerate(joined):
+                if spelt(codec, [a[i]]) != t or spelt(pieces, [b[i]]) != t:
+                    a[i], b[i], joined[i], self.good[i] = [], [], b"", False
+        self.first, self.second = _flat(a), _flat(b)
         starts = np.cumsum([0, *map(len, joined)])  # bytes before each unit
-        widths = [np.array([len(names[i]) for i in ids], dtype=np.int64) for names, ids in ((codec.bytes_of, self.first), (pieces.bytes_of, self.second))]
-        a, b = (Ends.of(np.cumsum(w) - 1, int(starts[-1])) for w in widths)  # bit of a token's last byte
-        shared, any_end = Ends(a.words & b.words), Ends(a.words | b.words)
+        ends = [Ends.of(np.cumsum(w[ids]) - 1, int(starts[-1])) for w, ids in zip(widths, (self.first, self.second), strict=True)]  # a token's bit is its last byte
+        shared, any_end = Ends(ends[0].words & ends[1].words), Ends(ends[0].words | ends[1].words)
+        self.n_first, self.n_second = (np.diff(e.rank(starts)) for e in ends)
         last = any_end.select()
-        #: For each link, the numbers of its tokens; links are in order, so a unit's links stand together.
-        self.link_first, self.link_second = a.rank(last), b.rank(last)
-        self.pairs = self.first[self.link_first] * SECOND + self.second[self.link_second]
-        self.link_at = any_end.rank(starts)
-        self.group_at = shared.rank(starts)
+        #: Links as numbers of ids; they are in order, so a unit's links stand together.
+        self.pairs = self.first[ends[0].rank(last)] * SECOND + self.second[ends[1].rank(last)]
+        self.link_at, self.group_at = any_end.rank(starts), shared.rank(starts)
         cuts = shared.select()
-        self.cut_first, self.cut_second = a.rank(cuts) + 1, b.rank(cuts) + 1
+        self.cut_first, self.cut_second = (e.rank(cuts) + 1 for e in ends)
 
     def groups(self) -> list[str]:
-        """Each unit's groups as text, decimal ids."""
-        a, b = list(map(str, self.first.tolist())), list(map(str, self.second.tolist()))
-        ends = [(0, 0), *zip(self.cut_first.tolist(), self.cut_second.tolist(), strict=True)]
-        told = [f"{','.join(a[i:k])}|{','.join(b[j:m])}" for (i, j), (k, m) in pairwise(ends)]
-        at = self.group_at.tolist()
-        return [";".join(told[i:j]) for i, j in pairwise(at)]
+        """Each unit's groups as text, decimal ids; none for units that don't align."""
+        n_second = len(self.names) - 2 * self.most_first
+        a, b = self.first.copy(), self.second + 2 * self.most_first
+        a[self.cut_first - 1] += self.most_first
+        b[self.cut_second - 1] += n_second // 3
+        b[self.cut_second[self.group_at[1:][self.good] - 1] - 1] += n_second // 3
+        out = np.empty(len(a) + len(b), dtype=np.int64)
+        # a group's tokens of the second vocabulary follow those of the first
+        before = [np.repeat(there, np.diff(here, prepend=0)) for here, there in ((self.cut_first, np.concatenate([[0], self.cut_second[:-1]])), (self.cut_second, self.cut_first))]
+        out[np.arange(len(a)) + before[0]] = a
+        out[np.arange(len(b)) + before[1]] = b
+        told = iter("".join(self.names[out].tolist()).split("\n"))
+        return [next(told) if g else "" for g in self.good.tolist()]
 
 
 def units(text: str | None) -> list[str]:
@@ -136,62 +158,79 @@ def units(text: str | None) -> list[str]:
     return _CUT.split(text) if text else []
 
 
+class _Numbers(dict):
+    """Numbers for what is looked up, in order; ``new`` is what wasn't there."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = n = len(self)
+        return n
+
+
 class Known:
     """Units met so far by number, with what is kept of each; all are forgotten when they are too many."""
 
     def __init__(self, keep):
-        self.keep, self.number, self.held = keep, {}, 0
+        self.keep = keep
         self.begin()
 
     def begin(self) -> None:
-        self.number.clear()
-        self.held = 0
+        self.number, self.held = _Numbers(), 0
+        self.odd = np.zeros(0, dtype=bool)  # units after which a blank doesn't cut
         self.keep(None)
 
-    def look_up(self, texts: list[str | None]) -> list[list[int]]:
+    def look_up(self, texts: list[str | None]) -> list[np.ndarray]:
         """Numbers of each text's units; new units go to ``keep``, in order of their numbers."""
         if len(self.number) > MOST_UNITS or self.held > MOST_HELD:
             self.begin()
-        number, new, found = self.number, [], []
-        for text in texts:
-            parts = units(text)
-            for u in parts:
-                if u not in number:
-                    number[u] = len(number)
-                    new.append(u)
-            found.append(list(map(number.__getitem__, parts)))
-        if new:
-            self.held += sum(map(len, new))
-            self.keep(new)
+        found = [self._numbers(text.split(" ")) if text else self._numbers([]) for text in texts]
+        self.odd = np.concatenate([self.odd, np.array([not u or u[-1].isspace() for u in self.number.new], dtype=bool)])
+        again = [i for i, f in enumerate(found) if len(f) and (self.odd[f[:-1]].any() or texts[i].endswith(" "))]
+        kept = len(self.number.new)
+        for i in again:
+            found[i] = self._numbers(units(texts[i]))
+        self.odd = np.concatenate([self.odd, np.array([not u or u[-1].isspace() for u in self.number.new[kept:]], dtype=bool)])
+        if self.number.new:
+            self.held += sum(map(len, self.number.new))
+            self.keep(self.number.new)
+            self.number.new = []
         return found
 
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+
 
 def _pair_counts(first: str | None, second: str | None):
     """For ``mapInArrow``: (pair, n) of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, pieces = encoders(first or vocabulary_path(), second or piece_path())
-        links: list[Aligned] = []
+        paths = first or vocabulary_path(), second or piece_path()
+        links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def keep(new: list[str] | None) -> None:
-            links.clear() if new is None else links.append(Aligned(new, codec, pieces))
+            if new is None:
+                links.clear()
+            else:
+                x = Aligned(new, *paths)
+                links.append((x.good, x.pairs, np.diff(x.link_at)))
 
         known = Known(keep)
         for batch in batches:
             told: dict[int, int] = {}
             for part in slices([batch]):
                 found = known.look_up(part["text"].to_pylist())
-                good = np.concatenate([x.good for x in links]) if links else np.zeros(0, dtype=bool)
-                rows = [np.array(f, dtype=np.int64) for f in found]
-                used = [f for f in rows if len(f) and good[f].all()]
+                good = np.concatenate([x[0] for x in links]) if links else np.zeros(0, dtype=bool)
+                used = [f for f in found if len(f) and good[f].all()]
                 times = np.bincount(np.concatenate(used), minlength=len(good)) if used else np.zeros(len(good), dtype=np.int64)
                 at, all_pairs, all_times = 0, [], []
-                for x in links:
-                    mine = times[at : at + len(x.good)]
-                    at += len(mine)
-                    of_link = np.repeat(mine, np.diff(x.link_at))
+                for _, pairs, n_links in links:
+                    of_link = np.repeat(times[at : at + len(n_links)], n_links)
+                    at += len(n_links)
                     seen = of_link > 0
-                    all_pairs.append(x.pairs[seen])
+                    all_pairs.append(pairs[seen])
                     all_times.append(of_link[seen])
                 if all_pairs:
                     pairs, where = np.unique(np.concatenate(all_pairs), return_inverse=True)
@@ -222,7 +261,7 @@ def _digest(first: str | None, second: str | None, sent, whole: bool):
     """For ``with_columns``: a row's links among the sent pairs, and, if ``whole``, what doesn't hang on counts."""
 
     def begin():
-        codec, pieces = encoders(first or vocabulary_path(), second or piece_path())
+        paths = first or vocabulary_path(), second or piece_path()
         pairs, n, best = sent.value
         #: of each unit: tokens of both, groups, links, best links, sum of counts, and whether it aligns
         rows: list[np.ndarray] = []
@@ -233,7 +272,7 @@ def _digest(first: str | None, second: str | None, sent, whole: bool):
                 rows.clear()
                 told.clear()
                 return
-            x = Aligned(new, codec, pieces)
+            x = Aligned(new, *paths)
             at = np.searchsorted(pairs, x.pairs)
             hit = np.zeros(len(at), dtype=bool)
             if len(pairs):
@@ -253,10 +292,10 @@ def _digest(first: str | None, second: str | None, sent, whole: bool):
             rows[:] = [values]
             sums, sha = [], []
             for numbers in found:
-                mine = values[numbers] if numbers else values[:0]
+                mine = values[numbers]
                 good = len(mine) > 0 and mine[:, 6].all()
                 sums.append(mine[:, :6].sum(axis=0) if good else np.zeros(6, dtype=np.int64))
-                sha.append(hashlib.sha256(";".join(map(told.__getitem__, numbers)).encode()).hexdigest() if good and whole else "")
+                sha.append(hashlib.sha256(";".join(map(told.__getitem__, numbers.tolist())).encode()).hexdigest() if good and whole else "")
             columns = np.array(sums, dtype=np.int64).reshape(len(found), 6).T
             return [*(pa.array(c) for c in columns), pa.array(sha, pa.string())]
 
