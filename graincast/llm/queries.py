@@ -14,6 +14,7 @@ from graincast.llm.quality import op3_divergence_quality
 from graincast.llm.runs import op11_word_runs
 from graincast.llm.sharding import OP1_SQL, op1_rendezvous_shards
 from graincast.llm.site_lines import OP10_SQL, op10_site_lines
+from graincast.llm.toxicity import op13_gru_toxicity
 
 QUERIES = {
     "op1_rendezvous_shards": op1_rendezvous_shards,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_site_lines": op10_site_lines,
     "op11_word_runs": op11_word_runs,
     "op12_bitset_alignment": op12_bitset_alignment,
+    "op13_gru_toxicity": op13_gru_toxicity,
 }
 
 SQL = {
