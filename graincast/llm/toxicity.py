@@ -25,13 +25,15 @@ WINDOW, STEP = 48, 24
 #: Sizes of input vectors, of a direction's state and of attention.
 DIM, HIDDEN, ATTENTION = 16, 8, 8
 #: Characters of n-grams; words and n-grams of fewer sample texts than KNOWN_IN have no vector.
-GRAMS, KNOWN_IN = (3, 4, 5, 6), 3
-EPOCHS, BATCH, DROP, SEED = 12, 128, 0.3, 13
+GRAMS, KNOWN_IN = (3, 4, 5), 3
+EPOCHS, BATCH, DROP, SEED = 8, 128, 0.3, 13
 #: Words are cut to pieces of so many characters.
 LONGEST = 32
 #: A task forgets its words when it has so many.
-MOST_WORDS = 200_000
+MOST_WORDS = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes whose first so many bits no known feature has aren't searched for.
+SIEVE = 22
 
 
 def words(text: str | None) -> list[str]:
@@ -53,8 +55,8 @@ def bare(word: str) -> str:
 
 
 def features(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word's features, side by side, and how many a word has; the first is the word itself."""
-    marked = ["\x02" + bare(w) + "\x03" for w in found]
+    """Hashes of each bare word's features, side by side, and how many a word has; the first is the word itself."""
+    marked = ["\x02" + w + "\x03" for w in found]
     sizes = np.array([len(w) for w in marked], dtype=np.int64)
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
@@ -85,8 +87,12 @@ class Bags:
     @classmethod
     def of(cls, found: list[str], keys: np.ndarray) -> Bags:
         hashes, n = features(found)
-        place = np.searchsorted(keys, hashes)
-        known = place < len(keys)
+        likely = np.zeros(1 << SIEVE, dtype=bool)
+        likely[keys >> np.uint64(64 - SIEVE)] = True
+        known = likely[hashes >> np.uint64(64 - SIEVE)]
+        place = np.zeros(len(hashes), dtype=np.int64)
+        place[known] = np.searchsorted(keys, hashes[known])
+        known &= place < len(keys)
         known[known] = keys[place[known]] == hashes[known]
         weight = np.repeat(1 / np.sqrt(np.maximum(n - 1, 1)), n)
         weight[np.cumsum(n) - n] = 1.0
@@ -130,16 +136,16 @@ class Network:
         })
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        """What the gates get from each word: (words, both directions x gates)."""
-        return np.concatenate([x @ self.net["into"][d] + self.net["bias"][d] for d in (0, 1)], axis=1)
+        """What the gates get from each word: (direction, words, gates)."""
+        return np.stack([x @ self.net["into"][d] + self.net["bias"][d] for d in (0, 1)])
 
     def forward(self, given: np.ndarray, which: np.ndarray, real: np.ndarray, trace: dict | None = None) -> np.ndarray:
-        """Logits of windows: ``which`` (windows, WINDOW) are rows of ``given``, ``real`` marks what isn't padding."""
-        n, width, h3 = len(which), which.shape[1], 3 * HIDDEN
+        """Logits of windows: ``which`` (windows, WINDOW) are words of ``given``, ``real`` marks what isn't padding."""
+        n, width = len(which), which.shape[1]
         states = np.empty((width, n, 2 * HIDDEN), dtype=np.float32)
         steps: list[list[tuple]] = [[], []]
         for d in (0, 1):
-            turn, h, mine = self.net["turn"][d], np.zeros((n, HIDDEN), dtype=np.float32), np.ascontiguousarray(given[:, d * h3 : (d + 1) * h3])
+            turn, h, mine = self.net["turn"][d], np.zeros((n, HIDDEN), dtype=np.float32), given[d]
             for t in range(width) if d == 0 else range(width - 1, -1, -1):
                 x, u = mine[which[:, t]], h @ turn
                 gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
@@ -225,15 +231,15 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     if not (y == 1).any() or not (y == 0).any():
         return None
     rng = np.random.default_rng(seed)
-    number: dict[str, int] = {}
-    numbered = [np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int64) for ws, _ in told]
-    hashes, n = features(list(number))
+    number = Words()
+    numbered = [np.array([number[w] for w in ws], dtype=np.int64) for ws, _ in told]
+    hashes, n = features(list(number.plain))
     ends = np.cumsum(n)
     pieces = [np.unique(np.concatenate([hashes[ends[i] - n[i] : ends[i]] for i in np.unique(ids).tolist()])) for ids in numbered]
     keys, seen_in = np.unique(np.concatenate(pieces), return_counts=True)
     del pieces
     network = Network.fresh(keys[seen_in >= KNOWN_IN], rng)
-    bags = Bags.of(list(number), network.keys)
+    bags = Bags.of(list(number.plain), network.keys)
     flat, sizes = np.concatenate(numbered), np.array([len(x) for x in numbered])
     first, width, text = windows(sizes)
     begins = np.searchsorted(text, np.arange(len(sizes) + 1))
@@ -274,38 +280,47 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
 
 
 class Words(dict):
-    """Numbers for words, in order; ``new`` is what wasn't there."""
+    """Numbers of words, equal for equal bare words; ``new`` are the bare words that weren't there, in order of their numbers."""
 
     def __init__(self):
+        self.plain: dict[str, int] = {}
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = n = len(self)
+        key = bare(word)
+        n = self.plain.get(key)
+        if n is None:
+            self.plain[key] = n = len(self.plain)
+            self.new.append(key)
+        self[word] = n
         return n
 
 
 def _judge(sent, text: str):
     def begin():
         network = sent.value
-        number, held = Words(), [np.zeros((0, 6 * HIDDEN), dtype=np.float32)]
+        number, held = Words(), np.zeros((2, 1 << 14, 3 * HIDDEN), dtype=np.float32)
 
         def make(part: pa.RecordBatch) -> list[pa.Array]:
-            nonlocal number
-            if len(number) > MOST_WORDS:
-                number, held[:] = Words(), [np.zeros((0, 6 * HIDDEN), dtype=np.float32)]
+            nonlocal number, held
             rows = part[text].to_pylist()
-            numbers = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in map(words, rows)]
             if network is None:
                 return [pa.array(np.zeros(len(rows)))]
-            if number.new:
-                for i in range(0, len(number.new), 1 << 15):
-                    held.append(network.inputs(Bags.of(number.new[i : i + (1 << 15)], network.keys).sums(network.vectors)).astype(np.float32))
-                number.new = []
-                held[:] = [np.concatenate(held)]
+            if len(number) > MOST_WORDS:
+                number = Words()
+            numbers = [np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)) for ws in map(words, rows)]
+            new, at = number.new, len(number.plain) - len(number.new)
+            if len(number.plain) > held.shape[1]:
+                grown = np.zeros((2, 2 * len(number.plain), 3 * HIDDEN), dtype=np.float32)
+                grown[:, :at] = held[:, :at]
+                held = grown
+            for i in range(0, len(new), 1 << 15):  # bounds memory
+                few = new[i : i + (1 << 15)]
+                held[:, at + i : at + i + len(few)] = network.inputs(Bags.of(few, network.keys).sums(network.vectors))
+            number.new = []
             first, n, of = windows(np.array([len(x) for x in numbers], dtype=np.int64))
             scores = np.zeros(len(rows))
-            found = logits(network, held[0], np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64), first, n)
+            found = logits(network, held, np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64), first, n)
             np.maximum.at(scores, of, _sigmoid(found.astype(np.float64)))
             return [pa.array(scores)]
 
