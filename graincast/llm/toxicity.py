@@ -9,6 +9,8 @@ random, a text stands for itself by its worst window so far, and unlabelled ones
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graincast.llm.common import map_arrow, table, with_columns
 
-#: The sample to learn from, gathered on the driver: so many texts a label at most, of so many characters at most.
+#: The sample to learn from: so many texts a label at most, of so many characters at most.
 TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
 #: Words of a window and from one to the next.
 WINDOW, STEP = 48, 24
@@ -224,6 +226,28 @@ def logits(network: Network, given: np.ndarray, flat: np.ndarray, first: np.ndar
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.float32)
 
 
+def known_features(found: list[str], numbered: list[np.ndarray]) -> np.ndarray:
+    """Hashes, in order, of the features of at least KNOWN_IN texts; texts are numbers of the words ``found``."""
+    used = [np.unique(ids) for ids in numbered]
+    word, text = np.concatenate(used), np.repeat(np.arange(len(used)), [len(u) for u in used])
+    order = np.argsort(word, kind="stable")
+    # a word of enough texts settles its features; the others' texts are counted apart
+    n_texts = np.bincount(word, minlength=len(found))
+    begins = np.cumsum(n_texts) - n_texts
+    hashes, n = features(found)
+    owner = np.repeat(np.arange(len(found)), n)
+    keys, which = np.unique(hashes, return_inverse=True)
+    often = np.zeros(len(keys), dtype=bool)
+    often[which[n_texts[owner] >= KNOWN_IN]] = True
+    rest = np.flatnonzero(~often[which])
+    pair_key = np.repeat(which[rest], n_texts[owner[rest]])
+    at = np.repeat(begins[owner[rest]], n_texts[owner[rest]])
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(n_texts[owner[rest]]) - n_texts[owner[rest]], n_texts[owner[rest]])
+    pairs = np.unique(pair_key * len(used) + text[order][at + nth])
+    often |= np.bincount(pairs // len(used), minlength=len(keys)) >= KNOWN_IN
+    return keys[often]
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
     """A network from texts and labels 0 or 1, the same in each run; none without words of both labels."""
     told = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := words(t))]
@@ -233,12 +257,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     rng = np.random.default_rng(seed)
     number = Words()
     numbered = [np.array([number[w] for w in ws], dtype=np.int64) for ws, _ in told]
-    hashes, n = features(list(number.plain))
-    ends = np.cumsum(n)
-    pieces = [np.unique(np.concatenate([hashes[ends[i] - n[i] : ends[i]] for i in np.unique(ids).tolist()])) for ids in numbered]
-    keys, seen_in = np.unique(np.concatenate(pieces), return_counts=True)
-    del pieces
-    network = Network.fresh(keys[seen_in >= KNOWN_IN], rng)
+    network = Network.fresh(known_features(list(number.plain), numbered), rng)
     bags = Bags.of(list(number.plain), network.keys)
     flat, sizes = np.concatenate(numbered), np.array([len(x) for x in numbered])
     first, width, text = windows(sizes)
@@ -329,8 +348,8 @@ def _judge(sent, text: str):
     return begin
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: the ``rows`` labelled ids of each label with the least hashes, of texts of ``chars`` characters at most.
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """Ids, texts and labels to learn from: the ``rows`` labelled ids of each label with the least hashes, of texts of ``chars`` characters at most.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic. Null ids, texts and labels are left out; an id labelled
     both ways counts as toxic, one with several texts gives the least.
@@ -339,9 +358,17 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: in
     least = [given.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows) for y in (0, 1)]
     few = least[0].unionByName(least[1])  # 2 x rows at most
     found = docs.filter(F.col("text").isNotNull() & (F.char_length("text") <= chars)).join(F.broadcast(few), "doc_id")
-    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in found], [r["toxic"] for r in found]
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def learn(few: DataFrame) -> Network | None:
+    """The network from a ``sample``, whose rows are bounded: one task trains it, as the driver has other work for its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)), key=lambda r: r[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], ["network"])
+
+    return pickle.loads(map_arrow(few.repartition(1), run, "network binary").first()["network"])
 
 
 def judge(docs: DataFrame, network: Network | None, text: str = "text", made: str = "score") -> DataFrame:
@@ -363,5 +390,5 @@ def op13_gru_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labelled ones that aren't held out. A null doc_id is the empty text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
-    found = judge(docs, fit(*sample(docs, labels)))
+    found = judge(docs, learn(sample(docs, labels)))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
