@@ -311,10 +311,11 @@ def align(docs: DataFrame, first: str | None = None, second: str | None = None,
     """``docs`` with COLUMNS for ``text``.
 
     Null and empty texts, and texts that a vocabulary doesn't give back byte by byte, have no tokens: zeros and ''. Rows count for
-    themselves, repeated ones too; an empty table gives none. Whole texts are read, a batch of rows at a time.
+    themselves, repeated ones too; an empty table gives none. Own columns of these names are
+    replaced. Whole texts are read, a batch of rows at a time.
     Counts beyond ``part_pairs`` are read in parts by the second id, and rows put together again by their place.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(*COLUMNS)
     counts = materialize(pair_counts(docs, first, second), "pairs")
     parts = max(1, -(-counts.count() // part_pairs))
     rows = docs if parts == 1 else numbered(docs)

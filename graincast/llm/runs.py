@@ -216,8 +216,10 @@ def find(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with ``runs`` (start, length and period in words, in order) and ``collapsed`` text for ``text``.
 
     Rows are judged one by one, so repeated rows and ids and empty tables need nothing special. Null, empty and blank texts
-    have no runs and collapse to the empty text. Memory is in proportion to the stretches of one text that repeat.
+    have no runs and collapse to the empty text. Own columns of these names are replaced. Memory is in proportion to the
+    stretches of one text that repeat.
     """
+    docs = docs.drop("runs", "collapsed")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:

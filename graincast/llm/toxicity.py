@@ -362,21 +362,23 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: in
 
 
 def learn(few: DataFrame) -> Network | None:
-    """The network from a ``sample``, whose rows are bounded: one task trains it, as the driver has other work for its memory."""
+    """The network from a ``sample`` (None if it lacks a label), whose rows are bounded: one task trains it, as the driver has other work for its memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)), key=lambda r: r[0])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], ["network"])
 
-    return pickle.loads(map_arrow(few.repartition(1), run, "network binary").first()["network"])
+    made = map_arrow(few.repartition(1), run, "network binary").first()
+    return pickle.loads(made["network"]) if made else None
 
 
 def judge(docs: DataFrame, network: Network | None, text: str = "text", made: str = "score") -> DataFrame:
     """``docs`` with ``made`` for ``text``: 0 to 1, the worst of the text's windows.
 
     Only the text is read, and all of it. Null, empty and blank texts score 0, and all do without a network. Rows are
-    judged one by one, so repeated rows agree.
+    judged one by one, so repeated rows agree. An own column ``made`` is replaced.
     """
+    docs = docs.drop(made)
     sent = docs.sparkSession.sparkContext.broadcast(network)
     kept = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text), f"`{made}` double"])
     return map_arrow(docs, with_columns((made,), _judge(sent, text), drop=(text,)), kept)
