@@ -109,7 +109,7 @@ SQL = {
     "push_top8": f"WITH {_F} SELECT id, target, score, row_number() OVER (ORDER BY target DESC, score DESC, id)::INT AS place FROM mm WHERE NOT deferred AND (eligible OR (target AND recommendation <> 'SKIP')) QUALIFY place <= 8",
     "push_overflow": f"WITH {_F} SELECT count(*) AS told, count(*) FILTER (target) AS targets, greatest(0, count(*) - 8) AS more FROM mm WHERE NOT deferred AND (eligible OR (target AND recommendation <> 'SKIP'))",
     "final_order": f"WITH {_F} SELECT id, score, row_number() OVER (ORDER BY score DESC, rule DESC, id)::INT AS place FROM mm QUALIFY place <= 60",
-    "recommend_why": f"WITH {_F} SELECT id, concat_ws('; ', CASE WHEN id % 17 = 0 THEN '결격: no licence' END, CASE WHEN total = 0 THEN '필수 요구사항을 뽑지 못해 근거가 얇음' WHEN total < 5 THEN '필수 요구사항이 ' || total || '건뿐이라 근거가 얇음(공고 본문이 비면 목록 정보만으로 판정된다)' WHEN known = 0 THEN '필수 요구사항 ' || total || '건이 모두 미판정' WHEN known <= 0.5 * total THEN '필수 요구사항 ' || total || '건 중 ' || known || '건만 판정됨(나머지는 이력에 언급 없음)' END, CASE WHEN gap >= 3 AND contains(title, 'URGENT') THEN '요구 경력이 ' || gap || '년 많고 시니어 명시 공고' WHEN gap >= 2 THEN '요구 경력이 ' || gap || '년 많음' END) AS why FROM g",
+    "recommend_why": f"WITH {_F} SELECT id, concat_ws('; ', CASE WHEN id % 17 = 0 THEN 'barred: no licence' END, CASE WHEN total = 0 THEN 'no required rows were read' WHEN total < 5 THEN 'only ' || total || ' required rows' WHEN known = 0 THEN 'none of ' || total || ' required rows is judged' WHEN known <= 0.5 * total THEN known || ' of ' || total || ' required rows are judged' END, CASE WHEN gap >= 3 AND contains(title, 'URGENT') THEN gap || ' years short of a senior role' WHEN gap >= 2 THEN gap || ' years short' END) AS why FROM g",
     "told_marking": f"WITH {_F}, seen AS (SELECT id, CASE WHEN id % 13 <> 0 THEN created END AS first_seen, id % 3 = 0 AS notified, created FROM p WHERE created < '2001-07-02') SELECT p.id, coalesce(s.first_seen, '2001-08-01') AS first_seen, CASE WHEN mm.id IS NOT NULL AND p.id % 4 = 0 THEN p.created WHEN s.id IS NOT NULL AND p.id % 2 = 0 THEN p.created END AS created_at, coalesce(s.notified, false) OR coalesce(NOT mm.deferred AND (mm.score >= 50 OR mm.target), false) AS notified FROM p LEFT JOIN seen s ON p.id = s.id LEFT JOIN mm ON p.id = mm.id",
     "seed_marking": f"WITH {_F} SELECT count(*) AS n, count(*) FILTER ((p.created < '2001-07-02' AND p.id % 3 = 0) OR (mm.id IS NOT NULL AND p.id % 4 = 0)) AS told FROM p LEFT JOIN mm ON p.id = mm.id",
     "dashboard_rank": f"WITH {_D} SELECT id, score, hot, urgent, expired, dsort, verdict FROM dash",
@@ -133,7 +133,7 @@ SQL = {
     "unclassified": f"WITH {_C} SELECT id FROM c WHERE enabled AND status IS NULL",
     "official_urls": f"WITH {_C} SELECT id, concat_ws(' ', url, CASE WHEN ck % 10 = 0 AND url IS DISTINCT FROM 'https://jobs.example.com/0' THEN 'https://jobs.example.com/0' END) AS urls, CASE WHEN ck % 10 = 0 THEN 'official platform' ELSE '' END AS types FROM c",
     "adapted_companies": f"WITH {_C} SELECT id, family FROM c WHERE enabled AND status IN ('generic_adapter_priority', 'adapter_candidate') AND family IN ('fam1', 'fam2')",
-    "blocker_adoption": "SELECT CASE WHEN l_linenumber % 5 = 4 THEN 'career' ELSE 'other' END AS kind, ['경력 5년 이상', '신입 전용, 경력 3년 불가', 'driving licence', '7 years of experience', 'lives abroad'][l_linenumber % 5 + 1] AS detail, CASE WHEN l_linenumber % 5 IN (0, 3, 4) THEN '경력 연수 차이는 자동 결격이 아님' WHEN l_suppkey % 3 = 0 THEN '공고 원문 근거 없음' ELSE 'adopted' END AS reject, count(*) AS n FROM lineitem GROUP BY ALL",
+    "blocker_adoption": "SELECT CASE WHEN l_linenumber % 5 = 4 THEN 'career' ELSE 'other' END AS kind, ['경력 5년 이상', '신입 전용, 경력 3년 불가', 'driving licence', '7 years of experience', 'lives abroad'][l_linenumber % 5 + 1] AS detail, CASE WHEN l_linenumber % 5 IN (0, 3, 4) THEN 'only years lack' WHEN l_suppkey % 3 = 0 THEN 'nothing backs it' ELSE 'adopted' END AS reject, count(*) AS n FROM lineitem GROUP BY ALL",
     "evidence_narrow": "WITH e AS (SELECT user_id AS id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS held, event_type IN ('purchase', 'click') AND event_id % 2 = 1 AS demoted FROM events) SELECT id, count(*)::INT AS n_rows, any_value(held) > 12 AS truncated, count(*) FILTER (demoted)::INT AS demoted, 'req ' || min(event_id) AS first, count(*) FILTER (event_type = 'purchase' AND NOT demoted)::INT AS n_full, count(*) FILTER (event_id % 3 = 0)::INT AS n_required, 'a,b' AS blockers FROM e WHERE nth <= 12 GROUP BY id",
     "evidence_deferral": f"WITH {_S}, b AS (SELECT id, row_number() OVER (ORDER BY rule DESC, id) <= 200 AS in_budget FROM sc WHERE qualified) SELECT id, in_budget, in_budget AND id % 3 = 0 AS failed, NOT in_budget OR id % 3 = 0 AS deferred FROM b",
     "body_sources": f"WITH {_S}, b AS (SELECT *, id % 2 = 1 AS thin FROM sc WHERE qualified), t AS (SELECT id FROM b WHERE thin AND id % 5 <> 0 ORDER BY rule DESC, id LIMIT 30) SELECT b.id, CASE WHEN t.id IS NOT NULL AND b.id % 7 <> 0 THEN 'crawled' WHEN thin THEN 'thin' ELSE 'platform' END AS jd_source, CASE WHEN t.id IS NOT NULL AND b.id % 7 <> 0 THEN 6000 WHEN thin THEN 5 ELSE 300 END::INT AS n FROM b LEFT JOIN t ON b.id = t.id",

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import warnings
 
-import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graincast.functions.scan import best_object, decode
+
 POSITION = "struct<workspaceField:struct<field:string>,workspaceOccupation:struct<occupation:string>,workspacePlace:struct<location:string,place:string,workFromHome:boolean>,jobPositionCareer:struct<careerFrom:int,careerTo:int>,jobPositionEmployment:struct<employmentType:string>>"
 OPENING = f"struct<openingId:bigint,title:string,openDate:string,dueDate:string,openingJobPosition:struct<openingJobPositions:array<{POSITION}>>>"
 PAGE = f"struct<props:struct<pageProps:struct<dehydratedState:struct<queries:array<struct<queryKey:array<string>,state:struct<data:string>>>>>>>"
@@ -45,47 +46,34 @@ def flatten_text(node: object) -> str:
         if isinstance(x, list):
             todo.extend(reversed(x))
         elif isinstance(x, dict):
-            if x.get("type") == "text" and isinstance(x.get("text"), str):
+            if x.get("type") == "text" and isinstance(x.get("text"), str) and x["text"]:
                 out.append(x["text"])
             todo.append(x.get("content") or [])
     return " ".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def rich_text(body: pd.Series) -> pd.Series:
-    """Text of a rich-text body given as JSON; null if it isn't JSON."""
+def _texts(found: list[str | None]) -> pa.Array:
+    """Texts for Arrow; halves of surrogate pairs, which JSON can spell, become question marks."""
+    return pa.array([x if x is None else x.encode("utf-8", "replace").decode() for x in found], pa.string())
 
-    def one(s: str | None) -> str | None:
-        try:
-            return flatten_text(json.loads(s)) if s is not None else None
-        except ValueError:
-            return None
 
-    return body.map(one)
+@F.arrow_udf(T.StringType())
+def rich_text(body: pa.Array) -> pa.Array:
+    """Text of a rich-text body given as JSON of any depth; null if it isn't JSON."""
 
-
-def pick_json(text: str) -> dict | None:
-    """The best JSON object in a text: one with requirements, then most keys, then the earliest."""
-    best, decoder, at = None, json.JSONDecoder(), text.find("{")
-    while at >= 0:
+    def one(s: str | None) -> str | None:
         try:
-            found, _ = decoder.raw_decode(text, at)
-            rank = ("requirements" in found, len(found))
-            if best is None or rank > best[0]:
-                best = (rank, found)
+            return flatten_text(decode(s)) if s is not None else None
         except ValueError:
-            pass
-        at = text.find("{", at + 1)
-    return best[1] if best else None
+            return None
 
+    return _texts([one(s) for s in body.to_pylist()])
 
-@F.pandas_udf(T.StringType())
-def embedded_json(text: pd.Series) -> pd.Series:
-    def one(s: str | None) -> str | None:
-        found = pick_json(s) if s else None
-        return json.dumps(found, ensure_ascii=False) if found is not None else None
 
-    return text.map(one)
+@F.arrow_udf(T.StringType())
+def embedded_json(text: pa.Array) -> pa.Array:
+    """The best JSON object in a text as it stands there, see ``best_object``; null without any."""
+    return _texts([best_object(s) if s else None for s in text.to_pylist()])
 
 
 def detail_text(own: Column, tree_text: Column, keywords: Column) -> Column:
