@@ -5,6 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from graincast.functions import scan
 from graincast.operators import dedup, fit, novelty, registry, scoring
 from graincast.plans import oracle, queries
 from graincast.sources import landed
@@ -89,6 +90,6 @@ def test_openings(spark):
 
 
 def test_embedded_json_and_rich_text():
-    assert landed.pick_json('x {"a":1,"b":2} {"requirements":[]} {') == {"requirements": []}
-    assert landed.pick_json("none") is None
+    assert scan.best_object('x {"a":1,"b":2} {"requirements":[]} {') == '{"requirements":[]}'
+    assert scan.best_object("none") is None
     assert landed.flatten_text({"type": "doc", "content": [{"type": "text", "text": "a"}, {"content": [{"type": "text", "text": "b"}]}]}) == "a b"
