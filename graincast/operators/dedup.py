@@ -39,6 +39,34 @@ def survivors(postings: DataFrame) -> DataFrame:
     )
 
 
+#: What a first arrival takes from later ones if it has none (empty texts and zeros are none). Fixed values.
+FILLED = ("deadline", "detail_url", "created", "career_min", "career_max")
+
+
+def merged(postings: DataFrame, order: tuple[str, ...] = ("seq", "id")) -> DataFrame:
+    """The whole rows of each exact key's first arrival, filled from later ones in turn, with ``sources`` in order of arrival and ``n_merged``.
+
+    Rows combine by key and source before they are shuffled, so that a posting that is posted without end doesn't meet in one task
+    row by row. A loose key that isn't ambiguous has one exact key, so no other merge is left to do across sources.
+    """
+    place = F.struct(*order)
+    has = {c: F.col(c) != 0 if c.startswith("career") else F.col(c) != "" for c in FILLED if c in postings.columns}
+    rows = postings.withColumns({"__key": exact_key(), "__at": place})
+    whole = F.struct(*[F.col(f"`{c}`") for c in postings.columns])
+    first = lambda c: F.min_by(F.struct(c), F.when(has[c], F.col("__at"))).alias(f"__{c}")
+    by_source = rows.groupBy("__key", "source").agg(F.min_by(whole, "__at").alias("__row"), F.min("__at").alias("__at"), F.count(F.lit(1)).alias("__n"), *[first(c) for c in has], *[F.min(F.when(has[c], F.col("__at"))).alias(f"__{c}_at") for c in has])
+    by_key = by_source.groupBy("__key").agg(
+        F.min_by("__row", "__at").alias("__row"), F.sum("__n").alias("n_merged"), F.array_sort(F.collect_list(F.struct("__at", "source")))["source"].alias("sources"), *[F.min_by(f"__{c}", f"__{c}_at").alias(f"__{c}") for c in has],
+    )
+    fill = [F.coalesce(F.when(has_in_row(c), F.col(f"__row.{c}")), F.col(f"__{c}.{c}"), F.col(f"__row.{c}")).alias(c) if c in has else F.col(f"__row.`{c}`").alias(c) for c in postings.columns]
+    return by_key.select(*fill, "sources", "n_merged")
+
+
+def has_in_row(c: str) -> Column:
+    own = F.col(f"__row.{c}")
+    return own != 0 if c.startswith("career") else own != ""
+
+
 def ambiguous(postings: DataFrame) -> DataFrame:
     """Loose keys that stand for several exact keys."""
     return postings.select(loose_key().alias("loose"), exact_key().alias("exact")).groupBy("loose").agg(F.countDistinct("exact").alias("n_exact")).filter("n_exact > 1")

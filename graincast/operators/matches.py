@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from graincast.operators import evidence, fit, novelty, registry, scoring
+from graincast.functions.text import normalize_company
+from graincast.operators import dedup, evidence, fit, novelty, registry, scoring
+from graincast.session import written
 
 MODES = ("discovery", "target", "all")
 LEAST_CRAWLED, MOST_BODY = 200, 6000
+#: Rows that a report shows of a kind: names near the watch-list's, postings its roles left out, postings of excluded companies.
+SAMPLES = {"near": 8, "role": 8, "excluded": 5}
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,7 @@ class Run:
     crawl_budget: int = 15
     crawl: bool = False
     thin_chars: int = 100
+    retention: int = 90
     note_score: float = 50.0
     notify_score: float = 60.0
     title_exclude: tuple[str, ...] = ()
@@ -41,9 +46,18 @@ class Run:
             raise ValueError(f"mode {self.mode}: one of {', '.join(MODES)}")
 
 
-def candidates(postings: DataFrame, companies: DataFrame | None, run: Run, key: str = "company_key") -> DataFrame:
-    """Postings that discovery or the watch-list picks, one row each, with ``rule``, ``target_id``, ``tier`` and ``reason``. Excluded companies go first."""
-    listed = scoring.with_rule_score(postings.filter(~scoring.company_excluded(run.rules)), run.rules)
+def prepared(postings: DataFrame, companies: DataFrame | None) -> DataFrame:
+    """What a run scans: ``company_key``, ``canonical`` where the watch-list knows the name (official postings have it), and one row however often it was posted."""
+    keyed = postings.withColumn("company_key", normalize_company(F.col("company")))
+    if companies is not None:
+        keyed = registry.resolve(keyed, companies, "company_key")
+        keyed = keyed.withColumn("canonical", F.coalesce(F.nullif(F.col("canonical"), F.lit("")), F.col("target_id"), F.lit(""))).drop("target_id")
+    return dedup.merged(keyed)
+
+
+def marked(postings: DataFrame, companies: DataFrame | None, run: Run, key: str = "company_key") -> DataFrame:
+    """All postings with ``excluded`` (company), ``rule``, ``qualified``, ``target_id``, ``tier``, ``reason``, ``target`` and ``picked``: by discovery or the watch-list."""
+    listed = scoring.with_rule_score(postings, run.rules).withColumn("excluded", scoring.company_excluded(run.rules))
     want_target = run.mode != "discovery" and companies is not None
     if want_target:
         listed = registry.resolve(listed, companies, key, carry=("tier", "roles_include", "roles_exclude"))
@@ -51,9 +65,33 @@ def candidates(postings: DataFrame, companies: DataFrame | None, run: Run, key:
     else:
         none = F.array().cast("array<string>")
         listed = listed.withColumns({"target_id": F.lit(None).cast("string"), "tier": F.lit(None).cast("string"), "roles_include": none, "roles_exclude": none, "reason": F.lit("not_target")})
-    target = F.col("target_id").isNotNull() & F.col("reason").isNull()
-    picked = (F.col("qualified") if run.mode != "target" else F.lit(False)) | target
-    return listed.withColumn("target", target).filter(picked)
+    target = F.col("target_id").isNotNull() & F.col("reason").isNull() & ~F.col("excluded")
+    picked = (F.col("qualified") if run.mode != "target" else F.lit(False)) | F.col("target")
+    return listed.withColumn("target", target).withColumn("picked", picked & ~F.col("excluded"))
+
+
+def candidates(postings: DataFrame, companies: DataFrame | None, run: Run, key: str = "company_key") -> DataFrame:
+    """The picked of ``marked``, one row each."""
+    return marked(postings, companies, run, key).filter("picked").drop("picked", "excluded")
+
+
+def samples(scanned: DataFrame, companies: DataFrame | None) -> DataFrame:
+    """``kind, place, name, detail``: the first rows of each kind in SAMPLES, in order of arrival, from a ``marked`` table.
+
+    Near are names that the list's keys begin or end and that aren't on it, with the ids of those companies: aliases may lack.
+    """
+    shown = F.concat_ws(" / ", F.coalesce("company", F.lit("?")), F.coalesce("title", F.lit("?")))
+    first = lambda kind, rows, name: rows.orderBy("seq", name).limit(SAMPLES[kind]).select(F.lit(kind).alias("kind"), "seq", name.alias("name") if isinstance(name, Column) else F.col(name).alias("name"))
+    none = F.lit(None).cast("string")
+    out = first("excluded", scanned.filter("excluded"), shown).withColumn("detail", none)
+    if companies is None:
+        return out.withColumnRenamed("seq", "at")
+    out = out.unionByName(first("role", scanned.filter("reason = 'role' and not excluded"), shown).withColumn("detail", none))
+    names = scanned.filter("target_id is null and not excluded and length(company_key) >= 2").groupBy(F.col("company_key").alias("raw")).agg(F.min("seq").alias("seq"), F.min_by("company", "seq").alias("name"))
+    keys = registry.keys(companies)
+    near = registry.near_misses(names, keys).join(keys, "key").groupBy("raw").agg(F.array_join(F.array_sort(F.collect_set("company_id")), ",").alias("detail"))
+    near = names.join(near, "raw").orderBy("seq", "name").limit(SAMPLES["near"]).select(F.lit("near").alias("kind"), "seq", "name", "detail")
+    return out.unionByName(near).withColumnRenamed("seq", "at")
 
 
 def dated(found: DataFrame, seen: DataFrame, details: DataFrame, run: Run) -> DataFrame:
@@ -106,7 +144,7 @@ def apply_url(detail_url: str = "redirect", own: str = "detail_url") -> Column:
 
 
 def matched(judged: DataFrame, run: Run) -> DataFrame:
-    """The wide rows of matches, best first; equal scores keep judged rows before the others, then order of arrival."""
+    """The wide rows of matches, in no order."""
     rows = fit.evaluate(judged, run.rules.career_years, run.fit)
     bound = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
     joined = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("-"))
@@ -116,7 +154,15 @@ def matched(judged: DataFrame, run: Run) -> DataFrame:
         "due": F.coalesce(F.nullif(F.col("deadline"), F.lit("")), F.col("evidence.deadline")), "verdict": F.try_element_at(verdict, F.coalesce("recommendation", F.lit(""))),
         "origin": F.when(F.col("target"), "target").otherwise("discovery"), "structured": F.coalesce(F.col("evidence.structured"), F.lit(False)), "demoted": F.coalesce(F.col("evidence.demoted"), F.lit(0)),
     })
-    return rows.orderBy(F.desc("score"), F.desc("in_budget"), F.desc("rule"), "seq")
+    return rows
+
+
+#: Best first; equal scores keep judged rows before the others, then order of arrival. Outputs that show matches in their own order sort by it.
+BEST_FIRST = ("score desc", "in_budget desc", "rule desc", "seq")
+
+
+def best_first(matches: DataFrame) -> DataFrame:
+    return matches.orderBy(*[F.expr(c.split()[0]).desc() if c.endswith("desc") else F.col(c) for c in BEST_FIRST])
 
 
 def in_note(run: Run) -> Column:
@@ -139,27 +185,43 @@ def next_state(seen: DataFrame, listed: DataFrame, found: DataFrame, told: DataF
     return state.select("id", "first_seen", F.coalesce("now_created", "was_created").alias("created_at"), (F.col("notified") | F.coalesce("marked", F.lit(False))).alias("notified"))
 
 
-def stats(listed: DataFrame, found: DataFrame, fresh: DataFrame, matches: DataFrame) -> DataFrame:
-    """Counters of a run in one row."""
-    parts = [
-        listed.agg(F.count(F.lit(1)).alias("scanned")),
-        found.agg(F.count(F.lit(1)).alias("rule_pass"), F.count_if("qualified").alias("discovery_candidates"), F.count_if("target").alias("target_candidates")),
-        fresh.agg(F.count(F.lit(1)).alias("fresh"), F.count_if("target").alias("target_fresh")),
-        matches.agg(F.count_if(F.col("evidence").isNotNull()).alias("scored"), F.count_if("structured").alias("structured"), F.coalesce(F.sum("demoted"), F.lit(0)).alias("demoted"), F.count_if(F.size("blockers") > 0).alias("blocked"), F.count_if(F.col("jd_source") == "crawled").alias("enriched"), F.count_if("deferred").alias("deferred"), F.count_if("failed").alias("failed")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
-    return out
-
-
-def run_all(postings: DataFrame, companies: DataFrame | None, seen: DataFrame, details: DataFrame, crawled: DataFrame, responses: DataFrame, run: Run) -> dict[str, DataFrame]:
-    """``matches``, ``state`` and ``stats`` of a run; a seeding run has no matches."""
-    found = candidates(postings, companies, run)
-    listed = postings.filter(~scoring.company_excluded(run.rules))
-    fresh = dated(found, seen, details, run)
-    judged = assessed(bodies(fresh, details, crawled, run).withColumn("url", apply_url()), responses, run)
-    matches = matched(judged, run)
-    if run.seed:
-        matches = matches.limit(0)
-    return {"matches": matches, "state": next_state(seen, listed, fresh, matches.filter(in_note(run)), run), "stats": stats(postings, found, fresh, matches)}
+@dataclass
+class Outcome:
+    """What a run found: its ``matches`` and next ``state``, ``counters`` and ``samples`` for reports, and what it ``scanned``."""
+
+    matches: DataFrame
+    state: DataFrame
+    counters: dict[str, int]
+    samples: DataFrame
+    scanned: DataFrame
+
+
+def _counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in counts.items()]), seen
+
+
+def run_all(postings: DataFrame, companies: DataFrame | None, seen: DataFrame, details: DataFrame, crawled: DataFrame, responses: DataFrame, run: Run) -> Outcome:
+    """A run over collected postings (see ``prepared``); a seeding run has no matches.
+
+    The scan, what is fresh and the matches are each made once, as scratch tables, and their counters are observed while they are
+    written: what else a run gives reads these tables.
+    """
+    every = F.count(F.lit(1))
+    scan = marked(prepared(postings, companies), companies, run)
+    scan, scan_counts = _counted(
+        scan, "scan", scanned=every, merged=F.coalesce(F.sum("n_merged"), F.lit(0)) - every, company_excluded=F.count_if("excluded"), discovery_candidates=F.count_if(F.col("qualified") & ~F.col("excluded")), target_candidates=F.count_if("target"),
+        target_role_dropped=F.count_if((F.col("reason") == "role") & ~F.col("excluded")), rule_pass=F.count_if("picked"),
+    )
+    scan = written(scan, "scan")
+    fresh, fresh_counts = _counted(dated(scan.filter("picked").drop("picked", "excluded"), seen, details, run), "fresh", fresh=every, target_fresh=F.count_if("target"))
+    fresh = written(fresh, "fresh")
+    found = matched(assessed(bodies(fresh, details, crawled, run).withColumn("url", apply_url()), responses, run), run)
+    found, match_counts = _counted(
+        found, "matches", scored=F.count_if(F.col("evidence").isNotNull()), structured=F.count_if("structured"), demoted=F.coalesce(F.sum("demoted"), F.lit(0)), blocked=F.count_if(F.size("blockers") > 0), enriched=F.count_if(F.col("jd_source") == "crawled"),
+        deferred=F.count_if("deferred"), failed=F.count_if("failed"),
+    )
+    found = written(found if not run.seed else found.limit(0), "matches")
+    counters = {**scan_counts.get, **fresh_counts.get, **(match_counts.get if not run.seed else {})}
+    state = next_state(seen, scan.filter("not excluded"), fresh, found.filter(in_note(run)), run)
+    return Outcome(found, novelty.retain(state, run.as_of, run.retention), counters, samples(scan, companies), scan)

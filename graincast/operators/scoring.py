@@ -10,21 +10,44 @@ from pyspark.sql import functions as F
 from graincast.functions.text import contains_any, plain_company, squeeze
 
 
+#: What a regular job is called, and what the weights' names stand for in settings. Fixed values.
+REGULAR = "정규"
+WEIGHTS = {"role": 35.0, "career": 25.0, "tech": 20.0, "region": 10.0, "employment": 10.0}
+SETTINGS_WEIGHT = {"tech": "tech_title"}
+
+
 @dataclass(frozen=True)
 class Rules:
-    career_years: int = 4
+    """What a person looks for; nothing by default."""
+
+    career_years: int = 0
     tolerance: int = 2
-    primary: list[str] = field(default_factory=lambda: ["BUILDING", "MACHINERY"])
-    secondary: list[str] = field(default_factory=lambda: ["AUTOMOBILE"])
-    depth_one: list[str] = field(default_factory=lambda: ["ASIA"])
-    regions: list[str] = field(default_factory=lambda: ["NATION_1", "NATION_7"])
-    employment: list[str] = field(default_factory=lambda: ["REGULAR"])
-    tech_primary: list[str] = field(default_factory=lambda: ["urgent", "high"])
-    tech_secondary: list[str] = field(default_factory=lambda: ["1-", "medium"])
-    weights: dict[str, float] = field(default_factory=lambda: {"role": 35.0, "career": 25.0, "tech": 20.0, "region": 10.0, "employment": 10.0})
+    primary: list[str] = field(default_factory=list)
+    secondary: list[str] = field(default_factory=list)
+    depth_one: list[str] = field(default_factory=list)
+    regions: list[str] = field(default_factory=list)
+    employment: list[str] = field(default_factory=lambda: [REGULAR])
+    tech_primary: list[str] = field(default_factory=list)
+    tech_secondary: list[str] = field(default_factory=list)
+    weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     threshold: float = 45.0
-    excluded_companies: list[str] = field(default_factory=lambda: ["Customer#00000001"])
-    excluded_titles: list[str] = field(default_factory=lambda: ["Not Specified"])
+    excluded_companies: list[str] = field(default_factory=list)
+    excluded_titles: list[str] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, settings: dict) -> Rules:
+        """From a profile's ``filter``, ``profile`` and ``scoring``; what isn't set keeps its default."""
+        places = {
+            "career_years": ("profile", "career_years"), "tech_primary": ("profile", "tech_primary"), "tech_secondary": ("profile", "tech_secondary"),
+            "primary": ("filter", "primary_depth_twos"), "secondary": ("filter", "secondary_depth_twos"), "depth_one": ("filter", "target_depth_ones"), "regions": ("filter", "regions_preferred"),
+            "excluded_companies": ("filter", "exclude_companies"), "excluded_titles": ("filter", "exclude_title_keywords"), "tolerance": ("scoring", "career_tolerance_over"), "threshold": ("scoring", "rule_threshold"),
+        }
+        given = {name: (settings.get(block) or {}).get(key) for name, (block, key) in places.items()}
+        weights = (settings.get("scoring") or {}).get("weights") or {}
+        own = {k: float(weights.get(SETTINGS_WEIGHT.get(k, k), w)) for k, w in WEIGHTS.items()}
+        if sum(own.values()) <= 0:
+            raise ValueError("scoring.weights: the weights' sum must be above 0")
+        return cls(weights=own, **{k: v for k, v in given.items() if v is not None})
 
 
 def _strings(xs: list[str]) -> Column:

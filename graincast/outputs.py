@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graincast.operators import fit, novelty
-from graincast.operators.matches import Run, eligible, in_note
+from graincast.operators.matches import Run, best_first, eligible, in_note
 
 PUSHED, CONSOLE, CAPTION = 8, 12, 1024
 #: What axes are called. Fixed values.
@@ -130,5 +130,5 @@ def caption(matches: DataFrame, run: Run, threshold: float, person: str = "") ->
 
 def console(matches: DataFrame, run: Run) -> list[str]:
     """The first matches in their own order."""
-    rows = matches.select("score", "target", "tier", "company", "title", _hot(run).alias("hot")).limit(CONSOLE).collect()
+    rows = best_first(matches).limit(CONSOLE).select("score", "target", "tier", "company", "title", _hot(run).alias("hot")).collect()
     return [f"{'🔥' if r['hot'] else '  '} {r['score']:>5}{' 🎯' + r['tier'] if r['target'] else ''} | {r['company']} | {r['title'][:34]}" for r in rows]

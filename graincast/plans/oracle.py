@@ -70,9 +70,54 @@ h AS (
 ), hs AS (SELECT source_id, n_fetches, jobs_seen, consecutive_failures, CASE WHEN jobs_seen = 0 THEN nz END AS last_nonzero, last_ok FROM h)"""
 _EXACT = "concat_ws('|', ckey, lower(regexp_replace(title, '[^\\p{L}\\p{N}]+', '', 'g')), coalesce(lo::VARCHAR, 'None') || '~' || coalesce(hi::VARCHAR, 'None'), n_name)"
 _LOOSE = "ckey || '|' || lower(regexp_replace(title, '[^\\p{L}\\p{N}]+', '', 'g'))"
+#: Reposts: whole rows of first arrivals, the deadline filled.
+_M = _P.replace("p AS (", "p0 AS (", 1) + f""", k0 AS (SELECT *, {_EXACT} AS key FROM p0), src AS (SELECT key, source, min(id) AS s FROM k0 GROUP BY key, source),
+g0 AS (SELECT key, min(id) AS mid, count(*) AS n_merged, arg_min(deadline, id) FILTER (deadline IS NOT NULL) AS dl FROM k0 GROUP BY key),
+p AS (SELECT a.* REPLACE (g0.dl AS deadline), n_merged, (SELECT string_agg(source, ',' ORDER BY s) FROM src WHERE src.key = g0.key) AS sources FROM g0 JOIN p0 a ON a.id = g0.mid)"""
+#: A whole run: wq is what it scanned, wf what is fresh, wm its matches.
+_W = _M + _Q[len(_P):] + ", " + _E + """, seen AS (SELECT id, CASE WHEN id % 13 <> 0 THEN created END AS first_seen, id % 3 = 0 AS notified, CASE WHEN id % 2 = 0 THEN created END AS created_at FROM p0 WHERE created < '2001-07-02'),
+wt AS (SELECT *, target_id IS NOT NULL AND reason IS NULL AND NOT company_out AS target FROM q), wq AS (SELECT *, (qualified OR target) AND NOT company_out AS picked FROM wt),
+wa AS (SELECT wq.*, s.first_seen, s.created_at AS cached FROM wq LEFT JOIN seen s ON wq.id = s.id WHERE picked AND NOT coalesce(s.notified, false)),
+wb AS (SELECT id FROM wa WHERE cached IS NULL AND id % 5 <> 0 ORDER BY rule DESC, id LIMIT 300),
+wd AS (SELECT *, CASE WHEN cached IS NOT NULL THEN cached WHEN id % 9 <> 0 THEN created ELSE coalesce(first_seen, '2001-08-01') END AS created_at FROM wa WHERE cached IS NOT NULL OR id IN (SELECT id FROM wb)),
+wf AS (SELECT * FROM wd WHERE date_diff('day', created_at::DATE, DATE '2001-08-01') <= 30),
+wj AS (SELECT *, row_number() OVER (ORDER BY rule DESC, id) <= 200 AS in_budget FROM wf),
+wx AS (SELECT wj.*, ax.*  EXCLUDE (id), in_budget AND wj.id % 4 <> 0 AND ax.id IS NOT NULL AS answered, in_budget AND wj.id % 4 <> 0 AND ax.id IS NOT NULL AND wj.id % 17 = 0 AS barred, (p_region + p_employment) / 2 AS pref FROM wj LEFT JOIN ax ON wj.id = ax.id),
+wy AS (SELECT *, CASE WHEN answered THEN round((coalesce(required * 0.55::DOUBLE, 0) + coalesce(preferred * 0.15::DOUBLE, 0) + p_tech * 0.1::DOUBLE + p_career * 0.1::DOUBLE + pref * 0.1::DOUBLE)
+      / (CASE WHEN required IS NULL THEN 0 ELSE 0.55 END::DOUBLE + CASE WHEN preferred IS NULL THEN 0 ELSE 0.15 END::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE) * 100, 1) END AS fit, CASE WHEN lo IS NOT NULL THEN greatest(0, lo - 4) END AS gap FROM wx),
+wm AS (SELECT *, coalesce(fit, rule) AS score, NOT in_budget OR NOT answered AS deferred, CASE WHEN fit IS NOT NULL THEN ['SKIP', 'ARCHIVE', 'REVIEW', 'APPLY', 'STRONG_APPLY'][least(CASE WHEN fit >= 90 THEN 4 WHEN fit >= 80 THEN 3 WHEN fit >= 70 THEN 2 WHEN fit >= 60 THEN 1 ELSE 0 END,
+    CASE WHEN required_total < 5 OR required_known = 0 OR required_known <= 0.5 * required_total THEN 2 ELSE 9 END, CASE WHEN gap >= 2 THEN 2 ELSE 9 END, CASE WHEN barred THEN 0 ELSE 9 END) + 1] END AS recommendation FROM wy)"""
+#: Landed pages, and the walks over them: a term's pages up to the first that ends it.
+_L = """o AS (SELECT *, o_orderkey // 800 AS page FROM orders JOIN customer ON o_custkey = c_custkey),
+pg AS (
+  SELECT 'platform_a' AS source, o_orderpriority AS term, page, o_orderkey AS k, o_orderpriority AS title, c_name, c_mktsegment, o_orderdate FROM o WHERE o_orderstatus = 'F'
+  UNION ALL SELECT 'platform_a', '2-HIGH', page, o_orderkey, 'again', c_name, c_mktsegment, o_orderdate FROM o WHERE o_orderstatus = 'F' AND o_orderkey % 10 = 0
+  UNION ALL SELECT 'platform_b', (o_orderkey % 3)::VARCHAR, page, o_orderkey, o_orderpriority, c_name, NULL, o_orderdate FROM o WHERE o_orderstatus = 'O'
+), have AS (SELECT DISTINCT source, term, page FROM pg),
+gap AS (SELECT source, term, min(page) AS miss FROM (SELECT source, term, page + 1 AS page FROM have UNION SELECT source, term, 0 FROM have) c WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.source = c.source AND h.term = c.term AND h.page = c.page) GROUP BY source, term),
+walk AS (
+  SELECT h.source, h.term, least(coalesce(min(h.page) FILTER ((h.term = '5-LOW' AND h.page = 1) OR (h.term = '4-NOT SPECIFIED' AND h.page = 1) OR (h.term = '2' AND h.page = 1)), min(miss) - 1), min(miss) - 1) AS stop, min(h.page) FILTER (h.term = '5-LOW' AND h.page = 1) AS failed_at
+  FROM have h JOIN gap USING (source, term) GROUP BY h.source, h.term),
+rd AS (SELECT pg.*, list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], term) AS nterm FROM pg JOIN walk USING (source, term) WHERE page <= stop AND NOT (term = '5-LOW' AND page = 1) AND NOT (term = '2' AND page = 1)),
+listed AS (
+  SELECT k::VARCHAR AS id, 0 AS nth, source, arg_max(title, (nterm, page, title)) AS title, any_value(c_name) AS company, any_value(c_mktsegment) AS depths, false AS synthetic, (any_value(k) % 7)::INT AS career_min, NULL AS deadline FROM rd WHERE source = 'platform_a' GROUP BY k, source
+  UNION ALL SELECT k::VARCHAR, 2, source, title, c_name, 'backend', true, NULL, strftime(o_orderdate, '%Y-%m-%d') FROM rd WHERE source = 'platform_b')"""
+_CP = """c AS (
+  SELECT 's' || s_suppkey AS id, s_suppkey AS k, s_suppkey % 17 AS kind, s_name, CASE WHEN s_suppkey % 11 = 0 THEN 'no careers_url' WHEN s_suppkey % 13 = 0 THEN 'robots rules forbid the address'
+    ELSE CASE s_suppkey % 17 WHEN 1 THEN 'no page landed' WHEN 2 THEN 'HTTP 404' WHEN 3 THEN 'no embedded data' WHEN 4 THEN 'broken data' WHEN 5 THEN 'no openings query' WHEN 6 THEN 'openings aren''t a list' WHEN 8 THEN 'timed out' END END AS error
+  FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0)"""
 
 SQL = {
-    "postings_union": f"WITH {_P} SELECT CASE source WHEN 'platform_a' THEN 0 WHEN 'platform_b' THEN 1 ELSE 2 END AS nth, source, count(*) AS n, min(id) AS first_seq FROM p GROUP BY source",
+    "postings_union": f"WITH {_P} SELECT CASE source WHEN 'platform_a' THEN 0 WHEN 'platform_b' THEN 1 ELSE 2 END AS nth, id AS seq, source, id, title, company, deadline FROM p",
+    "landed_postings": f"WITH {_L} SELECT id, nth, source, title, company, depths, synthetic, career_min, deadline FROM listed",
+    "landed_sources": f"WITH {_L}, w AS (SELECT source, term, min(stop) + 1 AS n_pages, bool_or(failed_at <= stop) AS failed FROM walk GROUP BY source, term) SELECT CASE source WHEN 'platform_a' THEN 0 ELSE 2 END AS nth, source, (SELECT count(*) FROM listed l WHERE l.source = s.source) > 0 OR s.bad = 0 AS ok, CASE WHEN s.bad > 0 AND (SELECT count(*) FROM listed l WHERE l.source = s.source) = 0 THEN 'HTTP 503' END AS error, n_walks, n_pages, (SELECT count(*) FROM listed l WHERE l.source = s.source) AS jobs FROM (SELECT source, count(*)::INT + CASE source WHEN 'platform_a' THEN 1 ELSE 0 END AS n_walks, sum(n_pages)::BIGINT + CASE source WHEN 'platform_a' THEN 1 ELSE 0 END AS n_pages, count(*) FILTER (failed) + CASE source WHEN 'platform_a' THEN 1 ELSE 0 END AS bad FROM w GROUP BY source) s UNION ALL SELECT 1, 'nowhere', false, 'unknown source', 0, 0, 0",
+    "career_results": f"WITH {_CP} SELECT 'greetinghr:' || id AS source_id, id AS company_id, 'greetinghr' AS family, error IS NULL AS ok, error, CASE WHEN kind NOT IN (1, 8) THEN CASE WHEN kind = 2 THEN 404 ELSE 200 END END::INT AS http_status, CASE WHEN kind <> 1 THEN 'https://c.example.com/' END AS final_url, CASE WHEN error IS NULL THEN CASE WHEN kind = 7 THEN 0 ELSE (SELECT count(*) FROM lineitem WHERE l_linenumber = 1 AND l_suppkey = k AND l_orderkey % 10 <> 0) END END AS jobs FROM c",
+    "career_openings": f"WITH {_CP} SELECT 'greetinghr:' || id || ':' || l_orderkey AS id, l_returnflag AS title, s_name AS company, id AS canonical, '상시' AS deadline, 'https://c.example.com/' || k || '/ko/o/' || l_orderkey AS detail_url FROM c JOIN lineitem ON l_suppkey = k AND l_linenumber = 1 AND l_orderkey % 10 <> 0 WHERE error IS NULL AND kind <> 7",
+    "reposts": f"WITH {_M} SELECT id, title, company, deadline, n_merged, sources FROM p",
+    "run_matches": f"WITH {_W} SELECT id, target, score, recommendation, deferred, n_merged, CASE WHEN id % 5 <> 0 THEN 'platform' ELSE 'thin' END AS jd_source, created_at FROM wm",
+    "run_state": f"WITH {_W}, st AS (SELECT id, coalesce(s.first_seen, CASE WHEN l.id IS NOT NULL THEN '2001-08-01' END) AS first_seen, coalesce(f.created_at, s.created_at) AS created_at, coalesce(s.notified, false) OR coalesce(NOT w.deferred AND (w.score >= 50 OR w.target), false) AS notified FROM seen s FULL JOIN (SELECT id FROM wq WHERE NOT company_out) l USING (id) LEFT JOIN wf f USING (id) LEFT JOIN wm w USING (id)) SELECT * FROM st WHERE coalesce(first_seen, '9999') >= '2000-08-01'",
+    "run_counters": f"WITH {_W} SELECT (SELECT count(*) FROM wq) AS scanned, (SELECT sum(n_merged) - count(*) FROM wq)::BIGINT AS merged, (SELECT count(*) FROM wq WHERE company_out) AS company_excluded, (SELECT count(*) FROM wq WHERE qualified) AS discovery_candidates, (SELECT count(*) FROM wq WHERE target) AS target_candidates, (SELECT count(*) FROM wq WHERE reason = 'role' AND NOT company_out) AS target_role_dropped, (SELECT count(*) FROM wq WHERE picked) AS rule_pass, (SELECT count(*) FROM wf) AS fresh, (SELECT count(*) FROM wf WHERE target) AS target_fresh, (SELECT count(*) FROM wm WHERE answered) AS scored, (SELECT count(*) FROM wm WHERE answered) AS structured, (SELECT count(*) FROM wm JOIN ev ON wm.id = ev.id WHERE answered AND ev.demoted) AS demoted, (SELECT count(*) FROM wm WHERE barred) AS blocked, 0::BIGINT AS enriched, (SELECT count(*) FROM wm WHERE deferred) AS deferred, (SELECT count(*) FROM wm WHERE in_budget AND NOT answered) AS failed",
+    "run_samples": f"WITH {_W} SELECT * FROM (SELECT 'excluded' AS kind, id AS at, company || ' / ' || title AS name, NULL AS detail FROM wq WHERE company_out ORDER BY id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'role', id, company || ' / ' || title, NULL FROM wq WHERE reason = 'role' AND NOT company_out ORDER BY id LIMIT 8)",
     "company_normalize": "SELECT c_name || ' Co., Ltd.' AS raw, lower(replace(c_name, '#', '')) AS key FROM customer UNION ALL SELECT 'Inc. ' || s_name, lower(replace(s_name, '#', '')) FROM supplier",
     "title_keys": f"WITH {_P} SELECT id, {_LOOSE} AS loose, {_EXACT} AS exact FROM p",
     "dedup_survivors": f"WITH {_P}, x AS (SELECT * REPLACE ('c' || (custkey % 50) AS ckey) FROM p), e AS (SELECT *, {_EXACT} AS key FROM x), src AS (SELECT key, source, min(id) AS s FROM e GROUP BY key, source), j AS (SELECT key, string_agg(source, ',' ORDER BY s) AS sources FROM src GROUP BY key) SELECT min(id) AS id, any_value(sources) AS sources, count(*) AS merged, arg_min(deadline, id) FILTER (deadline IS NOT NULL) AS deadline, arg_min(created, id) AS created FROM e JOIN j USING (key) GROUP BY key",

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from graincast import outputs
 from graincast.functions import text as T
 from graincast.operators import dedup, evidence, fit, health, matches, novelty, registry, scoring
-from graincast.session import table
-from graincast.sources import adapters, landed
+from graincast.session import scratch_path, table
+from graincast.sources import adapters, careers, collecting, landed
 from graincast.sources import bridge as B
 
-R = scoring.Rules()
+R = B.RULES
 RUN = matches.Run(as_of=B.AS_OF, judge_budget=200, crawl=True, crawl_budget=30)
 TITLE_OUT = ["medium"]
+WHOLE = matches.Run(as_of=B.AS_OF, window=30, judge_budget=200, detail_budget=300, retention=365, title_exclude=tuple(TITLE_OUT), rules=B.RULES)
 
 
 def _scored(s, d) -> DataFrame:
@@ -29,7 +30,67 @@ def postings_union(s, d):
     """Bag union of the sources, source order then arrival."""
     p = B.postings(s, d)
     parts = [p.filter(F.col("source") == x).withColumn("nth", F.lit(i)) for i, x in enumerate(("platform_a", "platform_b", "official"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("nth", "source").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+    return collecting.united(parts).select("nth", "seq", "source", "id", "title", "company", "deadline")
+
+
+def _landed(s, d) -> collecting.Collected:
+    """The collection from answers that lie as files: written here from the tables, read by the data source."""
+    path = scratch_path(s, "answers")
+    B.landed_pages(s, d).write.partitionBy("source", "term", "page", "status").text(path)
+    return collecting.from_pages(s, path, B.SEARCHES)
+
+
+def landed_postings(s, d):
+    """What the walks over landed pages give: an id listed again keeps its place and has the last values."""
+    return _landed(s, d).postings.select("id", "nth", "source", "title", "company", F.array_join("depth_twos", ",").alias("depths"), "synthetic", "career_min", "deadline")
+
+
+def landed_sources(s, d):
+    """A result of each source: walks that ended early, failed or found nothing don't stop the others."""
+    return _landed(s, d).sources
+
+
+def career_results(s, d):
+    """A result of each company's page: failed, empty and full stay apart."""
+    return careers.results(careers.fetched(B.career_companies(s, d), B.career_pages(s, d)))
+
+
+def career_openings(s, d):
+    """Postings of the companies whose page could be read."""
+    c = B.career_companies(s, d)
+    return careers.postings(careers.fetched(c, B.career_pages(s, d)), c).select("id", "title", "company", "canonical", "deadline", "detail_url")
+
+
+def reposts(s, d):
+    """Whole rows of first arrivals, filled from later ones."""
+    return dedup.merged(B.postings(s, d)).select("id", "title", "company", "deadline", "n_merged", F.array_join("sources", ",").alias("sources"))
+
+
+def _run(s, d) -> matches.Outcome:
+    seen = B.seen(s, d).withColumn("created_at", F.when(F.col("id") % 2 == 0, F.col("created")))
+    crawled = B.postings(s, d).select("id", F.lit("").alias("text")).limit(0)
+    return matches.run_all(B.postings(s, d).withColumn("detail_url", F.lit("")), B.companies(s, d), seen, B.details(s, d), crawled, B.answers(s, d), WHOLE)
+
+
+def run_matches(s, d):
+    """A whole run over the tables: names, reposts, rules, watch-list, dates, budgets, evidence, recommendation."""
+    return _run(s, d).matches.select("id", "target", "score", "recommendation", "deferred", "n_merged", "jd_source", "created_at")
+
+
+def run_state(s, d):
+    """The state after that run: who was told, and what is old is gone."""
+    return _run(s, d).state
+
+
+def run_counters(s, d):
+    """The run's own counters, observed while its tables are written."""
+    told = _run(s, d).counters
+    return s.createDataFrame([tuple(told.values())], ", ".join(f"{k} long" for k in told))
+
+
+def run_samples(s, d):
+    """The first postings of excluded companies, those that roles left out, and names near the watch-list's."""
+    return _run(s, d).samples
 
 
 def company_normalize(s, d):
@@ -426,4 +487,4 @@ def source_badges(s, d):
     return p.select("id", outputs.badge(F.array("source", F.lit("platform_a")), {"platform_a": "A", "platform_b": "B"}).alias("badge"))
 
 
-QUERIES = {f.__name__: f for f in (postings_union, company_normalize, company_legal, role_names, title_keys, dedup_survivors, ambiguous_keys, text_dedup, exclusions, score_parts, rule_score, rule_topk, resolve_target, alias_collisions, near_misses, qualify_reason, mode_union, families, collectible_families, adapted_companies, portal_conflicts, research_needed, tier_listing, key_typos, unclassified, official_urls, seen_upsert, seen_retention, not_notified, created_cache, fresh_window, assess_budget, detail_budget, evidence_deferral, body_sources, thin_bodies, deadline_states, requirement_normalize, evidence_narrow, blocker_adoption, match_axis, fit_score, recommend, recommend_why, final_order, note_rank, push_top8, push_overflow, told_marking, seed_marking, dashboard_rank, dashboard_order, dashboard_search, dashboard_kpis, run_stats, source_badges, health_rollup, health_warnings, health_order, health_summary, health_stale, page_extract, event_json, positions_fold, last_value_upsert, platform_b_postings, platform_b_details, career_postings, rich_text_flatten, embedded_json_pick, robots_guard)}
+QUERIES = {f.__name__: f for f in (postings_union, landed_postings, landed_sources, career_results, career_openings, reposts, run_matches, run_state, run_counters, run_samples, company_normalize, company_legal, role_names, title_keys, dedup_survivors, ambiguous_keys, text_dedup, exclusions, score_parts, rule_score, rule_topk, resolve_target, alias_collisions, near_misses, qualify_reason, mode_union, families, collectible_families, adapted_companies, portal_conflicts, research_needed, tier_listing, key_typos, unclassified, official_urls, seen_upsert, seen_retention, not_notified, created_cache, fresh_window, assess_budget, detail_budget, evidence_deferral, body_sources, thin_bodies, deadline_states, requirement_normalize, evidence_narrow, blocker_adoption, match_axis, fit_score, recommend, recommend_why, final_order, note_rank, push_top8, push_overflow, told_marking, seed_marking, dashboard_rank, dashboard_order, dashboard_search, dashboard_kpis, run_stats, source_badges, health_rollup, health_warnings, health_order, health_summary, health_stale, page_extract, event_json, positions_fold, last_value_upsert, platform_b_postings, platform_b_details, career_postings, rich_text_flatten, embedded_json_pick, robots_guard)}

@@ -1,7 +1,6 @@
 """Sources: landed rows of each to postings and details. Fetching stays outside; what it returns is a table.
 
-A source is an object with ``name``, ``postings(raw)`` and ``details(raw)``; ``SOURCES`` finds it by name and ``collect``
-unites what the enabled ones give. A source that failed is a row of the results, never an exception for the others.
+A source is an object with ``name``, ``raw(items)`` (what a page lists, as variants), ``postings(raw)`` and ``details(raw)``; ``SOURCES`` finds it by name.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincast.operators.matches import apply_url
-
 POSTING = ("id", "seq", "source", "title", "company", "canonical", "depth_ones", "depth_twos", "synthetic", "regions", "employee_types", "career_min", "career_max", "created", "deadline", "detail_url")
 #: What a rolling deadline is called, work from home, kinds of employment, section names, provinces.
 ROLLING, HOME = "상시", "재택"
@@ -56,11 +53,28 @@ def last_by_id(rows: DataFrame, key: str = "id", at: str = "seq") -> DataFrame:
     return found.select(key, at, "last.*")
 
 
+def said(path: str, kind: str = "string") -> Column:
+    """A part of the variant ``item``, null if it isn't there or of another kind."""
+    return F.try_variant_get("item", path, kind)
+
+
+def texts(path: str) -> Column:
+    return F.filter(F.coalesce(said(path, "array<string>"), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
 class PlatformA:
     """Rows come as postings already; a page may list an id again."""
 
     name = "platform_a"
 
+    def raw(self, items: DataFrame) -> DataFrame:
+        """From ``seq, item``."""
+        shown = lambda path: F.coalesce(F.nullif(said(path), F.lit("")), F.lit("?"))
+        return items.select(
+            said("$.id").alias("id"), "seq", shown("$.title").alias("title"), shown("$.company.name").alias("company"), F.lit("").alias("canonical"), texts("$.depthOnes").alias("depth_ones"), texts("$.depthTwos").alias("depth_twos"),
+            texts("$.regions").alias("regions"), texts("$.employeeTypes").alias("employee_types"), said("$.careerMin", "int").alias("career_min"), said("$.careerMax", "int").alias("career_max"), F.lit(None).cast("string").alias("created"), F.lit(None).cast("string").alias("deadline"),
+        ).filter("id is not null")
+
     def postings(self, raw: DataFrame) -> DataFrame:
         return last_by_id(raw.withColumn("id", F.col("id").cast("string"))).withColumns({"source": F.lit(self.name), "synthetic": F.lit(False), "detail_url": F.lit(None).cast("string")})
 
@@ -76,6 +90,13 @@ class PlatformB:
     site: str = ""
     name = "platform_b"
 
+    def raw(self, items: DataFrame) -> DataFrame:
+        """From ``seq, item``."""
+        return items.select(
+            said("$.id").alias("id"), "seq", said("$.title").alias("title"), said("$.companyName").alias("companyName"), said("$.minCareer", "int").alias("minCareer"), said("$.maxCareer", "int").alias("maxCareer"), texts("$.locations").alias("locations"),
+            said("$.closedAt").alias("closedAt"), F.coalesce(said("$.alwaysOpen", "boolean"), F.lit(False)).alias("alwaysOpen"),
+        ).filter("id is not null")
+
     def page(self) -> Column:
         return F.concat(F.lit(f"{self.site}/position/"), F.col("id")) if self.site else F.lit(None).cast("string")
 
@@ -128,23 +149,4 @@ class CareerPages:
 SOURCES: dict[str, Callable[[], object]] = {"platform_a": PlatformA, "platform_b": PlatformB, "official": CareerPages}
 
 
-def enabled(settings: dict) -> list[dict]:
-    """The enabled sources of the settings, in order; a single ``search`` stands for platform A."""
-    listed = settings.get("sources")
-    return [s for s in listed if s.get("enabled", True)] if listed else [{"type": "platform_a", "search": settings.get("search") or {}}]
-
-
-def collect(parts: list[tuple[str, DataFrame | None]]) -> tuple[DataFrame | None, list[tuple[str, bool, str | None]]]:
-    """The bag union of ``(source name, landed rows)`` in order of sources, then arrival (``nth``, ``seq``), and a result a source: ok, or why not."""
-    union, results = None, []
-    for nth, (name, raw) in enumerate(parts):
-        if name not in SOURCES or raw is None:
-            results.append((name, False, "unknown source" if name not in SOURCES else "nothing landed"))
-            continue
-        rows = SOURCES[name]().postings(raw).select(*POSTING, F.lit(nth).alias("nth"))
-        union = rows if union is None else union.unionByName(rows)
-        results.append((name, True, None))
-    return union, results
-
-
-__all__ = ["CareerPages", "PlatformA", "PlatformB", "SOURCES", "apply_url", "collect", "enabled", "forbidden", "last_by_id", "query_string", "region", "rolling_or_day"]
+__all__ = ["CareerPages", "PlatformA", "PlatformB", "SOURCES", "forbidden", "last_by_id", "query_string", "region", "rolling_or_day"]

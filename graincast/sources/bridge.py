@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincast.functions.text import plain_company
+from graincast.operators.scoring import Rules
 from graincast.session import table
 
 AS_OF = "2001-08-01"
+#: What the made-up person looks for.
+RULES = Rules(
+    career_years=4, primary=["BUILDING", "MACHINERY"], secondary=["AUTOMOBILE"], depth_one=["ASIA"], regions=["NATION_1", "NATION_7"], employment=["REGULAR"], tech_primary=["urgent", "high"], tech_secondary=["1-", "medium"],
+    excluded_companies=["Customer#00000001"], excluded_titles=["Not Specified"],
+)
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,3 +76,82 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = F.array_sort(F.collect_list(row))
     return e.groupBy(F.col("user_id").alias("id")).agg(F.to_json(F.struct(rows.alias("requirements"), F.array(F.lit("a"), F.lit("A"), F.lit("b")).alias("hard_blockers"))).alias("response"))
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, response``: an answer an order, its lines as requirements; every fourth order has none, every 17th a blocker."""
+    rows = requirements(spark, sf).filter("id % 4 <> 0").withColumn("row", F.struct("requirement", "importance", "match", F.col("candidate_evidence").alias("evidence"), "confidence"))
+    barred = F.when(F.col("id") % 17 == 0, F.array(F.struct(F.lit("no licence").alias("detail"), F.lit("said").alias("evidence"))))
+    return rows.groupBy("id").agg(F.collect_list("row").alias("requirements")).select("id", F.to_json(F.struct("requirements", barred.alias("hard_blockers"))).alias("response"))
+
+
+def details(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, created, body, url``; every fifth posting has none, every ninth one without a date."""
+    p = postings(spark, sf).filter("id % 5 <> 0")
+    return p.select("id", F.when(F.col("id") % 9 != 0, F.col("created")).otherwise("").alias("created"), F.repeat("title", 20).alias("body"), F.lit("https://x.example.com").alias("url"))
+
+
+PAGE_KEYS = 800
+
+
+def landed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """``source, term, page, status, value``: listing answers, PAGE_KEYS order keys a page.
+
+    A's keywords are priorities, and every tenth order of any is listed under 2-HIGH again, with another title. The third page (from 0, the second) of
+    5-LOW failed, page 1 of 4-NOT SPECIFIED is marked as the last, and B's category 2 has an empty page 1.
+    """
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.withColumn("page", F.expr(f"cast(o_orderkey div {PAGE_KEYS} as int)"))
+    a = o.filter("o_orderstatus = 'F'")
+    again = a.filter("o_orderkey % 10 = 0").withColumn("o_orderpriority", F.lit("2-HIGH")).withColumn("o_clerk", F.lit("again"))
+    a = a.withColumn("o_clerk", F.col("o_orderpriority")).select("o_orderkey", "o_orderpriority", "o_clerk", "c_name", "c_mktsegment", "page").unionByName(again.select("o_orderkey", "o_orderpriority", "o_clerk", "c_name", "c_mktsegment", "page"))
+    item = F.struct(F.col("o_orderkey").alias("id"), F.col("o_clerk").alias("title"), F.struct(F.col("c_name").alias("name")).alias("company"), F.array("c_mktsegment").alias("depthTwos"), (F.col("o_orderkey") % 7).alias("careerMin"))
+    pages_a = a.groupBy(F.lit("platform_a").alias("source"), F.col("o_orderpriority").alias("term"), "page").agg(F.array_sort(F.collect_list(item)).alias("content"))
+    last = (F.col("term") == "4-NOT SPECIFIED") & (F.col("page") == 1)
+    body_a = F.to_json(F.struct(F.struct("content", last.alias("last")).alias("data")))
+    pages_a = pages_a.select("source", "term", "page", F.when((F.col("term") == "5-LOW") & (F.col("page") == 1), 503).otherwise(200).alias("status"), body_a.alias("value"))
+    b = o.filter("o_orderstatus = 'O'").withColumn("term", (F.col("o_orderkey") % 3).cast("string"))
+    position = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("c_name").alias("companyName"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00").alias("closedAt"))
+    pages_b = b.groupBy(F.lit("platform_b").alias("source"), "term", "page").agg(F.array_sort(F.collect_list(position)).alias("positions"))
+    positions = F.when((F.col("term") == "2") & (F.col("page") == 1), F.slice("positions", 1, 0)).otherwise(F.col("positions"))
+    return pages_a.unionByName(pages_b.select("source", "term", "page", F.lit(200).alias("status"), F.to_json(F.struct(F.struct(positions.alias("positions")).alias("result"))).alias("value")))
+
+
+#: The searches that the landed pages answer, and one nobody knows.
+SEARCHES = {
+    "sources": [
+        {"type": "platform", "search": {"keywords": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"], "max_pages": 1024}}, {"type": "nowhere"},
+        {"type": "platform_b", "search": {"job_categories": [0, 1, 2], "max_pages": 1024}}, {"type": "platform_b", "enabled": False},
+    ],
+    "filter": {"primary_depth_twos": ["backend"]},
+}
+
+
+def career_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers that keep career pages; every 11th without an address, every 13th with one that must not be fetched, every 7th disabled."""
+    k, none = F.col("s_suppkey"), F.array().cast("array<string>")
+    url = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.lit("https://c.example.com/ko/o/1/apply")).otherwise(F.concat(F.lit("https://c.example.com/"), k.cast("string"), F.lit("/ko/recruiting")))
+    return table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("id"), F.col("s_name").alias("name"), plain_company(F.col("s_name")).alias("name_key"), none.alias("alias_keys"), (k % 7 != 0).alias("enabled"),
+        F.lit("greetinghr").alias("family"), F.when(k % 5 == 0, "restricted_research_needed").otherwise("adapter_candidate").alias("status"), url.alias("careers_url"), F.lit("A").alias("tier"), none.alias("roles_include"), none.alias("roles_exclude"),
+    )
+
+
+def career_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """``company_id, at, status, final_url, html, failure``: two landings of each supplier's page, its line items' orders as openings.
+
+    By key modulo 17: 1 has no page, 2 answers 404, 3 has no data in it, 4 broken data, 5 none of openings, 6 openings that aren't a list, 7 an empty list, 8 timed out.
+    """
+    lines = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("openingId"), F.col("l_returnflag").alias("title"))
+    lines = lines.withColumn("openingId", F.when(F.col("openingId") % 10 != 0, F.col("openingId")))
+    openings = lines.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("openingId", "title"))).alias("data"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).join(openings, "k", "left").filter("k % 17 <> 1")
+    kind = F.col("k") % 17
+    data = F.when(kind == 6, '{"a": 1}').when(kind == 7, "[]").otherwise(F.coalesce(F.to_json("data"), F.lit("[]")))
+    key = F.when(kind == 5, "closings").otherwise("openings")
+    page = F.concat(F.lit('{"props": {"pageProps": {"dehydratedState": {"queries": [{"queryKey": ["user", 1]}, {"queryKey": ["'), key, F.lit('"], "state": {"data": '), data, F.lit("}}]}}}}"))
+    script = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.when(kind == 4, F.substring(page, 1, 60)).otherwise(page), F.lit("</script></html>"))
+    html = F.when(kind.isin(2, 8), F.lit(None)).when(kind == 3, "<html></html>").otherwise(script)
+    now = s.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("company_id"), F.lit(2).alias("at"), F.when(kind == 2, 404).when(kind != 8, 200).alias("status"), F.lit("https://c.example.com/").alias("final_url"), html.alias("html"), F.when(kind == 8, "timed out").alias("failure"))
+    before = now.withColumn("at", F.lit(1)).withColumn("status", F.lit(500))
+    return now.unionByName(before)

@@ -48,7 +48,7 @@ def posting(i, **kw):
 @pytest.mark.parametrize("lo,hi,expected", [(3, 7, 1.0), (None, None, 0.7), (6, 10, 0.3), (9, 15, 0.1), (0, 2, 0.5), (0, 1, 0.3)])
 def test_career(spark, lo, hi, expected):
     df = spark.createDataFrame([posting(1, career_min=lo, career_max=hi)], POSTING)
-    assert df.select(scoring.score_career(scoring.Rules())).first()[0] == pytest.approx(expected)
+    assert df.select(scoring.score_career(scoring.Rules(career_years=4))).first()[0] == pytest.approx(expected)
 
 
 def test_dedup_keeps_first_identity_and_fills(spark):
