@@ -80,7 +80,7 @@ wt AS (SELECT *, target_id IS NOT NULL AND reason IS NULL AND NOT company_out AS
 wa AS (SELECT wq.*, s.first_seen, s.created_at AS cached FROM wq LEFT JOIN seen s ON wq.id = s.id WHERE picked AND NOT coalesce(s.notified, false)),
 wb AS (SELECT id FROM wa WHERE cached IS NULL AND id % 5 <> 0 ORDER BY rule DESC, id LIMIT 300),
 wd AS (SELECT *, CASE WHEN cached IS NOT NULL THEN cached WHEN id % 9 <> 0 THEN created ELSE coalesce(first_seen, '2001-08-01') END AS created_at FROM wa WHERE cached IS NOT NULL OR id IN (SELECT id FROM wb)),
-wf AS (SELECT * FROM wd WHERE date_diff('day', created_at::DATE, DATE '2001-08-01') <= 30),
+wf AS (SELECT * FROM wd WHERE date_diff('day', created_at::DATE, DATE '2001-08-01') <= 400),
 wj AS (SELECT *, row_number() OVER (ORDER BY rule DESC, id) <= 200 AS in_budget FROM wf),
 wx AS (SELECT wj.*, ax.*  EXCLUDE (id), in_budget AND wj.id % 4 <> 0 AND ax.id IS NOT NULL AS answered, in_budget AND wj.id % 4 <> 0 AND ax.id IS NOT NULL AND wj.id % 17 = 0 AS barred, (p_region + p_employment) / 2 AS pref FROM wj LEFT JOIN ax ON wj.id = ax.id),
 wy AS (SELECT *, CASE WHEN answered THEN round((coalesce(required * 0.55::DOUBLE, 0) + coalesce(preferred * 0.15::DOUBLE, 0) + p_tech * 0.1::DOUBLE + p_career * 0.1::DOUBLE + pref * 0.1::DOUBLE)

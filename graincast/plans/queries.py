@@ -15,7 +15,7 @@ from graincast.sources import bridge as B
 R = B.RULES
 RUN = matches.Run(as_of=B.AS_OF, judge_budget=200, crawl=True, crawl_budget=30)
 TITLE_OUT = ["medium"]
-WHOLE = matches.Run(as_of=B.AS_OF, window=30, judge_budget=200, detail_budget=300, retention=365, title_exclude=tuple(TITLE_OUT), rules=B.RULES)
+WHOLE = matches.Run(as_of=B.AS_OF, window=400, judge_budget=200, detail_budget=300, retention=365, title_exclude=tuple(TITLE_OUT), rules=B.RULES)
 
 
 def _scored(s, d) -> DataFrame:

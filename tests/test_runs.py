@@ -172,15 +172,6 @@ def test_fit_settings():
 
 def test_query_string():
     assert adapters.query_string({"k": ["a b", "c"], "n": 1, "e": [], "z": None}) == "k=a%20b&k=c&n=1"
-    assert [s["type"] for s in adapters.enabled({"sources": [{"type": "x"}, {"type": "y", "enabled": False}]})] == ["x"] and adapters.enabled({"search": {"q": 1}})[0]["type"] == "platform_a"
-
-
-def test_collecting_outlives_a_source(spark):
-    raw = spark.createDataFrame([(1, 0, "t", "c", 1, 2, ["r"], "2026-01-01", False), (1, 5, "u", "c", 1, 2, ["r"], None, True)], "id long, seq long, title string, companyName string, minCareer int, maxCareer int, locations array<string>, closedAt string, alwaysOpen boolean")
-    union, results = adapters.collect([("platform_b", raw), ("nowhere", raw), ("official", None)])
-    row = union.collect()
-    assert len(row) == 1 and (row[0]["title"], row[0]["seq"], row[0]["deadline"], row[0]["synthetic"]) == ("u", 0, "상시", True)
-    assert [(n, ok) for n, ok, _ in results] == [("platform_b", True), ("nowhere", False), ("official", False)]
 
 
 def test_state_versions(spark, tmp_path):
@@ -216,11 +207,13 @@ def test_streams(spark, tmp_path):
 
 POSTING = "id string, seq long, source string, title string, company string, canonical string, depth_ones array<string>, depth_twos array<string>, synthetic boolean, regions array<string>, employee_types array<string>, career_min int, career_max int, created string, deadline string, detail_url string"
 DAY = "2026-03-10"
+LOOKS_FOR = {"primary_depth_twos": ["BUILDING"], "target_depth_ones": ["ASIA"], "regions_preferred": ["NATION_1"], "exclude_companies": ["Customer #00000001"]}
 
 
 @pytest.fixture
 def profile(spark, tmp_path):
-    def post(i, title="urgent high Engineer", company="Other", source="platform_a", twos=("BUILDING",), deadline=None):
+    def post(i, title=None, company="Other", source="platform_a", twos=("BUILDING",), deadline=None):
+        title = title or f"urgent high Engineer {i}"
         return (f"p{i}", i, source, title, company, "", ["ASIA"], list(twos), False, ["NATION_1"], ["REGULAR"], 3, 7, None, deadline, f"https://x.example.com/{i}")
 
     rows = [post(1), post(2), post(3, company="Acme Inc.", twos=("OTHER",)), post(4, company="Acme", title="Chef", twos=("OTHER",)), post(5, company="Customer#00000001"), post(6, twos=("OTHER",)), post(7), post(8, source="official", company="Acme", title="Backend"), post(9)]
@@ -236,7 +229,7 @@ def profile(spark, tmp_path):
     for name, (values, schema) in data.items():
         spark.createDataFrame(values, schema).write.parquet(str(tmp_path / name))
     (tmp_path / "companies.json").write_text(json.dumps({"companies": [one(roles={"include": ["engineer", "back-end"]})]}))
-    settings = {"name": "N", "landed": {n: n for n in data}, "targets": {"file": "companies.json"}, "search": {"new_within_days": 3}, "enrich": {"enabled": True}, "llm": {"max_calls_per_run": 40}}
+    settings = {"name": "N", "landed": {n: n for n in data}, "targets": {"file": "companies.json"}, "search": {"new_within_days": 3}, "filter": LOOKS_FOR, "profile": {"career_years": 4, "tech_primary": ["urgent", "high"]}, "enrich": {"enabled": True}, "llm": {"max_calls_per_run": 40}}
     (tmp_path / "config.json").write_text(json.dumps(settings))
     return tmp_path
 
@@ -263,7 +256,7 @@ def test_flags(spark, profile, capsys):
     config = ["--config", str(profile / "config.json")]
     assert cli.main([*config, "--dry-run", "--official", "--mode", "target", "--no-llm"], spark, DAY) == 0
     told = capsys.readouterr().out
-    assert "Acme | Backend" in told and "Acme Inc." in told and "Chef" not in told and "Other" not in told and not (profile / "state").exists()
+    assert "Acme | Backend" in told and "Acme Inc." in told and "| Chef" not in told and "left out by its roles: Acme / Chef" in told and "Other" not in told and not (profile / "state").exists()
     assert cli.main([*config, "--test-telegram"], spark, DAY) == 0
     assert capsys.readouterr().out.startswith("🎯 N · ")
     assert cli.main([*config, "--list-targets"], spark) == 0 and "acme" in capsys.readouterr().out
