@@ -38,10 +38,21 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends there and lost executors lose nothing."""
+    return materialize_at(df, tag)[0]
+
+
+def materialize_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``materialize``, and the path of the table."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table whose readers are done, on any store Spark writes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Rows that Python code holds as objects at a time.
