@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graincast.llm import bpe, langid, mixing, neardup, site_lines
-from graincast.llm.common import ROW, materialize, n_words, numbered, table
+from graincast.llm.common import ROW, drop_path, materialize, materialize_at, n_words, numbered, table
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over the documents in ``sf_dir``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents in ``sf_dir``; each result is written and read again, and goes when the next one stands.
+
+    An empty table gives no rows; whole texts are read however long they are. See the stages for other odd rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        docs, path = materialize_at(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        if before:
+            drop_path(spark, before)  # its reader is done
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
