@@ -9,11 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graincast.functions.terms import SPELT_OUT, count_terms
+
 #: Legal-form words of company names. Fixed values.
 LEGAL_KOREAN = ("유한책임회사", "주식회사", "유한회사", "합자회사", "합명회사")
 LEGAL_LATIN = ("corporation", "incorporated", "limited", "company", "corp", "inc", "ltd", "llc", "plc", "gmbh", "pte", "co")
 #: Bracketed legal marks, blanks allowed within. Fixed values.
 LEGAL_MARKS = ("주", "유", "株", "有")
+#: Characters that a Latin legal word doesn't touch, and those that role names are compared without. Fixed values.
+WORD_LETTERS, ROLE_MARKS = "0-9a-z가-힣", r"\s\-_/.,()·|"
 
 
 @F.pandas_udf(T.StringType())
@@ -41,7 +45,7 @@ def normalize_company(raw: Column, unicode: bool = True) -> Column:
     name = F.lower(trim(fold(raw) if unicode else raw))
     name = F.regexp_replace(name, r"(?U)\(\s*(?:" + "|".join(LEGAL_MARKS) + r")\s*\)", " ")
     bare = F.regexp_replace(name, "|".join(LEGAL_KOREAN), " ")
-    bare = F.regexp_replace(bare, "(?<![0-9a-z가-힣])(?:" + "|".join(LEGAL_LATIN) + ")(?![0-9a-z가-힣])", " ")
+    bare = F.regexp_replace(bare, f"(?<![{WORD_LETTERS}])(?:{'|'.join(LEGAL_LATIN)})(?![{WORD_LETTERS}])", " ")
     key = squeeze(bare)
     return F.coalesce(F.when(key != "", key).otherwise(squeeze(name)), F.lit(""))
 
@@ -49,7 +53,7 @@ def normalize_company(raw: Column, unicode: bool = True) -> Column:
 def role_text(c: Column, unicode: bool = True) -> Column:
     """Role names for comparison: folded, lower, without blanks, hyphens and the like, so "Back-end" is "backend"."""
     c = F.coalesce(c, F.lit(""))
-    return F.regexp_replace(F.lower(fold(c) if unicode else c), r"(?U)[\s\-_/.,()·|]+", "")
+    return F.regexp_replace(F.lower(fold(c) if unicode else c), f"(?U)[{ROLE_MARKS}]+", "")
 
 
 def plain_company(c: Column) -> Column:
@@ -73,6 +77,8 @@ def iso_date(c: Column) -> Column:
 
 def contains_any(text: Column, terms: list[str]) -> Column:
     """Whether any term is a part of ``text``; false for no terms and null text."""
+    if len(terms) > SPELT_OUT:
+        return count_terms(text, list(dict.fromkeys(terms))) > 0
     found = F.lit(False)
     for t in terms:
         found = found | text.contains(t)

@@ -97,7 +97,7 @@ def samples(scanned: DataFrame, companies: DataFrame | None) -> DataFrame:
 def dated(found: DataFrame, seen: DataFrame, details: DataFrame, run: Run) -> DataFrame:
     """``found`` that nobody was told of, with ``created_at`` and ``age``: the state's date, else, within the budget of successes, the detail's, else first seen.
 
-    A date that can't be read counts as none, so its detail is asked for in each run. Rows without a date in the end go.
+    A date that can't be read counts as none, so its detail is asked for again, and ``date_unread`` tells of it. Rows without a date in the end go.
     """
     known = seen.select("id", F.col("created_at").alias("cached"), "first_seen", F.coalesce("notified", F.lit(False)).alias("told"))
     rows = found.join(known, "id", "left").filter(~F.coalesce("told", F.lit(False)))
@@ -107,7 +107,7 @@ def dated(found: DataFrame, seen: DataFrame, details: DataFrame, run: Run) -> Da
     served = novelty.budgeted(rows.filter(F.col("asks") & F.coalesce("has_detail", F.lit(False))).select("id", "rule", "seq"), run.detail_budget).filter("in_budget").select("id", F.lit(True).alias("served"))
     rows = rows.join(served, "id", "left").filter(~F.col("asks") | F.col("served"))
     fallback = F.coalesce(F.nullif(F.col("detail_created"), F.lit("")), "first_seen", F.lit(run.as_of))
-    rows = rows.withColumn("created_at", F.when(F.col("asks"), fallback).otherwise(F.col("cached")))
+    rows = rows.withColumn("created_at", F.when(F.col("asks"), fallback).otherwise(F.col("cached"))).withColumn("date_unread", F.col("asks") & F.col("cached").isNotNull())
     return novelty.fresh(rows, run.as_of, run.window, "created_at").drop("told", "has_detail", "detail_created", "asks", "served", "cached")
 
 
@@ -214,7 +214,7 @@ def run_all(postings: DataFrame, companies: DataFrame | None, seen: DataFrame, d
         target_role_dropped=F.count_if((F.col("reason") == "role") & ~F.col("excluded")), rule_pass=F.count_if("picked"),
     )
     scan = written(scan, "scan")
-    fresh, fresh_counts = _counted(dated(scan.filter("picked").drop("picked", "excluded"), seen, details, run), "fresh", fresh=every, target_fresh=F.count_if("target"))
+    fresh, fresh_counts = _counted(dated(scan.filter("picked").drop("picked", "excluded"), seen, details, run), "fresh", fresh=every, target_fresh=F.count_if("target"), dates_unread=F.count_if("date_unread"))
     fresh = written(fresh, "fresh")
     found = matched(assessed(bodies(fresh, details, crawled, run).withColumn("url", apply_url()), responses, run), run)
     found, match_counts = _counted(

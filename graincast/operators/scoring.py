@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graincast.functions.terms import count_terms
 from graincast.functions.text import contains_any, plain_company, squeeze
 
 
@@ -66,7 +67,8 @@ def score_career(r: Rules, lo: str = "career_min", hi: str = "career_max") -> Co
 
 
 def score_region(r: Rules) -> Column:
-    return F.when(F.size("regions") == 0, 0.8).when(F.exists("regions", lambda x: contains_any(x, r.regions)), 1.0).otherwise(0.3)
+    # terms have no line end, so a term in the joined regions is in one of them; an automaton can't stand within a lambda
+    return F.when(F.size("regions") == 0, 0.8).when(contains_any(F.array_join("regions", "\n"), [x for x in r.regions if "\n" not in x]), 1.0).otherwise(0.3)
 
 
 def score_employment(r: Rules) -> Column:
@@ -74,8 +76,8 @@ def score_employment(r: Rules) -> Column:
 
 
 def score_tech(r: Rules) -> Column:
-    hits = lambda terms: sum((F.lower("title").contains(t).cast("int") for t in terms), F.lit(0))
-    return F.least(F.lit(1.0), F.lit(0.5) * hits(r.tech_primary) + F.lit(0.25) * hits(r.tech_secondary))
+    title = F.lower("title")
+    return F.least(F.lit(1.0), F.lit(0.5) * count_terms(title, r.tech_primary) + F.lit(0.25) * count_terms(title, r.tech_secondary))
 
 
 def company_excluded(r: Rules, name: str = "company") -> Column:

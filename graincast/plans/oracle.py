@@ -116,7 +116,7 @@ SQL = {
     "reposts": f"WITH {_M} SELECT id, title, company, deadline, n_merged, sources FROM p",
     "run_matches": f"WITH {_W} SELECT id, target, score, recommendation, deferred, n_merged, CASE WHEN id % 5 <> 0 THEN 'platform' ELSE 'thin' END AS jd_source, created_at FROM wm",
     "run_state": f"WITH {_W}, st AS (SELECT id, coalesce(s.first_seen, CASE WHEN l.id IS NOT NULL THEN '2001-08-01' END) AS first_seen, coalesce(f.created_at, s.created_at) AS created_at, coalesce(s.notified, false) OR coalesce(NOT w.deferred AND (w.score >= 50 OR w.target), false) AS notified FROM seen s FULL JOIN (SELECT id FROM wq WHERE NOT company_out) l USING (id) LEFT JOIN wf f USING (id) LEFT JOIN wm w USING (id)) SELECT * FROM st WHERE coalesce(first_seen, '9999') >= '2000-08-01'",
-    "run_counters": f"WITH {_W} SELECT (SELECT count(*) FROM wq) AS scanned, (SELECT sum(n_merged) - count(*) FROM wq)::BIGINT AS merged, (SELECT count(*) FROM wq WHERE company_out) AS company_excluded, (SELECT count(*) FROM wq WHERE qualified) AS discovery_candidates, (SELECT count(*) FROM wq WHERE target) AS target_candidates, (SELECT count(*) FROM wq WHERE reason = 'role' AND NOT company_out) AS target_role_dropped, (SELECT count(*) FROM wq WHERE picked) AS rule_pass, (SELECT count(*) FROM wf) AS fresh, (SELECT count(*) FROM wf WHERE target) AS target_fresh, (SELECT count(*) FROM wm WHERE answered) AS scored, (SELECT count(*) FROM wm WHERE answered) AS structured, (SELECT count(*) FROM wm JOIN ev ON wm.id = ev.id WHERE answered AND ev.demoted) AS demoted, (SELECT count(*) FROM wm WHERE barred) AS blocked, 0::BIGINT AS enriched, (SELECT count(*) FROM wm WHERE deferred) AS deferred, (SELECT count(*) FROM wm WHERE in_budget AND NOT answered) AS failed",
+    "run_counters": f"WITH {_W} SELECT (SELECT count(*) FROM wq) AS scanned, (SELECT sum(n_merged) - count(*) FROM wq)::BIGINT AS merged, (SELECT count(*) FROM wq WHERE company_out) AS company_excluded, (SELECT count(*) FROM wq WHERE qualified) AS discovery_candidates, (SELECT count(*) FROM wq WHERE target) AS target_candidates, (SELECT count(*) FROM wq WHERE reason = 'role' AND NOT company_out) AS target_role_dropped, (SELECT count(*) FROM wq WHERE picked) AS rule_pass, (SELECT count(*) FROM wf) AS fresh, (SELECT count(*) FROM wf WHERE target) AS target_fresh, 0::BIGINT AS dates_unread, (SELECT count(*) FROM wm WHERE answered) AS scored, (SELECT count(*) FROM wm WHERE answered) AS structured, (SELECT count(*) FROM wm JOIN ev ON wm.id = ev.id WHERE answered AND ev.demoted) AS demoted, (SELECT count(*) FROM wm WHERE barred) AS blocked, 0::BIGINT AS enriched, (SELECT count(*) FROM wm WHERE deferred) AS deferred, (SELECT count(*) FROM wm WHERE in_budget AND NOT answered) AS failed",
     "run_samples": f"WITH {_W} SELECT * FROM (SELECT 'excluded' AS kind, id AS at, company || ' / ' || title AS name, NULL AS detail FROM wq WHERE company_out ORDER BY id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'role', id, company || ' / ' || title, NULL FROM wq WHERE reason = 'role' AND NOT company_out ORDER BY id LIMIT 8)",
     "company_normalize": "SELECT c_name || ' Co., Ltd.' AS raw, lower(replace(c_name, '#', '')) AS key FROM customer UNION ALL SELECT 'Inc. ' || s_name, lower(replace(s_name, '#', '')) FROM supplier",
     "title_keys": f"WITH {_P} SELECT id, {_LOOSE} AS loose, {_EXACT} AS exact FROM p",

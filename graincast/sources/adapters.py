@@ -17,9 +17,13 @@ POSTING = ("id", "seq", "source", "title", "company", "canonical", "depth_ones",
 ROLLING, HOME = "상시", "재택"
 EMPLOYMENT = {"FULL_TIME_WORKER": "정규직", "CONTRACT_WORKER": "계약직", "INTERN": "인턴", "PART_TIME_WORKER": "파트타임"}
 SECTIONS = ("responsibility", "qualifications", "preferredRequirements", "welfares")
-PROVINCES = "서울특별시 서울 부산광역시 부산 대구광역시 대구 인천광역시 인천 광주광역시 광주 대전광역시 대전 울산광역시 울산 세종특별자치시 세종 경기도 경기 강원특별자치도 강원 충청북도 충북 충청남도 충남 전북특별자치도 전라북도 전북 전라남도 전남 경상북도 경북 경상남도 경남 제주특별자치도 제주".split()
-#: Paths that robots rules of career pages forbid: forms of single openings, mobile and admin pages.
-FORBIDDEN = r"^(?:/(?:ko|en))?(?:/o/[^/]+/apply|/m/|/a/)"
+PROVINCES = (
+    "서울특별시", "서울", "부산광역시", "부산", "대구광역시", "대구", "인천광역시", "인천", "광주광역시", "광주", "대전광역시", "대전", "울산광역시", "울산", "세종특별자치시", "세종", "경기도", "경기", "강원특별자치도", "강원",
+    "충청북도", "충북", "충청남도", "충남", "전북특별자치도", "전라북도", "전북", "전라남도", "전남", "경상북도", "경북", "경상남도", "경남", "제주특별자치도", "제주",
+)
+#: Robots rules of career pages: single openings' forms, mobile and admin pages, below the languages too. Fixed values.
+DISALLOW, LANGUAGES = ("/o/*/apply", "/m/", "/a/"), ("ko", "en")
+FORBIDDEN = f"^(/({'|'.join(LANGUAGES)}))?({'|'.join(rule.replace('*', '[^/]+') for rule in DISALLOW)})"
 
 
 def query_string(filters: dict[str, object]) -> str:

@@ -1,11 +1,15 @@
 import math
 import os
+import random
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from graincast.functions import scan
+from graincast.functions import terms as term_list
+from graincast.functions.text import contains_any
 from graincast.operators import dedup, fit, novelty, registry, scoring
 from graincast.plans import oracle, queries
 from graincast.sources import landed
@@ -93,3 +97,19 @@ def test_embedded_json_and_rich_text():
     assert scan.best_object('x {"a":1,"b":2} {"requirements":[]} {') == '{"requirements":[]}'
     assert scan.best_object("none") is None
     assert landed.flatten_text({"type": "doc", "content": [{"type": "text", "text": "a"}, {"content": [{"type": "text", "text": "b"}]}]}) == "a b"
+
+
+def test_long_lists_of_terms_equal_short_ones(spark):
+    rng = random.Random(6)
+    terms = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(3000)]
+    texts = [None, "", "zzz"] + ["".join(rng.choice("abcz") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for given in (terms, terms[:40], ["", *terms[:40]]):
+        got = df.select("t", term_list.count_terms(F.col("t"), given).alias("n"), contains_any(F.col("t"), given).alias("any")).collect()
+        assert [(r["n"], r["any"]) for r in got] == [(0, False) if t is None else (sum(x in t for x in given), any(x in t for x in given)) for t in texts]
+    size = lambda n: len(df.select(contains_any(F.col("t"), [f"term{i}" for i in range(n)]))._jdf.queryExecution().optimizedPlan().toString())
+    assert size(5000) == size(100)
+    rules = [scoring.Rules(regions=[f"r{i}" for i in range(n)] + ["seoul"], tech_primary=[f"t{i}" for i in range(n)] + ["dev"], excluded_companies=[f"x{i}" for i in range(n)] + ["acme"]) for n in (3, 200)]
+    rows = spark.createDataFrame([posting(1, regions=["x", "in seoul"]), posting(2, title="t1 ops", company="Other", regions=["sE"]), posting(3, regions=[])], POSTING)
+    few, many = ([tuple(r) for r in scoring.with_rule_score(rows, r).select("id", "p_region", "p_tech", "rule", "qualified").collect()] for r in rules)
+    assert few == many and [r[1] for r in few] == [1.0, 0.3, 0.8]

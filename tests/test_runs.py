@@ -31,7 +31,7 @@ def test_role_text(spark):
 
 
 BAD = [
-    ([], "must be an object"), ({"companies": {}}, "must be a list"), ({}, "must be a list"), ({"version": 2, "companies": []}, "version"), ({"companies": [], "defaults": {"roles": [1]}}, "defaults.roles"), ({"companies": ["x"]}, "a company must be an object"),
+    ([], "must be an object"), ({"companies": {}}, "must be a list"), ({}, "must be a list"), ({"version": 2, "companies": []}, "version"), ({"companies": [], "defaults": {"roles": [1]}}, "defaults.roles"), ({"companies": [], "defaults": [1]}, "defaults must be"), ({"companies": [], "defaults": {"roles": {"include": "backend"}}}, "defaults.roles"), ({"companies": [one(roles={"include": "backend"})]}, "must be lists"), ({"companies": [one(priority=True)]}, "priority"), ({"companies": ["x"]}, "a company must be an object"),
     *[({"companies": [c]}, says) for c, says in (
         ({"name": "x"}, "no id"), (one(id="A b"), "small letters"), (one(name=" "), "no name"), (one(aliases="x"), "aliases"), (one(tier="D"), "tier"), (one(enabled=1), "enabled"), (one(sources={"a": 1}), "sources must be a list"), (one(sources=["x"]), "needs a type"),
         (one(sources=[{"type": "zzz"}]), "source types"), (one(roles=["x"]), "roles"), (one(priority="1"), "priority"), (one(careers_url="ftp://x"), "careers_url"), (one(collection_status="x"), "collection_status"), (one(source_filter=["x"]), "source_filter"))],
