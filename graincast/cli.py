@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from graincast import outputs
 from graincast.operators import fit, health, matches, registry, scoring
-from graincast.sources import careers, collecting, landed, registry_file
+from graincast.sources import careers, collecting, registry_file
+from graincast.sources import state as state_store
 
 STATE = "id string, first_seen string, created_at string, notified boolean, card struct<score:double,company:string,title:string,url:string,verdict:string,deadline:string,one_liner:string,career:string,region:string,scored:boolean,date:string,recommendation:string,target:boolean,tier:string>"
 
@@ -69,7 +70,7 @@ def profile_text(settings: dict, root: str) -> str:
 
 def fetch_history(spark: SparkSession, settings: dict, root: str, state_path: str):
     """All fetches known: those that were landed, and those of earlier runs."""
-    kept = [f"{landed.beside(state_path)}/{name}" for name in (sorted(os.listdir(landed.beside(state_path))) if os.path.isdir(landed.beside(state_path)) else [])]
+    kept = [f"{state_store.beside(state_path)}/{name}" for name in (sorted(os.listdir(state_store.beside(state_path))) if os.path.isdir(state_store.beside(state_path)) else [])]
     known = [spark.read.schema(FETCHES).parquet(*kept)] if kept else []
     if "fetches" in settings["landed"]:
         known.append(spark.read.parquet(os.path.join(root, settings["landed"]["fetches"])))
@@ -136,7 +137,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, as_of
         print("\n".join(f"! {r['source_id']}: {r['warning']}" for r in health.warnings(state).collect()))
         return 0
     run = run_of(settings, args, as_of or dt.date.today().isoformat())
-    seen = landed.load_state(spark, state_path, STATE)
+    seen = state_store.load(spark, state_path, STATE)
     watched = companies if companies.limit(1).count() else None
     official = args.official and watched is not None and args.mode != "discovery"
     if args.official and not official:
@@ -154,14 +155,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, as_of
     state = found.state.join(seen.select("id", F.col("card").alias("old_card")), "id", "left").join(new, "id", "left")
     state = state.select("id", "first_seen", "created_at", "notified", F.coalesce("new_card", "old_card").alias("card"))
     now = dt.datetime.now()
-    landed.save_state(state, state_path, f"{run.as_of}-{now:%H%M%S%f}")
+    state_store.save(state, state_path, f"{run.as_of}-{now:%H%M%S%f}")
     if got.companies is not None:
         told = got.companies.select("source_id", F.lit(run.as_of).alias("at"), F.lit(int(now.timestamp() * 1e6)).alias("seq"), "ok", "jobs", "error", "http_status", "final_url", F.lit(careers.PARSER_VERSION).alias("parser_version"))
-        told.write.parquet(f"{landed.beside(state_path)}/{run.as_of}-{now:%H%M%S%f}")
+        told.write.parquet(f"{state_store.beside(state_path)}/{run.as_of}-{now:%H%M%S%f}")
     if not run.seed:
         folder = os.path.join(root, settings.get("output", {}).get("matches_dir", "matches"))
         os.makedirs(folder, exist_ok=True)
-        page = outputs.dashboard(landed.load_state(spark, state_path, STATE), run, settings.get("name", ""))
+        page = outputs.dashboard(state_store.load(spark, state_path, STATE), run, settings.get("name", ""))
         for name, text in ((f"{run.as_of}.md", outputs.note(shown, found.counters, run, settings.get("name", ""))), ("index.html", page)):
             if text is not None:
                 with open(os.path.join(folder, name), "w", encoding="utf-8") as f:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from graincast import cli
 from graincast.operators import dedup, matches, scoring
-from graincast.sources import adapters, careers, collecting, landed, pages
+from graincast.sources import adapters, careers, collecting, pages
+from graincast.sources import state as state_store
 
 DAY = "2026-03-10"
 
@@ -189,12 +190,12 @@ def test_a_run_from_landed_files_to_the_note(spark, profile, capsys):
     root, settings = profile
     config = ["--config", str(root / "config.json"), "--official"]
     old = spark.createDataFrame([("old", "2026-01-01", None, True, None), ("kept", "2026-03-01", None, True, None)], cli.STATE)
-    landed.save_state(old, str(root / "state"), "0")
+    state_store.save(old, str(root / "state"), "0")
     assert cli.main(config, spark, DAY) == 0
     told = capsys.readouterr().out
     for line in ("! source zzz: unknown source", "! greetinghr:beta: HTTP 500", "left out by its roles: Acme / Chef", "of an excluded company: Spam Corp / Spark Lead", "near the watch-list, not on it: Acme Labs ~ acme"):
         assert line in told
-    state = {r["id"]: r for r in landed.load_state(spark, str(root / "state"), cli.STATE).collect()}
+    state = {r["id"]: r for r in state_store.load(spark, str(root / "state"), cli.STATE).collect()}
     # the repost of platform B is the first one's; what is old went, excluded companies aren't kept
     assert set(state) == {"1", "2", "3", "greetinghr:acme:5", "kept"}
     assert state["1"]["notified"] and state["1"]["card"]["recommendation"] == "STRONG_APPLY" and state["1"]["card"]["deadline"] == "2026-04-01" and state["1"]["card"]["target"]

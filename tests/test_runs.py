@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from graincast import cli, outputs
 from graincast.functions import scan
 from graincast.functions.text import normalize_company, role_text
-from graincast.operators import evidence, fit, matches, registry
+from graincast.operators import evidence, fit, matches, novelty, registry
 from graincast.sources import adapters, landed, registry_file
+from graincast.sources import state as state_store
 from graincast.streaming import health as stream
 
 
@@ -176,17 +177,38 @@ def test_query_string():
 
 def test_state_versions(spark, tmp_path):
     root, schema = str(tmp_path / "s"), "id string, n int"
-    assert landed.load_state(spark, root, schema).count() == 0
+    rows = lambda n: spark.createDataFrame([("a", n), (None, 0)], schema)
+    read = lambda: sorted(r["n"] for r in state_store.load(spark, root, schema).collect())
+    assert read() == []
     for version, n in (("1", 1), ("2", 2)):
-        landed.save_state(spark.createDataFrame([("a", n)], schema), root, version)
-    assert [r["n"] for r in landed.load_state(spark, root, schema).collect()] == [2]
+        state_store.save(rows(n), root, version, buckets=4)
+    assert read() == [0, 2]
+    with pytest.raises(FileExistsError):
+        state_store.save(rows(9), root, "2")
+    rows(3).write.parquet(f"{root}/v=3")  # a run that died before its manifest
+    (tmp_path / "s" / "v=4").mkdir()
+    assert read() == [0, 2]
     for name in os.listdir(f"{root}/v=2"):
         if name.endswith(".parquet"):
             (tmp_path / "s" / "v=2" / name).write_bytes(b"broken")
-            crc = tmp_path / "s" / "v=2" / f".{name}.crc"
-            crc.unlink(missing_ok=True)
     with pytest.warns(UserWarning, match="can't be read"):
-        assert [r["n"] for r in landed.load_state(spark, root, schema).collect()] == [1]
+        assert read() == [0, 1]
+    for version in ("5", "6", "7"):
+        state_store.save(rows(int(version)), root, version, buckets=2, kept=2)
+    assert sorted(os.listdir(root)) == ["v=6", "v=7"] and read() == [0, 7]
+
+
+def test_the_state_is_joined_as_it_lies(spark, tmp_path):
+    schema = "id string, first_seen string, notified boolean"
+    state_store.save(spark.range(5000).select(F.col("id").cast("string"), F.lit("2026-01-01").alias("first_seen"), F.lit(True).alias("notified")), str(tmp_path / "s"), "1", buckets=8)
+    seen = state_store.load(spark, str(tmp_path / "s"), schema)
+    listed = spark.range(4000, 9000).select(F.col("id").cast("string"))
+    out = novelty.upsert(seen, listed, "2026-02-02")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in out._jdf.queryExecution().executedPlan().toString() + out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert out.count() == 9000 and out.filter("first_seen = '2026-02-02'").count() == 4000
 
 
 def test_mode_is_checked():
@@ -237,7 +259,7 @@ def profile(spark, tmp_path):
 def test_runs_tell_once(spark, profile, capsys):
     config = ["--config", str(profile / "config.json")]
     assert cli.main(config, spark, DAY) == 0
-    state = {r["id"]: r for r in landed.load_state(spark, str(profile / "state"), cli.STATE).collect()}
+    state = {r["id"]: r for r in state_store.load(spark, str(profile / "state"), cli.STATE).collect()}
     assert "p5" not in state and state["p1"]["card"]["recommendation"] == "STRONG_APPLY" and state["p2"]["card"]["recommendation"] == "SKIP"
     # p3 answered without requirements: its rule score stands and the watch-list shows it; p9 has no answer and is put off
     assert {i for i, r in state.items() if r["notified"]} == {"p1", "p2", "p3"} and state["p9"]["notified"] is False
@@ -249,7 +271,7 @@ def test_runs_tell_once(spark, profile, capsys):
     assert cli.main(config, spark, "2026-03-11") == 0
     again = (profile / "matches" / "2026-03-11.md").read_text()
     assert "matched: 0" in again and "Nothing new" in again
-    assert {r["id"]: r["first_seen"] for r in landed.load_state(spark, str(profile / "state"), cli.STATE).collect()}["p1"] == DAY
+    assert {r["id"]: r["first_seen"] for r in state_store.load(spark, str(profile / "state"), cli.STATE).collect()}["p1"] == DAY
 
 
 def test_flags(spark, profile, capsys):
@@ -262,7 +284,7 @@ def test_flags(spark, profile, capsys):
     assert cli.main([*config, "--list-targets"], spark) == 0 and "acme" in capsys.readouterr().out
     assert cli.main([*config, "--source-health"], spark) == 0 and "failed" in capsys.readouterr().out
     assert cli.main([*config, "--seed", "--days", "100"], spark, DAY) == 0
-    state = landed.load_state(spark, str(profile / "state"), cli.STATE)
+    state = state_store.load(spark, str(profile / "state"), cli.STATE)
     # all fresh candidates, also those that the roles of the watch-list leave to discovery; not the career page's
     assert {r["id"] for r in state.filter("notified").collect()} == {"p1", "p2", "p3", "p4", "p6", "p7", "p9"} and state.filter("card is not null").count() == 0 and not (profile / "matches").exists()
     (profile / "companies.json").write_text("{")
