@@ -155,18 +155,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, as_of
     state = found.state.join(seen.select("id", F.col("card").alias("old_card")), "id", "left").join(new, "id", "left")
     state = state.select("id", "first_seen", "created_at", "notified", F.coalesce("new_card", "old_card").alias("card"))
     now = dt.datetime.now()
-    state_store.save(state, state_path, f"{run.as_of}-{now:%H%M%S%f}")
+    state_store.save(state, state_path, f"{run.as_of}-{now:%H%M%S%f}", int(settings.get("state_buckets", state_store.BUCKETS)))
     if got.companies is not None:
         told = got.companies.select("source_id", F.lit(run.as_of).alias("at"), F.lit(int(now.timestamp() * 1e6)).alias("seq"), "ok", "jobs", "error", "http_status", "final_url", F.lit(careers.PARSER_VERSION).alias("parser_version"))
         told.write.parquet(f"{state_store.beside(state_path)}/{run.as_of}-{now:%H%M%S%f}")
     if not run.seed:
         folder = os.path.join(root, settings.get("output", {}).get("matches_dir", "matches"))
         os.makedirs(folder, exist_ok=True)
-        page = outputs.dashboard(state_store.load(spark, state_path, STATE), run, settings.get("name", ""))
-        for name, text in ((f"{run.as_of}.md", outputs.note(shown, found.counters, run, settings.get("name", ""))), ("index.html", page)):
-            if text is not None:
-                with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-                    f.write(text)
+        with open(os.path.join(folder, f"{run.as_of}.md"), "w", encoding="utf-8") as f:
+            f.write(outputs.note(shown, found.counters, run, settings.get("name", "")))
+        outputs.dashboard(state_store.load(spark, state_path, STATE), run, os.path.abspath(folder), settings.get("name", ""))
     return 0
 
 

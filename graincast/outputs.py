@@ -5,14 +5,12 @@ A run shows a digest, which the budgets of judging and the note's score bound; t
 
 from __future__ import annotations
 
-import html
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graincast.operators import fit, novelty
 from graincast.operators.matches import Run, best_first, eligible, in_note
+from graincast.sources import cards
 
 PUSHED, CONSOLE, CAPTION = 8, 12, 1024
 #: What axes are called. Fixed values.
@@ -102,15 +100,9 @@ def searched(rows: DataFrame, query: str) -> DataFrame:
     return rows.filter(F.lower(F.concat("company", "title")).contains(query.strip().lower())) if query.strip() else rows
 
 
-def dashboard(state: DataFrame, run: Run, person: str = "", keep_days: int = 90) -> str | None:
-    """A page that needs nothing else, its rows as JSON in it; None without cards."""
-    rows = [r.asDict() for r in dashboard_rows(state, run, keep_days).collect()]
-    if not rows:
-        return None
-    data = json.dumps(rows, ensure_ascii=False).replace("</", "<\\/")
-    counts = f"{len(rows)} · 🔥 {sum(r['hot'] for r in rows)} · ⏰ {sum(r['urgent'] for r in rows)}"
-    script = "const put=()=>{const q=find.value.trim().toLowerCase();list.innerHTML='';for(const r of rows.filter(r=>(r.company+r.title).toLowerCase().includes(q)).sort((a,b)=>due.checked?a.dsort-b.dsort||b.score-a.score:b.score-a.score||a.dsort-b.dsort)){const e=document.createElement('li');e.textContent=[r.score+(r.hot?'🔥':''),r.verdict,r.deadline,r.company,r.title].join(' · ');list.append(e)}};find.oninput=due.onchange=put;put()"
-    return f"<!DOCTYPE html><meta charset=utf-8><title>{html.escape(person or '전체')}</title><h1>{html.escape(person or '전체')}</h1><p>{run.as_of} · {counts}</p><input id=find><label><input id=due type=checkbox>마감순</label><ul id=list></ul><script>const rows={data};{script}</script>"
+def dashboard(state: DataFrame, run: Run, path: str, person: str = "", keep_days: int = 90) -> None:
+    """Writes the dashboard into the folder ``path``: tasks write its cards, best first, and the driver its page. See ``sources.cards``."""
+    cards.write(state.sparkSession, dashboard_rows(state, run, keep_days), path, person, run.as_of)
 
 
 def caption(matches: DataFrame, run: Run, threshold: float, person: str = "") -> str | None:

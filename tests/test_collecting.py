@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graincast import cli
 from graincast.operators import dedup, matches, scoring
-from graincast.sources import adapters, careers, collecting, pages
+from graincast.sources import adapters, cards, careers, collecting, pages
 from graincast.sources import state as state_store
 
 DAY = "2026-03-10"
@@ -180,7 +180,7 @@ def profile(spark, tmp_path):
     (tmp_path / "companies.json").write_text(json.dumps({"companies": listed}))
     settings = {
         "landed": {n: n for n in ("pages", *tables)}, "targets": {"file": "companies.json"}, "sources": [{"type": "platform"}, {"type": "platform_b", "search": {"job_categories": [1]}}, {"type": "zzz"}], "search": {"new_within_days": 3},
-        "filter": {"primary_depth_twos": ["backend"], "regions_preferred": ["Seoul"], "exclude_companies": ["spam"]}, "profile": {"career_years": 4, "tech_primary": ["spark"]}, "output": {"seen_retention_days": 30},
+        "filter": {"primary_depth_twos": ["backend"], "regions_preferred": ["Seoul"], "exclude_companies": ["spam"]}, "profile": {"career_years": 4, "tech_primary": ["spark"]}, "output": {"seen_retention_days": 30}, "state_buckets": 2,
     }
     (tmp_path / "config.json").write_text(json.dumps(settings))
     return tmp_path, settings
@@ -232,6 +232,28 @@ def test_counters_and_samples(spark):
     assert empty.counters["scanned"] == 0 and empty.matches.count() == 0 and empty.samples.count() == 0
 
 
+def test_a_dashboard_is_written_by_tasks_and_seen_at_once(spark, tmp_path):
+    path = tmp_path / "d"
+    rows = lambda n: spark.range(n).select(F.col("id"), F.col("id").cast("double").alias("score"), (F.col("id") % 2 == 0).alias("hot"), F.lit(False).alias("urgent"), F.lit("</script> x").alias("title"), F.lit("c").alias("company")).repartition(5).orderBy(F.desc("score"))
+
+    def shown():
+        page = (path / "index.html").read_text()
+        files = json.loads(page.split("files=")[1].split(";")[0])
+        return page, files, [r["id"] for f in files for r in json.loads((path / f).read_text().removeprefix("rows.push(...").removesuffix(")"))]
+
+    cards.write(spark, rows(1000), str(path), "N <x>", DAY, 100)
+    page, files, ids = shown()
+    assert ids == list(range(999, -1, -1)) and len(files) >= 10 and f"{DAY} · 1000 · 🔥 500 · ⏰ 0" in page and "N &lt;x&gt;" in page
+    failing = rows(200).withColumn("title", F.when(F.col("id") == 7, F.raise_error(F.lit("stop"))).otherwise(F.col("title")))
+    with pytest.raises(Exception, match="stop"):
+        cards.write(spark, failing, f"file://{path}", "N", DAY, 10)
+    assert shown() == (page, files, ids)  # a run that fails leaves the last dashboard
+    cards.write(spark, rows(3), f"file://{path}", "", DAY)
+    assert shown()[2] == [2, 1, 0] and len([f for f in os.listdir(path) if f.startswith("cards-")]) == 1 and not [f for f in os.listdir(path) if f.startswith(".draft")]
+    cards.write(spark, rows(0), str(path), "", DAY)
+    assert shown()[1:] == ([], [])
+
+
 def test_fetching_is_refused_by_path(spark):
     urls = {"https://j.example.com/o/12/apply": True, "https://j.example.com/ko/o/1/apply?x=1": True, "https://j.example.com/m/x": True, "https://j.example.com/ko/apply": False, "https://j.example.com/en/a/1": True, "https://j.example.com/x/o/1/apply": False, "https://j.example.com": False}
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", adapters.forbidden(F.col("u")).alias("no"))

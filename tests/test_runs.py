@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,7 +252,7 @@ def profile(spark, tmp_path):
     for name, (values, schema) in data.items():
         spark.createDataFrame(values, schema).write.parquet(str(tmp_path / name))
     (tmp_path / "companies.json").write_text(json.dumps({"companies": [one(roles={"include": ["engineer", "back-end"]})]}))
-    settings = {"name": "N", "landed": {n: n for n in data}, "targets": {"file": "companies.json"}, "search": {"new_within_days": 3}, "filter": LOOKS_FOR, "profile": {"career_years": 4, "tech_primary": ["urgent", "high"]}, "enrich": {"enabled": True}, "llm": {"max_calls_per_run": 40}}
+    settings = {"name": "N", "landed": {n: n for n in data}, "targets": {"file": "companies.json"}, "search": {"new_within_days": 3}, "filter": LOOKS_FOR, "profile": {"career_years": 4, "tech_primary": ["urgent", "high"]}, "enrich": {"enabled": True}, "llm": {"max_calls_per_run": 40}, "state_buckets": 2}
     (tmp_path / "config.json").write_text(json.dumps(settings))
     return tmp_path
 
@@ -266,7 +267,9 @@ def test_runs_tell_once(spark, profile, capsys):
     note = (profile / "matches" / f"{DAY}.md").read_text()
     assert "person: N" in note and "결격: visa" in note and "not judged yet" in note and note.index("Acme Inc.") < note.index("Other")
     page = (profile / "matches" / "index.html").read_text()
-    assert "<\\/script>" in page and page.count("</script>") == 1
+    files = json.loads(re.search(r"files=(\[.*?\])", page).group(1))
+    shown = [r for f in files for r in json.loads((profile / "matches" / f).read_text().removeprefix("rows.push(...").removesuffix(")"))]
+    assert page.count("</script>") == 1 and f"{DAY} · 3 · 🔥 2 · ⏰ 2" in page and [r["id"] for r in shown] == ["p1", "p2", "p3"] and shown[0]["one_liner"] == "fine </script>"
     assert "STRONG" not in capsys.readouterr().out
     assert cli.main(config, spark, "2026-03-11") == 0
     again = (profile / "matches" / "2026-03-11.md").read_text()
