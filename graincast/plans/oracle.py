@@ -82,7 +82,7 @@ wb AS (SELECT id FROM wa WHERE cached IS NULL AND id % 5 <> 0 ORDER BY rule DESC
 wd AS (SELECT *, CASE WHEN cached IS NOT NULL THEN cached WHEN id % 9 <> 0 THEN created ELSE coalesce(first_seen, '2001-08-01') END AS created_at FROM wa WHERE cached IS NOT NULL OR id IN (SELECT id FROM wb)),
 wf AS (SELECT * FROM wd WHERE date_diff('day', created_at::DATE, DATE '2001-08-01') <= 400),
 wj AS (SELECT *, row_number() OVER (ORDER BY rule DESC, id) <= 200 AS in_budget FROM wf),
-wx AS (SELECT wj.*, ax.*  EXCLUDE (id), in_budget AND wj.id % 4 <> 0 AND ax.id IS NOT NULL AS answered, in_budget AND wj.id % 4 <> 0 AND ax.id IS NOT NULL AND wj.id % 17 = 0 AS barred, (p_region + p_employment) / 2 AS pref FROM wj LEFT JOIN ax ON wj.id = ax.id),
+wx AS (SELECT wj.*, ax.*  EXCLUDE (id), in_budget AND wj.id % 4 <> 0 AND ax.id IS NOT NULL AS answered, in_budget AND wj.id % 4 <> 0 AND ax.id IS NOT NULL AND wj.id % 17 IN (0, 2) AS barred, (p_region + p_employment) / 2 AS pref FROM wj LEFT JOIN ax ON wj.id = ax.id),
 wy AS (SELECT *, CASE WHEN answered THEN round((coalesce(required * 0.55::DOUBLE, 0) + coalesce(preferred * 0.15::DOUBLE, 0) + p_tech * 0.1::DOUBLE + p_career * 0.1::DOUBLE + pref * 0.1::DOUBLE)
       / (CASE WHEN required IS NULL THEN 0 ELSE 0.55 END::DOUBLE + CASE WHEN preferred IS NULL THEN 0 ELSE 0.15 END::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE) * 100, 1) END AS fit, CASE WHEN lo IS NOT NULL THEN greatest(0, lo - 4) END AS gap FROM wx),
 wm AS (SELECT *, coalesce(fit, rule) AS score, NOT in_budget OR NOT answered AS deferred, CASE WHEN fit IS NOT NULL THEN ['SKIP', 'ARCHIVE', 'REVIEW', 'APPLY', 'STRONG_APPLY'][least(CASE WHEN fit >= 90 THEN 4 WHEN fit >= 80 THEN 3 WHEN fit >= 70 THEN 2 WHEN fit >= 60 THEN 1 ELSE 0 END,
@@ -115,6 +115,8 @@ SQL = {
     "career_openings": f"WITH {_CP} SELECT 'greetinghr:' || id || ':' || l_orderkey AS id, l_returnflag AS title, s_name AS company, id AS canonical, '상시' AS deadline, 'https://c.example.com/' || k || '/ko/o/' || l_orderkey AS detail_url FROM c JOIN lineitem ON l_suppkey = k AND l_linenumber = 1 AND l_orderkey % 10 <> 0 WHERE error IS NULL AND kind <> 7",
     "reposts": f"WITH {_M} SELECT id, title, company, deadline, n_merged, sources FROM p",
     "run_matches": f"WITH {_W} SELECT id, target, score, recommendation, deferred, n_merged, CASE WHEN id % 5 <> 0 THEN 'platform' ELSE 'thin' END AS jd_source, created_at FROM wm",
+    "run_note": f"WITH {_W}, x AS (SELECT id, CASE coalesce(recommendation, 'REVIEW') WHEN 'STRONG_APPLY' THEN 1 WHEN 'APPLY' THEN 2 WHEN 'REVIEW' THEN 3 WHEN 'ARCHIVE' THEN 4 ELSE 5 END::INT AS rank, target, score FROM wm WHERE NOT deferred AND (score >= 50 OR target)) SELECT row_number() OVER (ORDER BY target DESC, rank, score DESC, id)::INT AS place, id, rank FROM x QUALIFY place <= 100",
+    "run_cards": f"WITH {_W} SELECT wm.id, rule, score, company, CASE recommendation WHEN 'STRONG_APPLY' THEN '강력추천' WHEN 'APPLY' THEN '추천' WHEN 'REVIEW' THEN '검토' WHEN 'ARCHIVE' THEN '보류' WHEN 'SKIP' THEN '제외' END AS verdict, deadline, coalesce(lo::VARCHAR, '?') || '~' || coalesce(hi::VARCHAR, '?') || '년' AS career, fit IS NOT NULL AS scored, recommendation, target, tier FROM wm LEFT JOIN c ON c.id = target_id WHERE NOT deferred AND (score >= 50 OR target)",
     "run_state": f"WITH {_W}, st AS (SELECT id, coalesce(s.first_seen, CASE WHEN l.id IS NOT NULL THEN '2001-08-01' END) AS first_seen, coalesce(f.created_at, s.created_at) AS created_at, coalesce(s.notified, false) OR coalesce(NOT w.deferred AND (w.score >= 50 OR w.target), false) AS notified FROM seen s FULL JOIN (SELECT id FROM wq WHERE NOT company_out) l USING (id) LEFT JOIN wf f USING (id) LEFT JOIN wm w USING (id)) SELECT * FROM st WHERE coalesce(first_seen, '9999') >= '2000-08-01'",
     "run_counters": f"WITH {_W} SELECT (SELECT count(*) FROM wq) AS scanned, (SELECT sum(n_merged) - count(*) FROM wq)::BIGINT AS merged, (SELECT count(*) FROM wq WHERE company_out) AS company_excluded, (SELECT count(*) FROM wq WHERE qualified) AS discovery_candidates, (SELECT count(*) FROM wq WHERE target) AS target_candidates, (SELECT count(*) FROM wq WHERE reason = 'role' AND NOT company_out) AS target_role_dropped, (SELECT count(*) FROM wq WHERE picked) AS rule_pass, (SELECT count(*) FROM wf) AS fresh, (SELECT count(*) FROM wf WHERE target) AS target_fresh, 0::BIGINT AS dates_unread, (SELECT count(*) FROM wm WHERE answered) AS scored, (SELECT count(*) FROM wm WHERE answered) AS structured, (SELECT count(*) FROM wm JOIN ev ON wm.id = ev.id WHERE answered AND ev.demoted) AS demoted, (SELECT count(*) FROM wm WHERE barred) AS blocked, 0::BIGINT AS enriched, (SELECT count(*) FROM wm WHERE deferred) AS deferred, (SELECT count(*) FROM wm WHERE in_budget AND NOT answered) AS failed",
     "run_samples": f"WITH {_W} SELECT * FROM (SELECT 'excluded' AS kind, id AS at, company || ' / ' || title AS name, NULL AS detail FROM wq WHERE company_out ORDER BY id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'role', id, company || ' / ' || title, NULL FROM wq WHERE reason = 'role' AND NOT company_out ORDER BY id LIMIT 8)",
@@ -171,14 +173,14 @@ SQL = {
     "event_json": "SELECT event_type, sum((props::JSON->>'$.k')::BIGINT)::BIGINT AS k_sum, count(*) AS n FROM events GROUP BY event_type",
     "positions_fold": "SELECT l_orderkey, min(l_quantity) AS career_from, max(l_quantity) AS career_to, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS fields FROM lineitem GROUP BY l_orderkey",
     "last_value_upsert": "SELECT user_id, min(event_id) AS place, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
-    "robots_guard": "WITH u AS (SELECT page_id, 'https://jobs.example.com' || ['/o/12/apply', '/ko/o/1/apply?x=1', '/m/x', '/ko/apply', '/en/a/1', '/x/o/1/apply', '', '/about'][(page_id % 8 + 1)::INT] AS url FROM pages) SELECT page_id, url, page_id % 8 IN (0, 1, 2, 4) AS blocked FROM u",
+    "robots_guard": "WITH u AS (SELECT page_id, url, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL) SELECT page_id, nth::INT AS nth, CASE nth WHEN 0 THEN regexp_matches(path, '^(/(ko|en))?(/o/[^/]+/apply|/m/|/a/)') WHEN 4 THEN regexp_matches(CASE WHEN contains(url, '?') OR contains(url, '#') THEN path ELSE path || '/apply' END, '^(/(ko|en))?(/o/[^/]+/apply|/m/|/a/)') ELSE true END AS blocked FROM u, range(5) r(nth)",
     "role_names": "SELECT DISTINCT 'Back-end / ' || p_name AS raw, 'backend' || regexp_replace(lower(p_name), '[\\s_/.,()·|-]+', '', 'g') AS key FROM part",
     "company_legal": "SELECT ['주식회사', '( 주 )', '(有) ', '유한책임회사 '][c_custkey % 4 + 1] || c_name || CASE WHEN c_custkey % 3 = 0 THEN ' Pte. Ltd.' ELSE '' END AS raw, lower(replace(c_name, '#', '')) AS key FROM customer",
     "key_typos": f"WITH {_C} SELECT id, 'colour,teir' AS unknown FROM c WHERE ck % 9 = 0",
     "unclassified": f"WITH {_C} SELECT id FROM c WHERE enabled AND status IS NULL",
     "official_urls": f"WITH {_C} SELECT id, concat_ws(' ', url, CASE WHEN ck % 10 = 0 AND url IS DISTINCT FROM 'https://jobs.example.com/0' THEN 'https://jobs.example.com/0' END) AS urls, CASE WHEN ck % 10 = 0 THEN 'official platform' ELSE '' END AS types FROM c",
     "adapted_companies": f"WITH {_C} SELECT id, family FROM c WHERE enabled AND status IN ('generic_adapter_priority', 'adapter_candidate') AND family IN ('fam1', 'fam2')",
-    "blocker_adoption": "SELECT CASE WHEN l_linenumber % 5 = 4 THEN 'career' ELSE 'other' END AS kind, ['경력 5년 이상', '신입 전용, 경력 3년 불가', 'driving licence', '7 years of experience', 'lives abroad'][l_linenumber % 5 + 1] AS detail, CASE WHEN l_linenumber % 5 IN (0, 3, 4) THEN 'only years lack' WHEN l_suppkey % 3 = 0 THEN 'nothing backs it' ELSE 'adopted' END AS reject, count(*) AS n FROM lineitem GROUP BY ALL",
+    "blocker_adoption": "WITH a AS (SELECT l_orderkey % 17 AS kind, count(*) AS n FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey) SELECT '기타' AS kind, CASE kind WHEN 0 THEN 'no licence' WHEN 1 THEN n || ' years of experience' WHEN 2 THEN 'Entry level only, not ' || n || ' years of experience' ELSE 'lives abroad' END AS detail, CASE kind WHEN 1 THEN 'only years lack' WHEN 3 THEN 'nothing backs it' ELSE 'adopted' END AS reject, count(*) AS n FROM a WHERE kind < 4 GROUP BY 2, 3",
     "evidence_narrow": "WITH e AS (SELECT user_id AS id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS held, event_type IN ('purchase', 'click') AND event_id % 2 = 1 AS demoted FROM events) SELECT id, count(*)::INT AS n_rows, any_value(held) > 12 AS truncated, count(*) FILTER (demoted)::INT AS demoted, 'req ' || min(event_id) AS first, count(*) FILTER (event_type = 'purchase' AND NOT demoted)::INT AS n_full, count(*) FILTER (event_id % 3 = 0)::INT AS n_required, 'a,b' AS blockers FROM e WHERE nth <= 12 GROUP BY id",
     "evidence_deferral": f"WITH {_S}, b AS (SELECT id, row_number() OVER (ORDER BY rule DESC, id) <= 200 AS in_budget FROM sc WHERE qualified) SELECT id, in_budget, in_budget AND id % 3 = 0 AS failed, NOT in_budget OR id % 3 = 0 AS deferred FROM b",
     "body_sources": f"WITH {_S}, b AS (SELECT *, id % 2 = 1 AS thin FROM sc WHERE qualified), t AS (SELECT id FROM b WHERE thin AND id % 5 <> 0 ORDER BY rule DESC, id LIMIT 30) SELECT b.id, CASE WHEN t.id IS NOT NULL AND b.id % 7 <> 0 THEN 'crawled' WHEN thin THEN 'thin' ELSE 'platform' END AS jd_source, CASE WHEN t.id IS NOT NULL AND b.id % 7 <> 0 THEN 6000 WHEN thin THEN 5 ELSE 300 END::INT AS n FROM b LEFT JOIN t ON b.id = t.id",

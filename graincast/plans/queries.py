@@ -77,6 +77,17 @@ def run_matches(s, d):
     return _run(s, d).matches.select("id", "target", "score", "recommendation", "deferred", "n_merged", "jd_source", "created_at")
 
 
+def run_note(s, d):
+    """The first 100 of that run's note, in its order."""
+    rows = _run(s, d).matches.filter(matches.in_note(WHOLE)).withColumn("rank", outputs.rank())
+    return _placed(rows, 100, F.desc("target"), "rank", F.desc("score"), "seq").select("place", "id", "rank")
+
+
+def run_cards(s, d):
+    """What that run's cards say."""
+    return matches.cards(_run(s, d).matches, WHOLE).select("id", "rule", *[F.col(f"card.{c}").alias(c) for c in ("score", "company", "verdict", "deadline", "career", "scored", "recommendation", "target", "tier")])
+
+
 def run_state(s, d):
     """The state after that run: who was told, and what is old is gone."""
     return _run(s, d).state
@@ -354,10 +365,12 @@ def last_value_upsert(s, d):
 
 
 def robots_guard(s, d):
-    """Paths of career pages that must not be fetched; a list that ends in apply may be."""
-    tails = ("/o/12/apply", "/ko/o/1/apply?x=1", "/m/x", "/ko/apply", "/en/a/1", "/x/o/1/apply", "", "/about")
-    url = F.concat(F.lit("https://jobs.example.com"), F.element_at(F.array(*map(F.lit, tails)), (F.col("page_id") % len(tails) + 1).cast("int")))
-    return table(s, d, "pages").select("page_id", url.alias("url"), adapters.forbidden(url).alias("blocked"))
+    """Addresses that must not be fetched: the pages' own, and forms, mobile and admin pages beside them."""
+    p = table(s, d, "pages").filter("url is not null")
+    site = F.regexp_extract("url", "^https?://[^/?#]+", 0)
+    beside = [F.col("url"), F.concat(site, F.lit("/ko/o/"), F.col("page_id"), F.lit("/apply?from="), F.col("url")), F.concat(site, F.lit("/m/"), F.col("page_id")), F.concat(site, F.lit("/en/a/"), F.col("page_id")), F.concat(F.col("url"), F.lit("/apply"))]
+    urls = p.select("page_id", F.posexplode(F.array(*beside)).alias("nth", "url"))
+    return urls.select("page_id", "nth", adapters.forbidden(F.col("url")).alias("blocked"))
 
 
 def role_names(s, d):
@@ -388,12 +401,10 @@ def adapted_companies(s, d):
 
 
 def blocker_adoption(s, d):
-    """Which candidate blockers count, and why the others don't."""
-    details = ("경력 5년 이상", "신입 전용, 경력 3년 불가", "driving licence", "7 years of experience", "lives abroad")
-    nth = (F.col("l_linenumber") % 5).cast("int")
-    one = F.struct(F.when(nth == 4, "career").otherwise("other").alias("kind"), F.element_at(F.array(*map(F.lit, details)), nth + 1).alias("detail"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise("text").alias("evidence"))
-    counts, rejected = evidence.adopted(F.array(one))
-    rows = table(s, d, "lineitem").select(counts.alias("yes"), rejected.alias("no")).select(F.explode(F.concat("yes", "no")).alias("b"))
+    """Which candidate blockers of the answers count, and why the others don't."""
+    told = evidence.typed(B.answers(s, d)).select("evidence.hard_blockers")
+    counts, rejected = evidence.adopted(F.col("hard_blockers"))
+    rows = told.select(F.explode(F.concat(counts, rejected)).alias("b"))
     return rows.groupBy("b.kind", "b.detail", F.coalesce("b.reject", F.lit("adopted")).alias("reject")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -487,4 +498,4 @@ def source_badges(s, d):
     return p.select("id", outputs.badge(F.array("source", F.lit("platform_a")), {"platform_a": "A", "platform_b": "B"}).alias("badge"))
 
 
-QUERIES = {f.__name__: f for f in (postings_union, landed_postings, landed_sources, career_results, career_openings, reposts, run_matches, run_state, run_counters, run_samples, company_normalize, company_legal, role_names, title_keys, dedup_survivors, ambiguous_keys, text_dedup, exclusions, score_parts, rule_score, rule_topk, resolve_target, alias_collisions, near_misses, qualify_reason, mode_union, families, collectible_families, adapted_companies, portal_conflicts, research_needed, tier_listing, key_typos, unclassified, official_urls, seen_upsert, seen_retention, not_notified, created_cache, fresh_window, assess_budget, detail_budget, evidence_deferral, body_sources, thin_bodies, deadline_states, requirement_normalize, evidence_narrow, blocker_adoption, match_axis, fit_score, recommend, recommend_why, final_order, note_rank, push_top8, push_overflow, told_marking, seed_marking, dashboard_rank, dashboard_order, dashboard_search, dashboard_kpis, run_stats, source_badges, health_rollup, health_warnings, health_order, health_summary, health_stale, page_extract, event_json, positions_fold, last_value_upsert, platform_b_postings, platform_b_details, career_postings, rich_text_flatten, embedded_json_pick, robots_guard)}
+QUERIES = {f.__name__: f for f in (postings_union, landed_postings, landed_sources, career_results, career_openings, reposts, run_matches, run_note, run_cards, run_state, run_counters, run_samples, company_normalize, company_legal, role_names, title_keys, dedup_survivors, ambiguous_keys, text_dedup, exclusions, score_parts, rule_score, rule_topk, resolve_target, alias_collisions, near_misses, qualify_reason, mode_union, families, collectible_families, adapted_companies, portal_conflicts, research_needed, tier_listing, key_typos, unclassified, official_urls, seen_upsert, seen_retention, not_notified, created_cache, fresh_window, assess_budget, detail_budget, evidence_deferral, body_sources, thin_bodies, deadline_states, requirement_normalize, evidence_narrow, blocker_adoption, match_axis, fit_score, recommend, recommend_why, final_order, note_rank, push_top8, push_overflow, told_marking, seed_marking, dashboard_rank, dashboard_order, dashboard_search, dashboard_kpis, run_stats, source_badges, health_rollup, health_warnings, health_order, health_summary, health_stale, page_extract, event_json, positions_fold, last_value_upsert, platform_b_postings, platform_b_details, career_postings, rich_text_flatten, embedded_json_pick, robots_guard)}

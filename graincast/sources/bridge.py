@@ -79,9 +79,11 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """``id, response``: an answer an order, its lines as requirements; every fourth order has none, every 17th a blocker."""
+    """``id, response``: an answer an order, its lines as requirements; every fourth order has none. Orders modulo 17 have a blocker that counts (0), one of years (1), one of years for newcomers only (2), one that nothing backs (3)."""
     rows = requirements(spark, sf).filter("id % 4 <> 0").withColumn("row", F.struct("requirement", "importance", "match", F.col("candidate_evidence").alias("evidence"), "confidence"))
-    barred = F.when(F.col("id") % 17 == 0, F.array(F.struct(F.lit("no licence").alias("detail"), F.lit("said").alias("evidence"))))
+    kind, years = F.col("id") % 17, F.concat(F.size("requirements").cast("string"), F.lit(" years of experience"))
+    detail = F.when(kind == 0, "no licence").when(kind == 1, years).when(kind == 2, F.concat(F.lit("Entry level only, not "), years)).when(kind == 3, "lives abroad")
+    barred = F.when(detail.isNotNull(), F.array(F.struct(detail.alias("detail"), F.when(kind == 3, "N/A").otherwise("said").alias("evidence"))))
     return rows.groupBy("id").agg(F.collect_list("row").alias("requirements")).select("id", F.to_json(F.struct("requirements", barred.alias("hard_blockers"))).alias("response"))
 
 
