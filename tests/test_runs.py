@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graincast import cli, outputs
 from graincast.functions import scan
 from graincast.functions.text import normalize_company, role_text
-from graincast.operators import evidence, fit, matches, novelty, registry
+from graincast.operators import evidence, fit, health, matches, novelty, registry
 from graincast.sources import adapters, landed, registry_file
 from graincast.sources import state as state_store
 from graincast.streaming import health as stream
@@ -228,6 +228,36 @@ def test_streams(spark, tmp_path):
     assert {(r["source_id"], r["n"], r["failed"], r["empty"]) for r in spark.table("hourly").collect()} == {(1, 3, 1, 2), (2, 1, 0, 0)}
 
 
+def test_health_kept_fetch_by_fetch_equals_the_history(spark, tmp_path):
+    rng = random.Random(8)
+    start = dt.datetime(2026, 1, 1)
+    rows = [(f"s{rng.randint(0, 5)}", start + dt.timedelta(minutes=10 * i), i, (ok := rng.random() < 0.5), rng.choice([0, 0, 3, 8]) if ok else None) for i in range(240)]
+    rows += [("dead", start + dt.timedelta(minutes=10 * i), 1000 + i, False, None) for i in range(60)] + [("late", start, 2000, True, 4)]
+    order = sorted(rows, key=lambda r: (r[1] + dt.timedelta(minutes=rng.randint(0, 300))))  # up to five hours late
+    schema = "source_id string, at timestamp, seq long, ok boolean, jobs int"
+    for i in range(6):
+        part = order[i * len(order) // 6 : (i + 1) * len(order) // 6]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
+    told: dict = {}
+
+    def keep(df, _):
+        told.update({r["source_id"]: r for r in df.collect()})
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "in").mkdir()
+    for i in range(6):
+        for name in os.listdir(tmp_path / f"in{i}"):
+            if name.endswith(".parquet"):
+                os.rename(tmp_path / f"in{i}" / name, tmp_path / "in" / f"{i}-{name}")
+        if i % 3 == 2:  # a query that goes on from its checkpoint
+            source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            q = stream.health_updates(source, "6 hours").writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            assert q.awaitTermination(180)
+    expected = {r["source_id"]: r for r in health.rollup(spark.createDataFrame(rows, schema)).collect()}
+    names = ("n_fetches", "last_checked", "last_success", "jobs_seen", "consecutive_failures", "last_nonzero", "last_nonzero_at")
+    assert {k: tuple(r[n] for n in names) for k, r in told.items()} == {k: tuple(r[n] for n in names) for k, r in expected.items()}
+
+
 POSTING = "id string, seq long, source string, title string, company string, canonical string, depth_ones array<string>, depth_twos array<string>, synthetic boolean, regions array<string>, employee_types array<string>, career_min int, career_max int, created string, deadline string, detail_url string"
 DAY = "2026-03-10"
 LOOKS_FOR = {"primary_depth_twos": ["BUILDING"], "target_depth_ones": ["ASIA"], "regions_preferred": ["NATION_1"], "exclude_companies": ["Customer #00000001"]}
