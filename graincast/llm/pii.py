@@ -31,7 +31,7 @@ PHONE = (
 _KEYED = r"[A-Za-z0-9_+/-]"
 SECRET = (
     r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}])"
-    r"|(?<=[:=][\"' ]{0,2})(?=" + _KEYED + r"*[A-Za-z])(?=" + _KEYED + r"*\d)(?<=(?i:key|secret|token|password|passwd|pwd)[\"' ]{0,2}[:=][\"' ]{0,2})" + _KEYED + r"{12,128}(?!" + _KEYED + r")"
+    r"|(?<=[:=][\"' ]{0,2})(?=" + _KEYED + r"*[A-Za-z])(?=" + _KEYED + r"*\d)(?<=(?i:key|secret|token|password|passwd|pwd)[\"' ]{0,2}[:=][\"' ]{0,2})" + _KEYED + r"{8,128}(?!" + _KEYED + r")"
 )
 HEX = r"^[0-9a-fA-F]+$"
 CARD = r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,16})(?!\d)"
@@ -42,18 +42,37 @@ FITS = r"^(?:0*(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}$"
 #: Titles that tell a name and its gender. Fixed values.
 MALE = ("Mr.", "Mr", "Herr", "Monsieur", "Señor", "Господин")
 FEMALE = ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа")
-NAME = r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in FEMALE + MALE) + r") \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?"
+#: Titles that tell a name but not its gender. Fixed values.
+NEUTRAL = ("Dr.", "Dr", "Prof.", "Prof")
+#: A word of a name, with what hyphens and apostrophes join to it.
+WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:['’-]\p{L}+)*"
+NAME = r"(?<!\p{L})(?:" + "|".join(t.replace(".", r"\.") for t in FEMALE + MALE + NEUTRAL) + rf") {WORD}(?: {WORD})?"
 ENTITY = "|".join([MAIL, PHONE, SECRET, CARD, ADDRESS, NAME])
 TYPES = ("mail", "phone", "secret", "card", "address", "name")
 GIVEN = {("latin", "m"): ["Adrian", "Bruno", "Carlo", "David", "Emil", "Felix", "Hugo", "Ivan"], ("latin", "f"): ["Alma", "Berta", "Clara", "Diana", "Elsa", "Flora", "Greta", "Ida"], ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб"], ("cyrillic", "f"): ["Анна", "Вера", "Дарья", "Ирина"]}
+GIVEN |= {(script, "n"): GIVEN[script, "m"] + GIVEN[script, "f"] for script in ("latin", "cyrillic")}
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "wo", "zu", "ka"], "cyrillic": ["ба", "де", "фи", "го", "ку", "ла", "ме", "ни", "по", "ру", "са", "те", "ви", "во", "зу", "ка"]}
 
 
+def check_digit(body: Column) -> Column:
+    """Luhn's digit of the digits in a text: every other one from the last on counts twice, less nine if it has two digits then."""
+    back = F.reverse(F.regexp_replace(body, r"[^0-9]", ""))
+    at = lambda d, i: F.substring(d, i, F.lit(1)).cast("int")
+    twice = lambda x: F.when(x > 4, 2 * x - 9).otherwise(2 * x)
+    total = let(back, lambda d: F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), lambda s, i: s + F.when(i % 2 == 1, twice(at(d, i))).otherwise(at(d, i))))
+    return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
+
+
+def checked(card: Column) -> Column:
+    """Whether a card's last digit is that of the others."""
+    return F.substring(card, -1, 1) == check_digit(F.substring(card, F.lit(1), F.length(card) - 1))
+
+
 def type_of(entity: Column) -> Column:
-    """What a found entity is; a secret may be one only by what stands before it."""
+    """What a found entity is; a secret may be one only by what stands before it. Digits like a card's that fail its check digit are a number, which stays."""
     whole = lambda p: entity.rlike(f"^(?:{p})$")
     named = whole(NAME)
-    return F.when(entity.contains("@"), F.lit("mail")).when(whole(PHONE), F.lit("phone")).when(whole(CARD), F.lit("card")).when(whole(ADDRESS), F.lit("address")).when(named, F.lit("name")).otherwise(F.lit("secret"))
+    return F.when(entity.contains("@"), F.lit("mail")).when(whole(PHONE), F.lit("phone")).when(whole(CARD), F.when(checked(entity), F.lit("card")).otherwise(F.lit("number"))).when(whole(ADDRESS), F.lit("address")).when(named, F.lit("name")).otherwise(F.lit("secret"))
 
 
 def _keyed(text: Column, keyed: str) -> Column:
@@ -98,9 +117,10 @@ def _letters(value: Column, keyed: str, n: int) -> Column:
 def units(entity: Column) -> Column:
     """What is drawn for an entity, as ``kind:value``: the entity, or the last and the first word of a name without its title."""
     parts = F.split(entity, " ")
-    given = F.concat(F.when(parts[0].isin(*FEMALE), F.lit("given_f:")).otherwise(F.lit("given_m:")), parts[1])
+    gender = F.when(parts[0].isin(*FEMALE), F.lit("given_f:")).when(parts[0].isin(*NEUTRAL), F.lit("given_n:")).otherwise(F.lit("given_m:"))
+    given = F.concat(gender, F.get(parts, F.lit(1)))
     name = F.concat(F.array(F.concat(F.lit("last:"), F.element_at(parts, -1))), F.when(F.size(parts) > 2, F.array(given)).otherwise(F.array().cast("array<string>")))
-    return let(type_of(entity), lambda kind: F.when(kind == "name", name).otherwise(F.array(F.concat(kind, F.lit(":"), entity))))
+    return let(type_of(entity), lambda kind: F.when(kind == "name", name).when(kind == "number", F.array().cast("array<string>")).otherwise(F.array(F.concat(kind, F.lit(":"), entity))))
 
 
 def _drawn(kind: Column, value: Column, key: str, salt: int) -> Column:
@@ -120,7 +140,9 @@ def _drawn(kind: Column, value: Column, key: str, salt: int) -> Column:
     script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     lists = F.create_map(*[x for (sc, g), names in GIVEN.items() for x in (F.lit(f"{sc} given_{g}"), F.array(*map(F.lit, names)))])
     pick = let(lists[F.concat_ws(" ", script, kind)], lambda names: F.element_at(names, F.pmod(_keyed(low, f"{keyed}/name"), F.size(names)).cast("int") + 1))
-    out = F.when(kind == "mail", mail).when(kind == "secret", secret).when(kind.isin("phone", "card"), F.concat(digits, more))
+    body = _digits(F.substring(value, F.lit(1), F.length(value) - 1), keyed)
+    card = let(body, lambda b: F.concat(b, check_digit(b)))  # the other digits tell cards apart
+    out = F.when(kind == "mail", mail).when(kind == "secret", secret).when(kind == "phone", F.concat(digits, more)).when(kind == "card", F.concat(card, more))
     out = out.when(kind == "address", F.concat(F.when(value.rlike(FITS), _address(value, keyed)).otherwise(digits), more))
     return out.when(kind.startswith("given_"), F.concat(pick, _letters(low, keyed, 4 + salt))).otherwise(F.initcap(_letters(low, keyed, 8 + salt)))
 
@@ -134,7 +156,7 @@ def surrogate(entity: Column, key: str, salt: int = 0, redrawn: Column | None =
         return made if redrawn is None else F.coalesce(F.try_element_at(redrawn, unit), made)
 
     name = lambda made: F.concat_ws(" ", F.substring_index(entity, " ", 1), F.array_join(F.reverse(made), " "))
-    return let(units(entity), lambda us: let(F.transform(us, of), lambda made: F.when(F.startswith(us[0], F.lit("last:")), name(made)).otherwise(made[0])))
+    return let(units(entity), lambda us: let(F.transform(us, of), lambda made: F.when(F.startswith(F.get(us, F.lit(0)), F.lit("last:")), name(made)).otherwise(F.coalesce(F.get(made, F.lit(0)), entity))))
 
 
 def _same(kind: Column, value: Column) -> Column:
@@ -176,7 +198,7 @@ def _is(kind: str):
 def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text`` and counts ``n_<type>`` of what the patterns found. Null texts stay null with zero counts.
 
-    A name of two words that has a title somewhere in a text gets its surrogate also where it stands without one in that text.
+    Digits like a card's that fail its check digit stay and don't count. An empty table gives none. A name of two words that has a title somewhere in a text gets its surrogate also where it stands without one in that text.
     """
     if not key:
         raise ValueError("surrogates need a key")
@@ -184,7 +206,7 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     pattern = F.lit(f"({ENTITY})")
     # most texts have no digit, @ or title: they don't meet the long pattern
     maybe = t.rlike("[0-9@]")
-    for title in FEMALE + MALE:
+    for title in FEMALE + MALE + NEUTRAL:
         maybe = maybe | t.contains(title + " ")
     has = F.coalesce(F.when(maybe, t.rlike(ENTITY)), F.lit(False))
     found = F.when(has, F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
