@@ -39,6 +39,7 @@ def sf(spark, docs, tmp_path_factory):
     pages = [(i, f"http://h.example.com/{i}", f"<html><head><title>t</title></head><body><nav><a>m</a></nav><div><p>Shared notice text.</p></div><article><h1>T{i}</h1><p>a &amp; b{i}<p>c{i}\n d</article><footer>f</footer></body></html>") for i in range(12)]
     pages += [(12, None, None), (13, "x", ""), (14, "http://h.example.com", "plain < text"), (15, "http://z.example.com", "<div>" * 3000 + "deep")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d
 
 
@@ -47,6 +48,7 @@ def empty(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d
 
 
