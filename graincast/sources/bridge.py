@@ -119,11 +119,11 @@ def landed_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages_a.unionByName(pages_b.select("source", "term", "page", F.lit(200).alias("status"), F.to_json(F.struct(F.struct(positions.alias("positions")).alias("result"))).alias("value")))
 
 
-#: The searches that the landed pages answer, and one nobody knows.
+#: The searches that the landed pages answer, and one nobody knows. Pages grow with the orders, so no search has a limit.
 SEARCHES = {
     "sources": [
-        {"type": "platform", "search": {"keywords": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"], "max_pages": 1024}}, {"type": "nowhere"},
-        {"type": "platform_b", "search": {"job_categories": [0, 1, 2], "max_pages": 1024}}, {"type": "platform_b", "enabled": False},
+        {"type": "platform", "search": {"keywords": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"], "max_pages": None}}, {"type": "nowhere"},
+        {"type": "platform_b", "search": {"job_categories": [0, 1, 2], "max_pages": None}}, {"type": "platform_b", "enabled": False},
     ],
     "filter": {"primary_depth_twos": ["backend"]},
 }

@@ -2,7 +2,8 @@
 
 A fetcher lands each answer below ``source=<name>/term=<keyword or category>/page=<n>/status=<http status>/``, in one file or several
 that follow each other by name. ``LandedPages`` reads them: a task takes a range of pages of one term, and a page that can't be read
-is a row that says why. Which terms and how many pages there may be comes from the settings, so planning lists nothing.
+is a row that says why. Which terms and how many pages there may be comes from the settings; only for a search without a
+limit of pages planning lists the names of the term's pages.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class PageRange(InputPartition):
 
 
 class LandedPages(DataSource):
-    """``spark.read.format("landed_pages").options(path=..., wanted=...)``; ``wanted`` is JSON: source, term and most pages of each search."""
+    """``spark.read.format("landed_pages").options(path=..., wanted=...)``; ``wanted`` is JSON: source, term and most pages (null: all that landed) of each search."""
 
     @classmethod
     def name(cls) -> str:
@@ -54,15 +55,23 @@ class PageReader(DataSourceReader):
         self.path, self.wanted, self.pages_a_task = path, wanted, pages_a_task
 
     def partitions(self) -> list[PageRange]:
-        return [PageRange(source, term, first, min(first + self.pages_a_task, most)) for source, term, most in self.wanted for first in range(0, most, self.pages_a_task)]
+        limits = [(source, term, self.landed(source, term) if most is None else most) for source, term, most in self.wanted]
+        return [PageRange(source, term, first, min(first + self.pages_a_task, most)) for source, term, most in limits for first in range(0, most, self.pages_a_task)]
 
-    def read(self, partition: PageRange) -> Iterator[pa.RecordBatch]:
+    def landed(self, source: str, term: str) -> int:
+        """Pages up to the last one that landed; 1 if none did, for the row that says so."""
+        return max((page + 1 for page, _ in self.numbered(source, term)[1]), default=1)
+
+    def numbered(self, source: str, term: str):
+        """The store, and number and place of each page of a term."""
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", self.path))
-        base = f"{root}/source={escaped(partition.source)}/term={escaped(partition.term)}"
-        seen = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        numbered = sorted((int(f.base_name[5:]), f.path) for f in seen if re.fullmatch(r"page=\d+", f.base_name))
+        seen = store.get_file_info(fs.FileSelector(f"{root}/source={escaped(source)}/term={escaped(term)}", allow_not_found=True))
+        return store, sorted((int(f.base_name[5:]), f.path) for f in seen if re.fullmatch(r"page=\d+", f.base_name))
+
+    def read(self, partition: PageRange) -> Iterator[pa.RecordBatch]:
+        store, numbered = self.numbered(partition.source, partition.term)
         rows = [] if numbered or partition.first else [(0, None, None, NOT_LANDED)]
         for page, place in numbered:
             if partition.first <= page < partition.after:
@@ -102,8 +111,8 @@ def escaped(name: str) -> str:
     return _ESCAPED.sub(lambda m: f"%{ord(m.group()):02X}", name)
 
 
-def read_pages(spark: SparkSession, path: str, wanted: list[tuple[str, str, int]], pages_a_task: int = PAGES_A_TASK) -> DataFrame:
-    """PAGE rows of the searches ``wanted`` (source, term, most pages)."""
+def read_pages(spark: SparkSession, path: str, wanted: list[tuple[str, str, int | None]], pages_a_task: int = PAGES_A_TASK) -> DataFrame:
+    """PAGE rows of the searches ``wanted`` (source, term, most pages or None for all that landed)."""
     spark.dataSource.register(LandedPages)
     return spark.read.format("landed_pages").options(path=path, wanted=json.dumps([list(w) for w in wanted]), pages_a_task=str(pages_a_task)).load()
 
@@ -151,7 +160,7 @@ def listed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def searches(settings: dict) -> list[dict]:
-    """The enabled sources of the settings with ``type``, ``search`` and, of known ones, ``terms`` and ``most`` pages. A single ``search`` stands for platform A."""
+    """The enabled sources of the settings with ``type``, ``search`` and, of known ones, ``terms`` and ``most`` pages (``max_pages`` null: None, all that landed). A single ``search`` stands for platform A."""
     given = settings.get("sources")
     enabled = [s for s in given if s.get("enabled", True)] if given else [{"type": "platform_a", "search": settings.get("search") or {}}]
     out = []

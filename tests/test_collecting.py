@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graincast import cli
 from graincast.operators import dedup, matches, scoring
-from graincast.sources import adapters, cards, careers, collecting, pages
+from graincast.sources import adapters, bridge, cards, careers, collecting, pages
 from graincast.sources import state as state_store
 
 DAY = "2026-03-10"
@@ -77,6 +77,22 @@ def test_a_gap_ends_a_walk_and_pages_beyond_the_settings_are_not_read(spark, tmp
     assert ids(9) == ["0", "1"] and ids(1) == ["0"]
 
 
+def test_searches_without_a_limit_read_all_pages_that_landed(spark, tmp_path):
+    for n in range(7):
+        land(tmp_path, "platform_a", "-", n, a_page(item(n)))
+    got = collecting.from_pages(spark, str(tmp_path), {"search": {"max_pages": None}})
+    assert sorted(r["id"] for r in got.postings.collect()) == [str(n) for n in range(7)]
+    reader = pages.PageReader(str(tmp_path), [["platform_a", "-", None], ["platform_a", "none", None]], 3)
+    assert [(p.term, p.first, p.after) for p in reader.partitions()] == [("-", 0, 3), ("-", 3, 6), ("-", 6, 7), ("none", 0, 1)]
+
+
+def test_orders_beyond_a_thousand_pages_are_listed(spark, tmp_path):
+    for n in (0, 1, 1023, 1024, 1030):
+        land(tmp_path, "platform_a", "1-URGENT", n, a_page(item(n)))
+    found = [(s["type"], t, s["most"]) for s in pages.searches(bridge.SEARCHES) if s["type"] == "platform_a" for t in s["terms"]]
+    assert [r["page"] for r in pages.read_pages(spark, str(tmp_path), found).filter("term = '1-URGENT'").orderBy("page").collect()] == [0, 1, 1023, 1024, 1030]
+
+
 def test_sources_outlive_each_other(spark, tmp_path):
     land(tmp_path, "platform_a", "k1", 0, a_page(item(1, title="first"), item(2)))
     land(tmp_path, "platform_a", "k2", 0, a_page(item(3), item(1, title="last")))
