@@ -82,6 +82,7 @@ def test_searches_without_a_limit_read_all_pages_that_landed(spark, tmp_path):
         land(tmp_path, "platform_a", "-", n, a_page(item(n)))
     got = collecting.from_pages(spark, str(tmp_path), {"search": {"max_pages": None}})
     assert sorted(r["id"] for r in got.postings.collect()) == [str(n) for n in range(7)]
+    assert [(r["n_pages"], r["jobs"]) for r in got.sources.collect()] == [(7, 7)]
     reader = pages.PageReader(str(tmp_path), [["platform_a", "-", None], ["platform_a", "none", None]], 3)
     assert [(p.term, p.first, p.after) for p in reader.partitions()] == [("-", 0, 3), ("-", 3, 6), ("-", 6, 7), ("none", 0, 1)]
 
