@@ -201,6 +201,44 @@ def varied(words, n, seed, every):
     return [" ".join([*base[:k], f"w{seed}x{k}", *base[k + 1 :]]) for k in range(0, n, every)]
 
 
+def join_rows(spark, run):
+    """Rows that the joins of ``run`` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total, ran = 0, store.executionsList(before, 10_000)
+    for i in range(ran.size()):
+        values, nodes = store.executionMetrics(ran.apply(i).executionId()), store.planGraph(ran.apply(i).executionId()).allNodes()
+        for n in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (n.metrics().apply(k) for k in range(n.metrics().size())):
+                if "Join" in n.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_components_look_links_up_about_once(spark):
+    r = random.Random(3)
+    ids = r.sample(range(1 << 40), 340)
+    pairs = [(a, b) for a in ids[:40] for b in ids[40:]]
+    found = []
+    made = join_rows(spark, lambda: found.extend(neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert {(x["node"], x["comp"]) for x in found} == {(i, min(ids)) for i in ids}
+    assert len(pairs) < made < 3 * len(pairs)
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    r = random.Random(5)
+    turns = [x for p in zip(range(1000, 1040), range(1099, 1059, -1), strict=True) for x in p]
+    pairs = [*itertools.pairwise(range(100)), *itertools.pairwise(turns), *((-500, i) for i in range(200, 260)), *((i, 2999) for i in range(2000, 2060)), (7000, 7000), *((r.randrange(5000, 5200), r.randrange(5000, 5200)) for _ in range(120))]
+    forest = neardup.Forest()
+    for a, b in pairs:
+        if not forest.joined(a, b):
+            forest.join(a, b)
+    got = {x["node"]: x["comp"] for x in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: forest.root(x) for p in pairs for x in p}
+
+
 @pytest.mark.parametrize("short,block,shingles", [(16, 512, 1 << 20), (2, 5, 300)])
 def test_components_of_repeated_and_null_ids(spark, monkeypatch, short, block, shingles):
     monkeypatch.setattr(neardup, "SHORT", short)
