@@ -1,8 +1,9 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host share a wrapper. Reference pages' DOM trees are aligned by simple tree matching: runs of equal
-siblings count as one repeating node, and children are matched in order so that the number of matched nodes is
-largest. A text that stands in the same matched node of two thirds of the references is template; the other texts are
+Pages of one host share a wrapper, made from all its different pages. Their DOM trees are aligned by simple tree matching:
+runs of equal siblings count as one repeating node, and children are matched in order so that the number of matched nodes is
+largest. Matching looks at labels only, so trees are merged and aligned once a shape, in rounds; texts are counted by aggregation.
+A text that stands in the same matched node of two thirds of the pages that have it is template; the other texts are
 what the node, a slot, varies in. The content is the node that holds nearly all prose of the slots. A page is aligned
 with its host's wrapper the same way, and its text is what stands in the nodes matched with the content. Tags, roles
 and class names only help: what they call a menu, an advert, a form or comments weighs nothing and goes, and the content isn't
@@ -12,24 +13,25 @@ sought below an article. Where a host has no wrapper or a page doesn't fit it, a
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as htmllib
 import json
 import re
 import sys
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graincast.llm.common import BROADCAST_BYTES, join_small, materialize, merged, slices, table, value_bytes
+from graincast.llm.common import join_small, materialize, merged, slices, table
 from graincast.llm.site_lines import host_of
 
-#: Reference pages of a host; the wrapper is induced from these, every page is aligned with it.
-REFERENCES = 8
+#: Shapes of the host with most that a task merges on average; with more, rounds merge what the tasks gave.
+FOLD = 64
 #: Lists of children whose table would have more cells than this are put in line by their labels instead.
 CELLS = 40_000
 #: The content is sought below a node as long as one child holds this share of the node's varying prose.
@@ -187,15 +189,14 @@ def mark(root: Node) -> None:
 class Group:
     """A run of equal siblings, one node for matching: its texts with their prose, and the groups below.
 
-    In a wrapper ``seen`` counts the references that have a text, ``fixed`` has the hashes of template texts, and ``chosen`` tells content.
+    ``weight`` is the prose of its own texts that vary. In a wrapper ``fixed`` has the hashes of template texts, and ``chosen`` tells content.
     """
 
-    __slots__ = ("tag", "name", "nodes", "kids", "texts", "seen", "refs", "fixed", "chosen")
+    __slots__ = ("tag", "name", "nodes", "kids", "texts", "weight", "fixed", "chosen")
 
     def __init__(self, tag: str, name: str):
         self.tag, self.name, self.nodes, self.kids, self.texts = tag, name, [], [], {}
-        self.seen: Counter = Counter()
-        self.refs, self.fixed, self.chosen = 1, frozenset(), False
+        self.weight, self.fixed, self.chosen = 0, frozenset(), False
 
     @property
     def label(self) -> tuple[str, str]:
@@ -222,7 +223,7 @@ def grouped(root: Node) -> Group:
                 if not g.kids or g.kids[-1].label != (x.tag, x.name):
                     g.kids.append(Group(x.tag, x.name))
                 g.kids[-1].nodes.append(x)
-        g.seen = Counter(dict.fromkeys(g.texts, 1))
+        g.weight = sum(g.texts.values())
         todo.extend(g.kids)
     return top
 
@@ -271,6 +272,8 @@ def match(a: Group, b: Group) -> tuple[int, list]:
             total += n + 1
             pairs.append((x, y, below))
         return total, pairs
+    both = {x.label for x in xs} & {y.label for y in ys}
+    xs, ys = ([k for k in ks if k.label in both] for ks in (xs, ys))
     if len(xs) * len(ys) > CELLS:
         total, pairs = 0, []
         for i, j in in_line([x.label for x in xs], [y.label for y in ys]):
@@ -309,21 +312,21 @@ def flat(pairs: list) -> Iterator[tuple[Group, Group]]:
 
 
 def merge(wrapper: Group, page: Group) -> None:
-    """Adds a reference page to the wrapper; nodes that the wrapper lacks come last below their parent."""
-    pairs = [(wrapper, page), *flat(match(wrapper, page)[1])]
-    matched = {id(g) for _, g in pairs}
-    for w, g in pairs:
-        w.refs += 1
-        w.seen.update(g.seen)
-        for text, prose in g.texts.items():
-            w.texts[text] = w.texts.get(text, 0) + prose
-        w.kids.extend(k for k in g.kids if id(k) not in matched)
-
-
-def template(w: Group) -> set[str]:
-    """The texts of a wrapper's node that don't vary: on two thirds of the references that have it, and on two at least."""
-    least = max(2, -(-2 * w.refs // 3))
-    return {t for t, n in w.seen.items() if n >= least}
+    """Adds a tree to the wrapper; nodes that the wrapper lacks come where they stand between their siblings, so each tree merged fits in whole."""
+    todo = [(wrapper, page, match(wrapper, page)[1])]
+    while todo:
+        w, g, below = todo.pop()
+        partner = {id(y): x for x, y, _ in below}
+        first: list[Group] = []
+        after: dict[int, list[Group]] = {}
+        here = first
+        for k in g.kids:
+            if id(k) in partner:
+                here = after.setdefault(id(partner[id(k)]), [])
+            else:
+                here.append(k)
+        w.kids = [*first, *(k for x in w.kids for k in (x, *after.get(id(x), ())))]
+        todo.extend(below)
 
 
 def content(top: Group) -> list[Group]:
@@ -336,8 +339,7 @@ def content(top: Group) -> list[Group]:
         parents.update((id(k), g) for k in g.kids)
     weight = {}
     for g in reversed(order):
-        fixed = template(g)
-        weight[id(g)] = sum(p for t, p in g.texts.items() if t not in fixed) + sum(weight[id(k)] for k in g.kids)
+        weight[id(g)] = g.weight + sum(weight[id(k)] for k in g.kids)
     at = top
     if not weight[id(top)]:
         return []
@@ -358,25 +360,117 @@ def content(top: Group) -> list[Group]:
     return found
 
 
-def induce(pages: list[str]) -> str:
-    """JSON of the wrapper of reference pages: nodes [number of the node above, tag, name, hashes of template texts, whether it is content], parents first; empty for less than two pages."""
+def preorder(top: Group) -> tuple[list[list], list[Group]]:
+    """A tree's shape, [number of the node above, tag, name] of each node, parents first, and its nodes in that order."""
+    shape, order, todo = [], [], [(top, -1)]
+    while todo:
+        g, above = todo.pop()
+        shape.append([above, g.tag, g.name])
+        order.append(g)
+        todo.extend((k, len(order) - 1) for k in reversed(g.kids))
+    return shape, order
+
+
+def tree_of(shape: list[list]) -> list[Group]:
+    """Nodes of a shape, the top first."""
+    made: list[Group] = []
+    for above, tag, name in shape:
+        made.append(Group(tag, name))
+        if above >= 0:
+            made[above].kids.append(made[-1])
+    return made
+
+
+def _json(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace").decode()
+
+
+def digest(page: str) -> tuple[str, list[int], list[int], list[int]]:
+    """A page's shape, and of each different text of a node: the node's number, the text's hash and its prose."""
     with _Deep():
-        trees = [_tree(p)[1] for p in dict.fromkeys(pages)]
-        if len(trees) < 2:
-            return ""
-        root = trees[0]
-        for tree in trees[1:]:
-            merge(root, tree)
-        chosen = {id(g) for g in content(root)}
-        if not chosen:
-            return ""
-        out: list = []
-        todo = [(root, -1)]
-        while todo:
-            g, above = todo.pop()
-            out.append([above, g.tag, g.name, sorted(_hash(t) for t in template(g)), int(id(g) in chosen)])
-            todo.extend((k, len(out) - 1) for k in reversed(g.kids))
-        return json.dumps(out, ensure_ascii=False).encode("utf-8", "replace").decode()
+        shape, order = preorder(_tree(page)[1])
+    found = [(i, _hash(t), prose) for i, g in enumerate(order) for t, prose in g.texts.items()]
+    return _json(shape), *([f[i] for f in found] for i in range(3))
+
+
+def paths(shape: list[list], host: str | None) -> list[int]:
+    """A hash of the labels from the top to each node. Only nodes of equal paths can be matched."""
+    out: list[bytes] = []
+    for above, tag, name in shape:
+        up = out[above] if above >= 0 else repr(host).encode("utf-8", "replace")
+        out.append(hashlib.blake2b(up + f"{tag} {name}".encode("utf-8", "replace"), digest_size=8).digest())
+    return [int.from_bytes(h, "big", signed=True) for h in out]
+
+
+def pruned(shape: list[list], keep: Iterable[int]) -> list[list]:
+    """The shape of the nodes ``keep``; with a node it has the one above."""
+    to = {-1: -1}
+    out = []
+    for i in sorted(keep):
+        to[i] = len(out)
+        out.append([to[shape[i][0]], *shape[i][1:]])
+    return out
+
+
+def fold(shapes: Iterable[str]) -> str:
+    """The shape that all of ``shapes`` fit in."""
+    with _Deep():
+        tops = [tree_of(json.loads(s))[0] for s in sorted(set(shapes), key=lambda s: (-len(s), s))]
+        for top in tops[1:]:
+            merge(tops[0], top)
+        return _json(preorder(tops[0])[0])
+
+
+def align(wrapper: list[Group], shape: list[list]) -> list[int]:
+    """Of each node of a shape the number of its node in the wrapper, or -1 less the number of the nearest matched one above."""
+    made = tree_of(shape)
+    number = {id(g): i for i, g in enumerate(wrapper)}
+    with _Deep():
+        to = {id(y): number[id(x)] for x, y in flat(match(wrapper[0], made[0])[1])}
+    to[id(made[0])] = 0
+    out: list[int] = []
+    for g, (above, _, _) in zip(made, shape, strict=True):
+        up = out[above] if above >= 0 else 0
+        out.append(to.get(id(g), up if up < 0 else -1 - up))
+    return out
+
+
+def finish(shape: list[list], told: Iterable[tuple[int, int, Iterable[int]]]) -> str:
+    """JSON of a wrapper: nodes [number of the node above, tag, name, hashes of template texts, whether it is content], parents first; empty if nothing varies.
+
+    ``told`` has number, prose of varying texts and template texts of nodes.
+    """
+    made = tree_of(shape)
+    for i, weight, fixed in told:
+        made[i].weight, made[i].fixed = weight, frozenset(fixed)
+    chosen = {id(g) for g in content(made[0])}
+    return _json([[*line, sorted(g.fixed), int(id(g) in chosen)] for line, g in zip(shape, made, strict=True)]) if chosen else ""
+
+
+def induce(pages: list[str]) -> str:
+    """The wrapper of a host's pages, as ``wrappers`` makes it, on one machine; empty for less than two different pages."""
+    told = [digest(p) for p in dict.fromkeys(pages)]
+    if len(told) < 2:
+        return ""
+    shapes = {s: json.loads(s) for s, *_ in told}
+    named = {s: paths(shape, None) for s, shape in shapes.items()}
+    pages_of = Counter(p for s, *_ in told for p in set(named[s]))
+    whole = json.loads(fold(_json(pruned(shape, (i for i, p in enumerate(named[s]) if pages_of[p] > 1))) for s, shape in shapes.items()))
+    to = {s: align(tree_of(whole), shape) for s, shape in shapes.items()}
+    have = Counter(i for s, *_ in told for i in to[s] if i >= 0)
+    n, total, weight, fixed = Counter(), Counter(), Counter(), {}
+    for s, nodes, texts, prose in told:
+        for node, text, p in zip(nodes, texts, prose, strict=True):
+            i = to[s][node]
+            place = (i, text) if i >= 0 else (-1 - i, None)
+            n[place] += 1
+            total[place] += p
+    for (i, text), times in n.items():
+        if text is not None and times >= max(2, -(-2 * have[i] // 3)):
+            fixed.setdefault(i, []).append(text)
+        else:
+            weight[i] += total[i, text]
+    return finish(whole, [(i, weight[i], fixed.get(i, ())) for i in {i for i, _ in n}])
 
 
 def wrapper_of(text: str) -> Group:
@@ -468,17 +562,83 @@ def extract(page: str | None, wrapper: Group | None) -> str:
     return "\n".join(blocks)
 
 
-def _induce(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [induce(sorted(pdf["html"]))]})
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        shape, nodes, texts, prose = zip(*map(digest, batch["html"].to_pylist()), strict=True)
+        yield pa.RecordBatch.from_arrays([batch["host"], batch["page"], pa.array(shape, pa.string()), pa.array(nodes, pa.list_(pa.int32())), *(pa.array(x, pa.list_(pa.int64())) for x in (texts, prose))], ["host", "page", "shape", "nodes", "texts", "prose"])
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        for kind, host, shape, n in zip(*(batch[c].to_pylist() for c in ("kind", "host", "shape", "n")), strict=True):
+            found = paths(json.loads(shape), host)
+            first = dict(zip(reversed(found), reversed(range(len(found))), strict=True))  # a page counts once a path
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.int64()), pa.array([n * (first[p] == i) for i, p in enumerate(found)], pa.int64())], ["kind", "node", "path", "n"])
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        out = [_json(pruned(json.loads(s), keep)) for s, keep in zip(batch["shape"].to_pylist(), batch["keep"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["host"], pa.array(out, pa.string())], ["host", "shape"])
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"host": pdf["host"].iloc[:1], "shape": [fold(pdf["shape"])]})
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, wrapper = None, []
+    for batch in slices(batches):
+        out = []
+        for shape, whole in zip(batch["shape"].to_pylist(), batch["whole"].to_pylist(), strict=True):
+            if whole != last:
+                last, wrapper = whole, tree_of(json.loads(whole))
+            out.append(align(wrapper, json.loads(shape)))
+        yield pa.RecordBatch.from_arrays([batch["kind"], batch["host"], batch["n"], pa.array(out, pa.list_(pa.int32()))], ["kind", "host", "n", "to"])
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        out = [finish(json.loads(w), [(t["node"], t["weight"], t["fixed"]) for t in told or ()]) for w, told in zip(batch["whole"].to_pylist(), batch["told"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["host"], pa.array(out, pa.string())], ["host", "wrapper"])
+
+
+def whole_shapes(shapes: DataFrame) -> DataFrame:
+    """``host, whole`` of ``kind, host, shape, n``: what all shapes of a host's different pages fit in, less nodes of paths that one page has only, which nothing can be matched with."""
+    nodes = materialize(shapes.mapInArrow(_paths, "kind bigint, node int, path bigint, n bigint"), "paths")
+    shared = nodes.groupBy("path").agg(F.sum("n").alias("pages")).filter("pages > 1")
+    kept = nodes.join(shared, "path", "left_semi").groupBy("kind").agg(F.collect_list("node").alias("keep"))
+    parts = materialize(shapes.join(kept, "kind").select("host", "shape", "keep").mapInArrow(merged(_prune), "host string, shape string").distinct(), "shapes")
+    blocks = -(-(parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) // FOLD)
+    while True:
+        block = F.pmod(F.xxhash64("shape"), F.lit(max(1, blocks)))
+        parts = materialize(parts.withColumn("block", block).groupBy("host", "block").applyInPandas(_fold, "host string, shape string"), "shapes")
+        if blocks <= 1:
+            return parts.withColumnRenamed("shape", "whole")
+        blocks = -(-blocks // FOLD)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper``. A host's references are its REFERENCES different pages of least hash; tasks keep only so many of each host before they meet."""
-    hashed = pages.filter(F.col("html").isNotNull()).withColumn("hash", F.xxhash64("html"))
-    turn = F.row_number().over(Window.partitionBy("host").orderBy("hash"))
-    picked = materialize(hashed.select("host", "hash").distinct().withColumn("turn", turn).filter(F.col("turn") <= REFERENCES).drop("turn"), "references")
-    chosen = hashed.join(F.broadcast(picked) if value_bytes(picked) <= BROADCAST_BYTES else picked, ["host", "hash"], "left_semi")
-    return chosen.dropDuplicates(["host", "hash"]).groupBy("host").applyInPandas(_induce, "host string, wrapper string")
+    """``host, wrapper`` from all different pages of each host. A page is parsed to its shape and its texts' hashes; equal pages count once."""
+    given = pages.filter(F.col("html").isNotNull()).select("host", F.xxhash64("html").alias("page"), "html")
+    read = given.mapInArrow(merged(_digest), "host string, page bigint, shape string, nodes array<int>, texts array<bigint>, prose array<bigint>")
+    pages = materialize(read.dropDuplicates(["host", "page"]).withColumn("kind", F.xxhash64("host", "shape")), "digests")
+    shapes = materialize(pages.groupBy("kind", "host", "shape").agg(F.count(F.lit(1)).alias("n")), "shapes")
+    wholes = whole_shapes(shapes)
+    aligned = join_small(shapes, wholes, "host", F.col("kind")).filter("whole is not null")
+    aligned = materialize(aligned.mapInArrow(merged(_align), "kind bigint, host string, n bigint, to array<int>"), "aligned")
+    place = F.xxhash64("host", "node").alias("place")
+    have = aligned.select("host", "n", F.explode("to").alias("node")).filter("node >= 0").groupBy(place).agg(F.sum("n").alias("have"))
+    lines = join_small(pages, aligned.select("kind", "to"), "kind", F.col("page")).filter("to is not null")
+    lines = lines.select("host", "to", F.explode(F.arrays_zip("nodes", "texts", "prose")).alias("line")).select("host", F.expr("to[line.nodes]").alias("at"), "line.texts", "line.prose")
+    # the text of a node that the wrapper lacks varies, and counts for the node above it
+    lines = lines.select("host", F.when(F.col("at") >= 0, F.col("at")).otherwise(-1 - F.col("at")).alias("node"), F.when(F.col("at") >= 0, F.col("texts")).alias("text"), "prose")
+    texts = lines.groupBy("host", "node", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("prose").alias("prose")).select("*", place)
+    texts = join_small(texts, materialize(have, "have"), "place", F.xxhash64("text"))
+    fixed = F.col("text").isNotNull() & (F.col("n") >= 2) & (3 * F.col("n") >= 2 * F.col("have"))
+    told = texts.groupBy("host", "node").agg(F.sum(F.when(fixed, 0).otherwise(F.col("prose"))).alias("weight"), F.collect_list(F.when(fixed, F.col("text"))).alias("fixed"))
+    told = materialize(told.groupBy("host").agg(F.collect_list(F.struct("node", "weight", "fixed")).alias("told")), "told")
+    return join_small(wholes, told, "host", F.xxhash64("whole")).mapInArrow(merged(_finish), "host string, wrapper string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

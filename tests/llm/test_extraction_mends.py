@@ -1,5 +1,6 @@
 """Wrapper induction: what names may say, lists of links, very deep and very wide pages, matching against brute force."""
 
+import json
 import random
 import time
 
@@ -88,3 +89,55 @@ def test_repeated_pages_and_odd_rows(spark):
     assert len(got) == len(rows) and sorted(r["text"] for r in got if r["page_id"] in (2, 3)) == ["", ""]
     assert len({r["text"] for r in got if r["page_id"] == 1}) == 3 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert extraction.extract_pages(given.limit(0)).count() == 0
+
+
+BASE = "<body>{2}<div class=k1><div class=k2><h2>Head {0}</h2><p>told on page {0} at length, with words {1} of its own</p>{3}</div></div></body>"
+
+
+def host_pages(spark, n, around):
+    """``n`` pages of a host through Spark: their texts by number, and the pages."""
+    made = [BASE.format(i, i * 7, *around(i)) for i in range(n)]
+    rows = spark.createDataFrame([(i, f"https://w.example.com/{i}", p) for i, p in enumerate(made)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in extraction.extract_pages(rows).collect()}, rows
+
+
+def own(i):
+    return f"Head {i}\ntold on page {i} at length, with words {i * 7} of its own"
+
+
+def test_template_is_counted_over_all_pages_of_a_host(spark):
+    rare = {0, 1, 2, 77, 140}  # notices that five of 150 pages have, in a node of their own
+    got, rows = host_pages(spark, 150, lambda i: ("<div class=k0>All pages say this</div>", "<section class=k5><p>Subscribers only, says this line</p></section>" if i in rare else ""))
+    assert got == {i: own(i) for i in range(150)}
+    html = [r["html"] for r in rows.collect()]
+    given = rows.selectExpr("lower('w.example.com') as host", "html")
+    assert [json.loads(r["wrapper"]) for r in extraction.wrappers(given.union(given)).collect()] == [json.loads(extraction.induce(html))]
+
+
+def test_a_text_on_half_of_the_pages_is_no_template(spark):
+    for k in range(12):
+        half = set(random.Random(k).sample(range(24), 12))
+        html = [BASE.format(f"{i} of {k}", i * 7, "", f"<blockquote>{'Half say so' if i in half else f'{i} says so'}</blockquote>") for i in range(24)]
+        wrapper = extraction.wrapper_of(extraction.induce(html))
+        assert all(("Half say so" in extraction.extract(html[i], wrapper)) == (i in half) for i in range(24))
+    got, _ = host_pages(spark, 24, lambda i: ("", f"<blockquote>{'Half say so' if i % 2 else f'{i} says so'}</blockquote>"))
+    assert got == {i: own(i) + ("\nHalf say so" if i % 2 else f"\n{i} says so") for i in range(24)}
+
+
+def test_many_shapes_are_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "FOLD", 3)
+    body = lambda i: "".join(f"<{t}>{t} {i} {k} told here</{t}>" for k, t in enumerate(random.Random(i).choices(("h3", "p", "pre", "blockquote"), k=6)))
+    around = lambda i: (f"<div class=only{i}>Nobody else has {i}</div><div class=k0>All pages say this</div>", body(i))
+    got, _ = host_pages(spark, 60, around)
+    assert all("All pages say this" not in t and all(line in t for line in own(i).split("\n")) and t.count("told here") == 6 for i, t in got.items()) and len(got) == 60
+
+
+def test_merged_shapes_fit_in_whole():
+    rng = random.Random(5)
+    for _ in range(100):
+        shapes = [extraction.preorder(tree(rng, 3))[0] for _ in range(5)]
+        for s in shapes:
+            s[0][1] = "#root"
+        whole = extraction.tree_of(json.loads(extraction.fold(map(json.dumps, shapes))))
+        for s in shapes:
+            assert len(set(extraction.align(whole, s))) == len(s) and min(extraction.align(whole, s)) == 0
