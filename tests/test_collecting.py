@@ -1,13 +1,16 @@
 """Landed pages, career pages, reposts, settings, and runs from files to the note."""
 
+import datetime
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from graincast import cli
 from graincast.operators import dedup, matches, scoring
+from graincast.plans import oracle, queries
 from graincast.sources import adapters, bridge, cards, careers, collecting, pages
 from graincast.sources import state as state_store
 
@@ -94,6 +97,20 @@ def test_orders_beyond_a_thousand_pages_are_listed(spark, tmp_path):
     assert [r["page"] for r in pages.read_pages(spark, str(tmp_path), found).filter("term = '1-URGENT'").orderBy("page").collect()] == [0, 1, 1023, 1024, 1030]
 
 
+def test_landed_sources_equal_their_sql_beyond_a_thousand_pages(spark, tmp_path):
+    d, day = str(tmp_path), datetime.datetime(1998, 1, 2)
+    rows = [(bridge.PAGE_KEYS * n + 10, 1, "F", "1-URGENT", day) for n in range(1030)]  # each is listed under 2-HIGH again
+    rows += [(k, 1, "F", term, day) for k, term in enumerate(("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))] + [(k, 1, "O", "5-LOW", day) for k in (4, 5, 6)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(1, "c", "BUILDING")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+    with duckdb.connect() as db:
+        for name in ("orders", "customer"):
+            db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
+        want = db.sql(oracle.SQL["landed_sources"]).fetchall()
+    got = [tuple(r) for r in queries.landed_sources(spark, d).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(r[5] for r in got) > 1024
+
+
 def test_sources_outlive_each_other(spark, tmp_path):
     land(tmp_path, "platform_a", "k1", 0, a_page(item(1, title="first"), item(2)))
     land(tmp_path, "platform_a", "k2", 0, a_page(item(3), item(1, title="last")))
